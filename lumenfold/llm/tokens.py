@@ -149,10 +149,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     schema = arrow_schema(MANIFEST)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _tokenizers.get(json.id)
-        if encoder is None:
+        own = hash(json.value)
+        if own not in _tokenizers:
             _tokenizers.clear()
-            encoder = _tokenizers[json.id] = WordTokenizer(json.value)
+            _tokenizers[own] = WordTokenizer(json.value)
+        encoder = _tokenizers[own]
         part, seq = TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
         counts: list[np.ndarray] = []
