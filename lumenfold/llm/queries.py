@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, pii, quality, sharding, tokens
+from . import decontam, langid, minhash, pii, quality, sharding, tokens
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_tokens": op3_tokens,
     "op5_langid": op5_langid,
+    "op7_minhash": op7_minhash,
     "op8_decontam": op8_decontam,
     "op9_quality": op9_quality,
 }

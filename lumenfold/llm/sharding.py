@@ -78,9 +78,9 @@ def communication_matrix(sizes: DataFrame, blocks: int, shards: int, seed: int =
     edges = spark.range(0, blocks + 1, 1, 1).select(F.col("id").cast("int").alias("edge"))
     edges = edges.join(F.broadcast(sizes), F.col("edge") == F.col("block") + 1, "left")
     edges = cut(edges.select("edge", F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("edge")).cast("long").alias("before")), "shard-sizes")
-    total = F.col("before")
+    total = F.col("total")
     room = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: (F.floor(total / shards) + F.when(s < total % shards, 1).otherwise(0)).cast("long"))
-    nodes = edges.where(F.col("edge") == blocks).select(F.lit(0).alias("low"), F.lit(blocks).alias("width"), F.lit(0).cast("long").alias("first"), room.alias("room"))
+    nodes = edges.agg(F.min("edge").alias("low"), F.max("edge").alias("width"), F.min("before").alias("first"), F.max("before").alias("total")).select("low", "width", "first", room.alias("room"))
     while blocks > 1:
         blocks = (blocks + 1) // 2
         half = F.ceil(F.col("width") / 2).cast("int")
