@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from . import simple8b
 from .common import LAST_ID, arrow_schema, batch, bounded_batches, pick, scratch, texts, written
+from .staged import get, put
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 #: A file is closed when it holds this many ids; a task keeps no more than a file in memory.
@@ -115,28 +116,6 @@ def unpack(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if x else i for i, x in zip(doc_ids.tolist(), nulls.tolist(), strict=True)], counts, simple8b.decode(words, offsets, n)
 
 
-def _put(folder: str, name: str, raw: bytes) -> str:
-    """A whole file or none: written beside its place under the attempt's own name, then moved. A repeated task writes the same bytes."""
-    from pyarrow import fs
-
-    where, root = fs.FileSystem.from_uri(folder)
-    where.create_dir(root, recursive=True)
-    context = TaskContext.get()
-    part = f"{root}/.{name}.{context.taskAttemptId() if context else 0}"
-    with where.open_output_stream(part) as out:
-        out.write(raw)
-    where.move(part, f"{root}/{name}")
-    return f"{folder}/{name}"
-
-
-def _get(path: str) -> bytes:
-    from pyarrow import fs
-
-    where, at = fs.FileSystem.from_uri(path)
-    with where.open_input_stream(at) as f:
-        return f.read()
-
-
 MANIFEST = "part long, seq long, path string, n_docs long, n_ids long"
 
 
@@ -162,7 +141,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         def flush() -> pa.RecordBatch:
             nonlocal seq
             all_ids, all_counts = np.concatenate(ids), np.concatenate(counts)
-            path = _put(f"{folder}/files", f"tokens-{part:06d}-{seq:06d}.bin", pack(doc_ids, all_counts, all_ids))
+            path = put(f"{folder}/files", f"tokens-{part:06d}-{seq:06d}.bin", pack(doc_ids, all_counts, all_ids))
             row = batch([[part], [seq], [path], [len(doc_ids)], [len(all_ids)]], schema)
             seq += 1
             doc_ids.clear(), counts.clear(), ids.clear()
@@ -199,7 +178,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                doc_ids, counts, ids = unpack(_get(path))
+                doc_ids, counts, ids = unpack(get(path))
                 ends = np.cumsum(counts)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
