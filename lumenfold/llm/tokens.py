@@ -82,6 +82,15 @@ class WordTokenizer:
         return ids, per
 
 
+def encoder_of(json: str) -> WordTokenizer:
+    """The worker's own, kept from task to task. (A function of the module: a task's closure would carry a copy of the dictionary.)"""
+    own = hash(json)
+    if own not in _tokenizers:
+        _tokenizers.clear()
+        _tokenizers[own] = WordTokenizer(json)
+    return _tokenizers[own]
+
+
 def tokenizer_json(path: str | None = None) -> str:
     if path is None:
         import public_tokenizers
@@ -128,11 +137,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     schema = arrow_schema(MANIFEST)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = hash(json.value)
-        if own not in _tokenizers:
-            _tokenizers.clear()
-            _tokenizers[own] = WordTokenizer(json.value)
-        encoder = _tokenizers[own]
+        encoder = encoder_of(json.value)
         part, seq = TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
         counts: list[np.ndarray] = []
