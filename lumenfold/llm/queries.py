@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, minhash, pii, quality, repeats, sharding, tokens
+from . import decontam, langid, minhash, mixing, pii, quality, repeats, sharding, tokens
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
     "op3_tokens": op3_tokens,
+    "op4_mixing": op4_mixing,
     "op5_langid": op5_langid,
     "op7_minhash": op7_minhash,
     "op8_decontam": op8_decontam,
