@@ -99,3 +99,16 @@ def batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
 def texts(column: pa.Array) -> Iterator[str]:
     """The texts, null as empty."""
     return (x or "" for x in column.to_pylist())
+
+
+def whole_rows(docs: DataFrame, *names: str) -> tuple[DataFrame, list, list[str]]:
+    """docs under plain column names, the columns called `names` in it (null literals where missing), and docs' own names to go back to by
+    toDF(): so that rows can be filtered whole, whatever their columns are called."""
+    own = docs.columns
+    plain = docs.toDF(*[f"_{i}" for i in range(len(own))])
+
+    def at(name: str):
+        found = [i for i, n in enumerate(own) if n == name] or [i for i, n in enumerate(own) if n.lower() == name.lower()]
+        return F.col(f"_{found[0]}") if found else F.lit(None).cast("string")
+
+    return plain, [at(n) for n in names], own

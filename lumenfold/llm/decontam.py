@@ -7,11 +7,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch, bounded_batches, pick, texts
+from .common import arrow_schema, batch, bounded_batches, pick, texts, whole_rows
 
 #: A window has this many words; K-grams are selected from windows of W consecutive ones, and K + W - 1 = WINDOW.
 WINDOW, K, W = 10, 6, 5
@@ -219,3 +220,21 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, in which no window of the benchmark occurs. Null and empty texts stay. One map for each block of items."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    plain, (text,), own = whole_rows(docs, "text")
+
+    def clean_of(index):
+        @F.pandas_udf("boolean")
+        def clean(column: pd.Series) -> pd.Series:
+            return pd.Series([not index.value.hits(words_of(t))[0] for t in column], dtype=bool)
+
+        return clean
+
+    for block in _blocks(benchmark):
+        plain = plain.where(clean_of(spark.sparkContext.broadcast(Index(block)))(text.cast("string")))
+    return plain.toDF(*own)

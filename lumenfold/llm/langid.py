@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch, bounded_batches, pick, texts
+from .common import arrow_schema, batch, bounded_batches, pick, texts, whole_rows
 
 #: Families of languages by ISO 639-1 code. A language not listed is a family of its own.
 FAMILIES = {
@@ -166,3 +166,21 @@ def predict_languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     bounded_batches(docs.sparkSession)
     return pick(docs, doc_id="long", text="string").mapInArrow(apply, PREDICTED)
+
+
+#: Rows with a score below this are rejected by accepted(), like those without a language.
+LEAST_SCORE = 0.3
+
+
+def accepted(docs: DataFrame, least_score: float = LEAST_SCORE, model: Model | None = None) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language: not und, and a score of at least least_score. Null and empty texts go."""
+    model = model or fit(docs)
+
+    @F.pandas_udf("boolean")
+    def has_language(column: pd.Series) -> pd.Series:
+        got = [model.predict(t) for t in column]
+        return pd.Series([g[0] != "und" and g[1] >= least_score for g in got], dtype=bool)
+
+    bounded_batches(docs.sparkSession)
+    plain, (text,), own = whole_rows(docs, "text")
+    return plain.where(has_language(text.cast("string"))).toDF(*own)

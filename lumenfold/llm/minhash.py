@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import arrow_schema, batch, bounded_batches, cut, pick, texts
+from .common import arrow_schema, batch, bounded_batches, cut, pick, texts, whole_rows
 from .components import components
 
 BANDS, ROWS = 40, 5
@@ -79,8 +79,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (len(both) - common)
 
 
-def _node() -> Column:
-    return F.coalesce(F.col("doc_id"), F.lit(_NULLS) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 61) - 1)))
+def _node(doc_id: Column, text: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(_NULLS) + F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << 61) - 1)))
 
 
 SETS = "doc_id long, node long, n_shingles long, hi long, lo long, bands array<long>"
@@ -136,9 +136,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     A null or empty text, or one without words, has an empty set and is linked with nothing: it is kept. A null doc_id sorts after all others:
     its component_id is the least id it is linked with, else null, and then one row of each such text is kept like any least one. Rows that
     share a doc_id count as one document in different versions, linked with each other. An empty table gives none."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    rows = pick(docs, doc_id="long", text="string").withColumn("node", _node())
+    return _grouped(docs, shingle, percent).select("doc_id", "n_shingles", F.when(F.col("least") < _NULLS, F.col("least")).alias("component_id"), (F.col("node") == F.col("least")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns, without those near_duplicates() does not keep; of repeated rows of one doc_id one stays."""
+    found = cut(_grouped(docs, shingle, percent).select("node", "least"), "groups")
+    plain, (doc_id, text), own = whole_rows(docs, "doc_id", "text")
+    plain = plain.withColumn("node", _node(doc_id, text))
+    left = plain.join(found.where(F.col("node") != F.col("least")).select("node").distinct(), "node", "left_anti")
+    # The rows by node are few to count; the texts are shuffled for it only if some node has several rows.
+    if not found.groupBy("node").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["node"])
+    return left.select(*[f"_{i}" for i in range(len(own))]).toDF(*own)
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id, node, n_shingles and the least node of each row's component."""
+    bounded_batches(docs.sparkSession)
+    rows = pick(docs, doc_id="long", text="string").withColumn("node", _node(F.col("doc_id"), F.col("text")))
     sets = cut(_sets(rows, shingle), "sets")
     # bands are those of the set: any row of a class has the same
     classes = sets.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("node").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
@@ -177,5 +193,4 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     named = classes.select("hi", "lo", "node").join(labels, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("c"))
     out = sets.select("doc_id", "node", "n_shingles", "hi", "lo").join(named, ["hi", "lo"], "left")
     least = F.when(F.col("n_shingles") > 0, F.coalesce("c", "node")).otherwise(F.col("node"))
-    shown = F.when(least < _NULLS, least)
-    return out.select("doc_id", "n_shingles", shown.alias("component_id"), (F.col("node") == least).alias("kept"))
+    return out.select("doc_id", "node", "n_shingles", least.alias("least"))

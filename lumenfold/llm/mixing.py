@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick
+from .common import cut, whole_rows
 
 MARGINS = ("source", "lang", "topic")
 #: Targets not given are the corpus shares to this power, scaled to 1: 1 keeps the mix, 0 makes all categories alike.
@@ -24,16 +24,14 @@ BROADCAST_CELLS = 200_000
 NONE = "(none)"
 
 
-def n_tokens() -> Column:
-    """A native estimate: words, and a quarter of the characters beyond four a word; at least 1 for a text that is not empty."""
-    text = F.coalesce("text", F.lit(""))
-    words = F.size(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ", -1))
+def n_tokens(text: Column) -> Column:
+    """A native estimate: words, or a quarter of the characters if that is more; 0 for an empty text."""
+    words = F.regexp_count(text, F.lit(r"\S+"))
     return F.when(F.char_length(text) == 0, 0).otherwise(F.greatest(words, F.ceil(F.char_length(text) / 4))).cast("long")
 
 
-def topic() -> Column:
-    """A coarse native topic, by form: the shares of markup, digits and lines tell tables and code, records, lists and dialogue from prose."""
-    text = F.coalesce("text", F.lit(""))
+def topic(text: Column) -> Column:
+    """A coarse native topic, by form: the shares of markup, digits and lines tell tables and code, records and lists from prose."""
     size = F.greatest(F.char_length(text), F.lit(1))
     marks = F.regexp_count(text, F.lit(r"[|{}<>=;#$%&*]"))
     digits = F.regexp_count(text, F.lit(r"[0-9]"))
@@ -48,9 +46,9 @@ def topic() -> Column:
     )
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    df = pick(docs, doc_id="long", text="string", lang="string", source="string")
-    return df.select("doc_id", *[F.coalesce(c, F.lit(NONE)).alias(c) for c in ("source", "lang")], topic().alias("topic"), n_tokens().alias("n_tokens"))
+def _with_cells(plain: DataFrame, text: Column, lang: Column, source: Column, doc_id: Column) -> DataFrame:
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    return plain.withColumns({"source_": F.coalesce(source.cast("string"), F.lit(NONE)), "lang_": F.coalesce(lang.cast("string"), F.lit(NONE)), "topic_": topic(whole), "tokens_": n_tokens(whole), "id_": doc_id.cast("long")})
 
 
 def targets_of(cells: DataFrame, margin: str, given: Mapping[str, float] | None) -> DataFrame:
@@ -114,16 +112,28 @@ def calibrated(cells: DataFrame, kept_share: float = KEPT_SHARE) -> DataFrame:
     return cells.withColumn("probability", F.least(F.lit(1.0), F.col("ratio") * F.lit(scale)))
 
 
+def _drawn(docs: DataFrame, targets, kept_share: float, seed: int) -> tuple[DataFrame, list[str]]:
+    """The rows of docs with their cell's weight and probability and their draw, under plain names, and docs' own names."""
+    plain, (text, lang, source, doc_id), own = whole_rows(docs, "text", "lang", "source", "doc_id")
+    rows = _with_cells(plain, text, lang, source, doc_id)
+    cells = rows.groupBy(*[F.col(f"{m}_").alias(m) for m in MARGINS]).agg(F.sum("tokens_").alias("tokens"))
+    cells = cut(calibrated(raked(cells, targets), kept_share).select(*[F.col(m).alias(f"{m}_") for m in MARGINS], "weight", "probability"), "cells")
+    side = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id_"), 11) / F.lit(float(1 << 53))
+    return rows.join(side, [f"{m}_" for m in MARGINS]).withColumn("draw", draw), own
+
+
 def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, kept_share: float = KEPT_SHARE, seed: int = SEED) -> DataFrame:
     """One row per row of docs: doc_id, source, lang, topic, n_tokens, weight (of its cell), probability, draw and sampled.
 
     A null source or language is the category "(none)"; a null or empty text has no tokens, so it adds no weight, and is sampled like the rest
-    of its cell. The draw is a hash of the id and the seed: repeated rows fall alike, and the sample does not depend on the partitioning. A
-    null doc_id draws by its own. An empty table gives none."""
-    rows = measured(docs)
-    cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
-    cells = cut(calibrated(raked(cells, targets)).select(*MARGINS, "weight", "probability"), "cells")
-    side = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / F.lit(float(1 << 53))
-    joined = rows.join(side, list(MARGINS))
-    return joined.select("doc_id", *MARGINS, "n_tokens", "weight", "probability", draw.alias("draw"), (draw < F.col("probability")).alias("sampled"))
+    of its cell. The draw is a hash of the id and the seed: repeated rows fall alike, and the sample does not depend on the partitioning; rows
+    of null id share a draw. An empty table gives none."""
+    rows, _ = _drawn(docs, targets, kept_share, seed)
+    return rows.select(F.col("id_").alias("doc_id"), *[F.col(f"{m}_").alias(m) for m in MARGINS], F.col("tokens_").alias("n_tokens"), "weight", "probability", "draw", (F.col("draw") < F.col("probability")).alias("sampled"))
+
+
+def sampled(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, kept_share: float = KEPT_SHARE, seed: int = SEED) -> DataFrame:
+    """The rows of docs that mix() samples, all columns."""
+    rows, own = _drawn(docs, targets, kept_share, seed)
+    return rows.where(F.col("draw") < F.col("probability")).select(*[f"_{i}" for i in range(len(own))]).toDF(*own)
