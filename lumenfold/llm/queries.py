@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, minhash, mixing, pii, quality, repeats, sharding, tokens
+from . import decontam, katz, langid, minhash, mixing, pii, quality, repeats, sharding, tokens
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_tokens": op3_tokens,
     "op4_mixing": op4_mixing,
     "op5_langid": op5_langid,
+    "op6_katz": op6_katz,
     "op7_minhash": op7_minhash,
     "op8_decontam": op8_decontam,
     "op9_quality": op9_quality,
