@@ -25,16 +25,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
+def _checksum(edges: DataFrame):
+    return edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+
+
 def components(links: DataFrame) -> DataFrame:
     """From links (a long, b long), in any order and repeated at will: (node, component) for every node that has a link to another, where the
     component is the least node reachable. Lineage is cut after every double step; the driver sees a count and a checksum a step."""
     edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = cut(edges, "edges")
-    seen = None
-    while True:
+    seen = _checksum(edges)
+    while seen[0]:
         edges = cut(_star(_star(edges, True), False), "edges")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == seen or now[0] == 0:
+        now = _checksum(edges)
+        if now == seen:
             break
         seen = now
     # Now each link leads to the least node of its component.

@@ -4,9 +4,12 @@
 2. A set's hashes fall into BINS bins, each bin keeping its least; an empty bin takes the value of the first bin with one in an order of its
    own (optimal densification, Shrivastava 2017). BANDS bands of ROWS bins make bucket keys. A pair at similarity 0.8 shares no bucket with
    probability (1 - 0.8**5)**40, about 1e-7; a more similar pair with less.
-3. In each bucket every member is linked with the least one only, if set sizes allow, and the link is confirmed on the full sets.
+3. In each bucket every member is paired with the least one only, if set sizes and parities allow, and the link is confirmed on the full
+   sets. Parities are those of the numbers of hashes in PARITIES cells: where two sets' parities differ, at least one hash is in one set only,
+   so their number bounds the sets' difference from below and the similarity from above. No link is lost by that, and pairs that share a
+   bucket by a common passage, or are near the threshold below it, mostly go untested.
 4. Confirmed links make components. Buckets whose members still are in several components go another round without the hubs that have met
-   all members, with four times as many hubs, until no two members of different components are left untested. So the star bounds the pairs
+   all members, with HUB_GROWTH times as many hubs, until no two members of different components are left untested. So the star bounds the pairs
    of a group of copies to its size, and yet no link between components that share a bucket is lost."""
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from .components import components
 
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
+#: Cells of the parity sketch, a multiple of 64; growth of the number of hubs of a bucket from round to round.
+PARITIES, HUB_GROWTH = 1024, 32
 #: Links need 100 * |A and B| >= PERCENT * |A or B|, on shingles of SHINGLE words.
 PERCENT, SHINGLE = 80, 2
 #: Nodes of null ids start here, after all others.
@@ -62,8 +67,14 @@ def signature(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
-    rows = signature(values).reshape(BANDS, ROWS)
+def parities(values: np.ndarray) -> np.ndarray:
+    """Whether the number of hashes in each cell is odd, as 64-bit numbers."""
+    odd = np.bincount((values & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    rows = least.reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for j in range(ROWS):
         key = W.mixed(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, j])
@@ -83,7 +94,7 @@ def _node(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(_NULLS) + F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << 61) - 1)))
 
 
-SETS = "doc_id long, node long, n_shingles long, hi long, lo long, bands array<long>"
+SETS = "doc_id long, node long, n_shingles long, hi long, lo long, sketch array<long>, bands array<long>"
 
 
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -92,15 +103,17 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hashes, counts = W.hasher(list(texts(b.column(2))))
-            n, hi, lo, bands = [], [], [], []
+            n, hi, lo, sketches, bands = [], [], [], [], []
             for h in np.split(hashes, np.cumsum(counts)[:-1]) if len(counts) else []:
                 s = shingle_set(h, shingle)
                 digest = np.frombuffer(xxhash.xxh128_digest(s.tobytes()), ">i8")
                 n.append(len(s))
                 hi.append(int(digest[0]))
                 lo.append(int(digest[1]))
-                bands.append(band_keys(s) if len(s) else [])
-            yield batch([b.column(0), b.column(1), n, hi, lo, bands], schema)
+                least = signature(s) if len(s) else None
+                sketches.append([] if least is None else parities(s))
+                bands.append([] if least is None else band_keys(least))
+            yield batch([b.column(0), b.column(1), n, hi, lo, sketches, bands], schema)
 
     return rows.select("doc_id", "node", "text").mapInArrow(scan, SETS)
 
@@ -153,43 +166,45 @@ def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> D
 
 def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """doc_id, node, n_shingles and the least node of each row's component."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     rows = pick(docs, doc_id="long", text="string").withColumn("node", _node(F.col("doc_id"), F.col("text")))
     sets = cut(_sets(rows, shingle), "sets")
-    # bands are those of the set: any row of a class has the same
-    classes = sets.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("node").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    buckets = cut(classes.select("node", "n", F.explode("bands").alias("key")), "buckets")
+    # bands and sketch are those of the set: any row of a class has the same
+    classes = sets.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("node").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    classes = cut(classes, "classes")
+    buckets = classes.select("node", F.explode("bands").alias("key"))
     met = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    open_ = cut(buckets.join(met, "key").select("key", "node", "n"), "open")
-    held = rows.join(open_.select("node").distinct(), "node").select("node", "text")
-    held = cut(held, "held")
-    links: DataFrame | None = None
+    open_ = buckets.join(met, "key").join(classes.select("node", "n", "sketch"), "node")
+    open_ = cut(open_.select("key", "node", "n", "sketch", F.col("node").alias("c")), "open")
+    held = cut(rows.join(open_.select("node").distinct(), "node").select("node", "text"), "held")
     tested: DataFrame | None = None
     labels: DataFrame | None = None
     hubs_each = 1
-    while True:
-        at = open_.withColumn("c", F.col("node")) if labels is None else open_.join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-        if labels is not None:
-            several = at.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-            open_ = cut(at.join(several, "key").select("key", "node", "n", "c"), "open")
-            if open_.isEmpty():
-                break
-            at = open_
+    while not open_.isEmpty():
         part = F.pmod(F.xxhash64("node", F.lit(hubs_each)), F.lit(hubs_each))
-        hubs = at.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "n", "c")).alias("h")).select("key", F.col("h.node").alias("a"), F.col("h.n").alias("na"), F.col("h.c").alias("ca"))
-        hubs = cut(hubs, "hubs")
-        pairs = at.join(hubs, "key").where((F.col("ca") != F.col("c")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na")))
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        hubs = open_.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "n", "c", "sketch")).alias("h"))
+        hubs = cut(hubs.select("key", F.col("h.node").alias("a"), F.col("h.n").alias("na"), F.col("h.c").alias("ca"), F.col("h.sketch").alias("sa")), "hubs")
+        differing = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sa")[i])) for i in range(PARITIES // 64)), F.lit(0))
+        # |A ^ B| <= (|A| + |B|) (100 - percent) / (100 + percent) is the similarity's threshold
+        near = (F.col("ca") != F.col("c")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na")) & (differing * (100 + percent) <= (F.col("n") + F.col("na")) * (100 - percent))
+        pairs = open_.join(hubs, (open_["key"] == hubs["key"]) & near).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        done = cut(_confirmed(cut(pairs, "pairs"), held, shingle, percent), "links")
-        fresh = done.where("linked").select("a", "b")
-        links = fresh if links is None else links.unionAll(fresh)
+        done = cut(_confirmed(pairs, held, shingle, percent), "links")
         tested = done.select("a", "b") if tested is None else tested.unionAll(done.select("a", "b"))
-        labels = cut(components(links), "labels")
+        fresh = done.where("linked").select("a", "b")
+        if labels is None or not fresh.isEmpty():
+            known = fresh if labels is None else fresh.unionAll(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            labels = cut(components(known), "labels")
         # a hub has met every member of its bucket that is in another component
-        open_ = open_.select("key", "node", "n").join(hubs.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
-        hubs_each = min(4 * hubs_each, 1 << 20)
+        left = open_.join(hubs.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
+        left = left.drop("c").join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+        several = left.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+        open_ = cut(left.join(several, "key").select("key", "node", "n", "sketch", "c"), "open")
+        hubs_each = min(HUB_GROWTH * hubs_each, 1 << 20)
+    if labels is None:
+        labels = spark.createDataFrame([], "node long, component long")
     named = classes.select("hi", "lo", "node").join(labels, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("c"))
     out = sets.select("doc_id", "node", "n_shingles", "hi", "lo").join(named, ["hi", "lo"], "left")
     least = F.when(F.col("n_shingles") > 0, F.coalesce("c", "node")).otherwise(F.col("node"))
