@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, katz, langid, minhash, mixing, pii, quality, repeats, sharding, tokens
+from . import decontam, katz, langid, minhash, mixing, oracles, pii, quality, repeats, sharding, tokens
 from .common import table
 
 
@@ -63,4 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_repeats": op10_repeats,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_minhash": oracles.near_duplicates(),
+    "op8_decontam": oracles.contamination(),
+    "op9_quality": oracles.quality(),
+    "op10_repeats": oracles.repeats(),
+}

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,6 +44,17 @@ class _Words(dict):
         return i
 
 
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
+
+
+#: What a word must not have for its pieces to be plain: anything but printable ASCII and Latin letters up to U+024F, apostrophes, U+0130
+#: (whose lower case is two characters), or the beginning of a special token.
+_ODD = re.compile("[^!-&(-~\xa1-\u012f\u0131-\u024f\n]|<\\|")
+#: Pieces of plain words in lower case, one a line.
+_PIECES = regex.compile(r"\p{L}+|\p{N}|\n|[^\p{L}\p{N}\n]+")
+
+
 class WordTokenizer:
     """Encodes texts by a tokenizer that never joins characters across ASCII white space: each word's ids are computed once and kept.
 
@@ -51,20 +65,68 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(1 + max(names.values()), bool)
+        self.ends[[i for t, i in names.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.known = _Words()
-        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat, self.words, self.used = np.zeros(1 << 18, np.uint32), 0, 0
+        #: Ids of pieces as little-endian bytes; they outlive some generations of words.
+        self.pieces: dict[str, bytes] = {} if len(self.__dict__.get("pieces", ())) > 2 * CACHED_WORDS else self.__dict__.get("pieces", {})
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_pieces(self, found: set[str]) -> None:
+        """Words of letters go many to a text: the last id of each, and no other, ends a word. The rest go one by one."""
+        letters = sorted(p for p in found if p.isalpha())
+        groups = [letters[i : i + 256] for i in range(0, len(letters), 256)]
+        alone = sorted(found.difference(letters))
+        for group, listed in zip(groups, self._ids([" ".join(g) for g in groups]), strict=True):
+            ids = np.array(listed, "<u4")
+            at = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(at) == len(group):
+                raw = ids.tobytes()
+                self.pieces.update(zip(group, (raw[a:b] for a, b in zip([0, *at], at, strict=False)), strict=True))
+            else:
+                alone += group
+        self.pieces.update((p, np.array(ids, "<u4").tobytes()) for p, ids in zip(alone, self._ids(alone), strict=True))
 
     def _learn(self) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in self.known.new], add_special_tokens=False)]
+        """Ids of new words from those of their pieces, which are what the pre-tokenizer makes of them: letters, single digits, other
+        characters. Words for which that is not plain (apostrophes, controls, letters beyond Latin, special tokens) are pieces of their own."""
+        text = b"\n".join(self.known.new).decode("utf-8", "replace")
         self.known.new.clear()
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        ends = np.cumsum(lengths) + len(self.flat)
-        self.starts, self.lengths = np.concatenate([self.starts, ends - lengths]), np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))])
+        words = text.split("\n")
+        odd = [i for i, w in enumerate(words) if _ODD.search(w)] if _ODD.search(text) else []
+        own = [words[i] for i in odd]
+        if odd:
+            for i in odd:
+                words[i] = "a"  # its place in the list of plain words; what it is replaced by comes after them
+            text = "\n".join(words)
+        split = _PIECES.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower() + "\n")
+        ends = np.flatnonzero(np.fromiter(map("\n".__eq__, split), bool, len(split)))
+        counts = np.diff(ends, prepend=-1) - 1
+        pieces = [p for p in split if p != "\n"] + own
+        begins = np.cumsum(counts) - counts
+        begins[odd] = int(counts.sum()) + np.arange(len(odd))
+        missing = set(pieces).difference(self.pieces)
+        if missing:
+            self._learn_pieces(missing)
+        parts = list(map(self.pieces.__getitem__, pieces))
+        places = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4)])
+        starts = places[begins]
+        lengths = places[begins + counts] - starts
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        n, self.words, end = self.words, self.words + len(counts), self.used + len(ids)
+        self.starts, self.lengths, self.flat = _room(self.starts, self.words), _room(self.lengths, self.words), _room(self.flat, end)
+        self.lengths[n : self.words] = lengths
+        self.starts[n : self.words] = self.used + starts
+        self.flat[self.used : end] = ids
+        self.used = end
 
     def encode_all(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows one after another, and the number of each row's."""
