@@ -184,6 +184,12 @@ def test_frontier(spark):
 @given(st.lists(st.integers(0, 5), max_size=12), st.lists(st.integers(0, 5), max_size=12))
 def test_edit_distance_is_a_metric(a, b):
     d = quality.edit_distance(a, b)
+    table = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        table.append([i])
+        for j, y in enumerate(b, 1):
+            table[-1].append(min(table[-1][-1] + 1, table[-2][j] + 1, table[-2][j - 1] + (x != y)))
+    assert d == table[-1][-1]
     assert d == quality.edit_distance(b, a) and (d == 0) == (a == b) and abs(len(a) - len(b)) <= d <= max(len(a), len(b))
 
 
