@@ -493,3 +493,66 @@ def inspected_documents(spark, sf_dir):
     return joined.groupBy("lang", "status", F.coalesce(F.col("quality").cast("int"), F.lit(-1)).alias("quality")).agg(F.count("*").alias("documents"))
 
 
+
+
+@query(f"""WITH s AS (SELECT doc_id, tokens, unnest(range(0, len(tokens) - 15, 8)) AS start FROM {_WORD_LENGTHS} WHERE len(tokens) >= 16),
+    m AS (SELECT lang, max(CAST(list_sum(tokens[start + 1 : start + 16]) AS DOUBLE)) AS score FROM s JOIN documents USING (doc_id) GROUP BY lang, doc_id),
+    r AS (SELECT lang, score, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY score DESC) - 1 AS i FROM m)
+    SELECT lang, n AS negative_count, max(score) FILTER (WHERE i = CAST(floor(0.05::DOUBLE * n) AS BIGINT)) AS threshold FROM r GROUP BY lang, n""")
+def window_calibration(spark, sf_dir):
+    best = windows.window_maximum(_word_lengths(spark, sf_dir), "tokens", 16, 8, lambda x: F.aggregate(x, F.lit(0), lambda s, v: s + v)).where("window_count > 0")
+    scores = best.join(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select("lang", F.col("window_score").alias("score"))
+    return calibrate.calibrated(scores, ["lang"], 0.05, ">").select("lang", "negative_count", "threshold")
+
+
+@query("""WITH p AS (SELECT doc_id, CAST(n_chars % 50 AS INT) AS a, CAST(n_chars % 50 + 10 AS INT) AS b FROM documents)
+    SELECT doc_id, round(greatest(greatest(0, least(b, 20) - greatest(a, 5)) / (greatest(b, 20) - least(a, 5)), greatest(0, least(b, 50) - greatest(a, 30)) / (greatest(b, 50) - least(a, 30))), 9) AS iou FROM p""")
+def best_overlap(spark, sf_dir):
+    truths = F.array(F.struct(F.lit(5).alias("start"), F.lit(20).alias("end")), F.struct(F.lit(30).alias("start"), F.lit(50).alias("end")))
+    start = (F.col("n_chars") % 50).cast("int")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.round(windows.best_iou(start, start + 10, truths), 9).alias("iou"))
+
+
+@query("SELECT lang, min(n_chars) FILTER (WHERE (doc_id * 7 % 100) / 100.0 >= 0.9) AS length FROM documents GROUP BY lang")
+def length_at_target(spark, sf_dir):
+    rates = _table(spark, sf_dir, "documents").select("lang", F.col("n_chars").alias("length"), (F.col("doc_id") * 7 % 100 / F.lit(100.0)).alias("tpr"))
+    return metrics.length_at_target(rates, ["lang"], 0.9)
+
+
+@query("""SELECT 'item-' || item_id AS name, CASE WHEN item_id % 3 = 0 THEN 'missing' ELSE 'content' END AS problem FROM benchmark WHERE item_id % 3 = 0 OR item_id % 4 = 0""")
+def checksum_problems(spark, sf_dir):
+    from ..operators import manifests
+
+    rows = _table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("name"), "item_id", F.sha2("text", 256).alias("sha256"))
+    files = rows.where("item_id % 3 <> 0").select(F.concat(F.lit("/data/"), "name").alias("path"), F.when(F.col("item_id") % 4 == 0, F.lit("0")).otherwise(F.col("sha256")).alias("sha256"))
+    return manifests.checksum_problems(rows.select("name", "sha256"), files)
+
+
+@query("SELECT doc_id AS ordinal, text AS left_key, CASE WHEN doc_id % 10 <> 0 THEN lower(text) END AS right_key FROM documents WHERE doc_id % 10 = 0 OR text <> lower(text)")
+def order_differences(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), "text")
+    return ledger.order_differences(docs, docs.where("ordinal % 10 <> 0").withColumn("text", F.lower("text")), "ordinal", "text")
+
+
+@query("""WITH s AS (SELECT a.doc_id AS doc_id, a.lang AS lang, CAST(a.n_chars % 4000 AS BIGINT) AS a0, CAST(a.n_chars % 4000 + 100 + a.doc_id % 900 AS BIGINT) AS a1 FROM documents a)
+    SELECT x.lang, x.doc_id AS doc_id, count(*) AS overlaps FROM s x JOIN (SELECT lang, CAST(n_chars % 3000 AS BIGINT) AS b0, CAST(n_chars % 3000 + 50 AS BIGINT) AS b1 FROM documents) y ON x.lang = y.lang AND x.a0 < y.b1 AND y.b0 < x.a1 GROUP BY ALL""")
+def overlapping_spans(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    left = docs.select("lang", "doc_id", (F.col("n_chars") % 4000).alias("start"), (F.col("n_chars") % 4000 + 100 + F.col("doc_id") % 900).alias("end"))
+    right = docs.select("lang", (F.col("n_chars") % 3000).alias("start"), (F.col("n_chars") % 3000 + 50).alias("end"))
+    return windows.overlapping(left, right, ["lang"]).groupBy("lang", "doc_id").agg(F.count("*").alias("overlaps"))
+
+
+@query()
+def keyed_detection(spark, sf_dir):
+    from ..operators import schemes
+
+    found = schemes.keyed_ngrams(97).score(_word_lengths(spark, sf_dir), "tokens")
+    return found.select("doc_id", "scored_units", "green_count", F.round("score", 9).alias("score"), F.round("p_value", 9).alias("p_value"))
+
+
+@query()
+def canonical_records(spark, sf_dir):
+    from ..sources import sinks
+
+    return sinks.canonical_lines(_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), ["event_id"])
