@@ -18,6 +18,7 @@ BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 LAST_ID = (1 << 63) - 1
 
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,11 +62,25 @@ def shared_root(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder below the shared one; removed when the driver ends."""
     path = f"{shared_root(spark)}/lumenfold/{what}-{uuid.uuid4().hex[:12]}"
-    atexit.register(_remove, path)
+    _made.append(path)
+    atexit.register(discard, path)
     return path
 
 
-def _remove(path: str) -> None:
+def made() -> int:
+    """How many folders scratch() has given so far: a mark for discard_since()."""
+    return len(_made)
+
+
+def discard_since(mark: int, *kept: str) -> None:
+    """Removes the folders given since the mark, but for those kept. For when what was made from them is written."""
+    for path in [p for p in _made[mark:] if p not in kept]:
+        discard(path)
+        _made.remove(path)
+
+
+def discard(path: str) -> None:
+    """Removes a folder that no later work reads."""
     try:
         from pyarrow import fs
 
