@@ -74,15 +74,16 @@ def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None =
     total = cells.agg(F.sum("tokens").alias("n")).first()["n"] or 1
     now = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
     for _ in range(sweeps):
-        off = None
         for margin in MARGINS:
             sums = now.groupBy(margin).agg(F.sum("weight").alias("sum")).join(goals[margin], margin)
-            sums = cut(sums.select(margin, F.when(F.col("sum") > 0, F.col("target") / F.col("sum")).otherwise(0.0).alias("factor"), F.abs(F.col("target") - F.col("sum")).alias("off")), "factors")
-            worst = sums.agg(F.max("off").alias("off")).first()["off"] or 0.0
-            off = worst if off is None else max(off, worst)
-            now = now.join(sums.select(margin, "factor"), margin).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        now = cut(now.select(*MARGINS, "tokens", "weight"), "cells")
-        if off <= tolerance:
+            factor = F.when(F.col("sum") > 0, F.col("target") / F.col("sum")).otherwise(0.0)
+            sums = sums.select(margin, factor.alias("factor"), F.abs(F.col("target") - F.col("sum")).alias(f"off_{margin}"))
+            now = now.join(sums, margin).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+        # One written table and one look at it for each sweep.
+        swept = cut(now.select(*MARGINS, "tokens", "weight", F.greatest(*[f"off_{m}" for m in MARGINS]).alias("off")), "cells")
+        worst = swept.agg(F.max("off").alias("off")).first()["off"] or 0.0
+        now = swept.drop("off")
+        if worst <= tolerance:
             break
     return now
 
