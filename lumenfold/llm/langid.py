@@ -28,7 +28,8 @@ FAMILIES = {
 DIMENSIONS, LENGTHS = 1 << 14, (1, 2, 3)
 #: The classifier is fitted on about this many labelled rows of each language; the sample is drawn by a hash of the text, so it does not
 #: depend on the partitioning. Its features, at most SAMPLE_ROWS times the number of languages rows, are the only data sent to the driver.
-SAMPLE_ROWS = 800
+#: With very many languages it is fewer of each, MOST_ROWS in all.
+SAMPLE_ROWS, MOST_ROWS = 800, 20_000
 EPOCHS, COST = 12, 4.0
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -130,6 +131,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model([], [])
+    sample_rows = max(1, min(sample_rows, MOST_ROWS // len(counts)))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample_rows / n))])
     drawn = (F.xxhash64("text", F.lit("langid")).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)) < share[F.col("lang")]
 

@@ -22,6 +22,8 @@ SHARDS, SEED = 24, 2024
 BLOCK_ROWS = 8_192
 #: At most so many blocks, so that the matrix stays small enough to broadcast; blocks grow beyond BLOCK_ROWS then.
 MOST_BLOCKS = 1 << 16
+#: At most so many ranges of a shard: their counts are broadcast.
+MOST_RANGES = 1 << 12
 _UNIT = float(1 << 53)
 #: Logarithms of 0! to 15!.
 _SMALL = "array(" + ", ".join(f"{math.lgamma(n + 1)!r}D" for n in range(16)) + ")"
@@ -103,7 +105,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block_rows: i
     rows = cut(rows, "shard-rows")
     total = rows.count()
     blocks = max(1, min(MOST_BLOCKS, -(-total // block_rows)))
-    ranges = max(1, -(-total // (shards * block_rows)))
+    ranges = max(1, min(MOST_RANGES, -(-total // (shards * block_rows))))
     key = (F.col("doc_id"), F.col("text_crc32"), F.col("size"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), *key), F.lit(blocks)).cast("int"))
     matrix = communication_matrix(rows.groupBy("block").agg(F.count("*").alias("n")), blocks, shards, seed)
