@@ -67,25 +67,29 @@ def _types(text: np.ndarray) -> np.ndarray:
 
 def _sorted_lms(text: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
     """LMS positions in the order of their suffixes, up to depth bytes: names by a first stretch of 8 bytes, then by the next ones."""
-    n = len(text)
-    padded = np.concatenate([text.astype(np.uint64) & np.uint64(0xFF), np.zeros(64, np.uint64)])
-    key = np.zeros(len(lms), np.uint64)
-    for k in range(8):
-        key = key << np.uint64(8) | padded[lms + k]
-    _, names = np.unique(key, return_inverse=True)
+    padded = np.concatenate([text, np.zeros(depth + 16, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))  # the 8 bytes from each place on, in their order
+    _, names = np.unique(eight[lms].astype(np.uint64), return_inverse=True)
     names = names.astype(np.int64)
     reach = 8
     while reach < depth and len(lms) > 1 and names.max() + 1 < len(lms):
-        # refine by the next 8 bytes: equal names only differ there
-        key = np.zeros(len(lms), np.uint64)
-        for k in range(8):
-            key = key << np.uint64(8) | padded[np.minimum(lms + reach + k, n + 63)]
-        order = np.lexsort((key, names))
-        a, b = names[order], key[order]
-        fresh = np.concatenate([[False], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        out = np.empty(len(lms), np.int64)
-        out[order] = np.cumsum(fresh)
-        names = out
+        # refine by the next 8 bytes, among equals only
+        size = np.bincount(names)
+        tied = np.flatnonzero(size[names] > 1)
+        key = eight[np.minimum(lms[tied] + reach, len(eight) - 1)].astype(np.uint64)
+        order = np.lexsort((key, names[tied]))
+        a, b = names[tied][order], key[order]
+        first = np.concatenate([[True], a[1:] != a[:-1]])
+        fresh = ~first & np.concatenate([[False], b[1:] != b[:-1]])
+        # names leave gaps, so that a group's parts fit between it and the next
+        before = np.cumsum(size) - size
+        names = before[names]
+        steps = np.cumsum(fresh)
+        starts = np.flatnonzero(first)
+        run = np.repeat(steps[starts], np.diff(np.append(starts, len(a))))
+        names[tied[order]] += steps - run
+        _, names = np.unique(names, return_inverse=True)
+        names = names.astype(np.int64)
         reach += 8
     return lms[np.argsort(names, kind="stable")]
 

@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import staged as S
-from .common import LAST_ID, arrow_schema, batch, bounded_batches, pick, scratch, written
+from .common import LAST_ID, arrow_schema, batch, bounded_batches, discard, pick, scratch, written
 from .induced import suffix_order
 from .words import mixed
 
 LENGTH, K = 50, 24
+#: Buckets of runs for a bucket of anchors: sorting a byte takes some hundred bytes of memory.
+RUN_BUCKETS = 4
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _KEY_BITS = 48
 
@@ -32,11 +34,62 @@ def _paired(a: np.ndarray, step: int, level: int) -> np.ndarray:
     return (a[:-step] ^ (a[:-step] >> np.uint64(31))) * _C[level] + a[step:]
 
 
+#: Stretches whose hashes are computed at once: their arrays stay in the processor's cache.
+_PART = 1 << 15
+
+
+def _grams(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all K-grams, and of all pairs of bytes."""
+    h2 = _paired((text.astype(np.uint64) + np.uint64(1)) * _C[0], 1, 1)
+    h8 = _paired(_paired(h2, 2, 2), 4, 3)
+    h16 = _paired(h8, 8, 4)
+    n = len(text) - K + 1
+    return mixed((h16[:n] ^ (h16[:n] >> np.uint64(29))) * _C[5] + h8[16 : 16 + n]), h2
+
+
+def _anchors(text: np.ndarray) -> np.ndarray:
+    """The least gram of each stretch."""
+    least, width = _grams(text)[0], 1
+    while 2 * width <= LENGTH - K + 1:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    rest = LENGTH - K + 1 - width
+    return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+
+
+def _contents(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches at ascending positions."""
+    out = np.empty(len(at), np.uint64)
+    cuts = np.searchsorted(at, np.arange(0, len(text) + _PART, _PART))
+    for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        if b > a:
+            low = k * _PART
+            grams, pairs = _grams(text[low : low + _PART + LENGTH - 1])
+            p = at[a:b] - low
+            out[a:b] = mixed(mixed(grams[p]) + grams[p + K] * _C[1] + pairs[p + LENGTH - 2] * _C[2])
+    return out
+
+
+def _order(content: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Indices by content, then rank, then place. The rank being ascending, or nearly, one sort of numbers that hold both the content's upper
+    bits and the place will do; where upper bits agree and contents don't, the plain way is taken."""
+    n = len(content)
+    if n and (rank[1:] >= rank[:-1]).all():
+        bits = np.uint64(max(1, int(n - 1).bit_length()))
+        packed = (content >> bits << bits) | np.arange(n, dtype=np.uint64)
+        packed.sort()
+        order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        upper = packed >> bits
+        full = content[order]
+        if (full[1:] == full[:-1])[upper[1:] == upper[:-1]].all():
+            return order
+    return np.lexsort((rank, content))
+
+
 class Stretches:
     """The stretches of a chunk's texts, which lie one after another in `text`; those across two texts are not valid."""
 
     def __init__(self, chunk: S.Chunk) -> None:
-        self.chunk = chunk
         raw = b"".join(chunk.texts)
         self.sizes = np.fromiter(map(len, chunk.texts), np.int64, len(chunk.texts))
         self.ends = np.cumsum(self.sizes)
@@ -46,17 +99,10 @@ class Stretches:
         if n < LENGTH:
             self.keys, self.heads, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
             return
-        h2 = _paired((self.text.astype(np.uint64) + np.uint64(1)) * _C[0], 1, 1)
-        h8 = _paired(_paired(h2, 2, 2), 4, 3)
-        h16 = _paired(h8, 8, 4)
-        grams = mixed((h16[: n - K + 1] ^ (h16[: n - K + 1] >> np.uint64(29))) * _C[5] + h8[16 : n - K + 17])
-        least, width = grams, 1
-        while 2 * width <= LENGTH - K + 1:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        rest = LENGTH - K + 1 - width
-        least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-        self.grams, self.pairs = grams, h2
+        least = np.empty(n - LENGTH + 1, np.uint64)
+        for low in range(0, len(least), _PART):
+            high = min(len(least), low + _PART)
+            least[low:high] = _anchors(self.text[low : high + LENGTH - 1])
         # Runs of stretches with one anchor in one text.
         valid = np.zeros(n - LENGTH + 1, bool)
         starts = self.ends - self.sizes
@@ -105,9 +151,9 @@ class Stretches:
         ends = np.cumsum(lengths)
         self.at = np.repeat(heads - (ends - lengths), lengths) + np.arange(total)
         self.at_key = np.repeat(keys, lengths)
-        content = mixed(mixed(self.grams[self.at]) + self.grams[self.at + K] * _C[1] + self.pairs[self.at + LENGTH - 2] * _C[2]) if total else np.zeros(0, np.uint64)
-        self.at_rank = self.ranks[self.owner(self.at)]
-        order = np.lexsort((self.at_rank, content))
+        content = _contents(self.text, self.at)
+        self.at_rank = np.repeat(self.ranks[self.owner(heads)], lengths)
+        order = _order(content, self.at_rank)
         sorted_content = content[order]
         first = np.concatenate([[True], sorted_content[1:] != sorted_content[:-1]]) if total else np.zeros(0, bool)
         self.group = np.empty(total, np.int64)
@@ -128,6 +174,34 @@ class Stretches:
         return heads, first, count
 
 
+    def notes(self, heads: np.ndarray, begin: np.ndarray, count: np.ndarray, buckets: int) -> bytes:
+        """What is needed once the buckets have judged the sent runs: where they start and end, in the order they were sent; stretches of the
+        same document that repeat a sent one, by its number; and the stretches that are covered within the chunk."""
+        sent = np.full(len(self.group_head), -1, np.int64)
+        order = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(len(heads))
+        sent[self.group[heads[order]]] = np.arange(len(heads))
+        is_head = np.zeros(len(self.at), bool)
+        is_head[self.group_head] = True
+        again = np.flatnonzero(~self.local & ~is_head)
+        key = _bucket(self.at_key[heads[begin]], buckets) if len(heads) else heads
+        where = self.at[heads[begin]] if len(heads) else heads
+        return S.joined(S.planes(where), S.planes(count), S.planes(key), S.planes(self.at[again]), S.planes(sent[self.group[again]]), S.planes(np.diff(self.at[self.local], prepend=0)))
+
+
+def noted(notes: bytes, answers: dict[int, bytes]) -> np.ndarray:
+    """Positions of covered stretches, from notes and the buckets' answers."""
+    start, count, key, again, of, local = (S.unplanes(x, np.int64) for x in S.parts(notes))
+    ends = np.cumsum(count)
+    marks = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
+    cuts = np.concatenate([[0], ends])
+    for k in np.unique(key).tolist():
+        a, b = np.searchsorted(key, k, "left"), np.searchsorted(key, k, "right")
+        part = slice(int(cuts[a]), int(cuts[b]))
+        marks[part] = np.unpackbits(np.frombuffer(S.spread(answers[k]), np.uint8), count=part.stop - part.start).astype(bool)
+    places = np.repeat(start - (ends - count), count) + np.arange(len(marks))
+    return np.concatenate([places[marks], again[marks[of]], np.cumsum(local)])
+
+
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Ranges of keys, so that a bucket's keys lie together in sorted order."""
     return ((keys >> np.uint64(_KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -158,9 +232,9 @@ def covered(ids: np.ndarray, counts: np.ndarray, text: np.ndarray) -> np.ndarray
     order = order[order >= 0]
     at = starts[order]
     same = np.ones(max(0, total - 1), bool)
-    words = np.lib.stride_tricks.sliding_window_view(text, 8).copy().view(np.uint64).reshape(-1) if len(text) < 1 << 22 else None
+    eight = np.ndarray((len(text) - 7,), np.uint64, np.ascontiguousarray(text), strides=(1,))
     for k in (0, 8, 16, 24, 32, 40, LENGTH - 8):
-        w = words[at + k] if words is not None else _words(text, at + k)
+        w = eight[at + k]
         same &= w[1:] == w[:-1]
     first = np.flatnonzero(np.concatenate([[True], ~same]))
     rank = np.repeat(ids, counts)[order]
@@ -170,25 +244,38 @@ def covered(ids: np.ndarray, counts: np.ndarray, text: np.ndarray) -> np.ndarray
     return out
 
 
-def _words(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(at), np.uint64)
-    for j in range(8):
-        out |= text[at + j].astype(np.uint64) << np.uint64(8 * j)
-    return out
-
-
 def _judged(table: pa.Table) -> list[tuple[int, bytes]]:
     """Answers of a bucket: by chunk, which of the stretches it sent are covered."""
-    chunks, ids, counts, texts = [], [], [], []
+    chunks, ids, counts, places = [], [], [], []
+    known: dict[bytes, int] = {}  # a run of the same bytes is sorted once, for its least document
+    least: list[int] = []
     for c, b in zip(table["chunk"].to_pylist(), table["blob"].to_pylist(), strict=True):
         i, n, t = S.parts(b)
         chunks.append(c)
         ids.append(S.unplanes(i, np.int64))
         counts.append(S.unplanes(n, np.int64))
-        texts.append(np.frombuffer(S.spread(t), np.uint8))
-    marks = covered(np.concatenate(ids), np.concatenate(counts), np.concatenate(texts))
-    ends = np.cumsum([int(n.sum()) for n in counts]).tolist()
-    return [(c, S.squeezed(np.packbits(marks[e - int(n.sum()) : e]).tobytes())) for c, n, e in zip(chunks, counts, ends, strict=True)]
+        raw, end, own = S.spread(t), 0, []
+        for rank, size in zip(ids[-1].tolist(), (counts[-1] + LENGTH - 1).tolist(), strict=True):
+            run = raw[end : end + size]
+            end += size
+            k = known.setdefault(run, len(least))
+            own.append(k)
+            if k == len(least):
+                least.append(rank)
+            elif rank < least[k]:
+                least[k] = rank
+        places.append(np.array(own))
+    sizes = np.fromiter(map(len, known), np.int64, len(known)) - (LENGTH - 1)
+    first = np.array(least)
+    marks = covered(first, sizes, np.frombuffer(b"".join(known), np.uint8))
+    begins = np.cumsum(sizes) - sizes
+    out = []
+    for c, i, n, k in zip(chunks, ids, counts, places, strict=True):
+        ends = np.cumsum(n)
+        at = np.repeat(begins[k] - (ends - n), n) + np.arange(int(n.sum()))
+        own = marks[at] | np.repeat(i > first[k], n)
+        out.append((c, S.squeezed(np.packbits(own).tobytes())))
+    return out
 
 
 BLOBS = "chunk long, bucket int, path string, blob binary"
@@ -216,35 +303,35 @@ def repeats(docs: DataFrame) -> DataFrame:
     bounded_batches(spark)
     rows = pick(docs, doc_id="long", text="string")
     buckets, most = S.buckets_for(rows), S.chunk_bytes(rows)
+    runs = RUN_BUCKETS * buckets
     folder = scratch(spark, "repeats")
     schema = arrow_schema(BLOBS)
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, chunk in S.chunks(batches, most):
+            by_id = sorted(range(len(chunk.ids)), key=lambda i: (chunk.ids[i] is None, chunk.ids[i] or 0))
+            chunk = S.Chunk([chunk.ids[i] for i in by_id], [chunk.texts[i] for i in by_id])
             path = S.put(f"{folder}/chunks", f"{number:016x}", chunk.dump())
             asked = [(-1, path, None), *((b, None, blob) for b, blob in Stretches(chunk).asked(buckets))]
             yield batch([[number] * len(asked), [a[0] for a in asked], [a[1] for a in asked], [a[2] for a in asked]], schema)
 
     first = written(rows.mapInArrow(stage, BLOBS), f"{folder}/anchors")
-    manifest = first.where("bucket = -1").select("chunk", "path")
+    manifest = written(first.where("bucket = -1").select("chunk", "path"), f"{folder}/manifest")
     shared = written(_by_bucket(first.where("bucket >= 0"), _several), f"{folder}/shared")
-
-    def opened(b: pa.RecordBatch) -> Iterator[tuple[int, Stretches, dict[int, bytes]]]:
-        for number, path, answers in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            found = Stretches(S.Chunk.load(S.get(path)))
-            by = {a["bucket"]: a["blob"] for a in answers or ()}
-            found.shared({k: v for k, v in by.items() if k < buckets}, buckets)
-            yield number, found, {k - buckets: v for k, v in by.items() if k >= buckets}
+    discard(f"{folder}/anchors")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for number, found, _ in opened(b):
+            for number, path, answers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = Stretches(S.Chunk.load(S.get(path)))
+                found.shared({a["bucket"]: a["blob"] for a in answers or ()}, buckets)
                 heads, begin, count = found.sent()
+                S.put(f"{folder}/notes", f"{number:016x}", found.notes(heads, begin, count, runs))
                 if not len(heads):
                     continue
                 start = found.at[heads[begin]]
                 rank = found.at_rank[heads[begin]]
-                cuts = np.searchsorted(_bucket(found.at_key[heads[begin]], buckets), np.arange(buckets + 1))
+                cuts = np.searchsorted(_bucket(found.at_key[heads[begin]], runs), np.arange(runs + 1))
                 raw = found.text.tobytes()
                 out = []
                 for k in np.flatnonzero(np.diff(cuts)).tolist():
@@ -253,47 +340,36 @@ def repeats(docs: DataFrame) -> DataFrame:
                     out.append((k, S.joined(S.planes(rank[part]), S.planes(count[part]), S.squeezed(body, 3))))
                 yield batch([[number] * len(out), [k for k, _ in out], [None] * len(out), [x for _, x in out]], schema)
 
-    segments = written(S.answered(manifest, shared).mapInArrow(send, BLOBS), f"{folder}/segments")
+    segments = S.answered(manifest, shared).mapInArrow(send, BLOBS)
     judged = written(_by_bucket(segments, _judged), f"{folder}/judged")
-    both = shared.unionByName(judged.withColumn("bucket", (F.col("bucket") + buckets).cast("int")))
     out_schema = arrow_schema(REPEATS)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, found, answers in opened(b):
-                heads, begin, count = found.sent()
-                mark = np.zeros(len(heads), bool)
-                cuts = np.searchsorted(_bucket(found.at_key[heads[begin]], buckets), np.arange(buckets + 1)) if len(heads) else np.zeros(buckets + 1, np.int64)
-                for k, blob in answers.items():
-                    part = slice(cuts[k], cuts[k + 1])
-                    n = count[part]
-                    ends = np.cumsum(n)
-                    mark[np.repeat(begin[part] - (ends - n), n) + np.arange(int(n.sum()))] = np.unpackbits(np.frombuffer(S.spread(blob), np.uint8), count=int(n.sum())).astype(bool)
-                in_group = np.zeros(len(found.group_head), bool)
-                in_group[found.group[heads]] = mark
-                at = found.at[found.local | in_group[found.group]]
-                step = np.zeros(len(found.text) + 1, np.int32)
-                np.add.at(step, at, 1)
-                np.add.at(step, at + LENGTH, -1)
-                gone = np.cumsum(step[:-1]) > 0
-                yield from _rows(found, gone, out_schema)
-
-    return S.answered(manifest, both).mapInArrow(finish, REPEATS)
-
-
-def _rows(found: Stretches, gone: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    spans, kept = [], []
-    ends = found.ends.tolist()
-    for end, size, raw in zip(ends, found.sizes.tolist(), found.chunk.texts, strict=True):
-        own = gone[end - size : end]
+            for number, path, answers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                chunk = S.Chunk.load(S.get(path))
+                notes = S.get(f"{folder}/notes/{number:016x}")
+                at = noted(notes, {a["bucket"]: a["blob"] for a in answers or ()})
+                size = sum(map(len, chunk.texts))
+                step = np.bincount(at, minlength=size + 1) - np.bincount(at + LENGTH, minlength=size + 1)
+                yield _rows(chunk, np.cumsum(step[:-1]) > 0, out_schema)
+
+    return S.answered(manifest, judged).mapInArrow(finish, REPEATS)
+
+
+def _rows(chunk: S.Chunk, gone: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    spans, kept, end = [], [], 0
+    for raw in chunk.texts:
+        own = gone[end : end + len(raw)]
+        end += len(raw)
         if not own.any():
             spans.append([])
             kept.append(raw)
             continue
         edge = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
         spans.append([{"start": a, "end": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
-        kept.append(found.text[end - size : end][~own].tobytes())
-    yield batch([found.chunk.ids, found.sizes, spans, kept], schema)
+        kept.append(np.frombuffer(raw, np.uint8)[~own].tobytes())
+    return batch([chunk.ids, [len(t) for t in chunk.texts], spans, kept], schema)
 
 
 def repeats_digest(docs: DataFrame) -> DataFrame:
