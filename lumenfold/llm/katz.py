@@ -20,14 +20,12 @@ from pyspark.sql import functions as F
 
 from . import staged as S
 from . import words as W
-from .common import arrow_schema, batch, bounded_batches, pick, scratch, written
+from .common import arrow_schema, batch, bounded_batches, discard, pick, scratch, written
 
 #: Counts up to LIMIT are discounted.
 LIMIT = 5
 #: Hashes of the end of a text, a token, and of its beginning, a history only.
 END, BEGIN = np.uint64(1), np.uint64(2)
-#: Chunks hold as many bytes as a scan partition, at most this many.
-MOST_CHUNK = 32 << 20
 _W_BITS = np.uint64(16)  # of a word's hash, what a bigram leaves out: the history's hash is whole
 _C = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,13 +78,13 @@ class Tokens:
 
     def __init__(self, chunk: S.Chunk) -> None:
         self.ids = chunk.ids
-        hashes, counts = W.hasher([t.decode("utf-8", "surrogatepass") for t in chunk.texts])
+        distinct, numbers, counts = W.hasher.numbered([t.decode("utf-8", "surrogatepass") for t in chunk.texts])
+        # the end and the beginning take the first two numbers: no word's hash is less
+        self.words = np.concatenate([[END, BEGIN], distinct])
+        self.begin = 1
         self.counts = counts + 1
         self.doc = np.repeat(np.arange(len(counts)), self.counts)
-        following = np.insert(hashes, np.cumsum(counts), END)
-        self.words = np.unique(np.append(following, BEGIN))
-        self.next = np.searchsorted(self.words, following)
-        self.begin = int(np.searchsorted(self.words, BEGIN))
+        self.next = np.insert(numbers.astype(np.int64) + 2, np.cumsum(counts), 0)
         self.history = np.empty_like(self.next)
         self.history[1:] = self.next[:-1]
         self.history[np.cumsum(self.counts) - self.counts] = self.begin
@@ -114,7 +112,13 @@ class Tokens:
         known = (self.c[self.history] > 0) & (self.c[self.next] > 0)
         at = np.flatnonzero(known)
         pair = self.history[at] * n + self.next[at]
-        order = np.argsort(pair, kind="stable")
+        bits = max(1, int(len(at)).bit_length())
+        if int(n) ** 2 < 1 << (63 - bits):  # one sort of numbers that hold the pair and its place
+            packed = pair << bits | np.arange(len(at))
+            packed.sort()
+            order = packed & ((1 << bits) - 1)
+        else:
+            order = np.argsort(pair, kind="stable")
         first = np.concatenate([[True], pair[order][1:] != pair[order][:-1]]) if len(at) else np.zeros(0, bool)
         number = np.empty(len(at), np.int64)
         number[order] = np.cumsum(first) - 1
@@ -284,7 +288,7 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = pick(docs, doc_id="long", text="string")
-    buckets, most = S.buckets_for(rows), min(MOST_CHUNK, max(S.LEAST_CHUNK, S.partition_bytes(rows)))
+    buckets, most = S.buckets_for(rows), 2 * S.chunk_bytes(rows)
     folder = scratch(spark, "katz")
     schema = arrow_schema(BLOBS)
 
@@ -299,8 +303,9 @@ def katz_scores(docs: DataFrame) -> DataFrame:
             yield emitted(number, list(Tokens(chunk).asked(buckets)), path)
 
     first = written(rows.mapInArrow(stage, BLOBS), f"{folder}/words")
-    manifest = first.where("bucket = -1").select("chunk", "path")
+    manifest = written(first.where("bucket = -1").select("chunk", "path"), f"{folder}/manifest")
     told = written(_by_bucket(first.where("bucket >= 0"), _words_bucket), f"{folder}/counts")
+    discard(f"{folder}/words")
     totals = _summed(told, LIMIT + 4)
     unigrams = Unigrams(totals[0], totals[1], totals[2:])
     hot = max(1, int(totals[0]) // (HOT_SHARE * buckets))

@@ -8,7 +8,9 @@ import numpy as np
 import xxhash
 
 #: Words a worker keeps; it starts anew beyond that, so its memory is bounded.
-KEPT = 800_000
+KEPT = 300_000
+#: Characters of the rows that are split at once.
+PART = 1 << 20
 
 
 class _Numbers(dict):
@@ -24,19 +26,67 @@ class _Numbers(dict):
 
 class Hasher:
     def __init__(self) -> None:
-        self.numbers, self.hashes = _Numbers(), np.zeros(0, np.uint64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers, self.hashes, self.used = _Numbers(), np.zeros(1 << 16, np.uint64), 0
 
     def __call__(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of all rows' words one after another, and the number of each row's."""
+        """The hashes of all rows' words one after another, and the number of each row's. Rows are split into words some at a time."""
+        hashes, counts, at = [], [], 0
+        while at < len(rows):
+            size, end = 0, at
+            while end < len(rows) and size < PART:
+                size += len(rows[end])
+                end += 1
+            h, n = self._part(rows[at:end])
+            hashes.append(h)
+            counts.append(n)
+            at = end
+        return (np.concatenate(hashes), np.concatenate(counts)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def numbered(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct hashes of all rows' words in ascending order, the words as numbers of these, and the number of each row's."""
+        if len(self.numbers) > KEPT:
+            self.clear()
+        found, counts, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        while at < len(rows):
+            size, end = 0, at
+            while end < len(rows) and size < PART:
+                size += len(rows[end])
+                end += 1
+            n, i = self._numbers(rows[at:end])
+            counts.append(n)
+            found.append(i)
+            at = end
+        numbers = np.concatenate(found)
+        met = np.zeros(self.used, bool)
+        met[numbers] = True
+        distinct = np.flatnonzero(met)
+        hashes = self.hashes[distinct]
+        order = np.argsort(hashes)
+        place = np.zeros(self.used, np.int32)
+        place[distinct[order]] = np.arange(len(distinct), dtype=np.int32)
+        return hashes[order], place[numbers], np.concatenate(counts)
+
+    def _part(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.numbers) > KEPT:
-            self.__init__()
+            self.clear()
+        counts, at = self._numbers(rows)
+        return self.hashes[at], counts
+
+    def _numbers(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = [r.encode("utf-8", "surrogatepass").lower().split() for r in rows]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         if self.numbers.new:
-            self.hashes = np.concatenate([self.hashes, np.array(self.numbers.new, np.uint64)])
+            end = self.used + len(self.numbers.new)
+            if end > len(self.hashes):
+                self.hashes = np.concatenate([self.hashes, np.zeros(max(end - len(self.hashes), len(self.hashes)), np.uint64)])
+            self.hashes[self.used : end] = self.numbers.new
+            self.used = end
             self.numbers.new.clear()
-        return self.hashes[at], counts
+        return counts, at
 
 
 #: One for a Python worker.
