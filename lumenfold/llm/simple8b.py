@@ -67,24 +67,26 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]
         owners.append(alive)
         at[alive] = here + _COUNTS[choice[here]]
         alive = alive[at[alive] < ends[alive]]
-    order = np.argsort(np.concatenate(owners), kind="stable")
-    places, owner = np.concatenate(starts)[order], np.concatenate(owners)[order]
+    places, owner = np.concatenate(starts), np.concatenate(owners)
+    order = np.argsort(owner.astype(np.uint16) if blocks <= 1 << 16 else owner, kind="stable")  # by radix where it can be
+    places, owner = places[order], owner[order]
     selectors = choice[places]
     sizes = 1 + (selectors == ESCAPE).astype(np.int64)
-    offset = np.concatenate([[0], np.cumsum(sizes)])
-    words = np.zeros(int(offset[-1]), dtype=np.uint64)
+    per_block = np.bincount(owner, weights=sizes, minlength=blocks).astype(np.int64)
+    first = np.cumsum(per_block) - per_block
+    offset = np.cumsum(sizes) - sizes
+    words = np.zeros(int(per_block.sum()), dtype=np.uint64)
     for selector, (count, width) in enumerate(LANES, 1):
         rows = np.flatnonzero(selectors == selector)
         if len(rows):
             word = np.full(len(rows), selector, dtype=np.uint64)
             for k in range(count):
                 word |= padded[places[rows] + k] << np.uint64(4 + k * width)
-            words[offset[:-1][rows]] = word
+            words[offset[rows]] = word
     rows = np.flatnonzero(selectors == ESCAPE)
     if len(rows):
-        words[offset[:-1][rows] + 1] = padded[places[rows]]
-    first = np.searchsorted(owner, np.arange(blocks), "left")
-    return words, np.concatenate([offset[first], [offset[-1]]]).astype(np.int64)
+        words[offset[rows] + 1] = padded[places[rows]]
+    return words, np.append(first, len(words)).astype(np.int64)
 
 
 def decode(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:

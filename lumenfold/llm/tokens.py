@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import simple8b
+from . import simple8b, words
 from .common import LAST_ID, arrow_schema, batch, bounded_batches, pick, scratch, texts, written
 from .staged import get, put
 
@@ -26,7 +26,9 @@ TOKENIZER, END_ID = "word_bpe_49k.json", 1
 FILE_IDS = 4 << 20
 MAGIC = b"LFS8B\0\0\1"
 #: Words whose ids a worker keeps; at this number it starts anew, so its memory is bounded.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 600_000
+#: Rows encoded at once.
+ROWS = 512
 
 _tokenizers: dict[int, "WordTokenizer"] = {}
 
@@ -68,6 +70,14 @@ class WordTokenizer:
         names = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(1 + max(names.values()), bool)
         self.ends[[i for t, i in names.items() if t.endswith("</w>")]] = True
+        # Letters alone need neither normalizer nor patterns: the model by itself gives their ids faster, if it does.
+        from tokenizers import pre_tokenizers
+
+        self.plain = Tokenizer(Tokenizer.from_str(json).model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        probe = "a word of letters é ß ñandú"
+        if self.plain.encode(probe).ids != self.tokenizer.encode(probe, add_special_tokens=False).ids:
+            self.plain = self.tokenizer
         self.clear()
 
     def clear(self) -> None:
@@ -75,18 +85,18 @@ class WordTokenizer:
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.words, self.used = np.zeros(1 << 18, np.uint32), 0, 0
         #: Ids of pieces as little-endian bytes; they outlive some generations of words.
-        self.pieces: dict[str, bytes] = {} if len(self.__dict__.get("pieces", ())) > 2 * CACHED_WORDS else self.__dict__.get("pieces", {})
+        self.pieces: dict[str, bytes] = {} if len(self.__dict__.get("pieces", ())) > CACHED_WORDS else self.__dict__.get("pieces", {})
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_pieces(self, found: set[str]) -> None:
-        """Words of letters go many to a text: the last id of each, and no other, ends a word. The rest go one by one."""
-        letters = sorted(p for p in found if p.isalpha())
+    def _learn_pieces(self, found: set[str], whole: set[str]) -> None:
+        """Pieces of letters (but not odd words, which are `whole`) go many to a text: the last id of each, and no other, ends a word. The rest go one by one."""
+        letters = sorted(p for p in found if p not in whole and p.isalpha())
         groups = [letters[i : i + 256] for i in range(0, len(letters), 256)]
         alone = sorted(found.difference(letters))
-        for group, listed in zip(groups, self._ids([" ".join(g) for g in groups]), strict=True):
-            ids = np.array(listed, "<u4")
+        for group, listed in zip(groups, self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(listed.ids, "<u4")
             at = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(at) == len(group):
                 raw = ids.tobytes()
@@ -115,7 +125,7 @@ class WordTokenizer:
         begins[odd] = int(counts.sum()) + np.arange(len(odd))
         missing = set(pieces).difference(self.pieces)
         if missing:
-            self._learn_pieces(missing)
+            self._learn_pieces(missing, set(own))
         parts = list(map(self.pieces.__getitem__, pieces))
         places = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4)])
         starts = places[begins]
@@ -128,8 +138,8 @@ class WordTokenizer:
         self.flat[self.used : end] = ids
         self.used = end
 
-    def encode_all(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all rows one after another, and the number of each row's."""
+    def encode_all(self, rows: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows one after another, with end_id after each, and the number of each row's."""
         split = [r.encode("utf-8", "surrogatepass").split() for r in rows]
         if len(self.known) > CACHED_WORDS:
             self.clear()
@@ -137,9 +147,18 @@ class WordTokenizer:
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         if self.known.new:
             self._learn()
-        lengths = self.lengths[at]
+        starts, lengths, flat = self.starts, self.lengths, self.flat
+        if end_id is not None:  # one more word, of one id
+            flat = _room(flat, self.used + 1)
+            flat[self.used] = end_id
+            starts, lengths = np.append(starts[: self.words], self.used), np.append(lengths[: self.words], 1)
+            at = np.insert(at, np.cumsum(counts), self.words)
+            counts = counts + 1
+        starts, lengths = starts[at], lengths[at]
         ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        total = int(ends[-1]) if len(ends) else 0
+        small = np.int32 if max(total, self.used + 1) < 1 << 31 else np.int64
+        ids = flat[np.repeat((starts - (ends - lengths)).astype(small), lengths) + np.arange(total, dtype=small)]
         per = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
         return ids, per
 
@@ -149,6 +168,7 @@ def encoder_of(json: str) -> WordTokenizer:
     own = hash(json)
     if own not in _tokenizers:
         _tokenizers.clear()
+        words.hasher.clear()  # of another operator in this worker
         _tokenizers[own] = WordTokenizer(json)
     return _tokenizers[own]
 
@@ -216,12 +236,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
         for b in batches:
             rows = list(texts(b.column(1)))
-            for low in range(0, len(rows), 256):
-                got, per = encoder.encode_all(rows[low : low + 256])
-                ends = np.cumsum(per)
-                ids.append(np.insert(got, ends, end_id).astype(np.uint32))
-                counts.append(per + 1)
-                doc_ids += b.column(0).slice(low, 256).to_pylist()
+            for low in range(0, len(rows), ROWS):
+                got, per = encoder.encode_all(rows[low : low + ROWS], end_id)
+                ids.append(got)
+                counts.append(per)
+                doc_ids += b.column(0).slice(low, ROWS).to_pylist()
                 if sum(map(len, ids)) >= FILE_IDS:
                     yield flush()
         if doc_ids:
