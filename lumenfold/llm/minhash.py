@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import arrow_schema, batch, bounded_batches, cut, pick, texts, whole_rows
+from .common import arrow_schema, batch, bounded_batches, cut, discard_since, made, pick, scratch, texts, whole_rows, written
 from .components import components
 
 BANDS, ROWS = 40, 5
@@ -154,7 +154,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, without those near_duplicates() does not keep; of repeated rows of one doc_id one stays."""
-    found = cut(_grouped(docs, shingle, percent).select("node", "least"), "groups")
+    mark = made()
+    kept = scratch(docs.sparkSession, "groups")
+    found = written(_grouped(docs, shingle, percent).select("node", "least"), kept)
+    discard_since(mark, kept)
     plain, (doc_id, text), own = whole_rows(docs, "doc_id", "text")
     plain = plain.withColumn("node", _node(doc_id, text))
     left = plain.join(found.where(F.col("node") != F.col("least")).select("node").distinct(), "node", "left_anti")
