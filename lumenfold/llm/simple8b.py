@@ -11,6 +11,8 @@ import numpy as np
 #: (ids in a word, bits of an id), by selector from 1 on.
 LANES = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE, BLOCK = 0, 1024
+#: Blocks worked on at once: their arrays stay in the processor's cache and are not mapped anew each time.
+PART = 512
 _COUNTS = np.array([1] + [n for n, _ in LANES], dtype=np.int64)
 
 
@@ -37,7 +39,14 @@ def _choices(bits: np.ndarray) -> np.ndarray:
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """Words, and the offset of each block's first word with the number of words at the end. All blocks advance by one word in step."""
+    """Words, and the offset of each block's first word with the number of words at the end."""
+    parts = [_encode(ids[i : i + PART * block], block) for i in range(0, max(1, len(ids)), PART * block)]
+    before = np.cumsum([0] + [len(w) for w, _ in parts])
+    return np.concatenate([w for w, _ in parts]), np.append(np.concatenate([o[:-1] + b for (_, o), b in zip(parts, before, strict=False)]), before[-1])
+
+
+def _encode(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """All blocks advance by one word in step."""
     ids = np.asarray(ids, dtype=np.uint64)
     n, blocks = len(ids), -(-len(ids) // block)
     if not n:
@@ -92,8 +101,16 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]
 def decode(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
     """The n ids. `offsets` are those of encode(); a part of the blocks is decoded with their words and offsets from 0."""
     words = np.asarray(words, dtype=np.uint64)
-    if not n:
-        return np.zeros(0, dtype=np.uint64)
+    out = np.zeros(n, dtype=np.uint64)
+    for b in range(0, len(offsets) - 1, PART):
+        ends = offsets[b : b + PART + 1]
+        part = out[b * block : (b + PART) * block]
+        _decode(words[ends[0] : ends[-1]], ends - ends[0], part, block)
+    return out
+
+
+def _decode(words: np.ndarray, offsets: np.ndarray, out: np.ndarray, block: int) -> None:
+    n = len(out)
     selectors = (words & np.uint64(15)).astype(np.int64)
     head = np.ones(len(words), dtype=bool)
     if (selectors == ESCAPE).any():
@@ -109,7 +126,6 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -
     first = np.searchsorted(heads, offsets[:-1], "left")
     place = before - before[first][owner] + owner * block
     left = np.minimum((owner + 1) * block, n) - place
-    out = np.zeros(n, dtype=np.uint64)
     for selector, (count, width) in enumerate(LANES, 1):
         rows = np.flatnonzero(kinds == selector)
         if not len(rows):
@@ -125,4 +141,3 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -
     rows = np.flatnonzero(kinds == ESCAPE)
     if len(rows):
         out[place[rows]] = words[heads[rows] + 1]
-    return out
