@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from .fixtures import documents
+from .fixtures import rows
 
 
 def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     bench = spark.createDataFrame([("1", "nothing that occurs anywhere in these texts but here and now okay")], "item_id string, text string")
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = spark.createDataFrame([r[:5] for r in rows()], "doc_id long, text string, lang string, source string, n_chars long")
     counts = [docs.count()]
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))
