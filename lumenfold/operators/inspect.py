@@ -56,11 +56,10 @@ def located(mechanism: str, text: Column) -> Column:
     return F.to_json(found)
 
 
-def property_finding(mechanism: str, text: Column) -> Column:
-    one = S.DICP_CLASS if mechanism == C.DICP else S.BIDI_CLASS
-    count = S.occurrences(text, one)
+def property_finding(mechanism: str, text: Column, count: Column) -> Column:
+    """count: the occurrences in the text, worked out once; the text is taken apart only if there are any."""
     status = F.when(text.isNull(), "invalid").when(count > 0, "present").otherwise("absent")
-    evidence = F.when(text.isNull(), _invalid()).otherwise(_evidence(locations=located(mechanism, text), locations_truncated=count > C.LOCATIONS, total_occurrence_count=count))
+    evidence = F.when(text.isNull(), _invalid()).otherwise(_evidence(locations=F.when(count > 0, located(mechanism, text)).otherwise("[]"), locations_truncated=count > C.LOCATIONS, total_occurrence_count=count))
     return _finding(mechanism, "17.0.0", status, evidence, F.when(text.isNull(), LIMITS["utf8"]).otherwise(LIMITS[mechanism]))
 
 
@@ -108,11 +107,15 @@ def inspected(artifacts: DataFrame) -> DataFrame:
     wide = F.when(F.octet_length(text) != F.char_length(text), text)
     marked = F.when(F.contains(text, F.lit("﻿")), text)
     drawn = F.when(F.contains(text, F.lit("<svg")), F.col("content"))
+    # An ASCII text has none of these characters; bidi controls are among the default-ignorable ones. Both columns are finished below the
+    # Python functions, so what follows does not count again.
+    df = df.withColumn("dicp", F.when(wide.isNotNull(), S.occurrences(text, S.DICP_CLASS)).otherwise(F.lit(0).cast("long")))
+    df = df.withColumn("bidi", F.when(F.col("dicp") > 0, S.occurrences(text, S.BIDI_CLASS)).otherwise(F.lit(0).cast("long")))
     df = df.withColumns({"nfc": T.nfc_difference(wide), "nfkc": T.nfkc_difference(wide), "wrapper": T.wrapper_scan(marked), "svg": T.svg(drawn)})
     carrier = F.col("format").isNotNull()
     findings = [
-        property_finding(C.BIDI, text),
-        property_finding(C.DICP, text),
+        property_finding(C.BIDI, text, F.col("bidi")),
+        property_finding(C.DICP, text, F.col("dicp")),
         normalization_finding(C.NFC, text, F.col("nfc")),
         normalization_finding(C.NFKC, text, F.col("nfkc")),
         *c2pa_findings(F.col("textual"), F.col("valid_utf8"), carrier, F.col("svg"), F.col("wrapper")),
