@@ -4,6 +4,8 @@ A stretch of LENGTH bytes has an anchor: the least hash of its K-byte grams, whi
 1. Texts are staged in chunks. Each chunk asks, by anchor, which of its anchors occur in more than one document of the corpus.
 2. Only stretches with such anchors go on. Within a chunk the least document of each distinct stretch stands for all; runs of such
    stretches that share an anchor go, as bytes, to the anchor's bucket: a third of all rows being copies sends no more than a chunk's worth.
+   Where an anchor's runs hold more than HOT_BYTES in all, its stretches go one by one to buckets by content instead, which are as many
+   as their bytes need: equal ones still meet, and no bucket grows with how common an anchor is.
 3. A bucket sorts the suffixes of its bytes by induction (see induced.py); neighbours with a common prefix of LENGTH bytes are one group,
    and every stretch of a group whose document isn't the least is covered.
 4. Answers go back by chunk, which marks covered bytes and returns what is left of each text."""
@@ -25,6 +27,13 @@ from .words import mixed
 LENGTH, K = 50, 24
 #: Buckets of runs for a bucket of anchors: sorting a byte takes some hundred bytes of memory.
 RUN_BUCKETS = 4
+#: Bytes of runs from which on an anchor is hot, and bytes of stretches for which there is one more bucket of hot ones. A bucket of these sorts
+#: records of LENGTH bytes, in a few times their memory.
+HOT_BYTES, HOT_BUCKET = 1 << 20, 16 << 20
+#: Bytes of the longest run of an anchor that occurs once, and stretches in it.
+_RUN, _RUN_STRETCHES = 2 * LENGTH - K, LENGTH - K + 1
+#: From so many runs of an anchor on, a chunk counts runs of the same bytes once.
+_MANY = 16
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _KEY_BITS = 48
 
@@ -124,7 +133,8 @@ class Stretches:
         return np.searchsorted(self.ends, positions, "right")
 
     def asked(self, buckets: int) -> Iterator[tuple[int, bytes]]:
-        """By bucket: the distinct anchors, and whether each occurs in several documents of this chunk already."""
+        """By bucket: the distinct anchors, whether each occurs in several documents of this chunk already, and the bytes of its runs, in
+        units of the longest run."""
         ranks = self.ranks[self.owner(self.heads)]
         order = np.lexsort((ranks, self.keys))
         k, r = self.keys[order], ranks[order]
@@ -132,19 +142,27 @@ class Stretches:
         at = np.flatnonzero(first)
         last = np.append(at[1:], len(k)) - 1
         distinct, several = k[at], r[at] != r[last] if len(k) else np.zeros(0, bool)
+        sizes = self.lengths[order] + LENGTH - 1
+        held = np.add.reduceat(sizes, at) if len(at) else at
+        heads = self.heads[order]
+        for i in np.flatnonzero(last - at >= _MANY).tolist():
+            part = slice(int(at[i]), int(last[i]) + 1)
+            held[i] = sum(map(len, {self.text[h : h + n].tobytes() for h, n in zip(heads[part].tolist(), sizes[part].tolist(), strict=True)}))
+        units = (-(-held // _RUN)).astype(np.uint32)
         cuts = np.searchsorted(_bucket(distinct, buckets), np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             part = slice(cuts[b], cuts[b + 1])
-            yield b, S.joined(S.deltas(distinct[part]), S.squeezed(np.packbits(several[part]).tobytes()))
+            yield b, S.joined(S.deltas(distinct[part]), S.squeezed(np.packbits(several[part]).tobytes()), S.planes(units[part]))
 
     def shared(self, answers: dict[int, bytes], buckets: int) -> None:
-        """Keeps the runs whose anchors the answers call shared, and groups their stretches by content within the chunk."""
+        """Keeps the runs whose anchors the answers call shared, and groups their stretches by content within the chunk; knows the hot ones."""
         distinct = np.unique(self.keys)
         cuts = np.searchsorted(_bucket(distinct, buckets), np.arange(buckets + 1))
-        keep = np.zeros(len(distinct), bool)
+        keep, hot = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
         for b, blob in answers.items():
             part = slice(cuts[b], cuts[b + 1])
-            keep[part] = np.unpackbits(np.frombuffer(S.spread(blob), np.uint8), count=cuts[b + 1] - cuts[b]).astype(bool)
+            keep[part], hot[part] = (np.unpackbits(np.frombuffer(S.spread(x), np.uint8), count=cuts[b + 1] - cuts[b]).astype(bool) for x in S.parts(blob))
+        self.hot = distinct[hot]
         own = keep[np.searchsorted(distinct, self.keys)] if len(distinct) else np.zeros(0, bool)
         heads, lengths, keys = self.heads[own], self.lengths[own], self.keys[own]
         total = int(lengths.sum())
@@ -160,21 +178,32 @@ class Stretches:
         self.group[order] = np.cumsum(first) - 1
         self.group_head = order[first]  # an index into `at`; lexsort is stable, so the first place of the least document
         self.local = self.at_rank > self.at_rank[self.group_head][self.group] if total else np.zeros(0, bool)
+        self.content = content if len(self.hot) else None
 
-    def sent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of group heads that follow each other and share an anchor: indices into `at` in order, and by run its first and its count."""
+    def sent(self, buckets: int, hot_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of group heads that follow each other and share an anchor: indices into `at` in order, and by run its first, its count and its
+        bucket, ascending. A stretch of a hot anchor is a run of its own, its bucket one of those after the others, by content."""
         heads = np.sort(self.group_head)
         if not len(heads):
-            return heads, heads, heads
+            return heads, heads, heads, heads
         p, k = self.at[heads], self.at_key[heads]
         new = np.concatenate([[True], (p[1:] != p[:-1] + 1) | (k[1:] != k[:-1]) | (self.at_rank[heads][1:] != self.at_rank[heads][:-1])])
+        if self.content is not None:
+            hot = np.isin(k, self.hot)
+            new |= hot
         first = np.flatnonzero(new)
-        order = np.argsort(k[first], kind="stable")
+        key = k[first]
+        bucket = _bucket(key, buckets)
+        if self.content is not None:
+            own = hot[first]
+            bucket[own] = buckets + _bucket(self.content[heads[first[own]]] >> np.uint64(64 - _KEY_BITS), hot_buckets)
+            order = np.lexsort((np.where(own, np.uint64(0), key), bucket))
+        else:
+            order = np.argsort(key, kind="stable")
         first, count = first[order], np.diff(np.append(first, len(heads)))[order]
-        return heads, first, count
+        return heads, first, count, bucket[order]
 
-
-    def notes(self, heads: np.ndarray, begin: np.ndarray, count: np.ndarray, buckets: int) -> bytes:
+    def notes(self, heads: np.ndarray, begin: np.ndarray, count: np.ndarray, key: np.ndarray) -> bytes:
         """What is needed once the buckets have judged the sent runs: where they start and end, in the order they were sent; stretches of the
         same document that repeat a sent one, by its number; and the stretches that are covered within the chunk."""
         sent = np.full(len(self.group_head), -1, np.int64)
@@ -183,7 +212,6 @@ class Stretches:
         is_head = np.zeros(len(self.at), bool)
         is_head[self.group_head] = True
         again = np.flatnonzero(~self.local & ~is_head)
-        key = _bucket(self.at_key[heads[begin]], buckets) if len(heads) else heads
         where = self.at[heads[begin]] if len(heads) else heads
         return S.joined(S.planes(where), S.planes(count), S.planes(key), S.planes(self.at[again]), S.planes(sent[self.group[again]]), S.planes(np.diff(self.at[self.local], prepend=0)))
 
@@ -208,15 +236,20 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _several(table: pa.Table) -> list[tuple[int, bytes]]:
-    """Answers of a bucket: by chunk, which of its anchors occur in several chunks, or in several documents of any."""
+    """Answers of a bucket: by chunk, which of its anchors occur in several chunks, or in several documents of any, and which of these are hot;
+    for chunk -1 the bytes of their runs."""
     rows = [(c, *S.parts(b)) for c, b in zip(table["chunk"].to_pylist(), table["blob"].to_pylist(), strict=True)]
-    keys = [S.undeltas(k) for _, k, _ in rows]
-    flags = [np.unpackbits(np.frombuffer(S.spread(f), np.uint8), count=len(k)).astype(bool) for (_, _, f), k in zip(rows, keys, strict=True)]
+    keys = [S.undeltas(k) for _, k, _, _ in rows]
+    flags = [np.unpackbits(np.frombuffer(S.spread(f), np.uint8), count=len(k)).astype(bool) for (_, _, f, _), k in zip(rows, keys, strict=True)]
     distinct, place, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
     several = count > 1
     several[place[np.concatenate(flags)]] = True
+    units = np.bincount(place, weights=np.concatenate([S.unplanes(u, np.uint32) for _, _, _, u in rows]), minlength=len(distinct))
+    hot = several & (units * _RUN > HOT_BYTES)
     ends = np.cumsum([len(k) for k in keys]).tolist()
-    return [(c, S.squeezed(np.packbits(several[place[e - len(k) : e]]).tobytes())) for (c, _, _), k, e in zip(rows, keys, ends, strict=True)]
+    bits = lambda x: S.squeezed(np.packbits(x).tobytes())
+    out = [(c, S.joined(bits(several[own]), bits(hot[own]))) for (c, *_), own in ((r, place[e - len(k) : e]) for r, k, e in zip(rows, keys, ends, strict=True))]
+    return out + ([(-1, S.planes(np.array([units[hot].sum() * _RUN], np.int64)))] if hot.any() else [])
 
 
 def covered(ids: np.ndarray, counts: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -244,6 +277,27 @@ def covered(ids: np.ndarray, counts: np.ndarray, text: np.ndarray) -> np.ndarray
     return out
 
 
+def _hot_judged(table: pa.Table) -> list[tuple[int, bytes]]:
+    """_judged() of a bucket of single stretches: they are sorted as records of LENGTH bytes, eight at a time."""
+    chunks, ids, raw = [], [], []
+    for c, b in zip(table["chunk"].to_pylist(), table["blob"].to_pylist(), strict=True):
+        i, _, t = S.parts(b)
+        chunks.append(c)
+        ids.append(S.unplanes(i, np.int64))
+        raw.append(S.spread(t))
+    rank = np.concatenate(ids)
+    records = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, LENGTH)
+    columns = [np.ascontiguousarray(records[:, k : k + 8]).view(np.uint64)[:, 0] for k in (*range(0, LENGTH - 8, 8), LENGTH - 8)]
+    order = np.lexsort(columns)
+    first = np.ones(len(order), bool)
+    first[1:] = np.any([c[order[1:]] != c[order[:-1]] for c in columns], axis=0)
+    at = np.flatnonzero(first)
+    own = np.empty(len(order), bool)
+    own[order] = rank[order] > np.repeat(np.minimum.reduceat(rank[order], at), np.diff(np.append(at, len(order))))
+    ends = np.cumsum([len(i) for i in ids]).tolist()
+    return [(c, S.squeezed(np.packbits(own[e - len(i) : e]).tobytes())) for c, i, e in zip(chunks, ids, ends, strict=True)]
+
+
 def _judged(table: pa.Table) -> list[tuple[int, bytes]]:
     """Answers of a bucket: by chunk, which of the stretches it sent are covered."""
     chunks, ids, counts, places = [], [], [], []
@@ -292,6 +346,18 @@ def _by_bucket(blobs: DataFrame, answer) -> DataFrame:
     return blobs.groupBy("bucket").applyInArrow(group, BLOBS)
 
 
+def _hot_buckets(settled: DataFrame) -> int:
+    """How many buckets the hot stretches need: each of them takes LENGTH bytes there."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = [int(S.unplanes(blob, np.int64)[0]) for blob in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64())], names=["n"])
+
+    held = settled.where("chunk = -1").select("blob").mapInArrow(opened, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
+    return -(-held // _RUN * _RUN_STRETCHES * LENGTH // HOT_BUCKET)
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, the spans of bytes covered by a LENGTH-byte string that also starts in a document with a
     smaller doc_id, and the bytes that are left.
@@ -317,31 +383,35 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     first = written(rows.mapInArrow(stage, BLOBS), f"{folder}/anchors")
     manifest = written(first.where("bucket = -1").select("chunk", "path"), f"{folder}/manifest")
-    shared = written(_by_bucket(first.where("bucket >= 0"), _several), f"{folder}/shared")
+    settled = written(_by_bucket(first.where("bucket >= 0"), _several), f"{folder}/shared")
     discard(f"{folder}/anchors")
+    shared = settled.where("chunk >= 0")
+    hots = _hot_buckets(settled)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for number, path, answers in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 found = Stretches(S.Chunk.load(S.get(path)))
                 found.shared({a["bucket"]: a["blob"] for a in answers or ()}, buckets)
-                heads, begin, count = found.sent()
-                S.put(f"{folder}/notes", f"{number:016x}", found.notes(heads, begin, count, runs))
+                heads, begin, count, key = found.sent(runs, hots)
+                S.put(f"{folder}/notes", f"{number:016x}", found.notes(heads, begin, count, key))
                 if not len(heads):
                     continue
                 start = found.at[heads[begin]]
                 rank = found.at_rank[heads[begin]]
-                cuts = np.searchsorted(_bucket(found.at_key[heads[begin]], runs), np.arange(runs + 1))
+                cuts = np.searchsorted(key, np.arange(runs + hots + 1))
                 raw = found.text.tobytes()
                 out = []
                 for k in np.flatnonzero(np.diff(cuts)).tolist():
                     part = slice(cuts[k], cuts[k + 1])
                     body = b"".join(raw[s : s + c + LENGTH - 1] for s, c in zip(start[part].tolist(), count[part].tolist(), strict=True))
                     out.append((k, S.joined(S.planes(rank[part]), S.planes(count[part]), S.squeezed(body, 3))))
+                    if k >= runs:
+                        yield batch([[number], [k], [None], [out.pop()[1]]], schema)
                 yield batch([[number] * len(out), [k for k, _ in out], [None] * len(out), [x for _, x in out]], schema)
 
     segments = S.answered(manifest, shared).mapInArrow(send, BLOBS)
-    judged = written(_by_bucket(segments, _judged), f"{folder}/judged")
+    judged = written(_by_bucket(segments, lambda table: (_judged if table["bucket"][0].as_py() < runs else _hot_judged)(table)), f"{folder}/judged")
     out_schema = arrow_schema(REPEATS)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -304,3 +305,27 @@ def test_repeats_against_brute_force(spark, monkeypatch, chunk):
     assert found == repeats_by_hand([(r[0], r[1]) for r in rows()])
     assert sum(f[2] for f in found) > 0
     assert repeats.repeats_digest(empty(spark)).count() == 0
+
+
+def test_repeats_of_a_phrase_in_all_rows(spark, monkeypatch):
+    """A phrase shorter than a stretch, other bytes around it: no bucket of runs gets all its stretches, and the result is exact."""
+    rng = random.Random(11)
+    other = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    phrase, lefts, given = "Licensed under the terms of the file LICENSE.txt", [], []
+    for i in range(24_000):
+        lefts.append(lefts[rng.randrange(i)] if i % 5 == 4 else other(28))
+        given.append((i, lefts[-1] + phrase + other(28)))
+    asked = []
+    plain = repeats._by_bucket
+    monkeypatch.setattr(repeats, "_by_bucket", lambda blobs, answer: (asked.append(blobs), plain(blobs, answer))[1])
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    out = repeats.repeats_digest(docs).collect()
+    assert sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in out) == repeats_by_hand(given)
+    assert sum(r["n_removed"] for r in out) > 0
+    runs, single = repeats.RUN_BUCKETS * repeats.S.buckets_for(docs), 0
+    held = Counter()
+    for r in asked[1].collect():
+        _, counts, raw = repeats.S.parts(r["blob"])
+        held[r["bucket"]] += len(repeats.S.spread(raw))
+        single += r["bucket"] >= runs and set(repeats.S.unplanes(counts, np.int64).tolist()) == {1}
+    assert single and max(n for b, n in held.items() if b < runs) <= (1 << 20)
