@@ -37,11 +37,26 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)++")
 _GROUP = re.compile(r"[0-9]+")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+_IBAN_TAIL = re.compile(r"(?:\x20?[A-Z0-9]){11,30}")
+_BORDER = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SIGN = re.compile(r"[0-9@]")
 
 
+#: Characters of an IBAN by country. Of a country not listed, any length from 15 to 34 will do.
+IBAN_LENGTHS = {
+    k: n
+    for n, ks in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for k in ks.split()
+}
+
+
 class Span(NamedTuple):
     kind: str
     start: int
@@ -98,6 +113,23 @@ def _runs(text: str) -> Iterator[tuple[int, int, str]]:
         yield m.start(), m.end(), m.group().replace(" ", "").replace("-", "")
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """From each country code with check digits: the country's length, else the longest one, that ends where no letter or digit follows and
+    passes mod-97. A failed start is passed by alone: the next one may lie within what followed it."""
+    free = 0
+    for head in _IBAN_HEAD.finditer(text):
+        a = head.start()
+        if a < free or not (tail := _IBAN_TAIL.match(text, head.end())):
+            continue
+        fixed = IBAN_LENGTHS.get(text[a : a + 2])
+        for end in reversed([m.start() for m in _BORDER.finditer(text, head.end(), tail.end() + 1) if m.start() <= tail.end()]):
+            plain = text[a:end].replace(" ", "")
+            if (len(plain) == fixed if fixed else len(plain) >= 15) and mod97(plain):
+                yield a, end
+                free = end
+                break
+
+
 def find_spans(text: str | None) -> list[Span]:
     """All spans by kind, then start. None and texts without a digit or an @ have none."""
     if not text or not _SIGN.search(text):
@@ -110,10 +142,7 @@ def find_spans(text: str | None) -> list[Span]:
     found += [("card", a, b, True) for a, b, d in runs if 16 <= len(d) <= 19 and luhn(d)]
     if "+" in text:
         found += [("phone", m.start(), m.end(), False) for m in _PHONE.finditer(text) if 8 <= sum(map(str.isdigit, m.group())) <= 15]
-    for m in _IBAN.finditer(text):
-        plain = m.group().replace(" ", "")
-        if 15 <= len(plain) <= 34 and mod97(plain):
-            found.append(("iban", m.start(), m.end(), True))
+    found += [("iban", a, b, True) for a, b in _ibans(text)]
     found += [("ssn", m.start(), m.end(), False) for m in _SSN.finditer(text) if m.group()[:3] not in ("000", "666") and m.group()[0] != "9" and m.group()[4:6] != "00" and m.group()[7:] != "0000"]
     found += [("card_short", a, b, True) for a, b, d in runs if (len(d) == 15 and d[:2] in ("34", "37") or len(d) == 13 and d[0] == "4") and luhn(d)]
     spans = []

@@ -53,6 +53,20 @@ def test_checksums_and_context():
     assert pii.find_spans("card 4111 1111 1111 1111")[0].score > pii.find_spans("xxxx 4111 1111 1111 1111")[0].score
 
 
+def test_ibans_beside_capitals_and_numbers():
+    found = lambda t: [t[s.start : s.end] for s in pii.find_spans(t) if s.kind == "iban"]
+    assert found("DE89370400440532013000 BIC COBADEFFXXX") == ["DE89370400440532013000"]
+    assert found("GB82 WEST 1234 5698 7654 32 I will") == ["GB82 WEST 1234 5698 7654 32"]
+    assert found("GB82WEST12345698765432 2024-01-01") == ["GB82WEST12345698765432"]
+    assert found("NO12 DE89 3704 0044 0532 0130 00") == ["DE89 3704 0044 0532 0130 00"]
+    assert found("DE89370400440532013000 GB82WEST12345698765432 NO9386011117947") == ["DE89370400440532013000", "GB82WEST12345698765432", "NO9386011117947"]
+    assert found("ACCOUNT NO 9 DE89 3704 0044 0532 0130 00 OR BY CARD") == ["DE89 3704 0044 0532 0130 00"]
+    assert found("DE89370400440532013000X") == [] and found("XDE89370400440532013000") == [] and found("DE89") == []
+    digits = next(f"{c:02}" for c in range(2, 99) if pii.mod97(f"ZZ{c:02}ABCD12345678901"))
+    assert found(f"ZZ{digits} ABCD 1234 5678 901 IS") == [f"ZZ{digits} ABCD 1234 5678 901"]
+    assert found("AB12 " * 50_000) is not None
+
+
 def test_pii_rows(spark):
     out = pii.pii_digest(documents(spark)).collect()
     assert len(out) == len(rows())
