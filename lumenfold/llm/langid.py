@@ -26,7 +26,7 @@ FAMILIES = {
 }
 #: Hashed feature space, and n-gram lengths in bytes of the lower-cased text.
 DIMENSIONS, LENGTHS = 1 << 14, (1, 2, 3)
-#: The classifier is fitted on about this many labelled rows of each language; the sample is drawn by a hash of the text, so it does not
+#: The classifier is fitted on about this many different labelled texts of each language, at least one; the sample is drawn by a hash of the text, so it does not
 #: depend on the partitioning. Its features, at most SAMPLE_ROWS times the number of languages rows, are the only data sent to the driver.
 #: With very many languages it is fewer of each, MOST_ROWS in all.
 SAMPLE_ROWS, MOST_ROWS = 800, 20_000
@@ -128,12 +128,17 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learns from text and non-null lang of rows outside the held-out third."""
     known = pick(docs, doc_id="long", text="string", lang="string").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("text", "lang")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    # Copies of one text count once, here as in the sample.
+    known = known.withColumn("h", F.xxhash64("text", F.lit("langid")))
+    place = F.col("h").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
+    found = known.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("least")).collect()
+    if not found:
         return Model([], [])
-    sample_rows = max(1, min(sample_rows, MOST_ROWS // len(counts)))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample_rows / n))])
-    drawn = (F.xxhash64("text", F.lit("langid")).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)) < share[F.col("lang")]
+    sample_rows = max(1, min(sample_rows, MOST_ROWS // len(found)))
+    # The least text of a language is drawn at any share, so that no language is left out.
+    share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1.0, sample_rows / r["n"]))])
+    least = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], r["least"])])
+    drawn = (place < share[F.col("lang")]) | (place == least[F.col("lang")])
 
     ddl = "lang string, at binary, v binary"
     schema = arrow_schema(ddl)
@@ -143,8 +148,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
             got = [features(t) for t in texts(b.column(0))]
             yield batch([b.column(1), [g[0].tobytes() for g in got], [g[1].tobytes() for g in got]], schema)
 
-    # Copies of one text would be drawn together: they count once.
-    rows: pd.DataFrame = known.where(drawn).dropDuplicates(["text", "lang"]).mapInArrow(extract, ddl).toPandas()
+    rows: pd.DataFrame = known.where(drawn).select("text", "lang").dropDuplicates(["text", "lang"]).mapInArrow(extract, ddl).toPandas()
     rows = rows.sort_values(["lang", "at", "v"], kind="stable").groupby("lang").head(2 * sample_rows)
     return Model([(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for a, v in zip(rows["at"], rows["v"], strict=True)], rows["lang"].tolist())
 

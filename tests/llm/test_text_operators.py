@@ -100,6 +100,19 @@ def test_language_of_held_out_texts(spark):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_sample_under_copies_and_with_many_languages(spark, monkeypatch):
+    """Copies of one text take nobody's place in the sample, and no language goes without a text."""
+    fitted = []
+    monkeypatch.setattr(langid, "Model", lambda rows, langs: fitted.append(langs))
+    copies = [(i, "the same text again and again", "en") for i in range(6000)]
+    others = [(10_000 + i, f"text number {'abcdefgh'[i % 8]} {'xyz' * (i // 8 + 1)}", "en") for i in range(120)]
+    langid.fit(spark.createDataFrame(copies + others, "doc_id long, text string, lang string"), sample_rows=40)
+    assert 20 <= len(fitted[0]) <= 80
+    many = [(i, f"text {'abcdefghijk'[i % 11]} {'pqr' * (i % 13)} {i}", f"l{i % 70}") for i in range(1400)]
+    langid.fit(spark.createDataFrame(many, "doc_id long, text string, lang string"), sample_rows=1)
+    assert len(set(fitted[1])) == 70
+
+
 def test_labels_of_held_out_rows_change_nothing(spark):
     from pyspark.sql import functions as F
 
