@@ -1,4 +1,4 @@
-"""Katz backoff: Good-Turing discounted bigram counts, exactly normalised backoff weights, evaluated recursively for each token.
+"""Katz backoff: Good-Turing discounted n-gram counts, exactly normalised backoff weights, evaluated recursively for each token.
 
 The model never is in one place. Counts live in buckets of words and of bigrams, partitions of the cluster's tables. Texts are staged in
 chunks (see staged.py); a chunk asks the buckets for what its own tokens need and evaluates them:
@@ -6,7 +6,9 @@ chunks (see staged.py); a chunk asks the buckets for what its own tokens need an
 2. By history: it sends its distinct bigrams with training counts and the words' counts, and is told the bigrams' counts in all and, for each
    history, what its backoff weight needs: how many successors were seen once to LIMIT times, and the sum of their unigram probabilities.
    Bigrams of very frequent histories are dealt by both words, and their histories' sums are added up apart.
-3. It evaluates P(w|h) = d(c) c(h,w) / c(h) where the bigram was seen, else weight(h) P(w), and P(w) = d(c) c(w) / N, else the unseen mass."""
+3. It evaluates P(w|h) = d(c) c(h,w) / c(h) where the bigram was seen, else weight(h) P(w), and P(w) = d(c) c(w) / N, else the unseen mass.
+4. For each higher order, the n-grams seen before are histories, and step 2 is taken again with the probabilities of the order below in place
+   of the words' counts: P(w|h) = d(c) c(h,w) / c(h), else weight(h) P(w|h'), h' being h without its first word."""
 
 from __future__ import annotations
 
@@ -106,14 +108,39 @@ class Tokens:
         for b, blob in answers.items():
             self.c[cuts[b] : cuts[b + 1]] = S.unplanes(blob, np.int64)
 
-    def bigrams(self, buckets: int, hot: int) -> None:
-        """Distinct bigrams of known words, by bucket, history and word; and which histories are asked about in which bucket."""
-        n = len(self.words)
-        known = (self.c[self.history] > 0) & (self.c[self.next] > 0)
+    def levels(self, answers: list[dict[int, bytes]], buckets: int, hot: int, unigrams: Unigrams, models: list[tuple[np.ndarray, dict]], order: int) -> tuple[Level, np.ndarray]:
+        """The n-grams of the given order, and each token's probability by the order below it. answers and models (discounts, hot histories'
+        sums) are those of each order from 2 on; the given one's are not needed."""
+        p = unigrams.p(self.c)[self.next]
+        level = Level(self.words, self.c, self.history, self, self.c[self.next], self.c[self.next].astype(np.uint64), buckets, hot)
+        for o in range(2, order):
+            seen, p = level.scored(answers[o - 2], p, *models[o - 2])
+            hashes, counts, history = level.followed(seen)
+            level = Level(hashes, counts, history, self, seen, p, buckets, hot)
+        return level, p
+
+    def summed(self, p: np.ndarray, unigrams: Unigrams) -> list[np.ndarray]:
+        """By document: the scores by the tokens' probabilities, those of the base model, and the number of known tokens."""
+        cw, docs = self.c[self.next], len(self.counts)
+        base = np.log10((cw + 0.1) / (unigrams.tokens + 0.1 * (unigrams.types + 1)))
+        return [np.bincount(self.doc, weights=np.log10(p), minlength=docs), np.bincount(self.doc, weights=base, minlength=docs), np.bincount(self.doc, weights=cw > 0, minlength=docs).astype(np.int64)]
+
+
+class Level:
+    """The n-grams of one order in a chunk: for each token the number of its history (-1: none was seen), which are in the order of their
+    hashes; `lower` is what its backoff weight needs of the order below."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, history: np.ndarray, tokens: Tokens, below: np.ndarray, lower: np.ndarray, buckets: int, hot: int) -> None:
+        """Distinct n-grams whose history and whose end were seen, by bucket, history and word; and which histories are asked about where."""
+        self.hashes, self.c, self.history, self.tokens, self.buckets = hashes, counts, history, tokens, buckets
+        n = len(tokens.words)
+        known = (history >= 0) & (below > 0)
+        if len(counts):
+            known &= counts[history] > 0
         at = np.flatnonzero(known)
-        pair = self.history[at] * n + self.next[at]
+        pair = history[at] * n + tokens.next[at]
         bits = max(1, int(len(at)).bit_length())
-        if int(n) ** 2 < 1 << (63 - bits):  # one sort of numbers that hold the pair and its place
+        if int(n) * max(1, len(hashes)) < 1 << (63 - bits):  # one sort of numbers that hold the pair and its place
             packed = pair << bits | np.arange(len(at))
             packed.sort()
             order = packed & ((1 << bits) - 1)
@@ -124,58 +151,72 @@ class Tokens:
         number[order] = np.cumsum(first) - 1
         distinct = pair[order][first]
         h, w = distinct // n, distinct % n
-        own = np.bincount(number[self.learnt[at]], minlength=len(distinct))
-        cold = _bucket(self.words, buckets)
-        is_hot = self.c > hot
-        bucket = np.where(is_hot[h], _bucket(W.mixed(self.words[h] * _C + self.words[w]), buckets), cold[h])
+        own = np.bincount(number[tokens.learnt[at]], minlength=len(distinct))
+        cold = _bucket(hashes, buckets)
+        is_hot = counts > hot
+        bucket = np.where(is_hot[h], _bucket(W.mixed(hashes[h] * _C + tokens.words[w]), buckets), cold[h])
         by_bucket = np.argsort(bucket, kind="stable")
         place = np.empty(len(distinct), np.int64)
         place[by_bucket] = np.arange(len(distinct))
         self.at, self.pair_of = at, place[number]
         self.h, self.w, self.pair_own, self.pair_bucket, self.is_hot = h[by_bucket], w[by_bucket], own[by_bucket], bucket[by_bucket], is_hot
+        self.lower = lower[at[order][first]][by_bucket]
         # cold histories in each bucket, those without a known successor here too
-        asks = np.unique(self.history)
-        asks = asks[(self.c[asks] > 0) & ~is_hot[asks]]
+        asks = np.unique(history[history >= 0])
+        asks = asks[(counts[asks] > 0) & ~is_hot[asks]]
         self.asks, self.asks_bucket = asks, cold[asks]
 
-    def sections(self, buckets: int) -> Iterator[tuple[int, slice, slice]]:
-        pairs = np.searchsorted(self.pair_bucket, np.arange(buckets + 1))
-        asks = np.searchsorted(self.asks_bucket, np.arange(buckets + 1))
+    def sections(self) -> Iterator[tuple[int, slice, slice]]:
+        pairs = np.searchsorted(self.pair_bucket, np.arange(self.buckets + 1))
+        asks = np.searchsorted(self.asks_bucket, np.arange(self.buckets + 1))
         for b in np.flatnonzero(np.diff(pairs) + np.diff(asks)).tolist():
             yield b, slice(pairs[b], pairs[b + 1]), slice(asks[b], asks[b + 1])
 
-    def sent(self, buckets: int) -> Iterator[tuple[int, bytes]]:
-        for b, pairs, asks in self.sections(buckets):
+    def sent(self) -> Iterator[tuple[int, bytes]]:
+        words = self.tokens.words
+        for b, pairs, asks in self.sections():
             h, w = self.h[pairs], self.w[pairs]
             heads = np.union1d(np.unique(h), self.asks[asks])
             runs = np.bincount(np.searchsorted(heads, h), minlength=len(heads)).astype(np.uint32)
-            yield b, S.joined(S.deltas(self.words[heads]), S.planes(runs), S.squeezed(np.packbits(self.is_hot[heads]).tobytes()), S.planes(self.words[w] >> _W_BITS), S.planes(self.pair_own[pairs].astype(np.uint32)), S.planes(self.c[w].astype(np.uint64)))
-
-    def scored(self, answers: dict[int, bytes], buckets: int, unigrams: Unigrams, d: np.ndarray, hot: dict[int, tuple[float, ...]]) -> list[np.ndarray]:
-        n = len(self.words)
+            yield b, S.joined(S.deltas(self.hashes[heads]), S.planes(runs), S.squeezed(np.packbits(self.is_hot[heads]).tobytes()), S.planes(words[w] >> _W_BITS), S.planes(self.pair_own[pairs].astype(np.uint32)), S.planes(self.lower[pairs]))
+
+    def scored(self, answers: dict[int, bytes], lower: np.ndarray, d: np.ndarray, hot: dict[int, tuple[float, ...]]) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's n-gram count in all training texts, and its probability, where `lower` is that by the order below."""
+        n = len(self.hashes)
+        seen = np.zeros(len(self.history), np.int64)
+        if not n:
+            return seen, lower
         once, sums = np.zeros((n, LIMIT)), np.zeros(n)
         counts = np.zeros(len(self.h), np.int64)
-        for b, pairs, asks in self.sections(buckets):
+        for b, pairs, asks in self.sections():
             if b in answers:
                 r, o, s = S.parts(answers[b])
                 counts[pairs] = S.unplanes(r, np.uint64).astype(np.int64)
                 once[self.asks[asks]] = S.unplanes(o, np.uint32).reshape(-1, LIMIT)
                 sums[self.asks[asks]] = S.unplanes(s, np.float64)
         for i in np.flatnonzero(self.is_hot).tolist():
-            got = hot.get(int(self.words[i].view(np.int64)))
+            got = hot.get(int(self.hashes[i].view(np.int64)))
             if got is not None:
                 once[i], sums[i] = got[:LIMIT], got[LIMIT]
+        self.counts = counts
         weight, scale = weights(self.c, once, sums, d)
-        p_word = unigrams.p(self.c)
-        ch, cw = self.c[self.history], self.c[self.next]
-        seen = np.zeros(len(self.next), np.int64)
         seen[self.at] = counts[self.pair_of]
-        lower = p_word[self.next]
+        ch = np.where(self.history >= 0, self.c[self.history], 0)
         direct = d[np.minimum(seen, LIMIT + 1)] * seen / np.maximum(ch, 1) * scale[self.history]
-        p = np.where(ch == 0, lower, np.where(seen > 0, direct, weight[self.history] * lower))
-        base = np.log10((cw + 0.1) / (unigrams.tokens + 0.1 * (unigrams.types + 1)))
-        docs = len(self.counts)
-        return [np.bincount(self.doc, weights=np.log10(p), minlength=docs), np.bincount(self.doc, weights=base, minlength=docs), np.bincount(self.doc, weights=cw > 0, minlength=docs).astype(np.int64)]
+        return seen, np.where(ch == 0, lower, np.where(seen > 0, direct, weight[self.history] * lower))
+
+    def followed(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams as histories of the next order: hashes, counts, and by token which one goes before it in its text."""
+        before = np.full(len(self.history), -1, np.int64)
+        before[self.at] = np.where(seen[self.at] > 0, self.pair_of, -1)
+        history = np.full(len(before), -1, np.int64)
+        history[1:] = before[:-1]
+        history[np.cumsum(self.tokens.counts) - self.tokens.counts] = -1
+        used = np.unique(history[history >= 0])
+        hashes, first, number = np.unique(W.mixed(W.mixed(self.hashes[self.h[used]]) * _C + self.tokens.words[self.w[used]]), return_index=True, return_inverse=True)
+        own = history >= 0
+        history[own] = number[np.searchsorted(used, history[own])]
+        return hashes, self.counts[used][first] if len(used) else np.zeros(0, np.int64), history
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -197,8 +238,10 @@ def _words_bucket(chunks: list[int], blobs: list[bytes]) -> list[tuple[int, byte
     return out + [(c, S.planes(counts[place[e - len(k) : e]])) for c, k, e in zip(chunks, keys, ends, strict=True)]
 
 
-def _bigrams_bucket(chunks: list[int], blobs: list[bytes], unigrams: Unigrams) -> list[tuple[int, bytes]]:
-    """By chunk, its bigrams' counts and its cold histories' sums; for chunk -1 the types seen r times, for chunk -2 hot histories' sums."""
+def _ngrams_bucket(chunks: list[int], blobs: list[bytes], unigrams: Unigrams | None) -> list[tuple[int, bytes]]:
+    """unigrams: where the order below is that of words, whose counts were sent, else probabilities were.
+
+    By chunk, its n-grams' counts and its cold histories' sums; for chunk -1 the types seen r times, for chunk -2 hot histories' sums."""
     heads, runs, hot, words, own, cw = [], [], [], [], [], []
     for blob in blobs:
         a, b, c, x, y, z = S.parts(blob)
@@ -207,7 +250,7 @@ def _bigrams_bucket(chunks: list[int], blobs: list[bytes], unigrams: Unigrams) -
         hot.append(np.unpackbits(np.frombuffer(S.spread(c), np.uint8), count=len(heads[-1])).astype(bool))
         words.append(S.unplanes(x, np.uint64))
         own.append(S.unplanes(y, np.uint32))
-        cw.append(S.unplanes(z, np.uint64))
+        cw.append(S.unplanes(z, np.uint64 if unigrams else np.float64))
     all_heads = np.concatenate(heads)
     histories, head_of = np.unique(all_heads, return_inverse=True)
     hot_history = np.zeros(len(histories), bool)
@@ -216,7 +259,9 @@ def _bigrams_bucket(chunks: list[int], blobs: list[bytes], unigrams: Unigrams) -
     key = W.mixed(histories[h] * _C ^ np.concatenate(words)) if len(h) else np.zeros(0, np.uint64)
     distinct, first, place = np.unique(key, return_index=True, return_inverse=True)
     counts = np.bincount(place, weights=np.concatenate(own), minlength=len(distinct)).astype(np.int64)
-    type_h, type_p = h[first], unigrams.p(np.concatenate(cw)[first].astype(np.int64)) if len(first) else np.zeros(0)
+    type_h, type_p = h[first], np.concatenate(cw)[first]
+    if unigrams:
+        type_p = unigrams.p(type_p.astype(np.int64))
     once = np.stack([np.bincount(type_h[counts == r], minlength=len(histories)) for r in range(1, LIMIT + 1)], axis=1).astype(np.uint32)
     sums = np.bincount(type_h[counts > 0], weights=type_p[counts > 0], minlength=len(histories))
     out = [(-1, S.planes(_types_seen(counts).astype(np.int64)))]
@@ -279,12 +324,14 @@ def _hot_sums(answers: DataFrame) -> dict[int, tuple[float, ...]]:
 HOT_SHARE = 4
 
 
-def katz_scores(docs: DataFrame) -> DataFrame:
+def katz_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, log10 of the probabilities.
 
     A null or empty text is its end alone. A null doc_id counts as the text "" in the split, so it is held out. Repeated rows count each. With no
     training text at all every token has the unseen class's probability, 1. An empty table gives none. All between the steps is written to
-    the shared folder."""
+    the shared folder. `order`, 2 or more, is the number of words of the longest n-grams; each order takes another exchange."""
+    if order < 2:
+        raise ValueError("the order has to be 2 or more")
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = pick(docs, doc_id="long", text="string")
@@ -310,31 +357,40 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     unigrams = Unigrams(totals[0], totals[1], totals[2:])
     hot = max(1, int(totals[0]) // (HOT_SHARE * buckets))
 
-    def opened(b: pa.RecordBatch) -> Iterator[tuple[int, Tokens, dict[int, bytes]]]:
+    def opened(b: pa.RecordBatch) -> Iterator[tuple[int, Tokens, list[dict[int, bytes]]]]:
         for number, path, answers in zip(*(c.to_pylist() for c in b.columns), strict=True):
             found = Tokens(S.Chunk.load(S.get(path)))
-            by = {a["bucket"]: a["blob"] for a in answers or ()}
-            found.told({k: v for k, v in by.items() if k < buckets}, buckets)
-            found.bigrams(buckets, hot)
-            yield number, found, {k - buckets: v for k, v in by.items() if k >= buckets}
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for number, found, _ in opened(b):
-                yield emitted(number, list(found.sent(buckets)))
-
-    counts = told.where("chunk >= 0")
-    sent = S.answered(manifest, counts).mapInArrow(send, BLOBS)
-    seen = written(_by_bucket(sent, lambda chunks, blobs: _bigrams_bucket(chunks, blobs, unigrams)), f"{folder}/bigrams")
-    d = discounts(_summed(seen, LIMIT + 2))
-    hot_sums = spark.sparkContext.broadcast(_hot_sums(seen))
-    both = counts.unionByName(seen.where("chunk >= 0").withColumn("bucket", (F.col("bucket") + buckets).cast("int")))
+            by: list[dict[int, bytes]] = [{} for _ in range(order)]
+            for a in answers or ():
+                by[a["bucket"] // buckets][a["bucket"] % buckets] = a["blob"]
+            found.told(by[0], buckets)
+            yield number, found, by[1:]
+
+    def sender(now: int, models: list):
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for number, found, answers in opened(b):
+                    level, _ = found.levels(answers, buckets, hot, unigrams, [(d, sums.value) for d, sums in models], now)
+                    yield emitted(number, list(level.sent()))
+
+        return send
+
+    answers = told.where("chunk >= 0")
+    models: list = []
+    for now in range(2, order + 1):
+        below = unigrams if now == 2 else None
+        sent = S.answered(manifest, answers).mapInArrow(sender(now, list(models)), BLOBS)
+        seen = written(_by_bucket(sent, lambda chunks, blobs, below=below: _ngrams_bucket(chunks, blobs, below)), f"{folder}/order{now}")
+        models.append((discounts(_summed(seen, LIMIT + 2)), spark.sparkContext.broadcast(_hot_sums(seen))))
+        answers = answers.unionByName(seen.where("chunk >= 0").withColumn("bucket", (F.col("bucket") + (now - 1) * buckets).cast("int")))
     out_schema = arrow_schema(SCORES)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [(d, sums.value) for d, sums in models]
         for b in batches:
             for _, found, answers in opened(b):
-                score, base, known = found.scored(answers, buckets, unigrams, d, hot_sums.value)
+                level, p = found.levels(answers, buckets, hot, unigrams, own, order)
+                score, base, known = found.summed(level.scored(answers[order - 2], p, *own[order - 2])[1], unigrams)
                 yield batch([found.ids, ~found.training, found.counts, known, np.full(len(known), unigrams.tokens), base, score], out_schema)
 
-    return S.answered(manifest, both).mapInArrow(finish, SCORES)
+    return S.answered(manifest, answers).mapInArrow(finish, SCORES)

@@ -31,7 +31,7 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.katz_scores(table(spark, sf_dir, "documents"))
+    return katz.katz_scores(table(spark, sf_dir, "documents"), order=3)
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -259,6 +259,54 @@ def test_katz_against_brute_force(spark, monkeypatch, share):
     assert katz.katz_scores(empty(spark)).count() == 0
 
 
+def katz_recursively(given: list[tuple[int | None, str | None]], order: int) -> list[tuple[str, float]]:
+    """A model of dictionaries whose recursion is written out."""
+    split = [(i, [*(t or "").encode().lower().split(), "end"]) for i, t in given]
+    grams = lambda t, n: [tuple((["begin", *t])[k - n + 1 : k + 1]) for k in range(n - 1 if n > 1 else 1, len(t) + 1)]
+    counts = {n: Counter(g for i, t in split if zlib.crc32(b"" if i is None else str(i).encode()) % 10 for g in grams(t, n)) for n in range(1, order + 1)}
+    d = {n: katz.discounts(np.bincount(np.minimum(list(c.values()), 7), minlength=8)[:7]) for n, c in counts.items()}
+    total = sum(counts[1].values())
+    taken = 1 - sum(d[1][min(c, 6)] * c for c in counts[1].values()) / total
+    unseen = max(taken, 1 / (total + 1))
+    after: dict = {}
+    for n in range(2, order + 1):
+        for g, c in counts[n].items():
+            after.setdefault(g[:-1], {})[g[-1]] = c
+    weight: dict = {}
+
+    def p(h: tuple, w) -> float:
+        if not h:
+            c = counts[1][w,]
+            return d[1][min(c, 6)] * c / total * (1 - unseen) / (1 - taken) if c else unseen
+        if h not in after:
+            return p(h[1:], w)
+        if h not in weight:
+            c_h = sum(after[h].values())
+            seen = {x: d[len(h) + 1][min(c, 6)] * c / c_h for x, c in after[h].items()}
+            left = 1 - sum(seen.values())
+            if left <= 1e-12:
+                seen, left = {x: q * c_h / (c_h + 1) for x, q in seen.items()}, 1 / (c_h + 1)
+            weight[h] = seen, left / (1 - sum(p(h[1:], x) for x in seen))
+        return weight[h][0].get(w) or weight[h][1] * p(h[1:], w)
+
+    out = []
+    for i, t in split:
+        whole = ["begin", *t]
+        out.append((str(i), sum(math.log10(p(tuple(whole[max(0, k - order + 1) : k]), whole[k])) for k in range(1, len(whole)))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+@pytest.mark.parametrize("share", [4, 10**6])
+def test_katz_of_higher_order(spark, monkeypatch, order, share):
+    monkeypatch.setattr(katz, "HOT_SHARE", share)
+    monkeypatch.setattr(katz.S, "chunk_bytes", lambda df: 2000)
+    found = sorted((str(r["doc_id"]), r["score"]) for r in katz.katz_scores(documents(spark), order=order).collect())
+    expected = katz_recursively([(r[0], r[1]) for r in rows()], order)
+    assert [f[0] for f in found] == [e[0] for e in expected]
+    assert all(abs(f[1] - e[1]) < 1e-6 for f, e in zip(found, expected, strict=True))
+
+
 def test_suffixes_are_in_order():
     rng = np.random.default_rng(0)
     for _ in range(150):
