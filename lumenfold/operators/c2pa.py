@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BINDING_TYPES, STATUS_CODES
 
 
-def validation_basis(manifests: DataFrame, ingredients: DataFrame, active: DataFrame, most_rounds: int = 1_000) -> DataFrame:
+def validation_basis(manifests: DataFrame, ingredients: DataFrame, active: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """From manifests (store, label, has_time, has_certificate_status), ingredients (store, label, ingredient) and active (store, label):
     (store, reproducible), true iff every manifest reached from the active one has a time and no certificate status. A missing one fails.
 
-    Frontier joins until nothing new is reached; cycles end there. Each round's frontier is checkpointed."""
+    Frontier joins until nothing new is reached; cycles end there. Each round's frontier is checkpointed. Where most_rounds do not reach the
+    end, a ValueError is raised."""
     reached = active.select("store", "label").distinct()
     frontier = reached
-    for _ in range(most_rounds):
+    for done in count():
         fresh = frontier.join(ingredients, ["store", "label"]).select("store", F.col("ingredient").alias("label")).distinct().join(reached, ["store", "label"], "left_anti")
         fresh = fresh.checkpoint()
         if fresh.isEmpty():
             break
+        if most_rounds is not None and done + 1 >= most_rounds:
+            raise ValueError(f"manifests lie deeper than {most_rounds} rounds reach")
         reached, frontier = reached.unionByName(fresh).checkpoint(), fresh
     good = F.coalesce(F.col("has_time") & ~F.col("has_certificate_status"), F.lit(False))
     return reached.join(manifests, ["store", "label"], "left").groupBy("store").agg(F.bool_and(good).alias("reproducible"))

@@ -284,3 +284,12 @@ def test_rescoring_names_each_mismatch(spark):
     again = spark.createDataFrame([(1, 2.0, 5, 0.1), (2, 2.5, 6, 0.2)], "id int, score double, scored_units int, p_value double")
     assert sorted(rows(evidence.rescored(records, again, ["id"]))) == [(2, "decision"), (2, "p_value"), (2, "score"), (2, "scored_units"), (3, "missing")]
     assert evidence.recorded(records).select("evaluation_id").distinct().count() == 3
+
+
+def test_validation_basis_reaches_the_last_manifest(spark):
+    manifests = spark.createDataFrame([(1, k, True, k == 6) for k in range(7)], "store int, label int, has_time boolean, has_certificate_status boolean")
+    edges = spark.createDataFrame([(1, k, k + 1) for k in range(6)], "store int, label int, ingredient int")
+    active = spark.createDataFrame([(1, 0)], "store int, label int")
+    assert [r["reproducible"] for r in c2pa.validation_basis(manifests, edges, active).collect()] == [False]
+    with pytest.raises(ValueError, match="deeper"):
+        c2pa.validation_basis(manifests, edges, active, most_rounds=3)
