@@ -149,17 +149,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     A null or empty text, or one without words, has an empty set and is linked with nothing: it is kept. A null doc_id sorts after all others:
     its component_id is the least id it is linked with, else null, and then one row of each such text is kept like any least one. Rows that
     share a doc_id count as one document in different versions, linked with each other. An empty table gives none."""
-    return _grouped(docs, shingle, percent).select("doc_id", "n_shingles", F.when(F.col("least") < _NULLS, F.col("least")).alias("component_id"), (F.col("node") == F.col("least")).alias("kept"))
+    rows = pick(docs, doc_id="long", text="string").withColumn("node", _node(F.col("doc_id"), F.col("text")))
+    return _grouped(rows, shingle, percent).select("doc_id", "n_shingles", F.when(F.col("least") < _NULLS, F.col("least")).alias("component_id"), (F.col("node") == F.col("least")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, without those near_duplicates() does not keep; of repeated rows of one doc_id one stays."""
-    mark = made()
-    kept = scratch(docs.sparkSession, "groups")
-    found = written(_grouped(docs, shingle, percent).select("node", "least"), kept)
-    discard_since(mark, kept)
+    """The rows of docs, all columns, without those whose text is linked, by one or more links, with that of a smaller doc_id; of rows of one
+    doc_id and text one stays. Different texts of one doc_id are documents of their own, the smaller one that with the lesser hash."""
     plain, (doc_id, text), own = whole_rows(docs, "doc_id", "text")
-    plain = plain.withColumn("node", _node(doc_id, text))
+    plain = plain.withColumns({"node": _node(doc_id, text), "version": F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))})
+    groups = scratch(docs.sparkSession, "groups")
+    versions = plain.select("node", "version").distinct()
+    # Nodes are numbered anew, in their order, only if some doc_id has several texts: the texts are shuffled for it.
+    if not versions.groupBy("node").count().where("count > 1").isEmpty():
+        numbers = cut(versions.orderBy("node", "version").withColumn("number", F.monotonically_increasing_id()), "numbers")
+        plain = plain.join(numbers, ["node", "version"]).drop("node").withColumnRenamed("number", "node")
+    mark = made()
+    rows = plain.select(doc_id.cast("long").alias("doc_id"), "node", text.cast("string").alias("text"))
+    found = written(_grouped(rows, shingle, percent).select("node", "least"), groups)
+    discard_since(mark)
     left = plain.join(found.where(F.col("node") != F.col("least")).select("node").distinct(), "node", "left_anti")
     # The rows by node are few to count; the texts are shuffled for it only if some node has several rows.
     if not found.groupBy("node").count().where("count > 1").isEmpty():
@@ -167,11 +175,10 @@ def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> D
     return left.select(*[f"_{i}" for i in range(len(own))]).toDF(*own)
 
 
-def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, node, n_shingles and the least node of each row's component."""
-    spark = docs.sparkSession
+def _grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id, node, n_shingles and the least node of each row's component, from rows (doc_id, node, text)."""
+    spark = rows.sparkSession
     bounded_batches(spark)
-    rows = pick(docs, doc_id="long", text="string").withColumn("node", _node(F.col("doc_id"), F.col("text")))
     sets = cut(_sets(rows, shingle), "sets")
     # bands and sketch are those of the set: any row of a class has the same
     classes = sets.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("node").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))

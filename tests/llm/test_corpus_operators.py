@@ -377,3 +377,14 @@ def test_repeats_of_a_phrase_in_all_rows(spark, monkeypatch):
         held[r["bucket"]] += len(repeats.S.spread(raw))
         single += r["bucket"] >= runs and set(repeats.S.unplanes(counts, np.int64).tolist()) == {1}
     assert single and max(n for b, n in held.items() if b < runs) <= (1 << 20)
+
+
+def test_deduplication_decides_by_row(spark):
+    """Different texts of one doc_id: one is a near copy of a smaller doc_id's, the other is not and has a near copy itself."""
+    words = [f"{a}{b}" for a in "bcdfghklmn" for b in ("ada", "ebe", "ici", "odo", "ufu", "ala", "eme", "ini")]
+    one, two = words[:70], words[:9:-1]
+    given = [(1, one), (5, [*one[:-1], "changed"]), (5, two), (5, two), (7, [*two[:-1], "changed"]), (None, [*words[::3], *words[1::3]])]
+    docs = spark.createDataFrame([(i, " ".join(w), k) for k, (i, w) in enumerate(given)], "doc_id long, text string, at int")
+    for partitions in (1, 4):
+        left = sorted(r["at"] for r in minhash.deduplicated(docs.repartition(partitions)).collect())
+        assert left in ([0, 2, 5], [0, 3, 5])
