@@ -17,8 +17,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def character_class(ranges: Iterable[tuple[int, int]]) -> str:
-    """A Java regular expression for one scalar in the ranges."""
-    return "[" + "".join(rf"\x{{{a:X}}}" if a == b else rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
+    """A Java regular expression for one scalar in the ranges. Scalars below all of them fail at the look-ahead, one comparison; a class of many
+    ranges takes one for each."""
+    ranges = list(ranges)
+    return rf"(?=[\x{{{min(a for a, _ in ranges):X}}}-\x{{10FFFF}}])[" + "".join(rf"\x{{{a:X}}}" if a == b else rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
 
 
 DICP_CLASS = character_class(DEFAULT_IGNORABLE)
@@ -42,28 +44,37 @@ def occurrences(text: Column, one: str) -> Column:
     return F.regexp_count(text, F.lit(one)).cast("long")
 
 
+def _split(text: Column, one: str, most: int = -1) -> tuple[Column, Column]:
+    """The pieces around the scalars of the class, the first `most` of them and the rest as one, and the scalars themselves."""
+    return F.split(text, one, most), F.regexp_extract_all(text, F.lit(one), F.lit(0))
+
+
 def locations(text: Column, one: str, most: int = LOCATIONS) -> Column:
-    """The first `most` scalars of the class: code point, abbreviation (of bidi controls), byte and scalar offset. Texts without any are not
-    taken apart."""
+    """The first `most` scalars of the class: code point, abbreviation (of bidi controls), byte and scalar offset. The text is cut at them once,
+    and offsets are running sums of the pieces' lengths."""
     names = F.create_map(*[F.lit(v) for c, n in BIDI_CONTROL.items() for v in (f"U+{c:04X}", n)])
+    kind = "array<struct<code_point:string,abbreviation:string,byte_offset:bigint,scalar_offset:bigint>>"
 
     def found(t: Column) -> Column:
-        hits = F.filter(F.transform(scalars(t), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: x["c"].rlike(one))
-        return F.transform(
-            F.slice(hits, 1, most),
-            lambda x: F.struct(
-                code_point(x["c"]).alias("code_point"),
-                F.try_element_at(names, code_point(x["c"])).alias("abbreviation"),
-                F.octet_length(F.substring(t, F.lit(1), x["i"])).cast("long").alias("byte_offset"),
-                x["i"].cast("long").alias("scalar_offset"),
-            ),
-        )
+        pieces, hits = _split(t, one, most + 1)
+        around = F.zip_with(F.slice(hits, 1, most), F.slice(pieces, 1, most), lambda h, p: F.struct(h.alias("h"), F.octet_length(p).cast("long").alias("b"), F.char_length(p).cast("long").alias("s")))
+        start = F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("s"), F.array().cast(kind).alias("out"))
+
+        def step(at: Column, x: Column) -> Column:
+            hit = F.struct(code_point(x["h"]).alias("code_point"), F.try_element_at(names, code_point(x["h"])).alias("abbreviation"), (at["b"] + x["b"]).alias("byte_offset"), (at["s"] + x["s"]).alias("scalar_offset"))
+            return F.struct((at["b"] + x["b"] + F.octet_length(x["h"])).alias("b"), (at["s"] + x["s"] + 1).alias("s"), F.concat(at["out"], F.array(hit).cast(kind)).alias("out"))
 
-    none = F.array().cast("array<struct<code_point:string,abbreviation:string,byte_offset:bigint,scalar_offset:bigint>>")
-    return F.when(text.rlike(one), let(text, found)).otherwise(none)
+        return F.aggregate(F.filter(around, lambda x: x["h"].isNotNull()), start, step, lambda at: at["out"])
+
+    return F.when(text.rlike(one), let(text, found)).otherwise(F.array().cast(kind))
 
 
 def human_safe(text: Column) -> Column:
     """Forbidden controls as \\u{hex}, everything else as it is."""
-    escaped = F.array_join(F.transform(scalars(text), lambda c: F.when(c.rlike(FORBIDDEN_CLASS), F.concat(F.lit("\\u{"), F.lower(F.hex(F.ascii(c))), F.lit("}"))).otherwise(c)), "")
-    return F.when(text.rlike(FORBIDDEN_CLASS), escaped).otherwise(text)
+
+    def escaped(t: Column) -> Column:
+        pieces, hits = _split(t, FORBIDDEN_CLASS)
+        shown = F.transform(hits, lambda c: F.concat(F.lit("\\u{"), F.lower(F.hex(F.ascii(c))), F.lit("}")))
+        return F.array_join(F.zip_with(pieces, shown, lambda p, h: F.concat(p, F.coalesce(h, F.lit("")))), "")
+
+    return F.when(text.rlike(FORBIDDEN_CLASS), let(text, escaped)).otherwise(text)

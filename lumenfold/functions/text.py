@@ -37,12 +37,16 @@ def difference(text: str, form: str) -> dict | None:
 _DIFFERENCE = "struct<normalized_sha256 string, normalized_byte_length long, normalized_scalar_count long, first_difference string, unassigned boolean>"
 
 
+#: Scalars that may be unassigned: below U+0300 none is.
+_BEYOND = re.compile("[^\0-\u02ff]")
+
+
 def _differences(column: pd.Series, form: str) -> pd.DataFrame:
     rows = []
     for t in column:
         found = None if t is None else difference(t, form)
         row = dict.fromkeys(("normalized_sha256", "normalized_byte_length", "normalized_scalar_count", "first_difference")) | (found or {})
-        row["unassigned"] = t is not None and any(unicodedata.category(c) == "Cn" and not (0xFDD0 <= ord(c) <= 0xFDEF or ord(c) & 0xFFFE == 0xFFFE) for c in t if ord(c) > 0x2FF)
+        row["unassigned"] = t is not None and any(unicodedata.category(c) == "Cn" and not (0xFDD0 <= ord(c) <= 0xFDEF or ord(c) & 0xFFFE == 0xFFFE) for c in set(_BEYOND.findall(t)))
         rows.append(row)
     out = pd.DataFrame(rows, columns=["normalized_sha256", "normalized_byte_length", "normalized_scalar_count", "first_difference", "unassigned"])
     return out.astype({"normalized_byte_length": "Int64", "normalized_scalar_count": "Int64"})

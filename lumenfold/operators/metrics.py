@@ -170,7 +170,8 @@ def ngram_z(df: DataFrame, tokens: str, green, width: int = 4, gamma: float = 0.
     """Adds scored_units, green_count, score and p_value of the unique n-gram statistic. green(ngram) is the scheme's own predicate. At most
     `width` tokens have no units: score 0, p 1."""
     units = F.when(F.size(tokens) > width, ngrams(F.col(tokens), width)).otherwise(F.array().cast("array<array<int>>"))
-    df = df.withColumn("_u", units).withColumn("green_count", F.size(F.filter("_u", green))).withColumn("scored_units", F.size("_u")).drop("_u")
+    counted = let(units, lambda u: F.struct(F.size(u).alias("n"), F.size(F.filter(u, green)).alias("g")))
+    df = df.withColumn("_u", counted).withColumn("green_count", F.col("_u.g")).withColumn("scored_units", F.col("_u.n")).drop("_u")
     t = F.col("scored_units")
     z = F.when(t == 0, 0.0).otherwise((F.col("green_count") - gamma * t) / F.sqrt(t * F.lit(gamma * (1 - gamma))))
     df = df.withColumn("score", z)
@@ -191,18 +192,27 @@ def weighted_mean(values: Column, mask: Column, depth: int) -> Column:
 
 
 def repetition_mask(tokens: Column, context: int, history: int | None = 1024) -> Column:
-    """For each position from `context` on: whether its context of that many tokens was not seen at the last `history` positions. Contexts are
-    sorted with their places, so a repeat stands next to what it repeats."""
-    contexts = F.slice(_grams(tokens, context), 1, F.greatest(F.size(tokens) - context, F.lit(0)))
-    placed = F.array_sort(F.transform(contexts, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-
-    def marked(z: Column) -> Column:
-        before = F.concat(F.array(F.lit(None).cast("struct<g:string,i:int>")), F.slice(z, 1, F.greatest(F.size(z) - 1, F.lit(0))))
-        near = (lambda a, b: b["i"] - a["i"] <= history) if history else (lambda a, b: F.lit(True))
-        fresh = F.zip_with(before, z, lambda a, b: F.struct(b["i"].alias("i"), (~F.coalesce((a["g"] == b["g"]) & near(a, b), F.lit(False))).alias("fresh")))
-        return F.transform(F.array_sort(fresh), lambda x: x["fresh"])
-
-    return F.when(F.size(contexts) > 0, F.transform(F.array(placed), marked)[0]).otherwise(F.array().cast("array<boolean>"))
+    """For each position from `context` on: whether its context of that many tokens was not seen at the last `history` positions. Contexts, as
+    64-bit hashes, are sorted with their places once, so a repeat stands next to what it repeats; the places of repeats, sorted, cut the mask."""
+    none = F.array().cast("array<boolean>")
+
+    def masked(t: Column) -> Column:
+        n = F.greatest(F.size(t) - context, F.lit(0))
+        at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        placed = F.array_sort(F.transform(at, lambda i: F.struct(F.xxhash64(*[F.get(t, i - 1 + k) for k in range(context)]).alias("g"), i.alias("i"))))
+
+        def marked(z: Column) -> Column:
+            before = F.concat(F.array(F.lit(None).cast("struct<g:bigint,i:int>")), F.slice(z, 1, F.greatest(F.size(z) - 1, F.lit(0))))
+            near = (lambda a, b: b["i"] - a["i"] <= history) if history else (lambda a, b: F.lit(True))
+            repeats = F.zip_with(before, z, lambda a, b: F.when((a["g"] == b["g"]) & near(a, b), b["i"]))
+            # runs of fresh positions between repeats, each run followed by one that is not
+            cuts = F.concat(F.array(F.lit(0)), F.sort_array(F.array_compact(repeats)), F.array(F.size(z) + 1))
+            runs = F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts) - 1), lambda a, b: F.concat(F.array_repeat(F.lit(True), b - a - 1), F.array(F.lit(False))))
+            return F.slice(F.flatten(runs), 1, F.size(z))
+
+        return F.when(n > 0, let(placed, marked)).otherwise(none)
+
+    return F.when(tokens.isNull(), none).otherwise(let(tokens, masked))
 
 
 def filtered_probabilities(df: DataFrame, logits: str, temperature: float, top_k: int | None, top_p: float | None) -> DataFrame:

@@ -74,17 +74,29 @@ def rank(mechanism: Column) -> Column:
     return out
 
 
-def reports(findings: DataFrame) -> DataFrame:
-    """Findings grouped back: (artifact_id, report), the report being JSON with nulls shown, findings in canonical order, evidence by name."""
-    fields = [c for c in ("mechanism_id", "mechanism_version", "status", "evidence", "limitations") if c in findings.columns]
-    one = F.struct(rank(F.col("mechanism_id")).alias("rank"), *fields)
-    grouped = findings.groupBy("artifact_id", "byte_length", "content_sha256").agg(F.array_sort(F.collect_list(one)).alias("all"))
+FIELDS = ("mechanism_id", "mechanism_version", "status", "evidence", "limitations")
+
+
+def _report(all_: Column, fields: list[str]) -> Column:
     body = F.struct(
         F.lit("0.2").alias("schema_version"),
         F.struct(F.col("byte_length"), F.col("content_sha256")).alias("artifact"),
-        F.transform("all", lambda x: F.struct(*[(F.array_sort(x[f]) if f in ("evidence", "limitations") else x[f]).alias(f) for f in fields])).alias("findings"),
+        F.transform(all_, lambda x: F.struct(*[(F.array_sort(x[f]) if f in ("evidence", "limitations") else x[f]).alias(f) for f in fields])).alias("findings"),
     )
-    return grouped.select("artifact_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("report"))
+    return F.to_json(body, {"ignoreNullFields": "false"}).alias("report")
+
+
+def reports(findings: DataFrame) -> DataFrame:
+    """Findings grouped back: (artifact_id, report), the report being JSON with nulls shown, findings in canonical order, evidence by name."""
+    fields = [c for c in FIELDS if c in findings.columns]
+    one = F.struct(rank(F.col("mechanism_id")).alias("rank"), *fields)
+    grouped = findings.groupBy("artifact_id", "byte_length", "content_sha256").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    return grouped.select("artifact_id", _report(F.col("all"), fields))
+
+
+def reports_of(inspected: DataFrame) -> DataFrame:
+    """The same from inspected artifacts, whose findings are an array in canonical order already: no shuffle."""
+    return inspected.select("artifact_id", _report(F.col("findings"), list(FIELDS)))
 
 
 def semantic_digest(reports_: DataFrame) -> DataFrame:

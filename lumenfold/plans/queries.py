@@ -17,6 +17,7 @@ from ..functions import scalars as S
 
 from ..operators import calibrate, c2pa, evidence, inspect, ledger, metrics, quality, report, samples, transforms, windows
 from ..sources import artifacts as A
+from ..sources.tables import dealt, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,8 +34,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_table = stored
 
 
 def _chr(code: int) -> Column:
@@ -43,7 +43,7 @@ def _chr(code: int) -> Column:
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with characters put in front: a zero-width space (id % 3 = 1), or an override, an `e` with an acute and a ligature (= 2)."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = dealt(_table(spark, sf_dir, "documents"))
     rest = F.col("doc_id") % 3
     text = F.when(rest == 1, F.concat(F.lit("a"), _chr(0x200B), "text")).when(rest == 2, F.concat(_chr(0x202E), F.lit("e"), _chr(0x301), _chr(0xFB03), "text")).otherwise(F.col("text"))
     return docs.withColumn("text", text)
@@ -108,7 +108,7 @@ def findings_by_status(spark, sf_dir):
 
 @query()
 def report_json(spark, sf_dir):
-    return report.reports(inspect.findings(A.from_text(_marked(spark, sf_dir), "doc_id", "text", "documents")))
+    return report.reports_of(inspect.inspected(A.from_text(_marked(spark, sf_dir), "doc_id", "text", "documents")))
 
 
 @query("SELECT mechanism_id, count(*) AS findings, count(*) FILTER (WHERE supported) AS supporting FROM (SELECT unnest(['unicode.bidi_control', 'c2pa.credential_trust', 'other.mechanism']) AS mechanism_id, lang, doc_id % 2 = 0 AS present FROM documents), LATERAL (SELECT present AND mechanism_id <> 'other.mechanism' AS supported) GROUP BY mechanism_id")
@@ -161,7 +161,7 @@ def derived_seeds(spark, sf_dir):
 
 
 def _word_lengths(spark, sf_dir) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = dealt(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.transform(F.split("text", " "), lambda w: F.char_length(w).cast("int")).alias("tokens"))
 
 
@@ -322,16 +322,17 @@ def entropy_summary(spark, sf_dir):
     SELECT doc_id, CAST(t AS INT) AS scored_units, CAST(green AS INT) AS green_count, round((green - 0.25::DOUBLE * t) / sqrt(t * 0.1875::DOUBLE), 9) AS score FROM c""")
 def ngram_units(spark, sf_dir):
     green = lambda g: F.aggregate(g, F.lit(0), lambda s, x: s + x) % 4 == 0
-    found = metrics.ngram_z(_word_lengths(spark, sf_dir), "tokens", green)
-    return found.where("scored_units > 0").select("doc_id", "scored_units", "green_count", F.round("score", 9).alias("score"))
+    # the filter is on what decides it: on the units, it would have them worked out twice
+    found = metrics.ngram_z(_word_lengths(spark, sf_dir).where(F.size("tokens") > 4), "tokens", green)
+    return found.select("doc_id", "scored_units", "green_count", F.round("score", 9).alias("score"))
 
 
 @query(f"""WITH g AS (SELECT doc_id, tokens, unnest(range(1, len(tokens) - 3)) AS i FROM {_WORD_LENGTHS} WHERE len(tokens) > 4), k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, tokens[i : i + 3] ORDER BY i) AS r FROM g)
     SELECT doc_id, count(*) AS positions, count(*) FILTER (WHERE r = 1) AS scored FROM k GROUP BY doc_id""")
 def repetition_mask(spark, sf_dir):
     mask = metrics.repetition_mask(F.col("tokens"), 4, None)
-    found = _word_lengths(spark, sf_dir).withColumn("mask", mask)
-    return found.where(F.size("mask") > 0).select("doc_id", F.size("mask").cast("long").alias("positions"), F.size(F.filter("mask", lambda m: m)).cast("long").alias("scored"))
+    found = _word_lengths(spark, sf_dir).where(F.size("tokens") > 4).withColumn("mask", mask)
+    return found.select("doc_id", F.size("mask").cast("long").alias("positions"), F.size(F.filter("mask", lambda m: m)).cast("long").alias("scored"))
 
 
 @query(r"""WITH d AS (SELECT doc_id, text || ' 12 and 3.5 and 12 and "' || lang || '" end' AS a, text || ' 12 and 4.5 and "' || lang || '" end' AS b FROM documents),
@@ -339,7 +340,7 @@ def repetition_mask(spark, sf_dir):
     xs AS (SELECT doc_id, v, count(*) AS n FROM (SELECT doc_id, unnest(x) AS v FROM q) GROUP BY ALL), ys AS (SELECT doc_id, v, count(*) AS m FROM (SELECT doc_id, unnest(y) AS v FROM q) GROUP BY ALL)
     SELECT doc_id, CAST(sum(n) AS BIGINT) AS source_count, CAST(sum(least(n, coalesce(m, 0))) AS BIGINT) AS preserved_count, round(sum(least(n, coalesce(m, 0))) / sum(n), 12) AS recall FROM xs LEFT JOIN ys USING (doc_id, v) GROUP BY doc_id""")
 def literal_recall(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
+    docs = dealt(_table(spark, sf_dir, "documents"))
     quote = F.concat(F.lit('"'), "lang", F.lit('" end'))
     rows = docs.select("doc_id", F.concat("text", F.lit(" 12 and 3.5 and 12 and "), quote).alias("a"), F.concat("text", F.lit(" 12 and 4.5 and "), quote).alias("b"))
     found = quality.literal_recall(rows, "doc_id", "a", "b").where("kind = 'quoted_literals'")
@@ -355,7 +356,7 @@ def final_number(spark, sf_dir):
 
 @query(r"""SELECT doc_id, trim(array_to_string(list_transform(string_split(text, chr(10)), lambda x: rtrim(regexp_replace(x, '[\t ]+', ' ', 'g'))), chr(10)), ' ' || chr(10)) AS text FROM documents""")
 def whitespace_norm(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", transforms.whitespace(F.col("text")).alias("text"))
+    return dealt(_table(spark, sf_dir, "documents")).select("doc_id", transforms.whitespace(F.col("text")).alias("text"))
 
 
 @query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') AS s FROM documents)
