@@ -8,17 +8,17 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simple8b, words
-from .common import LAST_ID, arrow_schema, batch, bounded_batches, pick, scratch, texts, written
+from .common import LAST_ID, arrow_schema, batch, bounded_batches, pick, scratch, written
 from .staged import get, put
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
@@ -28,7 +28,7 @@ MAGIC = b"LFS8B\0\0\1"
 #: Words whose ids a worker keeps; at this number it starts anew, so its memory is bounded.
 CACHED_WORDS = 600_000
 #: Rows encoded at once.
-ROWS = 512
+ROWS = 1024
 
 _tokenizers: dict[int, "WordTokenizer"] = {}
 
@@ -138,13 +138,19 @@ class WordTokenizer:
         self.flat[self.used : end] = ids
         self.used = end
 
-    def encode_all(self, rows: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all rows one after another, with end_id after each, and the number of each row's."""
-        split = [r.encode("utf-8", "surrogatepass").split() for r in rows]
+    def encode_all(self, rows: pa.Array | list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows one after another, with end_id after each, and the number of each row's. Words are split and numbered within the
+        batch by Arrow, so that each of its distinct words is looked up once; the empty word (at a text's edge) has no ids."""
+        if not isinstance(rows, pa.Array):
+            rows = pa.array([r.encode("utf-8", "replace").decode() for r in rows], pa.string())
+        split = pc.ascii_split_whitespace(pc.fill_null(rows, ""))
         if len(self.known) > CACHED_WORDS:
             self.clear()
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        counts = np.diff(split.offsets.to_numpy())
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary() if pa.types.is_large_string(coded.dictionary.type) else pa.binary()).to_pylist()
+        numbers = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        at = numbers[coded.indices.to_numpy()]
         if self.known.new:
             self._learn()
         starts, lengths, flat = self.starts, self.lengths, self.flat
@@ -235,9 +241,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             return row
 
         for b in batches:
-            rows = list(texts(b.column(1)))
-            for low in range(0, len(rows), ROWS):
-                got, per = encoder.encode_all(rows[low : low + ROWS], end_id)
+            for low in range(0, len(b), ROWS):
+                got, per = encoder.encode_all(b.column(1).slice(low, ROWS), end_id)
                 ids.append(got)
                 counts.append(per)
                 doc_ids += b.column(0).slice(low, ROWS).to_pylist()
