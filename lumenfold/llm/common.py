@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,28 @@ def pick(df: DataFrame, **kinds: str) -> DataFrame:
     return plain.select(*[at(n).cast(k).alias(n) for n, k in kinds.items()])
 
 
+_caches: dict[str, object] = {}
+
+
+def only(name: str, clear) -> None:
+    """To be called in a worker before cache `name` is used there: a worker lives through many stages, and caches of other operators' are cleared,
+    so that it never holds more than one."""
+    others = [k for k in _caches if k != name]
+    for k in others:
+        _caches.pop(k)()
+    _caches[name] = clear
+    if others:
+        import ctypes
+        import gc
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches follow BATCH_ROWS and BATCH_BYTES from now on, unless the session has smaller ones."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
@@ -96,11 +118,36 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """cut(), and the folder, to be named to discard_since() while it is needed."""
+    path = scratch(df.sparkSession, what)
+    return written(df, path), path
+
+
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """df with its lineage cut by a written table."""
     return written(df, scratch(df.sparkSession, what))
 
 
+#: Bits of a sieve, and of one row of it: a sieve is 8 MB, however much goes into it.
+SIEVE_BITS, _ROW_BITS = 1 << 26, 1 << 15
+
+
+def sieved(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """df without most of the rows whose key is not among wanted's, and with all others: a bit for each hash of a wanted key, put together by
+    aggregates of a fixed size and broadcast. So the exact join after it need not exchange the whole of df. With some hundred million keys and
+    more it lets most rows through, which costs time only."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS))
+    words = wanted.select(bit(wanted_key).alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("b", F.lit(64)).cast("int"))).alias("v"))
+    per_row = _ROW_BITS // 64
+    rows = words.groupBy(F.floor(F.col("w") / per_row).cast("long").alias("_row")).agg(F.map_from_entries(F.collect_list(F.struct(F.pmod("w", F.lit(per_row)).cast("int"), "v"))).alias("m"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(per_row - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
+    sieve = cut(rows.select("_row", at.alias("_words")), "sieve")
+    known = df.withColumn("_bit", bit(key)).join(F.broadcast(sieve), F.shiftright(F.col("_bit"), 15) == F.col("_row"))
+    held = F.call_function("shiftright", F.get("_words", F.pmod(F.shiftright("_bit", 6), F.lit(per_row)).cast("int")), F.pmod("_bit", F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+    return known.where(held != 0).drop("_bit", "_row", "_words")
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

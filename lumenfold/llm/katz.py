@@ -80,6 +80,7 @@ class Tokens:
 
     def __init__(self, chunk: S.Chunk) -> None:
         self.ids = chunk.ids
+        W.hasher.alone()
         distinct, numbers, counts = W.hasher.numbered([t.decode("utf-8", "surrogatepass") for t in chunk.texts])
         # the end and the beginning take the first two numbers: no word's hash is less
         self.words = np.concatenate([[END, BEGIN], distinct])

@@ -5,7 +5,7 @@
    own (optimal densification, Shrivastava 2017). BANDS bands of ROWS bins make bucket keys. A pair at similarity 0.8 shares no bucket with
    probability (1 - 0.8**5)**40, about 1e-7; a more similar pair with less.
 3. In each bucket every member is paired with the least one only, if set sizes and parities allow, and the link is confirmed on the full
-   sets. Parities are those of the numbers of hashes in PARITIES cells: where two sets' parities differ, at least one hash is in one set only,
+   sets. Members only meet those of their own class of set sizes and the two beside it, as links need sizes within the threshold. Parities are those of the numbers of hashes in PARITIES cells: where two sets' parities differ, at least one hash is in one set only,
    so their number bounds the sets' difference from below and the similarity from above. No link is lost by that, and pairs that share a
    bucket by a common passage, or are near the threshold below it, mostly go untested.
 4. Confirmed links make components. Buckets whose members still are in several components go another round without the hubs that have met
@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import arrow_schema, batch, bounded_batches, cut, discard_since, made, pick, scratch, texts, whole_rows, written
+from .common import arrow_schema, batch, bounded_batches, cut, discard_since, kept, made, pick, scratch, sieved, texts, whole_rows, written
 from .components import components
 
 BANDS, ROWS = 40, 5
@@ -102,6 +103,7 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            W.hasher.alone()
             hashes, counts = W.hasher(list(texts(b.column(2))))
             n, hi, lo, sketches, bands = [], [], [], [], []
             for h in np.split(hashes, np.cumsum(counts)[:-1]) if len(counts) else []:
@@ -175,43 +177,61 @@ def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> D
     return left.select(*[f"_{i}" for i in range(len(own))]).toDF(*own)
 
 
+def _neighbours() -> Column:
+    """The classes of set sizes that a set of class `size` can be linked with: each is a little wider than the threshold."""
+    return F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)
+
+
 def _grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """doc_id, node, n_shingles and the least node of each row's component, from rows (doc_id, node, text)."""
     spark = rows.sparkSession
     bounded_batches(spark)
-    sets = cut(_sets(rows, shingle), "sets")
+    mark = made()
+    full = cut(_sets(rows, shingle), "sets")
     # bands and sketch are those of the set: any row of a class has the same
-    classes = sets.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("node").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    classes = cut(classes, "classes")
+    first = [F.first(c).alias(c) for c in ("sketch", "bands")]
+    classes = cut(full.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("node").alias("node"), F.first("n_shingles").alias("n"), *first), "classes")
     buckets = classes.select("node", F.explode("bands").alias("key"))
-    met = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    open_ = buckets.join(met, "key").join(classes.select("node", "n", "sketch"), "node")
-    open_ = cut(open_.select("key", "node", "n", "sketch", F.col("node").alias("c")), "open")
-    held = cut(rows.join(open_.select("node").distinct(), "node").select("node", "text"), "held")
+    met = cut(buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "met")
+    # Both sides of a join by bucket are tables as they are stored, so that the join may split a large one.
+    inside = cut(buckets.join(met, "key"), "inside")
+    size = F.floor(F.ln(F.col("n").cast("double")) / (1.0001 * math.log(100 / percent))).cast("int")
+    open_ = inside.join(classes.select("node", "n", size.alias("size"), "sketch"), "node")
+    open_, at = kept(open_.select("key", "size", "node", "n", "sketch", F.col("node").alias("c")), "open")
+    sets, at_sets = kept(full.select("doc_id", "node", "n_shingles", "hi", "lo"), "rows")
+    classes, at_classes = kept(classes.select("hi", "lo", "node"), "names")
+    wanted = open_.select("node").distinct()
+    held, at_held = kept(sieved(rows, F.col("node"), wanted, F.col("node")).join(wanted, "node").select("node", "text"), "held")
+    needed = [at_sets, at_classes, at_held]
+    discard_since(mark, at, *needed)
     tested: DataFrame | None = None
     labels: DataFrame | None = None
     hubs_each = 1
     while not open_.isEmpty():
         part = F.pmod(F.xxhash64("node", F.lit(hubs_each)), F.lit(hubs_each))
-        hubs = open_.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "n", "c", "sketch")).alias("h"))
-        hubs = cut(hubs.select("key", F.col("h.node").alias("a"), F.col("h.n").alias("na"), F.col("h.c").alias("ca"), F.col("h.sketch").alias("sa")), "hubs")
+        hubs = open_.groupBy("key", "size", part.alias("part")).agg(F.min(F.struct("node", "n", "c", "sketch")).alias("h"))
+        hubs = cut(hubs.select("key", "size", F.col("h.node").alias("a"), F.col("h.n").alias("na"), F.col("h.c").alias("ca"), F.col("h.sketch").alias("sa")), "hubs")
         differing = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sa")[i])) for i in range(PARITIES // 64)), F.lit(0))
         # |A ^ B| <= (|A| + |B|) (100 - percent) / (100 + percent) is the similarity's threshold
         near = (F.col("ca") != F.col("c")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na")) & (differing * (100 + percent) <= (F.col("n") + F.col("na")) * (100 - percent))
-        pairs = open_.join(hubs, (open_["key"] == hubs["key"]) & near).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        around = hubs.withColumn("size", F.explode(_neighbours()))
+        pairs = open_.join(around, (open_["key"] == around["key"]) & (open_["size"] == around["size"]) & near).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        done = cut(_confirmed(pairs, held, shingle, percent), "links")
+        done, at_links = kept(_confirmed(pairs, held, shingle, percent), "links")
+        needed.append(at_links)
         tested = done.select("a", "b") if tested is None else tested.unionAll(done.select("a", "b"))
         fresh = done.where("linked").select("a", "b")
         if labels is None or not fresh.isEmpty():
             known = fresh if labels is None else fresh.unionAll(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            labels = cut(components(known), "labels")
-        # a hub has met every member of its bucket that is in another component
+            labels, at_labels = kept(components(known), "labels")
+        # a hub has met every member of its bucket that is in another component and of a size near enough
         left = open_.join(hubs.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
         left = left.drop("c").join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-        several = left.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-        open_ = cut(left.join(several, "key").select("key", "node", "n", "sketch", "c"), "open")
+        left = cut(left.select("key", "size", "node", "n", "sketch", "c"), "left")
+        several = left.select("key", F.explode(_neighbours()).alias("size"), "c").groupBy("key", "size").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key", "size")
+        open_, at = kept(left.join(cut(several, "several"), ["key", "size"]), "open")
+        discard_since(mark, at, at_labels, *needed)
         hubs_each = min(HUB_GROWTH * hubs_each, 1 << 20)
     if labels is None:
         labels = spark.createDataFrame([], "node long, component long")

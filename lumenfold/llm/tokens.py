@@ -17,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import simple8b, words
-from .common import LAST_ID, arrow_schema, batch, bounded_batches, pick, scratch, written
+from . import simple8b
+from .common import LAST_ID, arrow_schema, batch, bounded_batches, only, pick, scratch, written
 from .staged import get, put
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
@@ -26,7 +26,7 @@ TOKENIZER, END_ID = "word_bpe_49k.json", 1
 FILE_IDS = 4 << 20
 MAGIC = b"LFS8B\0\0\1"
 #: Words whose ids a worker keeps; at this number it starts anew, so its memory is bounded.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 #: Rows encoded at once.
 ROWS = 1024
 
@@ -171,10 +171,10 @@ class WordTokenizer:
 
 def encoder_of(json: str) -> WordTokenizer:
     """The worker's own, kept from task to task. (A function of the module: a task's closure would carry a copy of the dictionary.)"""
+    only("tokens", _tokenizers.clear)
     own = hash(json)
     if own not in _tokenizers:
         _tokenizers.clear()
-        words.hasher.clear()  # of another operator in this worker
         _tokenizers[own] = WordTokenizer(json)
     return _tokenizers[own]
 

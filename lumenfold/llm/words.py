@@ -7,6 +7,8 @@ from itertools import chain
 import numpy as np
 import xxhash
 
+from .common import only
+
 #: Words a worker keeps; it starts anew beyond that, so its memory is bounded.
 KEPT = 300_000
 #: Characters of the rows that are split at once.
@@ -31,6 +33,9 @@ class Hasher:
     def clear(self) -> None:
         self.numbers, self.hashes, self.used = _Numbers(), np.zeros(1 << 16, np.uint64), 0
 
+    def alone(self) -> None:
+        only("words", self.clear)
+
     def __call__(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The hashes of all rows' words one after another, and the number of each row's. Rows are split into words some at a time."""
         hashes, counts, at = [], [], 0
