@@ -6,8 +6,8 @@ A stretch of LENGTH bytes has an anchor: the least hash of its K-byte grams, whi
    stretches that share an anchor go, as bytes, to the anchor's bucket: a third of all rows being copies sends no more than a chunk's worth.
    Where an anchor's runs hold more than HOT_BYTES in all, its stretches go one by one to buckets by content instead, which are as many
    as their bytes need: equal ones still meet, and no bucket grows with how common an anchor is.
-3. A bucket sorts the suffixes of its bytes by induction (see induced.py); neighbours with a common prefix of LENGTH bytes are one group,
-   and every stretch of a group whose document isn't the least is covered.
+3. A bucket sorts the suffixes of its bytes by induction, with common prefixes (see induced.py); neighbours that have LENGTH bytes in common
+   are one group, and every stretch of a group whose document isn't the least is covered.
 4. Answers go back by chunk, which marks covered bytes and returns what is left of each text."""
 
 from __future__ import annotations
@@ -21,15 +21,14 @@ from pyspark.sql import functions as F
 
 from . import staged as S
 from .common import LAST_ID, arrow_schema, batch, bounded_batches, discard, pick, scratch, written
-from .induced import suffix_order
+from .induced import IN_MEMORY, descending
 from .words import mixed
 
 LENGTH, K = 50, 24
-#: Buckets of runs for a bucket of anchors: sorting a byte takes some hundred bytes of memory.
-RUN_BUCKETS = 4
-#: Bytes of runs from which on an anchor is hot, and bytes of stretches for which there is one more bucket of hot ones. A bucket of these sorts
-#: records of LENGTH bytes, in a few times their memory.
-HOT_BYTES, HOT_BUCKET = 1 << 20, 16 << 20
+#: Buckets of runs for a bucket of anchors: what a bucket holds besides the queues takes some forty bytes of memory a byte.
+RUN_BUCKETS = 2
+#: Bytes of runs from which on an anchor is hot, and bytes of stretches for which there is one more bucket of hot ones.
+HOT_BYTES, HOT_BUCKET = 1 << 20, 4 << 20
 #: Bytes of the longest run of an anchor that occurs once, and stretches in it.
 _RUN, _RUN_STRETCHES = 2 * LENGTH - K, LENGTH - K + 1
 #: From so many runs of an anchor on, a chunk counts runs of the same bytes once.
@@ -252,24 +251,25 @@ def _several(table: pa.Table) -> list[tuple[int, bytes]]:
     return out + ([(-1, S.planes(np.array([units[hot].sum() * _RUN], np.int64)))] if hot.any() else [])
 
 
-def covered(ids: np.ndarray, counts: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Of runs of stretches (a document's rank, how many; their bytes one after another), which stretches also start in a lesser document."""
+def covered(ids: np.ndarray, counts: np.ndarray, text: np.ndarray, memory: int = IN_MEMORY, folder: str | None = None) -> np.ndarray:
+    """Of runs of stretches (a document's rank, how many; their bytes one after another), which stretches also start in a lesser document.
+    Suffixes come sorted with their common prefixes: stretches between which none is shorter than LENGTH are one group."""
     sizes = counts + LENGTH - 1
     begins = np.cumsum(sizes) - sizes
     total = int(counts.sum())
     ends = np.cumsum(counts)
-    starts = np.repeat(begins - (ends - counts), counts) + np.arange(total)
-    number = np.full(len(text), -1, np.int64)
-    number[starts] = np.arange(total)
-    order = number[suffix_order(text, LENGTH)]
-    order = order[order >= 0]
-    at = starts[order]
-    same = np.ones(max(0, total - 1), bool)
-    eight = np.ndarray((len(text) - 7,), np.uint64, np.ascontiguousarray(text), strides=(1,))
-    for k in (0, 8, 16, 24, 32, 40, LENGTH - 8):
-        w = eight[at + k]
-        same &= w[1:] == w[:-1]
-    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    number = np.full(len(text), -1, np.int32 if total < 1 << 31 else np.int64)
+    number[np.repeat(begins - (ends - counts), counts) + np.arange(total)] = np.arange(total)
+    order, groups, breaks = [], [], 0
+    for positions, common in descending(text, LENGTH, memory, folder):
+        found = number[positions]
+        group = breaks + np.cumsum(common < LENGTH)
+        breaks = int(group[-1])
+        own = found >= 0
+        order.append(found[own])
+        groups.append(group[own])
+    order, group = np.concatenate(order), np.concatenate(groups)
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     rank = np.repeat(ids, counts)[order]
     least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, total)))
     out = np.zeros(total, bool)
@@ -277,28 +277,7 @@ def covered(ids: np.ndarray, counts: np.ndarray, text: np.ndarray) -> np.ndarray
     return out
 
 
-def _hot_judged(table: pa.Table) -> list[tuple[int, bytes]]:
-    """_judged() of a bucket of single stretches: they are sorted as records of LENGTH bytes, eight at a time."""
-    chunks, ids, raw = [], [], []
-    for c, b in zip(table["chunk"].to_pylist(), table["blob"].to_pylist(), strict=True):
-        i, _, t = S.parts(b)
-        chunks.append(c)
-        ids.append(S.unplanes(i, np.int64))
-        raw.append(S.spread(t))
-    rank = np.concatenate(ids)
-    records = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, LENGTH)
-    columns = [np.ascontiguousarray(records[:, k : k + 8]).view(np.uint64)[:, 0] for k in (*range(0, LENGTH - 8, 8), LENGTH - 8)]
-    order = np.lexsort(columns)
-    first = np.ones(len(order), bool)
-    first[1:] = np.any([c[order[1:]] != c[order[:-1]] for c in columns], axis=0)
-    at = np.flatnonzero(first)
-    own = np.empty(len(order), bool)
-    own[order] = rank[order] > np.repeat(np.minimum.reduceat(rank[order], at), np.diff(np.append(at, len(order))))
-    ends = np.cumsum([len(i) for i in ids]).tolist()
-    return [(c, S.squeezed(np.packbits(own[e - len(i) : e]).tobytes())) for c, i, e in zip(chunks, ids, ends, strict=True)]
-
-
-def _judged(table: pa.Table) -> list[tuple[int, bytes]]:
+def _judged(table: pa.Table, folder: str) -> list[tuple[int, bytes]]:
     """Answers of a bucket: by chunk, which of the stretches it sent are covered."""
     chunks, ids, counts, places = [], [], [], []
     known: dict[bytes, int] = {}  # a run of the same bytes is sorted once, for its least document
@@ -321,7 +300,7 @@ def _judged(table: pa.Table) -> list[tuple[int, bytes]]:
         places.append(np.array(own))
     sizes = np.fromiter(map(len, known), np.int64, len(known)) - (LENGTH - 1)
     first = np.array(least)
-    marks = covered(first, sizes, np.frombuffer(b"".join(known), np.uint8))
+    marks = covered(first, sizes, np.frombuffer(b"".join(known), np.uint8), folder=folder)
     begins = np.cumsum(sizes) - sizes
     out = []
     for c, i, n, k in zip(chunks, ids, counts, places, strict=True):
@@ -411,7 +390,7 @@ def repeats(docs: DataFrame) -> DataFrame:
                 yield batch([[number] * len(out), [k for k, _ in out], [None] * len(out), [x for _, x in out]], schema)
 
     segments = S.answered(manifest, shared).mapInArrow(send, BLOBS)
-    judged = written(_by_bucket(segments, lambda table: (_judged if table["bucket"][0].as_py() < runs else _hot_judged)(table)), f"{folder}/judged")
+    judged = written(_by_bucket(segments, lambda table: _judged(table, f"{folder}/queues")), f"{folder}/judged")
     out_schema = arrow_schema(REPEATS)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -307,21 +307,43 @@ def test_katz_of_higher_order(spark, monkeypatch, order, share):
     assert all(abs(f[1] - e[1]) < 1e-6 for f, e in zip(found, expected, strict=True))
 
 
-def test_suffixes_are_in_order():
+def common_prefix(a: bytes, b: bytes) -> int:
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def sorted_by_induction(text: np.ndarray, depth: int, **bounds) -> None:
+    raw = text.tobytes()
+    batches = list(induced.descending(text, depth, **bounds))
+    order, common = (np.concatenate(x).tolist() for x in zip(*batches, strict=True))
+    heads = [raw[i : i + depth] for i in order]
+    assert sorted(order) == list(range(len(raw))) and heads == sorted(heads, reverse=True)
+    assert common[1:] == [common_prefix(a, b) for a, b in zip(heads[:-1], heads[1:], strict=True)]
+
+
+@pytest.mark.parametrize("least, ranges", [(2, 1024), (2, 4), (40, 16), (1 << 20, 1024)])
+def test_suffixes_are_in_order_with_their_common_prefixes(monkeypatch, least, ranges):
+    """least: names from which on they are sorted by recursion; ranges: so few that the queue's ranges hold several priorities."""
+    monkeypatch.setattr(induced, "LEAST", least)
+    monkeypatch.setattr(induced, "RANGES", ranges)
     rng = np.random.default_rng(0)
-    for _ in range(150):
-        text = rng.integers(97, 97 + int(rng.integers(1, 5)), int(rng.integers(1, 80))).astype(np.uint8)
-        raw = text.tobytes()
-        order = induced.suffix_order(text, 100).tolist()
-        assert order == sorted(range(len(raw)), key=lambda i: raw[i:])
-
-
-def test_queues_spill_to_disk():
-    queues = induced.Queues(3, in_memory=4)
-    for k in range(5):
-        queues.push(1, np.arange(3 * k, 3 * k + 3))
-    assert queues.file is not None and queues.pop(1).tolist() == list(range(15)) and queues.pop(1) is None
-    queues.close()
+    for i in range(60):
+        text = rng.integers(97, 97 + int(rng.integers(1, 6)), int(rng.integers(1, 200))).astype(np.uint8)
+        if i % 3 == 0:
+            text = np.concatenate([text, text[: len(text) // 2], text])
+        sorted_by_induction(text, (5, 20, 50, 200)[i % 4])
+
+
+def test_a_string_much_longer_than_the_queue(monkeypatch, tmp_path):
+    """Queues of 200 entries for 30,000 bytes: nearly all of it goes to files of the folder, which are gone afterwards."""
+    monkeypatch.setattr(induced, "LEAST", 50)
+    stored = []
+    put = induced.Store.put
+    monkeypatch.setattr(induced.Store, "put", lambda self, batches: stored.append(sum(len(b[0]) for b in batches)) or put(self, batches))
+    rng = np.random.default_rng(1)
+    text = rng.integers(97, 103, 18_000).astype(np.uint8)
+    text = np.concatenate([text, text[500:9_000], text[:3_500]])
+    sorted_by_induction(text, 50, memory=200, folder=f"file://{tmp_path}/queues")
+    assert sum(stored) > 2 * len(text) and not list(tmp_path.glob("queues/*"))
 
 
 def repeats_by_hand(given: list[tuple[int | None, str | None]]) -> list[tuple]:
