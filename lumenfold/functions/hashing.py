@@ -21,7 +21,7 @@ def tagged_sha256(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\0", *[p.cast("string") for p in parts]), 256)
 
 
-def derived_seed(master: Column, namespace: Column, bits: int = 64, domain: str = SEED_DOMAIN) -> Column:
+def derived_seed(master: Column, namespace: Column, bits: int = 63, domain: str = SEED_DOMAIN) -> Column:
     """The last `bits` (64 at most) of the tagged hash, as a decimal number."""
     if not 1 <= bits <= 64:
         raise ValueError("bits must be between 1 and 64")
@@ -29,27 +29,37 @@ def derived_seed(master: Column, namespace: Column, bits: int = 64, domain: str
     return F.pmod(tail, F.lit(2**bits).cast("decimal(20,0)")) if bits < 64 else tail
 
 
-def derive_seed(master: int, namespace: str, bits: int = 64, domain: str = SEED_DOMAIN) -> int:
+#: Bits of a seed, of the keys of a list, and the namespaces of keys: fixed values.
+SEED_BITS, KEY_BITS = 63, 31
+BENCHMARK_NAMESPACE, KEY_NAMESPACE = "benchmark-key/{}", "synthid/key/{}"
+
+
+def derive_seed(master: int, namespace: str, bits: int = SEED_BITS, domain: str = SEED_DOMAIN) -> int:
     """derived_seed() on the driver, for any number of bits up to 256."""
+    if master < 0 or not namespace:
+        raise ValueError("the master seed must not be negative, nor the namespace empty")
     if not 1 <= bits <= 256:
         raise ValueError("bits must be between 1 and 256")
     return int.from_bytes(hashlib.sha256(f"{domain}\0{master}\0{namespace}".encode()).digest(), "big") & ((1 << bits) - 1)
 
 
 def seeded_random(master: int, namespace: str, domain: str = SEED_DOMAIN) -> random.Random:
-    return random.Random(derive_seed(master, namespace, 64, domain))
+    return random.Random(derive_seed(master, namespace, SEED_BITS, domain))
 
 
-def benchmark_key(master: int, namespace: str, bits: int = 64, domain: str = SEED_DOMAIN) -> int:
-    return derive_seed(master, namespace, bits, domain) or 1
+def benchmark_key(master: int, mechanism: str, domain: str = SEED_DOMAIN) -> int:
+    """A key that is not 0."""
+    return derive_seed(master, BENCHMARK_NAMESPACE.format(mechanism), SEED_BITS, domain) or 1
 
 
-def distinct_keys(master: int, count: int = 30, bits: int = 31, domain: str = SEED_DOMAIN) -> list[int]:
-    """`count` distinct keys, in the order of their indices; a key met again is skipped."""
+def distinct_keys(master: int, count: int = 30, domain: str = SEED_DOMAIN) -> list[int]:
+    """`count` distinct keys of KEY_BITS, in the order of their indices; a key met again is skipped."""
+    if count <= 0:
+        raise ValueError("count has to be positive")
     keys: dict[int, None] = {}
     index = 0
     while len(keys) < count:
-        keys.setdefault(benchmark_key(master, f"key-{index}", bits, domain))
+        keys.setdefault(derive_seed(master, KEY_NAMESPACE.format(index), KEY_BITS, domain))
         index += 1
     return list(keys)
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import RANK_DOMAIN, SPLIT_DOMAIN, tagged_sha256, third
 
-SPLITS = ("calibration", "selection", "test")
+#: The splits, in the order that hashes and ranks count them.
+SPLITS = ("generation", "calibration", "test")
 
 
 def _named(index: Column) -> Column:
@@ -22,13 +23,33 @@ def assign_splits(samples: DataFrame, key: str, seed: int, domain: str = SPLIT_D
     return samples.withColumn("split", _named(third(F.col(key), seed, domain)))
 
 
-def fixed_count_splits(samples: DataFrame, key: str, count: int, seed: int, by: list[str] | None = None, domain: str = RANK_DOMAIN) -> DataFrame:
+def require_splits(assigned: DataFrame) -> DataFrame:
+    """assigned, if each of the three splits has a row; else an error. The driver sees at most three names."""
+    found = {r["split"] for r in assigned.select("split").distinct().collect()}
+    if found != set(SPLITS):
+        raise ValueError(f"without rows: {sorted(set(SPLITS) - found)}")
+    return assigned
+
+
+def fixed_count_splits(samples: DataFrame, key: str, count: int, seed: int, by: list[str] | None = None, domain: str = RANK_DOMAIN, strict: bool = True) -> DataFrame:
     """Adds `split` and `ordinal`: ids in the order of their hashes, `count` for each split in turn; later ids have no split.
 
-    Only ids near the front matter: each task keeps its own first 3 * count, so what is ranked stays small however many ids there are."""
+    Only ids near the front matter: each task keeps its own first 3 * count by the limit on the rank, so what meets in one task stays small
+    however many ids there are. Where strict, an id met twice among them, or fewer than 3 * count of them, is an error."""
+    if count <= 0:
+        raise ValueError("count has to be positive")
+    by = by or []
     order = [tagged_sha256(F.lit(domain), F.lit(seed), F.col(key)), F.col(key)]
-    ranked = samples.withColumn("ordinal", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)) - 1).where(F.col("ordinal") < 3 * count)
-    return ranked.withColumn("split", _named(F.floor(F.col("ordinal") / count).cast("int")))
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    # the limit has to be on the rank as it is for the plan to see it
+    ranked = samples.withColumn("_rank", F.row_number().over(group.orderBy(*order))).where(F.col("_rank") <= 3 * count)
+    ranked = ranked.withColumn("ordinal", F.col("_rank") - 1)
+    if strict:
+        again = F.lag(key).over(group.orderBy("_rank")).eqNullSafe(F.col(key)) & (F.col("_rank") > 1)
+        few = F.count("*").over(group) < 3 * count
+        problem = F.when(F.col("_again"), F.lit("an id is met twice")).when(F.col("_few"), F.lit(f"fewer than {3 * count} ids"))
+        ranked = ranked.withColumns({"_again": again, "_few": few}).withColumn("ordinal", F.when(problem.isNotNull(), F.raise_error(problem).cast("int")).otherwise(F.col("ordinal"))).drop("_again", "_few")
+    return ranked.drop("_rank").withColumn("split", _named(F.floor(F.col("ordinal") / count).cast("int")))
 
 
 def split_violations(members: DataFrame) -> DataFrame:
@@ -69,7 +90,7 @@ def remaining(planned: DataFrame, done: DataFrame, keys: Iterable[str] = ("task"
 
 
 def appended(entries: DataFrame, fresh: DataFrame, keys: Iterable[str] = ("task", "split", "sample_id", "kind")) -> DataFrame:
-    """A checkpoint's entries with fresh ones; a fresh entry with a known key is left out."""
+    """A checkpoint's entries with fresh ones; a fresh entry with a known key is left out. (Sinks sort by the keys, see sinks.checkpoint.)"""
     keys = list(keys)
     return entries.unionByName(fresh.dropDuplicates(keys).join(entries, keys, "left_anti"))
 

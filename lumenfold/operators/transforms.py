@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-import random
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SENTENCE
-from ..functions.hashing import SEED_DOMAIN, derive_seed
+from ..functions.hashing import SEED_DOMAIN, seeded_random
 
 KINDS = ("random_deletion", "random_substitution", "random_insertion", "span_deletion", "span_substitution")
 #: What ends a line for whitespace(): line feed and carriage return in any order they come, VT, FF, FS, GS, RS, NEL, LS, PS.
@@ -28,14 +27,19 @@ def edited(tokens: list[int], vocabulary: list[int], rate: float, seed: int, kin
     count = min(len(tokens), math.floor(len(tokens) * rate + 0.5))
     if kind.startswith("span") and count == 0:
         return list(tokens), 0
-    rng = random.Random(derive_seed(seed, kind, 64, domain))
+    rng = seeded_random(seed, kind, domain)
     out = list(tokens)
+    distinct = list(dict.fromkeys(vocabulary))
+    place = {v: i for i, v in enumerate(distinct)}
 
     def other(token: int) -> int:
-        choices = [v for v in dict.fromkeys(vocabulary) if v != token]
-        if not choices:
+        """A uniform draw from the vocabulary without the token: an index at or behind its place means the next one."""
+        own = place.get(token)
+        count = len(distinct) - (own is not None)
+        if not count:
             raise ValueError("the vocabulary has nothing but the edited token")
-        return rng.choice(choices)
+        i = rng.choice(range(count))
+        return distinct[i + (own is not None and i >= own)]
 
     if kind == "random_deletion":
         gone = set(rng.sample(range(len(tokens)), count))
@@ -60,7 +64,7 @@ def edited(tokens: list[int], vocabulary: list[int], rate: float, seed: int, kin
     return out, count
 
 
-def token_edit(df: DataFrame, tokens: str, seed: Column, kind: str, rate: float, vocabulary: list[int], name: str = "edited") -> DataFrame:
+def token_edit(df: DataFrame, tokens: str, seed: Column, kind: str, rate: float, vocabulary: list[int], name: str = "edited", domain: str = SEED_DOMAIN) -> DataFrame:
     """Adds struct `name` of token_ids, operation_count and realized_rate. Python's generator is needed for its exact sequence, so arrays go by
     Arrow batches."""
     if kind not in KINDS or not 0 <= rate <= 1:
@@ -73,7 +77,7 @@ def token_edit(df: DataFrame, tokens: str, seed: Column, kind: str, rate: float,
             if t is None:
                 rows.append((None, None, None))
                 continue
-            out, n = edited([int(x) for x in t], vocabulary, rate, int(s), kind)
+            out, n = edited([int(x) for x in t], vocabulary, rate, int(s), kind, domain)
             rows.append((out, n, n / len(t) if len(t) else 0.0))
         return pd.DataFrame(rows, columns=["token_ids", "operation_count", "realized_rate"])
 

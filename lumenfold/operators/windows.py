@@ -75,7 +75,11 @@ def overlapping(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
 
 def composed(df: DataFrame, marked: str, unmarked: str, fraction: float, separated: bool, split: Column | None = None) -> DataFrame:
     """Adds tokens, segments and realized_fraction. Marked tokens stand in one segment at `split` (a column, up to the unmarked count), or in
-    two segments with unmarked ones after each."""
+    two segments with unmarked ones after each. A fraction outside (0, 1] or a side without tokens is an error."""
+    if not 0 < fraction <= 1:
+        raise ValueError("the fraction has to be in (0, 1]")
+    full = lambda c: F.when(F.size(c) > 0, F.col(c)).otherwise(F.raise_error(F.lit("both sides need tokens")).cast(df.schema[c].dataType))
+    df = df.withColumns({marked: full(marked), unmarked: full(unmarked)})
     m, u = F.col(marked), F.col(unmarked)
     total = F.least(F.size(m) + F.size(u), F.greatest(F.size(m), F.size(u)))
     df = df.withColumn("_m", F.greatest(F.lit(1), F.least(F.size(m), F.bround(total * F.lit(float(fraction))).cast("int")))).withColumn("_u", F.least(F.size(u), total - F.col("_m")))

@@ -132,18 +132,18 @@ def report_violations(spark, sf_dir):
 _HEX = "[" + ", ".join(f"'{c}'" for c in "0123456789abcdef") + "]"
 
 
-@query(f"""SELECT doc_id, ['calibration', 'selection', 'test'][1 + CAST(list_sum(list_transform(string_split(left(sha256('{samples.SPLIT_DOMAIN}' || chr(0) || '7' || chr(0) || doc_id), 16), ''), lambda x: list_position({_HEX}, x) - 1)) % 3 AS INT)] AS split FROM documents""")
+@query(f"""SELECT doc_id, ['generation', 'calibration', 'test'][1 + CAST(list_sum(list_transform(string_split(left(sha256('{samples.SPLIT_DOMAIN}' || chr(0) || '7' || chr(0) || doc_id), 16), ''), lambda x: list_position({_HEX}, x) - 1)) % 3 AS INT)] AS split FROM documents""")
 def assign_splits(spark, sf_dir):
     return samples.assign_splits(_table(spark, sf_dir, "documents"), "doc_id", 7).select("doc_id", "split")
 
 
-@query(f"""SELECT lang, doc_id, ordinal, ['calibration', 'selection', 'test'][1 + CAST(ordinal // 20 AS INT)] AS split FROM (
+@query(f"""SELECT lang, doc_id, ordinal, ['generation', 'calibration', 'test'][1 + CAST(ordinal // 20 AS INT)] AS split FROM (
     SELECT lang, doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY sha256('{samples.RANK_DOMAIN}' || chr(0) || '7' || chr(0) || doc_id), doc_id) - 1 AS INT) AS ordinal FROM documents) WHERE ordinal < 60""")
 def fixed_count_splits(spark, sf_dir):
-    return samples.fixed_count_splits(_table(spark, sf_dir, "documents"), "doc_id", 20, 7, ["lang"]).select("lang", "doc_id", "ordinal", "split")
+    return samples.fixed_count_splits(_table(spark, sf_dir, "documents"), "doc_id", 20, 7, ["lang"], strict=False).select("lang", "doc_id", "ordinal", "split")
 
 
-@query("""WITH m AS (SELECT lang AS task, ['calibration', 'selection', 'test'][1 + CAST(doc_id % 3 AS INT)] AS split, sha256(text) AS sample_id FROM documents)
+@query("""WITH m AS (SELECT lang AS task, ['generation', 'calibration', 'test'][1 + CAST(doc_id % 3 AS INT)] AS split, sha256(text) AS sample_id FROM documents)
     SELECT 'duplicate_id' AS kind, task, sample_id AS key FROM m GROUP BY task, split, sample_id HAVING count(*) > 1
     UNION ALL SELECT 'split_leakage', task, sample_id FROM m GROUP BY task, sample_id HAVING count(DISTINCT split) > 1
     UNION ALL SELECT 'id_in_several_tasks', min(task), sample_id FROM m GROUP BY sample_id HAVING count(DISTINCT task) > 1""")

@@ -56,8 +56,12 @@ def with_identity(artifacts: DataFrame) -> DataFrame:
 
 
 ROWS = "rows array<struct<row_idx long, row string>>"
-#: Prompt templates of the tasks: (column of the prompt, what goes around it).
-TASKS = ("c4", "gsm8k", "mbpp")
+#: The tasks, how their samples are named, and what goes before and after the text of a prompt.
+TASKS = {
+    "c4": ("c4-validation-", "Continue the following passage without commentary:\n\n", "\n\nContinuation:"),
+    "gsm8k": ("gsm8k-test-", "Solve the problem. End with `#### <number>`.\n\nProblem: ", "\n\nSolution:"),
+    "mbpp": ("mbpp-test-", "Write a Python function satisfying this task. Output code only.\n\nTask: ", "\n"),
+}
 
 
 def dataset_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -67,16 +71,21 @@ def dataset_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def samples(rows: DataFrame, task: str) -> DataFrame:
-    """sample_id, prompt, reference: long texts are cut to 2,000 characters, problems without an id go by their index."""
+    """sample_id, prompt, reference: texts to be continued are cut to 2,000 characters, problems without an id go by their index. A row without
+    the field its prompt needs is an error."""
+    if task not in TASKS:
+        raise ValueError(f"no adapter for {task!r}")
+    name, before, after = TASKS[task]
     get = lambda k: F.get_json_object("row", f"$.{k}")
     index = F.col("row_index").cast("string")
-    if task == "c4":
-        return rows.select(F.concat(F.lit("c4-"), index).alias("sample_id"), F.substring(get("text"), 1, 2000).alias("prompt"), F.lit(None).cast("string").alias("reference"), "row_index", "row_sha256")
-    if task == "gsm8k":
-        return rows.select(F.concat(F.lit("gsm8k-"), index).alias("sample_id"), F.concat(F.lit("Question: "), get("question"), F.lit("\nAnswer:")).alias("prompt"), get("answer").alias("reference"), "row_index", "row_sha256")
-    if task == "mbpp":
-        return rows.select(F.concat(F.lit("mbpp-"), F.coalesce(get("task_id"), index)).alias("sample_id"), get("text").alias("prompt"), get("code").alias("reference"), "row_index", "row_sha256")
-    raise ValueError(f"no adapter for {task!r}")
+    missing = lambda k: F.raise_error(F.concat(F.lit(f"no {k} in row "), index)).cast("string")
+    need = lambda k: F.coalesce(get(k), missing(k))
+    body, identifier, reference = {
+        "c4": lambda: (F.substring(need("text"), 1, 2000), index, F.lit(None).cast("string")),
+        "gsm8k": lambda: (need("question"), index, need("answer")),
+        "mbpp": lambda: (need("text"), F.coalesce(get("task_id"), index), F.coalesce(get("code"), F.lit(""))),
+    }[task]()
+    return rows.select(F.concat(F.lit(name), identifier).alias("sample_id"), F.concat(F.lit(before), body, F.lit(after)).alias("prompt"), reference.alias("reference"), "row_index", "row_sha256")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -106,9 +115,21 @@ def platform_results(spark: SparkSession, path: str, name: str = "determinism-pl
     return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).option("multiLine", "true").json(path)
 
 
+def document(path: str) -> dict:
+    """A configuration or ledger, JSON or (by its name) YAML. YAML is read by PyYAML's safe loader where that is installed."""
+    text = Path(path).read_text()
+    if not path.lower().endswith((".yaml", ".yml")):
+        return json.loads(text)
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("YAML needs PyYAML, which is not installed here") from e
+    return yaml.safe_load(text)
+
+
 def ledger(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list of sources with ids and expected artifact hashes; ids have to be present and unique."""
-    entries = json.loads(Path(path).read_text())["sources"]
+    """A list of sources, JSON or YAML, with ids and expected artifact hashes; ids have to be present and unique."""
+    entries = document(path)["sources"]
     ids = [e.get("id") for e in entries]
     if any(not isinstance(i, str) or not i for i in ids) or len(set(ids)) != len(ids):
         raise ValueError("every source needs a non-empty id of its own")

@@ -30,6 +30,61 @@ def test_seeds_agree_between_python_and_spark(spark):
     assert len(set(keys)) == 30 and all(0 < k < 2**31 for k in keys)
 
 
+def test_seeds_keys_and_draws_by_their_formulas(spark):
+    """Written from the formulas: SHA-256 of tag, seed and namespace with NUL between them, its last bits as a number."""
+    import hashlib
+    import random
+
+    number = lambda tag, seed, name: int.from_bytes(hashlib.sha256(f"{tag}\0{seed}\0{name}".encode()).digest(), "big")
+    assert hashing.derive_seed(5, "a", domain="tag") == number("tag", 5, "a") % 2**63
+    assert hashing.benchmark_key(5, "m", "tag") == (number("tag", 5, "benchmark-key/m") % 2**63 or 1)
+    assert hashing.distinct_keys(5, 4, "tag") == [number("tag", 5, f"synthid/key/{i}") % 2**31 for i in range(4)]
+    assert windows.split_point(5, 9) == random.Random(number(hashing.SEED_DOMAIN, 5, "composition") % 2**63).randrange(10)
+    tokens = list(range(12))
+    rng = random.Random(number("tag", 5, "random_deletion") % 2**63)
+    gone = set(rng.sample(range(12), 3))
+    assert transforms.edited(tokens, [], 0.25, 5, "random_deletion", "tag")[0] == [t for t in tokens if t not in gone]
+    rng, out = random.Random(number("tag", 5, "random_substitution") % 2**63), list(tokens)
+    for i in rng.sample(range(12), 3):
+        out[i] = rng.choice([v for v in (3, 5, 40) if v != out[i]])
+    assert transforms.edited(tokens, [3, 5, 40], 0.25, 5, "random_substitution", "tag")[0] == out
+    df = spark.createDataFrame([(tokens, 5)], "t array<int>, s long")
+    found = transforms.token_edit(df, "t", F.col("s"), "random_substitution", 0.25, [3, 5, 40], domain="tag").first()
+    assert found["edited"]["token_ids"] == out
+    for bad in ((-1, "a", 63), (1, "", 63), (1, "a", 0), (1, "a", 257)):
+        with pytest.raises(ValueError):
+            hashing.derive_seed(*bad)
+
+
+def test_splits_by_their_formulas(spark):
+    import hashlib
+
+    ids = [f"s{i}" for i in range(40)]
+    digest = lambda tag, i: hashlib.sha256(f"{tag}\0{7}\0{i}".encode()).digest()
+    df = spark.createDataFrame([(i,) for i in ids], "id string")
+    names = ("generation", "calibration", "test")
+    assert dict(rows(samples.assign_splits(df, "id", 7, "tag").select("id", "split"))) == {i: names[int.from_bytes(digest("tag", i)[:8], "big") % 3] for i in ids}
+    ranked = sorted(ids, key=lambda i: digest("tag", i))
+    out = samples.fixed_count_splits(df, "id", 5, 7, domain="tag")
+    assert dict(rows(out.select("id", "split"))) == {i: names[k // 5] for k, i in enumerate(ranked[:15])}
+    grouped = samples.fixed_count_splits(df.withColumn("g", F.right("id", F.lit(1))), "id", 5, 7, ["g"], strict=False)
+    assert "WindowGroupLimit" in grouped._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="fewer"):
+        samples.fixed_count_splits(df, "id", 14, 7).collect()
+    with pytest.raises(Exception, match="twice"):
+        samples.fixed_count_splits(df.unionAll(df), "id", 5, 7).collect()
+    with pytest.raises(ValueError):
+        samples.require_splits(samples.assign_splits(df.limit(1), "id", 7))
+
+
+def test_composition_errors(spark):
+    df = spark.createDataFrame([([1, 2], [])], "m array<int>, u array<int>")
+    with pytest.raises(ValueError):
+        windows.composed(df, "m", "u", 0.0, True)
+    with pytest.raises(Exception, match="both sides"):
+        windows.composed(df, "m", "u", 0.5, True).collect()
+
+
 def test_canonical_json():
     assert hashing.canonical_json({"é": [1, True], "a": 2}) == '{"a":2,"é":[1,true]}'
     with pytest.raises(ValueError):

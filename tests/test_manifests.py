@@ -76,9 +76,9 @@ def test_schemes(spark):
 def test_dataset_rows(spark, tmp_path):
     (tmp_path / "rows.json").write_text(json.dumps({"rows": [{"row_idx": 3, "row": {"text": "x" * 3000, "question": "q", "answer": "a", "code": "c"}}]}))
     rows = A.dataset_rows(spark, f"{tmp_path}/rows.json")
-    for task, sample in (("c4", "c4-3"), ("gsm8k", "gsm8k-3"), ("mbpp", "mbpp-3")):
+    for task, sample in (("c4", "c4-validation-3"), ("gsm8k", "gsm8k-test-3"), ("mbpp", "mbpp-test-3")):
         found = A.samples(rows, task).first()
-        assert found["sample_id"] == sample and len(found["prompt"]) <= 2000 or task == "mbpp"
+        assert found["sample_id"] == sample and ("x" * 2001 not in found["prompt"])
     with pytest.raises(ValueError):
         A.samples(rows, "other")
 
