@@ -15,7 +15,7 @@ from .. import constants as C
 from ..functions import scalars as S
 
 
-from ..operators import calibrate, c2pa, evidence, inspect, ledger, metrics, quality, report, samples, transforms, windows
+from ..operators import archives, calibrate, c2pa, evidence, inspect, ledger, licenses, metrics, quality, report, samples, transforms, windows
 from ..sources import artifacts as A
 from ..sources.tables import dealt, stored
 
@@ -552,8 +552,80 @@ def keyed_detection(spark, sf_dir):
     return found.select("doc_id", "scored_units", "green_count", F.round("score", 9).alias("score"), F.round("p_value", 9).alias("p_value"))
 
 
-@query()
+@query("""SELECT '{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || user_id || ',"value":' || CAST(value AS VARCHAR) || '}' AS value FROM events""")
 def canonical_records(spark, sf_dir):
     from ..sources import sinks
 
     return sinks.canonical_lines(_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), ["event_id"])
+
+
+def _carrier(payload: bytes, version: int = 1, length: int | None = None) -> str:
+    """A text wrapper of a manifest store: a mark, and its bytes as variation selectors, 0 to 15 from U+FE00, the rest from U+E0100."""
+    raw = C.WRAPPER_MAGIC + bytes([version]) + (len(payload) if length is None else length).to_bytes(4, "big") + payload
+    return "\ufeff" + "".join(chr(0xFE00 + b) if b < 16 else chr(0xE0100 + b - 16) for b in raw)
+
+
+_STORE = bytes(range(5, 45))
+_STORE_HEX = _STORE.hex()
+
+
+@query(f"""WITH d AS (SELECT doc_id, strlen(text) AS n, doc_id % 5 AS k FROM documents)
+    SELECT doc_id, CASE k WHEN 0 THEN 'absent' WHEN 1 THEN 'present' ELSE 'invalid' END AS status, CASE k WHEN 1 THEN 'unsupported' ELSE 'not_applicable' END AS store_status,
+        CASE k WHEN 1 THEN CAST(n AS VARCHAR) END AS wrapper_offset, CASE k WHEN 1 THEN sha256(unhex('{_STORE_HEX}')) END AS store_sha256,
+        CASE WHEN k IN (2, 3) THEN 'manifest.text.corruptedWrapper' WHEN k = 4 THEN 'manifest.text.multipleWrappers' END AS error,
+        CASE WHEN k IN (2, 3) THEN CAST(n AS VARCHAR) WHEN k = 4 THEN CAST(n + {len((_carrier(_STORE) + " and ").encode())} AS VARCHAR) END AS error_offset FROM d""")
+def wrapper_findings(spark, sf_dir):
+    """Texts with nothing, one wrapper, one of another version, one cut short, and two, put behind them by the remainder of their id."""
+    behind = [F.lit(""), F.lit(_carrier(_STORE)), F.lit(_carrier(_STORE, version=2)), F.lit(_carrier(_STORE, length=99)), F.lit(_carrier(_STORE) + " and " + _carrier(_STORE))]
+    docs = _table(spark, sf_dir, "documents")
+    text = F.concat("text", F.element_at(F.array(*behind), (F.col("doc_id") % 5 + 1).cast("int")))
+    found = inspect.inspected(A.from_text(dealt(docs).select("doc_id", text.alias("text")), "doc_id", "text", "documents"))
+    one = lambda m: F.filter("findings", lambda f: f["mechanism_id"] == m)[0]
+    told = lambda n: F.get(F.filter("wrapper.evidence", lambda e: e["name"] == n), 0)["value"]
+    found = found.select(F.col("artifact_id").cast("long").alias("doc_id"), one(C.WRAPPER).alias("wrapper"), one(C.STORE)["status"].alias("store_status"))
+    get = lambda n, k: F.get_json_object(told(n), f"$.{k}")
+    return found.select("doc_id", "wrapper.status", "store_status", get("first_wrapper", "original_byte_offset").alias("wrapper_offset"), get("first_wrapper", "manifest_store_sha256").alias("store_sha256"), get("first_error", "code").alias("error"), get("first_error", "original_byte_offset").alias("error_offset"))
+
+
+@query("""WITH b AS (SELECT CAST(item_id AS VARCHAR) AS i, text FROM benchmark)
+    SELECT 'item-' || i || '.tar.gz' AS path, 1 AS ordinal, 'item-' || i || '/id' AS name, CAST(strlen(i) AS BIGINT) AS size, sha256(i) AS sha256, CAST(NULL AS VARCHAR) AS problem FROM b
+    UNION ALL SELECT 'item-' || i || '.tar.gz', 2, 'item-' || i || '/text', CAST(strlen(text) AS BIGINT), sha256(text), NULL FROM b""")
+def archive_members(spark, sf_dir):
+    """Each item of the benchmark packed as an archive, and read back."""
+    items = _table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("archive"), F.col("item_id").cast("string").alias("id"), "text")
+    files = items.select("archive", F.explode(F.create_map(F.lit("id"), F.col("id").cast("binary"), F.lit("text"), F.col("text").cast("binary"))).alias("name", "content")).withColumn("mode", F.lit(archives.PLAIN))
+    return archives.members(archives.built(files)).where("ordinal > 0").select("path", "ordinal", "name", "size", "sha256", "problem")
+
+
+@query("""SELECT count(DISTINCT conv_id) AS packages, count(*) AS mappings, count(DISTINCT text) AS texts FROM conversations""")
+def licence_counts(spark, sf_dir):
+    files = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("name"), F.lit("1").alias("version"), F.sha2("text", 256).alias("sha256"))
+    return licenses.counts(files)
+
+
+@query("""SELECT CASE WHEN doc_id % 6 = 0 THEN 'missing' WHEN doc_id % 6 = 1 THEN 'unknown' END AS kind, CAST(doc_id AS VARCHAR) AS name FROM documents WHERE doc_id % 6 IN (0, 1)
+    UNION ALL SELECT DISTINCT 'text', sha256(text || 'other') FROM documents WHERE doc_id % 6 = 2""")
+def bundle_violations(spark, sf_dir):
+    """A bundle of the documents, of which some files were not reviewed, some reviewed ones are not in it, and some texts are not what is told."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("doc_id").cast("string").alias("name"), F.lit("1").alias("version"), F.lit("LICENSE").alias("filename"), "text")
+    told = docs.withColumn("text", F.when(F.col("doc_id") % 6 == 2, F.concat("text", F.lit("other"))).otherwise(F.col("text")))
+    files = told.select("doc_id", "name", "version", "filename", F.octet_length("text").cast("long").alias("byte_length"), F.sha2("text", 256).alias("sha256"), F.col("text").cast("binary").alias("content"))
+    # the digest told of a changed text is that of the change, what the bundle holds is not
+    held = files.withColumn("content", F.when(F.col("doc_id") % 6 == 2, F.substring("content", F.lit(1), F.octet_length("content") - 5)).otherwise(F.col("content")))
+    lines = licenses.bundle(held.where(F.col("doc_id") % 6 != 0))
+    return licenses.bundle_violations(lines, files.where(F.col("doc_id") % 6 != 1))
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS name, CASE WHEN conv_id % 3 = 0 THEN ['size'] WHEN conv_id % 3 = 1 THEN ['size', 'sha256'] ELSE ['sha256'] END AS differing FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def archive_differences(spark, sf_dir):
+    """Archives of another size, missing ones, and those of another digest."""
+    ids = _table(spark, sf_dir, "conversations").select("conv_id").distinct().withColumns({"name": F.col("conv_id").cast("string"), "size": F.lit(1), "sha256": F.lit("a")})
+    expected = ids.withColumns({"size": F.when(F.col("conv_id") % 3 == 0, 2).otherwise(1), "sha256": F.when(F.col("conv_id") % 3 == 2, "b").otherwise("a")})
+    return archives.verified(ids.where(F.col("conv_id") % 3 != 1), expected, ["name"], ["size", "sha256"]).select("name", "differing")
+
+
+@query("""SELECT doc_id, doc_id % 4 < 3 AS absolute FROM documents""")
+def absolute_paths(spark, sf_dir):
+    kinds = F.element_at(F.array(F.lit("/opt/"), F.lit("C:\\"), F.lit("at d:/"), F.lit("relative/")), (F.col("doc_id") % 4 + 1).cast("int"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.array(F.concat(kinds, F.col("source"))).alias("/key"))).alias("json"))
+    return docs.select("doc_id", archives.absolute_path(F.col("json")).alias("absolute"))

@@ -78,7 +78,7 @@ def test_dataset_rows(spark, tmp_path):
     rows = A.dataset_rows(spark, f"{tmp_path}/rows.json")
     for task, sample in (("c4", "c4-validation-3"), ("gsm8k", "gsm8k-test-3"), ("mbpp", "mbpp-test-3")):
         found = A.samples(rows, task).first()
-        assert found["sample_id"] == sample and ("x" * 2001 not in found["prompt"])
+        assert found["sample_id"] == sample and (task != "c4" or found["prompt"].count("x") == 2000)
     with pytest.raises(ValueError):
         A.samples(rows, "other")
 
