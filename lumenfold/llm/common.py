@@ -148,6 +148,14 @@ def sieved(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) ->
     return known.where(held != 0).drop("_bit", "_row", "_words")
 
 
+def settle(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go when the driver's references to them are collected: that is done now."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -7,11 +7,12 @@ chunks (see staged.py); a chunk asks the buckets for what its own tokens need an
    history, what its backoff weight needs: how many successors were seen once to LIMIT times, and the sum of their unigram probabilities.
    Bigrams of very frequent histories are dealt by both words, and their histories' sums are added up apart.
 3. It evaluates P(w|h) = d(c) c(h,w) / c(h) where the bigram was seen, else weight(h) P(w), and P(w) = d(c) c(w) / N, else the unseen mass.
-4. For each higher order, the n-grams seen before are histories, and step 2 is taken again with the probabilities of the order below in place
-   of the words' counts: P(w|h) = d(c) c(h,w) / c(h), else weight(h) P(w|h'), h' being h without its first word."""
+4. For each higher order, the n-grams seen before are histories, and step 2 is taken again with the counts of the order below in place of the
+   words', and those of its histories: P(w|h) = d(c) c(h,w) / c(h), else weight(h) P(w|h'), h' being h without its first word."""
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -22,13 +23,13 @@ from pyspark.sql import functions as F
 
 from . import staged as S
 from . import words as W
-from .common import arrow_schema, batch, bounded_batches, discard, pick, scratch, written
+from .common import arrow_schema, batch, bounded_batches, discard, pick, scratch, settle, written
 
 #: Counts up to LIMIT are discounted.
 LIMIT = 5
 #: Hashes of the end of a text, a token, and of its beginning, a history only.
 END, BEGIN = np.uint64(1), np.uint64(2)
-_W_BITS = np.uint64(16)  # of a word's hash, what a bigram leaves out: the history's hash is whole
+_W_BITS, _W_BYTES = np.uint64(16), 6  # of a word's hash, what an n-gram leaves out and keeps: the history's hash is whole
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,10 +79,8 @@ def weights(c: np.ndarray, once: np.ndarray, unigram_sum: np.ndarray, d: np.ndar
 class Tokens:
     """The tokens of a chunk as numbers of its distinct words, which are in the order of their hashes."""
 
-    def __init__(self, chunk: S.Chunk) -> None:
-        self.ids = chunk.ids
-        W.hasher.alone()
-        distinct, numbers, counts = W.hasher.numbered([t.decode("utf-8", "surrogatepass") for t in chunk.texts])
+    def __init__(self, ids: list[int | None], distinct: np.ndarray, numbers: np.ndarray, counts: np.ndarray) -> None:
+        self.ids, self.numbers = ids, numbers
         # the end and the beginning take the first two numbers: no word's hash is less
         self.words = np.concatenate([[END, BEGIN], distinct])
         self.begin = 1
@@ -91,12 +90,31 @@ class Tokens:
         self.history = np.empty_like(self.next)
         self.history[1:] = self.next[:-1]
         self.history[np.cumsum(self.counts) - self.counts] = self.begin
-        self.training = ~np.array([held_out(i) for i in chunk.ids], bool)
+        self.training = ~np.array([held_out(i) for i in ids], bool)
         learnt = self.training[self.doc]
         self.learnt = learnt
         self.own = np.bincount(self.next[learnt], minlength=len(self.words))
         self.own[self.begin] = int(self.training.sum())
 
+    @classmethod
+    def of(cls, chunk: S.Chunk) -> Tokens:
+        W.hasher.alone()
+        return cls(chunk.ids, *W.hasher.numbered([t.decode("utf-8", "surrogatepass") for t in chunk.texts]))
+
+    def dump(self) -> bytes:
+        """For later steps, which need no texts: words are numbered anew by how often they occur, so that most numbers have few bytes."""
+        n = len(self.words) - 2
+        order = np.argsort(-np.bincount(self.numbers, minlength=n), kind="stable").astype(np.uint32)
+        rank = np.empty(n, np.uint32)
+        rank[order] = np.arange(n, dtype=np.uint32)
+        return S.joined(S.squeezed(pickle.dumps(self.ids, protocol=5)), S.deltas(self.words[2:]), S.planes(order), S.planes(rank[self.numbers]), S.planes(self.counts - 1))
+
+    @classmethod
+    def load(cls, raw: bytes) -> Tokens:
+        ids, distinct, order, ranks, counts = S.parts(raw)
+        numbers = S.unplanes(order, np.uint32)[S.unplanes(ranks, np.uint32)].astype(np.int32)
+        return cls(pickle.loads(S.spread(ids)), S.undeltas(distinct), numbers, S.unplanes(counts, np.int64))
+
     def asked(self, buckets: int) -> Iterator[tuple[int, bytes]]:
         cuts = np.searchsorted(_bucket(self.words, buckets), np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(cuts)).tolist():
@@ -113,11 +131,11 @@ class Tokens:
         """The n-grams of the given order, and each token's probability by the order below it. answers and models (discounts, hot histories'
         sums) are those of each order from 2 on; the given one's are not needed."""
         p = unigrams.p(self.c)[self.next]
-        level = Level(self.words, self.c, self.history, self, self.c[self.next], self.c[self.next].astype(np.uint64), buckets, hot)
+        level = Level(self.words, self.c, self.history, self, self.c[self.next], None, buckets, hot)
         for o in range(2, order):
             seen, p = level.scored(answers[o - 2], p, *models[o - 2])
             hashes, counts, history = level.followed(seen)
-            level = Level(hashes, counts, history, self, seen, p, buckets, hot)
+            level = Level(hashes, counts, history, self, seen, level, buckets, hot)
         return level, p
 
     def summed(self, p: np.ndarray, unigrams: Unigrams) -> list[np.ndarray]:
@@ -129,9 +147,10 @@ class Tokens:
 
 class Level:
     """The n-grams of one order in a chunk: for each token the number of its history (-1: none was seen), which are in the order of their
-    hashes; `lower` is what its backoff weight needs of the order below."""
+    hashes. A history's backoff weight needs its successors' probabilities by the order below: `below` are the counts of the n-grams of that
+    order, `lower` its level, whose histories' counts give the probabilities of all that were seen (None: the words')."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, history: np.ndarray, tokens: Tokens, below: np.ndarray, lower: np.ndarray, buckets: int, hot: int) -> None:
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, history: np.ndarray, tokens: Tokens, below: np.ndarray, lower: Level | None, buckets: int, hot: int) -> None:
         """Distinct n-grams whose history and whose end were seen, by bucket, history and word; and which histories are asked about where."""
         self.hashes, self.c, self.history, self.tokens, self.buckets = hashes, counts, history, tokens, buckets
         n = len(tokens.words)
@@ -161,7 +180,9 @@ class Level:
         place[by_bucket] = np.arange(len(distinct))
         self.at, self.pair_of = at, place[number]
         self.h, self.w, self.pair_own, self.pair_bucket, self.is_hot = h[by_bucket], w[by_bucket], own[by_bucket], bucket[by_bucket], is_hot
-        self.lower = lower[at[order][first]][by_bucket]
+        some = at[order][first][by_bucket]
+        self.below = below[some].astype(np.uint32)
+        self.lower_c, self.lower_none = (None, None) if lower is None else (lower.ch[some], lower.none[some])
         # cold histories in each bucket, those without a known successor here too
         asks = np.unique(history[history >= 0])
         asks = asks[(counts[asks] > 0) & ~is_hot[asks]]
@@ -178,14 +199,22 @@ class Level:
         for b, pairs, asks in self.sections():
             h, w = self.h[pairs], self.w[pairs]
             heads = np.union1d(np.unique(h), self.asks[asks])
-            runs = np.bincount(np.searchsorted(heads, h), minlength=len(heads)).astype(np.uint32)
-            yield b, S.joined(S.deltas(self.hashes[heads]), S.planes(runs), S.squeezed(np.packbits(self.is_hot[heads]).tobytes()), S.planes(words[w] >> _W_BITS), S.planes(self.pair_own[pairs].astype(np.uint32)), S.planes(self.lower[pairs]))
+            place = np.searchsorted(heads, h)
+            runs = np.bincount(place, minlength=len(heads)).astype(np.uint32)
+            bits = lambda x: S.squeezed(np.packbits(x).tobytes())
+            told = [S.deltas(self.hashes[heads]), S.planes(runs), bits(self.is_hot[heads]), _tails(words[w] >> _W_BITS), S.planes(self.pair_own[pairs].astype(np.uint32)), S.planes(self.below[pairs])]
+            if self.lower_c is not None:  # the same for all successors of a history
+                c, none = np.ones(len(heads), np.uint64), np.zeros(len(heads), bool)
+                c[place], none[place] = self.lower_c[pairs], self.lower_none[pairs]
+                told += [S.planes(c), bits(none)]
+            yield b, S.joined(*told)
 
     def scored(self, answers: dict[int, bytes], lower: np.ndarray, d: np.ndarray, hot: dict[int, tuple[float, ...]]) -> tuple[np.ndarray, np.ndarray]:
         """Each token's n-gram count in all training texts, and its probability, where `lower` is that by the order below."""
         n = len(self.hashes)
         seen = np.zeros(len(self.history), np.int64)
         if not n:
+            self.ch, self.none = seen, np.zeros(len(seen), bool)
             return seen, lower
         once, sums = np.zeros((n, LIMIT)), np.zeros(n)
         counts = np.zeros(len(self.h), np.int64)
@@ -203,6 +232,7 @@ class Level:
         weight, scale = weights(self.c, once, sums, d)
         seen[self.at] = counts[self.pair_of]
         ch = np.where(self.history >= 0, self.c[self.history], 0)
+        self.ch, self.none = ch, scale[self.history] < 1
         direct = d[np.minimum(seen, LIMIT + 1)] * seen / np.maximum(ch, 1) * scale[self.history]
         return seen, np.where(ch == 0, lower, np.where(seen > 0, direct, weight[self.history] * lower))
 
@@ -239,19 +269,33 @@ def _words_bucket(chunks: list[int], blobs: list[bytes]) -> list[tuple[int, byte
     return out + [(c, S.planes(counts[place[e - len(k) : e]])) for c, k, e in zip(chunks, keys, ends, strict=True)]
 
 
-def _ngrams_bucket(chunks: list[int], blobs: list[bytes], unigrams: Unigrams | None) -> list[tuple[int, bytes]]:
-    """unigrams: where the order below is that of words, whose counts were sent, else probabilities were.
+def _tails(words: np.ndarray) -> bytes:
+    """The bytes that are left of words' hashes; they do not compress."""
+    return np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_W_BYTES]).tobytes()
+
+
+def _untails(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // _W_BYTES, 8), np.uint8)
+    out[:, :_W_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, _W_BYTES)
+    return out.reshape(-1).view("<u8").astype(np.uint64)
+
+
+def _ngrams_bucket(chunks: list[int], blobs: list[bytes], below: Unigrams | np.ndarray) -> list[tuple[int, bytes]]:
+    """below: the words' model where that is the order below, else the discounts of that order.
 
     By chunk, its n-grams' counts and its cold histories' sums; for chunk -1 the types seen r times, for chunk -2 hot histories' sums."""
-    heads, runs, hot, words, own, cw = [], [], [], [], [], []
+    heads, runs, hot, words, own, cw, lower_c, lower_none = [], [], [], [], [], [], [], []
     for blob in blobs:
-        a, b, c, x, y, z = S.parts(blob)
+        a, b, c, x, y, z, *more = S.parts(blob)
         heads.append(S.undeltas(a))
         runs.append(S.unplanes(b, np.uint32).astype(np.int64))
         hot.append(np.unpackbits(np.frombuffer(S.spread(c), np.uint8), count=len(heads[-1])).astype(bool))
-        words.append(S.unplanes(x, np.uint64))
+        words.append(_untails(x))
         own.append(S.unplanes(y, np.uint32))
-        cw.append(S.unplanes(z, np.uint64 if unigrams else np.float64))
+        cw.append(S.unplanes(z, np.uint32))
+        if more:
+            lower_c.append(np.repeat(S.unplanes(more[0], np.uint64), runs[-1]))
+            lower_none.append(np.repeat(np.unpackbits(np.frombuffer(S.spread(more[1]), np.uint8), count=len(heads[-1])).astype(bool), runs[-1]))
     all_heads = np.concatenate(heads)
     histories, head_of = np.unique(all_heads, return_inverse=True)
     hot_history = np.zeros(len(histories), bool)
@@ -260,9 +304,12 @@ def _ngrams_bucket(chunks: list[int], blobs: list[bytes], unigrams: Unigrams | N
     key = W.mixed(histories[h] * _C ^ np.concatenate(words)) if len(h) else np.zeros(0, np.uint64)
     distinct, first, place = np.unique(key, return_index=True, return_inverse=True)
     counts = np.bincount(place, weights=np.concatenate(own), minlength=len(distinct)).astype(np.int64)
-    type_h, type_p = h[first], np.concatenate(cw)[first]
-    if unigrams:
-        type_p = unigrams.p(type_p.astype(np.int64))
+    type_h, type_c = h[first], np.concatenate(cw)[first].astype(np.int64)
+    if isinstance(below, Unigrams):
+        type_p = below.p(type_c)
+    else:  # a type that was seen was seen in the order below as well: its probability there is the direct one
+        c = np.concatenate(lower_c)[first].astype(np.float64)
+        type_p = below[np.minimum(type_c, LIMIT + 1)] * type_c / np.maximum(c, 1) * np.where(np.concatenate(lower_none)[first], c / (c + 1), 1.0)
     once = np.stack([np.bincount(type_h[counts == r], minlength=len(histories)) for r in range(1, LIMIT + 1)], axis=1).astype(np.uint32)
     sums = np.bincount(type_h[counts > 0], weights=type_p[counts > 0], minlength=len(histories))
     out = [(-1, S.planes(_types_seen(counts).astype(np.int64)))]
@@ -347,20 +394,22 @@ def katz_scores(docs: DataFrame, order: int = 2) -> DataFrame:
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, chunk in S.chunks(batches, most):
-            path = S.put(f"{folder}/chunks", f"{number:016x}", chunk.dump())
-            yield emitted(number, list(Tokens(chunk).asked(buckets)), path)
+            found = Tokens.of(chunk)
+            path = S.put(f"{folder}/chunks", f"{number:016x}", found.dump())
+            yield emitted(number, list(found.asked(buckets)), path)
 
     first = written(rows.mapInArrow(stage, BLOBS), f"{folder}/words")
     manifest = written(first.where("bucket = -1").select("chunk", "path"), f"{folder}/manifest")
     told = written(_by_bucket(first.where("bucket >= 0"), _words_bucket), f"{folder}/counts")
     discard(f"{folder}/words")
+    settle(spark)
     totals = _summed(told, LIMIT + 4)
     unigrams = Unigrams(totals[0], totals[1], totals[2:])
     hot = max(1, int(totals[0]) // (HOT_SHARE * buckets))
 
     def opened(b: pa.RecordBatch) -> Iterator[tuple[int, Tokens, list[dict[int, bytes]]]]:
         for number, path, answers in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            found = Tokens(S.Chunk.load(S.get(path)))
+            found = Tokens.load(S.get(path))
             by: list[dict[int, bytes]] = [{} for _ in range(order)]
             for a in answers or ():
                 by[a["bucket"] // buckets][a["bucket"] % buckets] = a["blob"]
@@ -379,9 +428,11 @@ def katz_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     answers = told.where("chunk >= 0")
     models: list = []
     for now in range(2, order + 1):
-        below = unigrams if now == 2 else None
+        below = unigrams if now == 2 else models[-1][0]
         sent = S.answered(manifest, answers).mapInArrow(sender(now, list(models)), BLOBS)
         seen = written(_by_bucket(sent, lambda chunks, blobs, below=below: _ngrams_bucket(chunks, blobs, below)), f"{folder}/order{now}")
+        del sent
+        settle(spark)
         models.append((discounts(_summed(seen, LIMIT + 2)), spark.sparkContext.broadcast(_hot_sums(seen))))
         answers = answers.unionByName(seen.where("chunk >= 0").withColumn("bucket", (F.col("bucket") + (now - 1) * buckets).cast("int")))
     out_schema = arrow_schema(SCORES)
