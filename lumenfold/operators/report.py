@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,8 +129,13 @@ def report_problem(text: str | None) -> str | None:
     return None
 
 
+def _problems(texts: pd.Series) -> pd.Series:
+    return texts.map(report_problem)
+
+
 def closed_problem(text: Column) -> Column:
-    return F.udf(report_problem, "string")(text)
+    """Key sets at each level need the decoded value, so batches of texts go to Python by Arrow."""
+    return F.pandas_udf(_problems, "string")(text)
 
 
 def imported(lines: DataFrame, column: str = "value") -> DataFrame:
