@@ -136,7 +136,7 @@ def chunk_bytes(df: DataFrame) -> int:
 
 def buckets_for(df: DataFrame) -> int:
     """How many buckets the scanned input wants, from the number and the configured size of its partitions."""
-    return int(max(8, min(1 << 16, -(-df.rdd.getNumPartitions() * partition_bytes(df) // BUCKET_BYTES))))
+    return int(max(8, -(-df.rdd.getNumPartitions() * partition_bytes(df) // BUCKET_BYTES)))
 
 
 def answered(manifest: DataFrame, answers: DataFrame) -> DataFrame:
