@@ -2,12 +2,14 @@
 
 The model never is in one place. Counts live in buckets of words and of bigrams, partitions of the cluster's tables. Texts are staged in
 chunks (see staged.py); a chunk asks the buckets for what its own tokens need and evaluates them:
-1. By word: a chunk sends its distinct words with their counts in training texts and is told their counts in all.
+1. By word: a chunk sends its distinct words with their counts in training texts and is told their counts in all and their names: numbers, low
+   ones for frequent words, by which words are called from then on.
 2. By history: it sends its distinct bigrams with training counts and the words' counts, and is told the bigrams' counts in all and, for each
    history, what its backoff weight needs: how many successors were seen once to LIMIT times, and the sum of their unigram probabilities.
-   Bigrams of very frequent histories are dealt by both words, and their histories' sums are added up apart.
+   Where all successors of a history are the chunk's own, it adds them up itself and is told no more than that. Bigrams of very frequent
+   histories are dealt by both words, and their histories' sums are added up apart.
 3. It evaluates P(w|h) = d(c) c(h,w) / c(h) where the bigram was seen, else weight(h) P(w), and P(w) = d(c) c(w) / N, else the unseen mass.
-4. For each higher order, the n-grams seen before are histories, and step 2 is taken again with the counts of the order below in place of the
+4. For each higher order, the n-grams seen before are histories, under names their buckets gave them, and step 2 is taken again with the counts of the order below in place of the
    words', and those of its histories: P(w|h) = d(c) c(h,w) / c(h), else weight(h) P(w|h'), h' being h without its first word."""
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ from .common import arrow_schema, batch, bounded_batches, discard, pick, scratch
 LIMIT = 5
 #: Hashes of the end of a text, a token, and of its beginning, a history only.
 END, BEGIN = np.uint64(1), np.uint64(2)
-_W_BITS, _W_BYTES = np.uint64(16), 6  # of a word's hash, what an n-gram leaves out and keeps: the history's hash is whole
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,7 +78,7 @@ def weights(c: np.ndarray, once: np.ndarray, unigram_sum: np.ndarray, d: np.ndar
 
 
 class Tokens:
-    """The tokens of a chunk as numbers of its distinct words, which are in the order of their hashes."""
+    """The tokens of a chunk as numbers of its distinct words, which are in the order of their hashes, and of their names once these are told."""
 
     def __init__(self, ids: list[int | None], distinct: np.ndarray, numbers: np.ndarray, counts: np.ndarray) -> None:
         self.ids, self.numbers = ids, numbers
@@ -123,19 +124,26 @@ class Tokens:
 
     def told(self, answers: dict[int, bytes], buckets: int) -> None:
         cuts = np.searchsorted(_bucket(self.words, buckets), np.arange(buckets + 1))
-        self.c = np.zeros(len(self.words), np.int64)
+        c, names = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
         for b, blob in answers.items():
-            self.c[cuts[b] : cuts[b + 1]] = S.unplanes(blob, np.int64)
+            part = slice(cuts[b], cuts[b + 1])
+            counts, places = S.parts(blob)
+            c[part], names[part] = S.unslim(counts), S.unslim(places) * buckets + b
+        order = np.argsort(names)
+        self.c, self.names = c[order], names[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.next, self.history = place[self.next], place[self.history]
 
     def levels(self, answers: list[dict[int, bytes]], buckets: int, hot: int, unigrams: Unigrams, models: list[tuple[np.ndarray, dict]], order: int) -> tuple[Level, np.ndarray]:
         """The n-grams of the given order, and each token's probability by the order below it. answers and models (discounts, hot histories'
         sums) are those of each order from 2 on; the given one's are not needed."""
         p = unigrams.p(self.c)[self.next]
-        level = Level(self.words, self.c, self.history, self, self.c[self.next], None, buckets, hot)
+        level = Level(self.names, self.c, self.history, self, self.c[self.next], None, buckets, hot)
         for o in range(2, order):
             seen, p = level.scored(answers[o - 2], p, *models[o - 2])
-            hashes, counts, history = level.followed(seen)
-            level = Level(hashes, counts, history, self, seen, level, buckets, hot)
+            names, counts, history = level.followed(seen)
+            level = Level(names, counts, history, self, seen, level, buckets, hot)
         return level, p
 
     def summed(self, p: np.ndarray, unigrams: Unigrams) -> list[np.ndarray]:
@@ -147,20 +155,20 @@ class Tokens:
 
 class Level:
     """The n-grams of one order in a chunk: for each token the number of its history (-1: none was seen), which are in the order of their
-    hashes. A history's backoff weight needs its successors' probabilities by the order below: `below` are the counts of the n-grams of that
+    names. A history's backoff weight needs its successors' probabilities by the order below: `below` are the counts of the n-grams of that
     order, `lower` its level, whose histories' counts give the probabilities of all that were seen (None: the words')."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, history: np.ndarray, tokens: Tokens, below: np.ndarray, lower: Level | None, buckets: int, hot: int) -> None:
+    def __init__(self, names: np.ndarray, counts: np.ndarray, history: np.ndarray, tokens: Tokens, below: np.ndarray, lower: Level | None, buckets: int, hot: int) -> None:
         """Distinct n-grams whose history and whose end were seen, by bucket, history and word; and which histories are asked about where."""
-        self.hashes, self.c, self.history, self.tokens, self.buckets = hashes, counts, history, tokens, buckets
-        n = len(tokens.words)
+        self.names, self.c, self.history, self.tokens, self.buckets = names, counts, history, tokens, buckets
+        n = len(tokens.names)
         known = (history >= 0) & (below > 0)
         if len(counts):
             known &= counts[history] > 0
         at = np.flatnonzero(known)
         pair = history[at] * n + tokens.next[at]
         bits = max(1, int(len(at)).bit_length())
-        if int(n) * max(1, len(hashes)) < 1 << (63 - bits):  # one sort of numbers that hold the pair and its place
+        if int(n) * max(1, len(names)) < 1 << (63 - bits):  # one sort of numbers that hold the pair and its place
             packed = pair << bits | np.arange(len(at))
             packed.sort()
             order = packed & ((1 << bits) - 1)
@@ -172,20 +180,22 @@ class Level:
         distinct = pair[order][first]
         h, w = distinct // n, distinct % n
         own = np.bincount(number[tokens.learnt[at]], minlength=len(distinct))
-        cold = _bucket(hashes, buckets)
+        spread = W.mixed(names.view(np.uint64))
+        cold = _bucket(spread, buckets)
         is_hot = counts > hot
-        bucket = np.where(is_hot[h], _bucket(W.mixed(hashes[h] * _C + tokens.words[w]), buckets), cold[h])
+        bucket = np.where(is_hot[h], _bucket(W.mixed(spread[h] + tokens.names[w].view(np.uint64) * _C), buckets), cold[h])
         by_bucket = np.argsort(bucket, kind="stable")
         place = np.empty(len(distinct), np.int64)
         place[by_bucket] = np.arange(len(distinct))
         self.at, self.pair_of = at, place[number]
         self.h, self.w, self.pair_own, self.pair_bucket, self.is_hot = h[by_bucket], w[by_bucket], own[by_bucket], bucket[by_bucket], is_hot
-        some = at[order][first][by_bucket]
-        self.below = below[some].astype(np.uint32)
+        self.some = some = at[order][first][by_bucket]
+        self.below = below[some]
         self.lower_c, self.lower_none = (None, None) if lower is None else (lower.ch[some], lower.none[some])
         # cold histories in each bucket, those without a known successor here too
         asks = np.unique(history[history >= 0])
         asks = asks[(counts[asks] > 0) & ~is_hot[asks]]
+        asks = asks[np.argsort(cold[asks], kind="stable")]
         self.asks, self.asks_bucket = asks, cold[asks]
 
     def sections(self) -> Iterator[tuple[int, slice, slice]]:
@@ -195,37 +205,45 @@ class Level:
             yield b, slice(pairs[b], pairs[b + 1]), slice(asks[b], asks[b + 1])
 
     def sent(self) -> Iterator[tuple[int, bytes]]:
-        words = self.tokens.words
         for b, pairs, asks in self.sections():
             h, w = self.h[pairs], self.w[pairs]
             heads = np.union1d(np.unique(h), self.asks[asks])
             place = np.searchsorted(heads, h)
-            runs = np.bincount(place, minlength=len(heads)).astype(np.uint32)
-            bits = lambda x: S.squeezed(np.packbits(x).tobytes())
-            told = [S.deltas(self.hashes[heads]), S.planes(runs), bits(self.is_hot[heads]), _tails(words[w] >> _W_BITS), S.planes(self.pair_own[pairs].astype(np.uint32)), S.planes(self.below[pairs])]
+            runs = np.bincount(place, minlength=len(heads))
+            told = [S.slim(np.diff(self.names[heads], prepend=0)), S.slim(runs), _bits(self.is_hot[heads]), S.slim(self.tokens.names[w]), S.slim(self.pair_own[pairs]), S.slim(self.below[pairs])]
             if self.lower_c is not None:  # the same for all successors of a history
-                c, none = np.ones(len(heads), np.uint64), np.zeros(len(heads), bool)
+                c, none = np.ones(len(heads), np.int64), np.zeros(len(heads), bool)
                 c[place], none[place] = self.lower_c[pairs], self.lower_none[pairs]
-                told += [S.planes(c), bits(none)]
+                told += [S.slim(c), _bits(none)]
             yield b, S.joined(*told)
 
     def scored(self, answers: dict[int, bytes], lower: np.ndarray, d: np.ndarray, hot: dict[int, tuple[float, ...]]) -> tuple[np.ndarray, np.ndarray]:
         """Each token's n-gram count in all training texts, and its probability, where `lower` is that by the order below."""
-        n = len(self.hashes)
+        n = len(self.names)
         seen = np.zeros(len(self.history), np.int64)
         if not n:
             self.ch, self.none = seen, np.zeros(len(seen), bool)
             return seen, lower
         once, sums = np.zeros((n, LIMIT)), np.zeros(n)
-        counts = np.zeros(len(self.h), np.int64)
+        counts, own = np.zeros(len(self.h), np.int64), np.zeros(n, bool)
+        self.pair_names = np.zeros(len(self.h), np.int64)
         for b, pairs, asks in self.sections():
             if b in answers:
-                r, o, s = S.parts(answers[b])
-                counts[pairs] = S.unplanes(r, np.uint64).astype(np.int64)
-                once[self.asks[asks]] = S.unplanes(o, np.uint32).reshape(-1, LIMIT)
-                sums[self.asks[asks]] = S.unplanes(s, np.float64)
+                r, a, o, s, places = S.parts(answers[b])
+                counts[pairs] = S.unslim(r)
+                asked = self.asks[asks]
+                all_here = _unbits(a, len(asked))
+                own[asked] = all_here
+                once[asked[~all_here]] = S.unslim(o).reshape(-1, LIMIT)
+                sums[asked[~all_here]] = S.unplanes(s, np.float64)
+                if places:
+                    self.pair_names[pairs][counts[pairs] > 0] = np.cumsum(S.unslim(places)) * self.buckets + b
+        here = np.flatnonzero(own[self.h] & (counts > 0))
+        sums += np.bincount(self.h[here], weights=lower[self.some[here]], minlength=n)
+        here = here[counts[here] <= LIMIT]
+        once += np.bincount(self.h[here] * LIMIT + counts[here] - 1, minlength=n * LIMIT).reshape(n, LIMIT)
         for i in np.flatnonzero(self.is_hot).tolist():
-            got = hot.get(int(self.hashes[i].view(np.int64)))
+            got = hot.get(int(self.names[i]))
             if got is not None:
                 once[i], sums[i] = got[:LIMIT], got[LIMIT]
         self.counts = counts
@@ -237,17 +255,19 @@ class Level:
         return seen, np.where(ch == 0, lower, np.where(seen > 0, direct, weight[self.history] * lower))
 
     def followed(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The n-grams as histories of the next order: hashes, counts, and by token which one goes before it in its text."""
+        """The n-grams as histories of the next order: names, counts, and by token which one goes before it in its text."""
         before = np.full(len(self.history), -1, np.int64)
         before[self.at] = np.where(seen[self.at] > 0, self.pair_of, -1)
         history = np.full(len(before), -1, np.int64)
         history[1:] = before[:-1]
         history[np.cumsum(self.tokens.counts) - self.tokens.counts] = -1
         used = np.unique(history[history >= 0])
-        hashes, first, number = np.unique(W.mixed(W.mixed(self.hashes[self.h[used]]) * _C + self.tokens.words[self.w[used]]), return_index=True, return_inverse=True)
-        own = history >= 0
-        history[own] = number[np.searchsorted(used, history[own])]
-        return hashes, self.counts[used][first] if len(used) else np.zeros(0, np.int64), history
+        if not len(used):
+            return used, used, history
+        used = used[np.argsort(self.pair_names[used])]
+        place = np.zeros(len(self.h), np.int64)
+        place[used] = np.arange(len(used))
+        return self.pair_names[used], self.counts[used], np.where(history >= 0, place[history], -1)
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -259,67 +279,73 @@ def _types_seen(counts: np.ndarray) -> np.ndarray:
 
 
 def _words_bucket(chunks: list[int], blobs: list[bytes]) -> list[tuple[int, bytes]]:
-    """By chunk, the counts of its words in all training texts; for chunk -1 the numbers of tokens, types and types seen r times."""
+    """By chunk, the counts of its words in all training texts and their places by descending count; for chunk -1 the numbers of tokens, types and types seen r times."""
     keys, own = zip(*((S.undeltas(k), S.unplanes(o, np.uint32)) for k, o in map(S.parts, blobs)), strict=True)
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
     counts = np.bincount(place, weights=np.concatenate(own), minlength=len(distinct)).astype(np.int64)
     tokens = counts[distinct != BEGIN]
     out = [(-1, S.planes(np.concatenate([[tokens.sum(), (tokens > 0).sum()], _types_seen(tokens)]).astype(np.int64)))]
+    rank = np.empty(len(distinct), np.int64)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(len(distinct))
     ends = np.cumsum([len(k) for k in keys]).tolist()
-    return out + [(c, S.planes(counts[place[e - len(k) : e]])) for c, k, e in zip(chunks, keys, ends, strict=True)]
+    return out + [(c, S.joined(S.slim(counts[place[e - len(k) : e]]), S.slim(rank[place[e - len(k) : e]]))) for c, k, e in zip(chunks, keys, ends, strict=True)]
 
 
-def _tails(words: np.ndarray) -> bytes:
-    """The bytes that are left of words' hashes; they do not compress."""
-    return np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_W_BYTES]).tobytes()
+def _bits(x: np.ndarray) -> bytes:
+    return S.squeezed(np.packbits(x).tobytes())
 
 
-def _untails(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // _W_BYTES, 8), np.uint8)
-    out[:, :_W_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, _W_BYTES)
-    return out.reshape(-1).view("<u8").astype(np.uint64)
+def _unbits(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(S.spread(raw), np.uint8), count=n).astype(bool)
 
 
-def _ngrams_bucket(chunks: list[int], blobs: list[bytes], below: Unigrams | np.ndarray) -> list[tuple[int, bytes]]:
-    """below: the words' model where that is the order below, else the discounts of that order.
+def _ngrams_bucket(chunks: list[int], blobs: list[bytes], below: Unigrams | np.ndarray, last: bool) -> list[tuple[int, bytes]]:
+    """below: the words' model where that is the order below, else the discounts of that order. last: no higher order follows.
 
-    By chunk, its n-grams' counts and its cold histories' sums; for chunk -1 the types seen r times, for chunk -2 hot histories' sums."""
+    By chunk, its n-grams' counts, which cold histories have no successors but the chunk's own, the others' sums, and the places of the n-grams
+    that were seen, for their names (where a higher order follows); for chunk -1 the types seen r times, for chunk -2 hot histories' sums."""
     heads, runs, hot, words, own, cw, lower_c, lower_none = [], [], [], [], [], [], [], []
     for blob in blobs:
         a, b, c, x, y, z, *more = S.parts(blob)
-        heads.append(S.undeltas(a))
-        runs.append(S.unplanes(b, np.uint32).astype(np.int64))
-        hot.append(np.unpackbits(np.frombuffer(S.spread(c), np.uint8), count=len(heads[-1])).astype(bool))
-        words.append(_untails(x))
-        own.append(S.unplanes(y, np.uint32))
-        cw.append(S.unplanes(z, np.uint32))
+        heads.append(np.cumsum(S.unslim(a)))
+        runs.append(S.unslim(b))
+        hot.append(_unbits(c, len(heads[-1])))
+        words.append(S.unslim(x))
+        own.append(S.unslim(y))
+        cw.append(S.unslim(z))
         if more:
-            lower_c.append(np.repeat(S.unplanes(more[0], np.uint64), runs[-1]))
-            lower_none.append(np.repeat(np.unpackbits(np.frombuffer(S.spread(more[1]), np.uint8), count=len(heads[-1])).astype(bool), runs[-1]))
-    all_heads = np.concatenate(heads)
-    histories, head_of = np.unique(all_heads, return_inverse=True)
+            lower_c.append(np.repeat(S.unslim(more[0]), runs[-1]))
+            lower_none.append(np.repeat(_unbits(more[1], len(heads[-1])), runs[-1]))
+    histories, head_of = np.unique(np.concatenate(heads), return_inverse=True)
     hot_history = np.zeros(len(histories), bool)
     hot_history[head_of] = np.concatenate(hot)
-    h = np.repeat(head_of, np.concatenate(runs))
-    key = W.mixed(histories[h] * _C ^ np.concatenate(words)) if len(h) else np.zeros(0, np.uint64)
-    distinct, first, place = np.unique(key, return_index=True, return_inverse=True)
+    h, w = np.repeat(head_of, np.concatenate(runs)), np.concatenate(words)
+    if len(histories) * (int(w.max(initial=0)) + 1) >= 1 << 63:
+        w = np.unique(w, return_inverse=True)[1]
+    distinct, first, place = np.unique(h * (w.max(initial=0) + 1) + w, return_index=True, return_inverse=True)
     counts = np.bincount(place, weights=np.concatenate(own), minlength=len(distinct)).astype(np.int64)
-    type_h, type_c = h[first], np.concatenate(cw)[first].astype(np.int64)
+    type_h, type_c = h[first], np.concatenate(cw)[first]
     if isinstance(below, Unigrams):
         type_p = below.p(type_c)
     else:  # a type that was seen was seen in the order below as well: its probability there is the direct one
         c = np.concatenate(lower_c)[first].astype(np.float64)
         type_p = below[np.minimum(type_c, LIMIT + 1)] * type_c / np.maximum(c, 1) * np.where(np.concatenate(lower_none)[first], c / (c + 1), 1.0)
-    once = np.stack([np.bincount(type_h[counts == r], minlength=len(histories)) for r in range(1, LIMIT + 1)], axis=1).astype(np.uint32)
+    once = np.stack([np.bincount(type_h[counts == r], minlength=len(histories)) for r in range(1, LIMIT + 1)], axis=1)
+    types = np.bincount(type_h[counts > 0], minlength=len(histories))
     sums = np.bincount(type_h[counts > 0], weights=type_p[counts > 0], minlength=len(histories))
     out = [(-1, S.planes(_types_seen(counts).astype(np.int64)))]
     if hot_history.any():
-        out.append((-2, S.joined(S.planes(histories[hot_history]), S.planes(once[hot_history].reshape(-1)), S.planes(sums[hot_history]))))
+        out.append((-2, S.joined(S.planes(histories[hot_history]), S.planes(once[hot_history].astype(np.uint32).reshape(-1)), S.planes(sums[hot_history]))))
     at_head, at_pair = 0, 0
     for c, k, r, f in zip(chunks, heads, runs, hot, strict=True):
         n = int(r.sum())
-        cold = head_of[at_head : at_head + len(k)][~f]
-        out.append((c, S.joined(S.planes(counts[place[at_pair : at_pair + n]].astype(np.uint64)), S.planes(once[cold].reshape(-1)), S.planes(sums[cold]))))
+        its = place[at_pair : at_pair + n]
+        seen = counts[its] > 0
+        its_heads = head_of[at_head : at_head + len(k)]
+        all_here = np.bincount(np.repeat(np.arange(len(k)), r)[seen], minlength=len(k)) == types[its_heads]
+        others = its_heads[~f & ~all_here]
+        places = b"" if last else S.slim(np.diff(its[seen], prepend=0))
+        out.append((c, S.joined(S.slim(counts[its]), _bits(all_here[~f]), S.slim(once[others].reshape(-1)), S.planes(sums[others]), places)))
         at_head, at_pair = at_head + len(k), at_pair + n
     return out
 
@@ -352,7 +378,7 @@ def _summed(answers: DataFrame, width: int) -> np.ndarray:
 
 
 def _hot_sums(answers: DataFrame) -> dict[int, tuple[float, ...]]:
-    """Sums of hot histories, by their hash. A history is hot above a share of all tokens, so there are at most HOT_SHARE times the buckets."""
+    """Sums of hot histories, by their names. A history is hot above a share of all tokens, so there are at most HOT_SHARE times the buckets."""
     columns = [f"n{r}" for r in range(1, LIMIT + 1)]
     ddl = "h long, " + ", ".join(f"{c} double" for c in [*columns, "s"])
 
@@ -361,7 +387,7 @@ def _hot_sums(answers: DataFrame) -> dict[int, tuple[float, ...]]:
             for blob in b.column(0).to_pylist():
                 h, once, sums = S.parts(blob)
                 once = S.unplanes(once, np.uint32).reshape(-1, LIMIT).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(S.unplanes(h, np.uint64).view(np.int64)), *[pa.array(once[:, r]) for r in range(LIMIT)], pa.array(S.unplanes(sums, np.float64))], names=["h", *columns, "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(S.unplanes(h, np.int64)), *[pa.array(once[:, r]) for r in range(LIMIT)], pa.array(S.unplanes(sums, np.float64))], names=["h", *columns, "s"])
 
     rows = answers.where("chunk = -2").select("blob").mapInArrow(opened, ddl)
     found = rows.groupBy("h").agg(*[F.sum(c).alias(c) for c in [*columns, "s"]]).collect()
@@ -430,7 +456,7 @@ def katz_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     for now in range(2, order + 1):
         below = unigrams if now == 2 else models[-1][0]
         sent = S.answered(manifest, answers).mapInArrow(sender(now, list(models)), BLOBS)
-        seen = written(_by_bucket(sent, lambda chunks, blobs, below=below: _ngrams_bucket(chunks, blobs, below)), f"{folder}/order{now}")
+        seen = written(_by_bucket(sent, lambda chunks, blobs, below=below, last=now == order: _ngrams_bucket(chunks, blobs, below, last)), f"{folder}/order{now}")
         del sent
         settle(spark)
         models.append((discounts(_summed(seen, LIMIT + 2)), spark.sparkContext.broadcast(_hot_sums(seen))))

@@ -74,6 +74,18 @@ def undeltas(raw: bytes) -> np.ndarray:
     return np.cumsum(unplanes(raw, np.uint64), dtype=np.uint64)
 
 
+def slim(values: np.ndarray) -> bytes:
+    """Integers of 0 and more as the planes of the smallest type that holds them, after its number of bytes."""
+    if not len(values):
+        return b""
+    kind = np.min_scalar_type(int(values.max()))
+    return bytes([kind.itemsize]) + planes(values.astype(kind))
+
+
+def unslim(raw: bytes) -> np.ndarray:
+    return unplanes(raw[1:], f"u{raw[0]}").astype(np.int64) if raw else np.zeros(0, np.int64)
+
+
 def joined(*blobs: bytes) -> bytes:
     return struct.pack(f"<{len(blobs) + 1}I", len(blobs), *map(len, blobs)) + b"".join(blobs)
 
@@ -140,6 +152,10 @@ def buckets_for(df: DataFrame) -> int:
 
 
 def answered(manifest: DataFrame, answers: DataFrame) -> DataFrame:
-    """(chunk, path, answers): each chunk with the blobs of all buckets for it, which together are smaller than the chunk."""
-    by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blob")).alias("answers"))
-    return manifest.join(by_chunk, "chunk", "left").select("chunk", "path", "answers").repartition(max(1, manifest.count()), "chunk")
+    """(chunk, path, answers): each chunk with the blobs of all buckets for it, which together are smaller than the chunk. A chunk is a row of its
+    own beside its answers, so that these are exchanged once."""
+    none = F.lit(None)
+    rows = manifest.select("chunk", "path", none.cast("int").alias("bucket"), none.cast("binary").alias("blob"))
+    rows = rows.unionByName(answers.select("chunk", none.cast("string").alias("path"), "bucket", "blob")).repartition(max(1, manifest.count()), "chunk")
+    blobs = F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "blob")))
+    return rows.groupBy("chunk").agg(F.max("path").alias("path"), blobs.alias("answers")).select("chunk", "path", "answers")
