@@ -86,7 +86,7 @@ class Tokens:
         self.words = np.concatenate([[END, BEGIN], distinct])
         self.begin = 1
         self.counts = counts + 1
-        self.doc = np.repeat(np.arange(len(counts)), self.counts)
+        self.doc = np.repeat(np.arange(len(counts), dtype=np.int32), self.counts)
         self.next = np.insert(numbers.astype(np.int64) + 2, np.cumsum(counts), 0)
         self.history = np.empty_like(self.next)
         self.history[1:] = self.next[:-1]
@@ -131,8 +131,8 @@ class Tokens:
             c[part], names[part] = S.unslim(counts), S.unslim(places) * buckets + b
         order = np.argsort(names)
         self.c, self.names = c[order], names[order]
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         self.next, self.history = place[self.next], place[self.history]
 
     def levels(self, answers: list[dict[int, bytes]], buckets: int, hot: int, unigrams: Unigrams, models: list[tuple[np.ndarray, dict]], order: int) -> tuple[Level, np.ndarray]:
@@ -165,36 +165,43 @@ class Level:
         known = (history >= 0) & (below > 0)
         if len(counts):
             known &= counts[history] > 0
-        at = np.flatnonzero(known)
-        pair = history[at] * n + tokens.next[at]
+        at = np.flatnonzero(known).astype(np.int32)
+        pair = history[at].astype(np.int64) * n + tokens.next[at]
         bits = max(1, int(len(at)).bit_length())
         if int(n) * max(1, len(names)) < 1 << (63 - bits):  # one sort of numbers that hold the pair and its place
-            packed = pair << bits | np.arange(len(at))
-            packed.sort()
-            order = packed & ((1 << bits) - 1)
+            pair = pair << bits | np.arange(len(at))
+            pair.sort()
+            order = (pair & ((1 << bits) - 1)).astype(np.int32)
+            pair >>= bits
         else:
-            order = np.argsort(pair, kind="stable")
-        first = np.concatenate([[True], pair[order][1:] != pair[order][:-1]]) if len(at) else np.zeros(0, bool)
-        number = np.empty(len(at), np.int64)
-        number[order] = np.cumsum(first) - 1
-        distinct = pair[order][first]
-        h, w = distinct // n, distinct % n
-        own = np.bincount(number[tokens.learnt[at]], minlength=len(distinct))
+            order = np.argsort(pair, kind="stable").astype(np.int32)
+            pair = pair[order]
+        first = _first(pair)
+        number = np.empty(len(at), np.int32)
+        number[order] = np.cumsum(first, dtype=np.int32) - 1
+        distinct, some = pair[first], at[order[first]]
+        del pair, order
+        h = (distinct // n).astype(np.int32)
+        w = (distinct - h.astype(np.int64) * n).astype(np.int32)
+        own = np.bincount(number[tokens.learnt[at]], minlength=len(h)).astype(np.int32)
         spread = W.mixed(names.view(np.uint64))
         cold = _bucket(spread, buckets)
         is_hot = counts > hot
-        bucket = np.where(is_hot[h], _bucket(W.mixed(spread[h] + tokens.names[w].view(np.uint64) * _C), buckets), cold[h])
-        by_bucket = np.argsort(bucket, kind="stable")
-        place = np.empty(len(distinct), np.int64)
-        place[by_bucket] = np.arange(len(distinct))
+        bucket = cold[h].astype(np.min_scalar_type(buckets))  # small numbers, which numpy sorts by radix
+        of_hot = np.flatnonzero(is_hot[h])
+        bucket[of_hot] = _bucket(W.mixed(spread[h[of_hot]] + tokens.names[w[of_hot]].view(np.uint64) * _C), buckets)
+        by_bucket = np.argsort(bucket, kind="stable").astype(np.int32)
+        place = np.empty(len(h), np.int32)
+        place[by_bucket] = np.arange(len(h), dtype=np.int32)
         self.at, self.pair_of = at, place[number]
         self.h, self.w, self.pair_own, self.pair_bucket, self.is_hot = h[by_bucket], w[by_bucket], own[by_bucket], bucket[by_bucket], is_hot
-        self.some = some = at[order][first][by_bucket]
+        self.some = some = some[by_bucket]
         self.below = below[some]
         self.lower_c, self.lower_none = (None, None) if lower is None else (lower.ch[some], lower.none[some])
         # cold histories in each bucket, those without a known successor here too
-        asks = np.unique(history[history >= 0])
-        asks = asks[(counts[asks] > 0) & ~is_hot[asks]]
+        asked = np.zeros(len(names), bool)
+        asked[history[history >= 0]] = True
+        asks = np.flatnonzero(asked & (counts > 0) & ~is_hot)
         asks = asks[np.argsort(cold[asks], kind="stable")]
         self.asks, self.asks_bucket = asks, cold[asks]
 
@@ -207,7 +214,8 @@ class Level:
     def sent(self) -> Iterator[tuple[int, bytes]]:
         for b, pairs, asks in self.sections():
             h, w = self.h[pairs], self.w[pairs]
-            heads = np.union1d(np.unique(h), self.asks[asks])
+            heads = np.sort(np.concatenate([h, self.asks[asks]]), kind="stable")
+            heads = heads[_first(heads)]
             place = np.searchsorted(heads, h)
             runs = np.bincount(place, minlength=len(heads))
             told = [S.slim(np.diff(self.names[heads], prepend=0)), S.slim(runs), _bits(self.is_hot[heads]), S.slim(self.tokens.names[w]), S.slim(self.pair_own[pairs]), S.slim(self.below[pairs])]
@@ -241,7 +249,7 @@ class Level:
         here = np.flatnonzero(own[self.h] & (counts > 0))
         sums += np.bincount(self.h[here], weights=lower[self.some[here]], minlength=n)
         here = here[counts[here] <= LIMIT]
-        once += np.bincount(self.h[here] * LIMIT + counts[here] - 1, minlength=n * LIMIT).reshape(n, LIMIT)
+        once += np.bincount(self.h[here].astype(np.int64) * LIMIT + counts[here] - 1, minlength=n * LIMIT).reshape(n, LIMIT)
         for i in np.flatnonzero(self.is_hot).tolist():
             got = hot.get(int(self.names[i]))
             if got is not None:
@@ -256,18 +264,25 @@ class Level:
 
     def followed(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The n-grams as histories of the next order: names, counts, and by token which one goes before it in its text."""
-        before = np.full(len(self.history), -1, np.int64)
+        before = np.full(len(self.history), -1, np.int32)
         before[self.at] = np.where(seen[self.at] > 0, self.pair_of, -1)
-        history = np.full(len(before), -1, np.int64)
+        history = np.full(len(before), -1, np.int32)
         history[1:] = before[:-1]
         history[np.cumsum(self.tokens.counts) - self.tokens.counts] = -1
-        used = np.unique(history[history >= 0])
+        met = np.zeros(len(self.h), bool)
+        met[history[history >= 0]] = True
+        used = np.flatnonzero(met)
         if not len(used):
             return used, used, history
         used = used[np.argsort(self.pair_names[used])]
-        place = np.zeros(len(self.h), np.int64)
-        place[used] = np.arange(len(used))
-        return self.pair_names[used], self.counts[used], np.where(history >= 0, place[history], -1)
+        place = np.zeros(len(self.h), np.int32)
+        place[used] = np.arange(len(used), dtype=np.int32)
+        return self.pair_names[used], self.counts[used], np.where(history >= 0, place[history], np.int32(-1))
+
+
+def _first(ascending: np.ndarray) -> np.ndarray:
+    """Where each distinct value is first."""
+    return np.concatenate([[True], ascending[1:] != ascending[:-1]]) if len(ascending) else np.zeros(0, bool)
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
