@@ -5,7 +5,8 @@ chunks (see staged.py); a chunk asks the buckets for what its own tokens need an
 1. By word: a chunk sends its distinct words with their counts in training texts and is told their counts in all and their names: numbers, low
    ones for frequent words, by which words are called from then on.
 2. By history: it sends its distinct bigrams with training counts and the words' counts, and is told the bigrams' counts in all and, for each
-   history, what its backoff weight needs: how many successors were seen once to LIMIT times, and the sum of their unigram probabilities.
+   history, what its backoff weight needs: how many successors were seen once to LIMIT times, and what the sum of their unigram probabilities follows from: how
+   many of them have which of the discounted counts, and the sum of the others' counts.
    Where all successors of a history are the chunk's own, it adds them up itself and is told no more than that. Bigrams of very frequent
    histories are dealt by both words, and their histories' sums are added up apart.
 3. It evaluates P(w|h) = d(c) c(h,w) / c(h) where the bigram was seen, else weight(h) P(w), and P(w) = d(c) c(w) / N, else the unseen mass.
@@ -139,11 +140,12 @@ class Tokens:
         """The n-grams of the given order, and each token's probability by the order below it. answers and models (discounts, hot histories'
         sums) are those of each order from 2 on; the given one's are not needed."""
         p = unigrams.p(self.c)[self.next]
-        level = Level(self.names, self.c, self.history, self, self.c[self.next], None, buckets, hot)
+        factor = np.full(len(self.names), unigrams.scale / max(1, unigrams.tokens))
+        level = Level(self.names, self.c, self.history, self, self.c[self.next], unigrams.d, factor, buckets, hot)
         for o in range(2, order):
             seen, p = level.scored(answers[o - 2], p, *models[o - 2])
-            names, counts, history = level.followed(seen)
-            level = Level(names, counts, history, self, seen, level, buckets, hot)
+            names, counts, history, factor = level.followed(seen)
+            level = Level(names, counts, history, self, seen, models[o - 2][0], factor, buckets, hot)
         return level, p
 
     def summed(self, p: np.ndarray, unigrams: Unigrams) -> list[np.ndarray]:
@@ -156,10 +158,11 @@ class Tokens:
 class Level:
     """The n-grams of one order in a chunk: for each token the number of its history (-1: none was seen), which are in the order of their
     names. A history's backoff weight needs its successors' probabilities by the order below: `below` are the counts of the n-grams of that
-    order, `lower` its level, whose histories' counts give the probabilities of all that were seen (None: the words')."""
+    order, `below_d` its discounts, and `factor` what a history's discounted counts are multiplied by to be probabilities there."""
 
-    def __init__(self, names: np.ndarray, counts: np.ndarray, history: np.ndarray, tokens: Tokens, below: np.ndarray, lower: Level | None, buckets: int, hot: int) -> None:
+    def __init__(self, names: np.ndarray, counts: np.ndarray, history: np.ndarray, tokens: Tokens, below: np.ndarray, below_d: np.ndarray, factor: np.ndarray, buckets: int, hot: int) -> None:
         """Distinct n-grams whose history and whose end were seen, by bucket, history and word; and which histories are asked about where."""
+        self.below_d, self.factor = below_d, factor
         self.names, self.c, self.history, self.tokens, self.buckets = names, counts, history, tokens, buckets
         n = len(tokens.names)
         known = (history >= 0) & (below > 0)
@@ -197,7 +200,6 @@ class Level:
         self.h, self.w, self.pair_own, self.pair_bucket, self.is_hot = h[by_bucket], w[by_bucket], own[by_bucket], bucket[by_bucket], is_hot
         self.some = some = some[by_bucket]
         self.below = below[some]
-        self.lower_c, self.lower_none = (None, None) if lower is None else (lower.ch[some], lower.none[some])
         # cold histories in each bucket, those without a known successor here too
         asked = np.zeros(len(names), bool)
         asked[history[history >= 0]] = True
@@ -218,12 +220,11 @@ class Level:
             heads = heads[_first(heads)]
             place = np.searchsorted(heads, h)
             runs = np.bincount(place, minlength=len(heads))
-            told = [S.slim(np.diff(self.names[heads], prepend=0)), S.slim(runs), _bits(self.is_hot[heads]), S.slim(self.tokens.names[w]), S.slim(self.pair_own[pairs]), S.slim(self.below[pairs])]
-            if self.lower_c is not None:  # the same for all successors of a history
-                c, none = np.ones(len(heads), np.int64), np.zeros(len(heads), bool)
-                c[place], none[place] = self.lower_c[pairs], self.lower_none[pairs]
-                told += [S.slim(c), _bits(none)]
-            yield b, S.joined(*told)
+            yield b, S.joined(S.slim(np.diff(self.names[heads], prepend=0)), S.slim(runs), _bits(self.is_hot[heads]), S.slim(self.tokens.names[w]), S.slim(self.pair_own[pairs]), S.slim(self.below[pairs]))
+
+    def _sums(self, low: np.ndarray, high: np.ndarray, histories: np.ndarray | int) -> np.ndarray:
+        """The sums of successors' probabilities by the order below, from how many have counts 1 to LIMIT there and the sum of higher counts."""
+        return (high + low @ (self.below_d[1 : LIMIT + 1] * np.arange(1, LIMIT + 1))) * self.factor[histories]
 
     def scored(self, answers: dict[int, bytes], lower: np.ndarray, d: np.ndarray, hot: dict[int, tuple[float, ...]]) -> tuple[np.ndarray, np.ndarray]:
         """Each token's n-gram count in all training texts, and its probability, where `lower` is that by the order below."""
@@ -242,8 +243,10 @@ class Level:
                 asked = self.asks[asks]
                 all_here = _unbits(a, len(asked))
                 own[asked] = all_here
-                once[asked[~all_here]] = S.unslim(o).reshape(-1, LIMIT)
-                sums[asked[~all_here]] = S.unplanes(s, np.float64)
+                asked = asked[~all_here]
+                found = S.unslim(o).reshape(2 * LIMIT, -1).T
+                once[asked] = found[:, :LIMIT]
+                sums[asked] = self._sums(found[:, LIMIT:], S.unslim(s), asked)
                 if places:
                     self.pair_names[pairs][counts[pairs] > 0] = np.cumsum(S.unslim(places)) * self.buckets + b
         here = np.flatnonzero(own[self.h] & (counts > 0))
@@ -253,7 +256,7 @@ class Level:
         for i in np.flatnonzero(self.is_hot).tolist():
             got = hot.get(int(self.names[i]))
             if got is not None:
-                once[i], sums[i] = got[:LIMIT], got[LIMIT]
+                once[i], sums[i] = got[:LIMIT], self._sums(np.array(got[LIMIT : 2 * LIMIT]), got[2 * LIMIT], i)
         self.counts = counts
         weight, scale = weights(self.c, once, sums, d)
         seen[self.at] = counts[self.pair_of]
@@ -262,8 +265,8 @@ class Level:
         direct = d[np.minimum(seen, LIMIT + 1)] * seen / np.maximum(ch, 1) * scale[self.history]
         return seen, np.where(ch == 0, lower, np.where(seen > 0, direct, weight[self.history] * lower))
 
-    def followed(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The n-grams as histories of the next order: names, counts, and by token which one goes before it in its text."""
+    def followed(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams as histories of the next order: names, counts, by token which one goes before it in its text, and their factors."""
         before = np.full(len(self.history), -1, np.int32)
         before[self.at] = np.where(seen[self.at] > 0, self.pair_of, -1)
         history = np.full(len(before), -1, np.int32)
@@ -273,11 +276,16 @@ class Level:
         met[history[history >= 0]] = True
         used = np.flatnonzero(met)
         if not len(used):
-            return used, used, history
+            return used, used, history, np.zeros(0)
         used = used[np.argsort(self.pair_names[used])]
         place = np.zeros(len(self.h), np.int32)
         place[used] = np.arange(len(used), dtype=np.int32)
-        return self.pair_names[used], self.counts[used], np.where(history >= 0, place[history], np.int32(-1))
+        at = np.flatnonzero(history >= 0)
+        history[at] = place[history[at]]
+        token = np.empty(len(used), np.int64)
+        token[history[at]] = at
+        c = self.ch[token]
+        return self.pair_names[used], self.counts[used], history, np.where(self.none[token], c / (c + 1), 1.0) / np.maximum(c, 1)
 
 
 def _first(ascending: np.ndarray) -> np.ndarray:
@@ -314,23 +322,21 @@ def _unbits(raw: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(S.spread(raw), np.uint8), count=n).astype(bool)
 
 
-def _ngrams_bucket(chunks: list[int], blobs: list[bytes], below: Unigrams | np.ndarray, last: bool) -> list[tuple[int, bytes]]:
-    """below: the words' model where that is the order below, else the discounts of that order. last: no higher order follows.
+def _ngrams_bucket(chunks: list[int], blobs: list[bytes], last: bool) -> list[tuple[int, bytes]]:
+    """last: no higher order follows.
 
-    By chunk, its n-grams' counts, which cold histories have no successors but the chunk's own, the others' sums, and the places of the n-grams
-    that were seen, for their names (where a higher order follows); for chunk -1 the types seen r times, for chunk -2 hot histories' sums."""
-    heads, runs, hot, words, own, cw, lower_c, lower_none = [], [], [], [], [], [], [], []
+    By chunk, its n-grams' counts, which cold histories have no successors but the chunk's own, of the others how many successors were seen 1 to
+    LIMIT times, how many are so in the order below and the sum of the higher counts there, and the places of the n-grams that were seen, for
+    their names (where a higher order follows); for chunk -1 the types seen r times, for chunk -2 hot histories' numbers."""
+    heads, runs, hot, words, own, cw = [], [], [], [], [], []
     for blob in blobs:
-        a, b, c, x, y, z, *more = S.parts(blob)
+        a, b, c, x, y, z = S.parts(blob)
         heads.append(np.cumsum(S.unslim(a)))
         runs.append(S.unslim(b))
         hot.append(_unbits(c, len(heads[-1])))
         words.append(S.unslim(x))
         own.append(S.unslim(y))
         cw.append(S.unslim(z))
-        if more:
-            lower_c.append(np.repeat(S.unslim(more[0]), runs[-1]))
-            lower_none.append(np.repeat(_unbits(more[1], len(heads[-1])), runs[-1]))
     histories, head_of = np.unique(np.concatenate(heads), return_inverse=True)
     hot_history = np.zeros(len(histories), bool)
     hot_history[head_of] = np.concatenate(hot)
@@ -339,18 +345,15 @@ def _ngrams_bucket(chunks: list[int], blobs: list[bytes], below: Unigrams | np.n
         w = np.unique(w, return_inverse=True)[1]
     distinct, first, place = np.unique(h * (w.max(initial=0) + 1) + w, return_index=True, return_inverse=True)
     counts = np.bincount(place, weights=np.concatenate(own), minlength=len(distinct)).astype(np.int64)
-    type_h, type_c = h[first], np.concatenate(cw)[first]
-    if isinstance(below, Unigrams):
-        type_p = below.p(type_c)
-    else:  # a type that was seen was seen in the order below as well: its probability there is the direct one
-        c = np.concatenate(lower_c)[first].astype(np.float64)
-        type_p = below[np.minimum(type_c, LIMIT + 1)] * type_c / np.maximum(c, 1) * np.where(np.concatenate(lower_none)[first], c / (c + 1), 1.0)
-    once = np.stack([np.bincount(type_h[counts == r], minlength=len(histories)) for r in range(1, LIMIT + 1)], axis=1)
-    types = np.bincount(type_h[counts > 0], minlength=len(histories))
-    sums = np.bincount(type_h[counts > 0], weights=type_p[counts > 0], minlength=len(histories))
+    # a type that was seen was seen in the order below as well
+    known = counts > 0
+    type_h, type_r, type_c = h[first][known], counts[known], np.concatenate(cw)[first][known]
+    numbers = np.stack([np.bincount(type_h[x == r], minlength=len(histories)) for x in (type_r, type_c) for r in range(1, LIMIT + 1)])
+    types = np.bincount(type_h, minlength=len(histories))
+    high = np.bincount(type_h, weights=np.where(type_c > LIMIT, type_c, 0), minlength=len(histories)).astype(np.int64)
     out = [(-1, S.planes(_types_seen(counts).astype(np.int64)))]
     if hot_history.any():
-        out.append((-2, S.joined(S.planes(histories[hot_history]), S.planes(once[hot_history].astype(np.uint32).reshape(-1)), S.planes(sums[hot_history]))))
+        out.append((-2, S.joined(S.planes(histories[hot_history]), S.planes(numbers[:, hot_history].astype(np.int64).reshape(-1)), S.planes(high[hot_history]))))
     at_head, at_pair = 0, 0
     for c, k, r, f in zip(chunks, heads, runs, hot, strict=True):
         n = int(r.sum())
@@ -360,7 +363,7 @@ def _ngrams_bucket(chunks: list[int], blobs: list[bytes], below: Unigrams | np.n
         all_here = np.bincount(np.repeat(np.arange(len(k)), r)[seen], minlength=len(k)) == types[its_heads]
         others = its_heads[~f & ~all_here]
         places = b"" if last else S.slim(np.diff(its[seen], prepend=0))
-        out.append((c, S.joined(S.slim(counts[its]), _bits(all_here[~f]), S.slim(once[others].reshape(-1)), S.planes(sums[others]), places)))
+        out.append((c, S.joined(S.slim(counts[its]), _bits(all_here[~f]), S.slim(numbers[:, others].reshape(-1)), S.slim(high[others]), places)))
         at_head, at_pair = at_head + len(k), at_pair + n
     return out
 
@@ -393,16 +396,16 @@ def _summed(answers: DataFrame, width: int) -> np.ndarray:
 
 
 def _hot_sums(answers: DataFrame) -> dict[int, tuple[float, ...]]:
-    """Sums of hot histories, by their names. A history is hot above a share of all tokens, so there are at most HOT_SHARE times the buckets."""
-    columns = [f"n{r}" for r in range(1, LIMIT + 1)]
+    """The numbers of hot histories, by their names. A history is hot above a share of all tokens, so there are at most HOT_SHARE times the buckets."""
+    columns = [f"n{r}" for r in range(2 * LIMIT)]
     ddl = "h long, " + ", ".join(f"{c} double" for c in [*columns, "s"])
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for blob in b.column(0).to_pylist():
-                h, once, sums = S.parts(blob)
-                once = S.unplanes(once, np.uint32).reshape(-1, LIMIT).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(S.unplanes(h, np.int64)), *[pa.array(once[:, r]) for r in range(LIMIT)], pa.array(S.unplanes(sums, np.float64))], names=["h", *columns, "s"])
+                h, numbers, high = (S.unplanes(x, np.int64) for x in S.parts(blob))
+                numbers = numbers.reshape(2 * LIMIT, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, *numbers.astype(float), high.astype(float))], names=["h", *columns, "s"])
 
     rows = answers.where("chunk = -2").select("blob").mapInArrow(opened, ddl)
     found = rows.groupBy("h").agg(*[F.sum(c).alias(c) for c in [*columns, "s"]]).collect()
@@ -469,9 +472,8 @@ def katz_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     answers = told.where("chunk >= 0")
     models: list = []
     for now in range(2, order + 1):
-        below = unigrams if now == 2 else models[-1][0]
         sent = S.answered(manifest, answers).mapInArrow(sender(now, list(models)), BLOBS)
-        seen = written(_by_bucket(sent, lambda chunks, blobs, below=below, last=now == order: _ngrams_bucket(chunks, blobs, below, last)), f"{folder}/order{now}")
+        seen = written(_by_bucket(sent, lambda chunks, blobs, last=now == order: _ngrams_bucket(chunks, blobs, last)), f"{folder}/order{now}")
         del sent
         settle(spark)
         models.append((discounts(_summed(seen, LIMIT + 2)), spark.sparkContext.broadcast(_hot_sums(seen))))
