@@ -477,6 +477,7 @@ def katz_scores(docs: DataFrame, order: int = 2) -> DataFrame:
         del sent
         settle(spark)
         models.append((discounts(_summed(seen, LIMIT + 2)), spark.sparkContext.broadcast(_hot_sums(seen))))
+        settle(spark)  # again: until another query has run, something may refer to the last one
         answers = answers.unionByName(seen.where("chunk >= 0").withColumn("bucket", (F.col("bucket") + (now - 1) * buckets).cast("int")))
     out_schema = arrow_schema(SCORES)
 
