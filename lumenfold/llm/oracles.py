@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import audit as _audit
+from . import resampling as _resampling
 from .decontam import WINDOW as ITEM_WINDOW
 from .minhash import PERCENT
 from .quality import STOP_WORDS, THRESHOLDS, WINDOW
@@ -75,3 +77,36 @@ def repeats() -> str:
     x AS (SELECT k.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
     SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
         sha256(unhex(CASE WHEN n_removed IS NULL THEN h ELSE coalesce(head, '') || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN x USING (doc_id)"""
+
+
+def audit() -> str:
+    return rf"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+    f AS (SELECT doc_id, part, [len(w) < {_audit.LEAST_WORDS}, 100 * len(list_distinct(w)) < {_audit.LEAST_DISTINCT} * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > {_audit.MOST_CAPITALS} * length(t), regexp_matches(t, '{_audit.SYMBOLS}'), coalesce(least < doc_id, false)] AS fails FROM w),
+    l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+    x AS (SELECT unnest(string_split('A,B,C,D,E', ',')) AS k),
+    o AS (SELECT a.k || b.k || c.k || d.k || e.k AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+    s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+    r AS (SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, filter_order, coalesce(list_min(list_filter(range(1, 6), lambda i: fails[ascii(filter_order[i]) - 64])), 6) AS first FROM f LEFT JOIN l USING (doc_id), o),
+    c AS (SELECT part, filter_order, step, count(*) FILTER (first > step) AS kept, count(*) FILTER (first = step) AS removed, count(*) FILTER (first < step AND fails[ascii(filter_order[step]) - 64]) AS redundant,
+        count(*) FILTER (fails[ascii(filter_order[step]) - 64] AND len(list_filter(fails, lambda x: x)) = 1) AS unique_fails, count(*) FILTER (first = step AND good) AS good_lost, count(*) FILTER (first = step AND toxic) AS toxic_lost
+        FROM r JOIN s USING (filter_order) GROUP BY part, filter_order, step)
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM c"""
+
+
+def resampling() -> str:
+    """CRC-32 by its rule: a table of 256 entries, each a byte divided eight times, folded over a word's bytes."""
+    r = _resampling
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""WITH k AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: xor(c >> 1, (c & 1) * 3988292384))) AS k),
+    d AS (SELECT doc_id, {words} AS w FROM documents), e AS (SELECT unnest(w) AS word FROM d), b AS (SELECT unnest({words}) AS word FROM benchmark),
+    h AS (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM e UNION SELECT word FROM b)),
+    c AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: CAST('0x' || x[2 * i + 1 : 2 * i + 2] AS BIGINT))), lambda c, y: xor(k[(xor(c, y) & 255) + 1], c >> 8)), 4294967295) % {r.BUCKETS} AS bucket FROM h, k),
+    s AS (SELECT bucket, count(*) AS s FROM e JOIN c USING (word) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM b JOIN c USING (word) GROUP BY bucket),
+    n AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS big_s, (SELECT coalesce(sum(t), 0) FROM t) AS big_t),
+    g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (big_s + {r.BUCKETS})::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (big_t + {r.BUCKETS})::DOUBLE))) AS BIGINT) AS gain FROM s FULL JOIN t USING (bucket), n),
+    u AS (SELECT row_number() OVER () AS rid, doc_id, w FROM d), v AS (SELECT rid, sum(gain) AS weight FROM (SELECT rid, unnest(w) AS word FROM u) JOIN c USING (word) JOIN g USING (bucket) GROUP BY rid),
+    z AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST('0x' || substr(sha256('{r.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM u LEFT JOIN v USING (rid)),
+    q AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score, n_features >= {r.LEAST_WORDS} AS eligible FROM z),
+    p AS (SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id) AS i, count(*) FILTER (eligible) OVER () AS total FROM q)
+    SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND i <= {r.PER_CENT} * total // 100 THEN i END AS rank FROM p"""

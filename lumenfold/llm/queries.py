@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, katz, langid, minhash, mixing, oracles, pii, quality, repeats, sharding, tokens
+from . import audit, decontam, katz, langid, minhash, mixing, oracles, pii, quality, repeats, resampling, secrets, sharding, tokens
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
@@ -61,6 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontam": op8_decontam,
     "op9_quality": op9_quality,
     "op10_repeats": op10_repeats,
+    "op11_audit": op11_audit,
+    "op12_resampling": op12_resampling,
+    "op13_secrets": op13_secrets,
 }
 
 ORACLES: dict[str, str] = {
@@ -68,4 +83,6 @@ ORACLES: dict[str, str] = {
     "op8_decontam": oracles.contamination(),
     "op9_quality": oracles.quality(),
     "op10_repeats": oracles.repeats(),
+    "op11_audit": oracles.audit(),
+    "op12_resampling": oracles.resampling(),
 }
