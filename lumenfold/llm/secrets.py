@@ -1,12 +1,14 @@
 """Secrets in texts: patterns of known forms, and strings near sensitive words that their surroundings do not explain.
 
-Novelty is measured by compression: a candidate's marginal bytes are what zstandard needs for the text around it with the candidate, less what it
-needs without, primed with a dictionary of identifiers. Words and names cost a few bytes, as they are copied from the dictionary or from the
-surroundings; a random string costs nearly as many as it is long, or half that if it is hexadecimal."""
+Novelty is measured by compression: a candidate's marginal bytes are what zstandard, primed with a dictionary of identifiers, needs for the text
+around it with the candidate, less what it needs without. How many that are depends on those surroundings too, so they are held against the marginal
+bytes of the same characters shuffled: words and names cost clearly less than their characters in disorder, as they are copied from the dictionary
+or the surroundings; a random string costs the same."""
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
@@ -26,7 +28,6 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _LONG = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
-_HEXADECIMAL = re.compile(r"[0-9a-f-]+|[0-9A-F-]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Bytes by class, for a quick look whether a text holds a run of hexadecimal digits.
@@ -38,8 +39,8 @@ SENSITIVE = ("password", "passwd", "pwd", "secret", "token", "key", "credential"
 SENSITIVE_CHARS = 48
 #: Characters of the surroundings on either side that a candidate is compressed with.
 AROUND = 256
-#: Marginal bytes a byte from which a candidate is reported, and of one of hexadecimal digits and hyphens alone, which needs half as many.
-NOVEL, NOVEL_HEX = 0.85, 0.6
+#: A candidate is reported if its marginal bytes are at least LEAST_BYTES a character, and NOVEL times those of its characters in SHUFFLES orders (median).
+LEAST_BYTES, NOVEL, SHUFFLES = 0.4, 0.9, 3
 #: Letters that a candidate has at least, besides one digit.
 LEAST_LETTERS = 4
 #: Words of the corpus in the dictionary at most; they have to be in texts of so many of 64 classes by hash, so that copies of a text count once.
@@ -79,20 +80,30 @@ def identifiers(docs: DataFrame, most: int = MOST_IDENTIFIERS, least_classes: in
 
 
 class Novelty:
-    """Marginal compressed bytes a byte, under a raw dictionary of identifiers: those last in it are the nearest, so the most frequent come last."""
+    """Marginal bytes under a raw dictionary of identifiers: those last in it are the nearest, so the most frequent come last. Case is ignored."""
 
     def __init__(self, words: Sequence[str] = ()) -> None:
-        content = " ".join([*reversed(words), *IDENTIFIERS]).encode()
+        content = " ".join([*reversed(words), *IDENTIFIERS]).lower().encode()
         primed = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        primed.precompute_compress(level=3)
-        self._of = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
+        primed.precompute_compress(level=6)
+        self._of = zstandard.ZstdCompressor(level=6, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def size(self, text: str) -> int:
-        return len(self._of.compress(text.encode("utf-8", "surrogatepass")))
+        return len(self._of.compress(text.lower().encode("utf-8", "surrogatepass")))
 
     def __call__(self, text: str, start: int, end: int) -> float:
-        before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-        return (self.size(before + text[start:end] + after) - self.size(before + after)) / (end - start)
+        """Marginal bytes of text[start:end] as a share of those of its characters shuffled; 0 if they are few anyway."""
+        around, own = text[max(0, start - AROUND) : start] + text[end : end + AROUND], text[start:end]
+        least = self.size(around)
+        marginal = self.size(around + own) - least
+        if marginal < LEAST_BYTES * len(own):
+            return 0.0
+        shuffled = []
+        for seed in range(SHUFFLES):
+            letters = list(own)
+            random.Random(seed).shuffle(letters)
+            shuffled.append(self.size(around + "".join(letters)) - least)
+        return marginal / max(1, sorted(shuffled)[SHUFFLES // 2])
 
 
 def base_spans(text: str) -> list[Span]:
@@ -129,7 +140,7 @@ def find_secrets(text: str | None, novelty: Novelty) -> list[Span]:
             if sum(map(str.isalpha, run)) < LEAST_LETTERS or not any(map(str.isdigit, run)):
                 continue
             value = novelty(text, a, b)
-            if value >= (NOVEL_HEX if _HEXADECIMAL.fullmatch(run) else NOVEL):
+            if value >= NOVEL:
                 found.append(Span("novel", a, b, value))
     return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind)))
 
