@@ -2,59 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CONTEXT_FIELDS
-from ..functions.statistics import next_up
+from ..functions.statistics import next_up, with_sortable
+from .order import finite, order_statistics
 
 STRICT, INCLUSIVE = ">", ">="
+UNITS = "scored_unit_count"
 
 
 def compare(score: Column, threshold: Column, comparator: Column) -> Column:
     return F.when(comparator == STRICT, score > threshold).when(comparator == INCLUSIVE, score >= threshold)
 
 
-def calibrated(scores: DataFrame, context: list[str], target_fpr: float, comparator: str, score: str = "score") -> DataFrame:
+def calibrated(scores: DataFrame, context: list[str], target_fpr: float, comparator: str, score: str = "score", sample: str | None = None) -> DataFrame:
     """From scores of negatives: a threshold a context, which at most floor(fpr * n) of them exceed.
 
     Strict: the score at that place from the top, which leaves itself and its ties out (the least one if the place is beyond the end).
-    Inclusive: the one before it if its ties fit, else the next number above. Scores are counted by value first, so ties and large contexts
-    are pre-aggregated, and what is ranked are distinct scores. Contexts may hold nulls."""
+    Inclusive: the one before it if its ties fit, else the next number above. One selected rank gives both that and the false positives: nothing is
+    sorted, and no group passes through one task (see order.py). A score that is null, NaN or infinite is an error, as is a context without scored
+    units. Contexts may hold nulls. With `sample`, the ids' column, calibration_sha256 tells which samples with which scores were used."""
     if not 0 < target_fpr < 1:
         raise ValueError("target_fpr must be between zero and one")
     if comparator not in (STRICT, INCLUSIVE):
         raise ValueError(f"unsupported comparator: {comparator}")
-    valid = F.assert_true(~F.isnan(score) & (F.abs(F.col(score)) != F.lit(float("inf"))), "scores have to be finite")
-    by_value = scores.where(F.col(score).isNotNull()).withColumn("_ok", valid).groupBy(*context, F.col(score).alias("v")).agg(F.count("*").alias("k"), F.max("_ok").alias("_ok"))
-    down = Window.partitionBy(*context).orderBy(F.desc("v"))
-    whole = Window.partitionBy(*context)
-    ranked = by_value.withColumns({"upto": F.sum("k").over(down), "n": F.sum("k").over(whole)})
-    ranked = ranked.withColumn("allowed", F.floor(F.lit(target_fpr) * F.col("n")).cast("long"))
-    at = F.col("allowed") if comparator == STRICT else F.col("allowed") - 1
-    # the value at index `at` from the top is the first whose running count is more than it
-    holds = (F.col("upto") > at) & (F.col("upto") - F.col("k") <= at)
-    picked = ranked.groupBy(*context).agg(F.max("n").alias("negative_count"), F.max("allowed").alias("maximum_allowed_false_positives"), F.max(F.when(holds, F.struct("v", "upto"))).alias("at"), F.min("v").alias("least"), F.max("v").alias("most"))
-    allowed = F.col("maximum_allowed_false_positives")
+    value = F.col(score)
+    if UNITS in context:
+        value = F.when(F.col(UNITS) > 0, value).otherwise(F.raise_error(F.lit("a threshold cannot be calibrated without scored units")).cast("double"))
+    allowed_of = lambda n: F.floor(F.lit(float(target_fpr)) * n).cast("long")
+    from_top = (lambda n: allowed_of(n)) if comparator == STRICT else (lambda n: F.greatest(allowed_of(n) - 1, F.lit(0)))
+    found = order_statistics(scores, context, value, lambda n: F.array(n - 1 - from_top(n)), "scores have to be finite numbers")
+    n, allowed, pick = F.col("n"), allowed_of(F.col("n")), F.col("picks")[0]
+    above = n - pick["below"] - pick["ties"]
     if comparator == STRICT:
-        threshold = F.coalesce(F.col("at.v"), F.col("least"))
+        threshold, hits = pick["value"], above
     else:
-        threshold = F.when(allowed == 0, next_up(F.col("most"))).when(F.col("at.upto") <= allowed, F.col("at.v")).otherwise(next_up(F.col("at.v")))
-    picked = picked.withColumn("threshold", threshold)
-    values = by_value.select(*[F.col(c).alias(f"v_{c}") for c in context], F.col("v").alias("v_value"), F.col("k").alias("v_count"))
-    same = F.lit(True)
-    for c in context:
-        same = same & F.col(c).eqNullSafe(F.col(f"v_{c}"))
-    passed = F.when(compare(F.col("v_value"), F.col("threshold"), F.lit(comparator)), F.col("v_count")).otherwise(0)
-    out = picked.join(values, same).groupBy(*context, "threshold", "negative_count", "maximum_allowed_false_positives").agg(F.sum(passed).alias("false_positive_count"))
-    fine = F.col("false_positive_count") <= allowed
-    out = out.withColumn("false_positive_count", F.when(fine, F.col("false_positive_count")).otherwise(F.raise_error(F.lit("calibration exceeded its allowance")).cast("long")))
-    return out.withColumns({
+        fits = (allowed > 0) & (n - pick["below"] <= allowed)
+        threshold, hits = F.when(fits, pick["value"]).otherwise(next_up(pick["value"])), F.when(fits, n - pick["below"]).otherwise(above)
+    hits = F.when(hits <= allowed, hits).otherwise(F.raise_error(F.lit("calibration exceeded its allowance")).cast("long"))
+    out = found.select(*context, threshold.alias("threshold"), n.alias("negative_count"), allowed.alias("maximum_allowed_false_positives"), hits.alias("false_positive_count"))
+    out = out.withColumns({
         "empirical_calibration_exceedance": F.col("false_positive_count") / F.col("negative_count"),
         "resolution_status": F.when(F.col("negative_count") * F.lit(float(target_fpr)) >= 1, "RESOLVED").otherwise("UNRESOLVED"),
         "comparator": F.lit(comparator),
         "target_fpr": F.lit(float(target_fpr)),
     })
+    if sample is None:
+        return out
+    used = multiset_digest(scores, context, [sample, score], "calibration_sha256")
+    return out.join(used.withColumnsRenamed({c: f"u_{c}" for c in context}), _same(context, "u_")).drop(*[f"u_{c}" for c in context])
+
+
+def multiset_digest(df: DataFrame, by: list[str], columns: list[str], name: str) -> DataFrame:
+    """A digest of each group's rows that does not depend on their order: SHA-256 of the rows' number and the sums of the eight words of each row's
+    SHA-256. Sums are combined map side, so a group of any size is one row a task. Nulls differ from empty texts; doubles are taken bit by bit."""
+    rows, parts = df, []
+    for i, c in enumerate(columns):
+        text = F.col(c).cast("string")
+        if dict(df.dtypes)[c] in ("double", "float"):
+            rows, text = with_sortable(rows, finite(c), f"_bits{i}"), F.col(f"_bits{i}").cast("string")
+        parts.append(F.coalesce(F.concat(F.lit("="), F.char_length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    rows = rows.select(*by, F.sha2(F.concat(*parts), 256).alias("h"))
+    words = [F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")).alias(f"w{i}") for i in range(8)]
+    summed = rows.groupBy(*by).agg(F.count("*").alias("n"), *words)
+    return summed.select(*by, F.sha2(F.concat_ws(",", F.col("n").cast("string"), *[F.col(f"w{i}").cast("string") for i in range(8)]), 256).alias(name))
+
+
+def _same(columns: list[str], prefix: str) -> Column:
+    on = F.lit(True)
+    for c in columns:
+        on = on & F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
+    return on
 
 
 def duplicates(thresholds: DataFrame, context: list[str]) -> DataFrame:
@@ -64,16 +84,14 @@ def duplicates(thresholds: DataFrame, context: list[str]) -> DataFrame:
 
 def selected(requests: DataFrame, thresholds: DataFrame, context: list[str] = list(CONTEXT_FIELDS), units: str = "scored_unit_count") -> DataFrame:  # noqa: B006
     """Requests with `status`, `reason` and the threshold of their exact context, if there is one. Nothing is interpolated: below the least
-    calibrated support is UNSUPPORTED, anything else UNRESOLVED. Equality of contexts is null-safe."""
+    calibrated support is UNSUPPORTED, anything else UNRESOLVED. Equality of contexts is null-safe. Two thresholds of a requested context are an
+    error, even equal ones: which holds would be a matter of chance."""
     others = [c for c in context if c != units]
-    right = thresholds.select(*[F.col(c).alias(f"t_{c}") for c in context], "threshold", F.lit(True).alias("found"))
+    right = thresholds.groupBy(*[F.col(c).alias(f"t_{c}") for c in context]).agg(F.count("*").alias("found"), F.max("threshold").alias("threshold"))
     support = thresholds.groupBy(*[F.col(c).alias(f"s_{c}") for c in others]).agg(F.min(units).alias("least"), F.max(units).alias("most"))
-    exact, near = F.lit(True), F.lit(True)
-    for c in context:
-        exact = exact & F.col(c).eqNullSafe(F.col(f"t_{c}"))
-    for c in others:
-        near = near & F.col(c).eqNullSafe(F.col(f"s_{c}"))
-    joined = requests.join(right, exact, "left").join(support, near, "left")
+    joined = requests.join(right, _same(context, "t_"), "left").join(support, _same(others, "s_"), "left")
+    one = F.when(F.col("found") > 1, F.raise_error(F.lit("duplicate threshold identities for one conditioning context")).cast("double")).otherwise(F.col("threshold"))
+    joined = joined.withColumn("threshold", one).withColumn("found", F.col("threshold").isNotNull())
     status = F.when(F.col("found"), "SELECTED").when(F.col(units) < F.col("least"), "UNSUPPORTED").otherwise("UNRESOLVED")
     reason = (
         F.when(F.col("found"), "exact match")

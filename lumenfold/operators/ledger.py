@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scan import running_before
+
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("rows")).where("rows > 1")
@@ -73,8 +75,9 @@ def parsed_checksums(lines: DataFrame) -> DataFrame:
     """(ordinal, sha256, name, problem) from lines (ordinal, value): form, order and repeats are looked at."""
     form = r"^([0-9a-f]{64})  ([^/\\\n]+)$"
     out = lines.select("ordinal", F.regexp_extract("value", form, 1).alias("sha256"), F.regexp_extract("value", form, 2).alias("name"))
-    before = F.lag("name").over(Window.orderBy("ordinal"))  # a list of a release's files
-    return out.withColumn("problem", F.when(F.col("sha256") == "", "form").when(before == F.col("name"), "duplicate").when(before > F.col("name"), "order"))
+    out = running_before(out, [], "ordinal", F.struct("ordinal", "name"), "max", "_before")
+    before = F.col("_before.name")
+    return out.withColumn("problem", F.when(F.col("sha256") == "", "form").when(before == F.col("name"), "duplicate").when(before > F.col("name"), "order")).drop("_before")
 
 
 def release_violations(manifest: DataFrame, listed: DataFrame, files: DataFrame) -> DataFrame:

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import GROUP_FIELDS
 from ..functions.hashing import canonical_hash_of_json
 from ..functions.scalars import let
-from ..functions.statistics import interval, normal_tail
+from ..functions.statistics import from_sortable, interval, normal_tail
+from .order import finite, quantiles
+from .scan import placed, prefixes
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -24,10 +28,16 @@ def _side_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "l
     return left.join(renamed, on, how).drop(*[f"r_{k}" for k in keys])
 
 
+def _with_quantiles(out: DataFrame, rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Adds `name`_median and `name`_quantiles of the rows' values by the keys. Null values are none; without values both are null."""
+    known = quantiles(rows.where(F.col(value).isNotNull()), keys, value, QUANTILES, f"{name}_quantiles").drop("n")
+    return _side_join(out, known, keys).withColumn(f"{name}_median", F.col(f"{name}_quantiles")[QUANTILES.index(0.5)])
+
+
 def with_interval(df: DataFrame, successes: str, trials: str, name: str) -> DataFrame:
-    """Adds the struct `name` of exact bounds. Only distinct pairs go to Python; both ends have closed forms in the function itself."""
+    """Adds the struct `name` of exact bounds, worked out once for each distinct pair."""
     pairs = df.select(F.col(successes).alias("_k"), F.col(trials).alias("_n")).where("_n > 0").distinct()
-    bounds = pairs.withColumn(name, interval("_k", "_n"))
+    bounds = pairs.withColumn(name, interval(F.col("_k"), F.col("_n")))
     return df.join(bounds, (F.col(successes) == F.col("_k")) & (F.col(trials) == F.col("_n")), "left").drop("_k", "_n")
 
 
@@ -50,18 +60,18 @@ def aggregated(records: DataFrame, target_fpr: float, group: list[str] | None =
         "false_positives": F.count_if(negative & known & hit),
         "_all_unsupported": F.bool_and(F.when(negative & ~known, F.coalesce(F.col("decision_status") == "UNSUPPORTED", F.lit(False)))),
         "score_mean": F.avg("score"),
-        "score_median": F.median("score"),
-        "score_quantiles": F.percentile("score", F.array(*[F.lit(q) for q in QUANTILES])),
     }
     if "run_id" in records.columns:
         cells |= {"run_ids": F.array_sort(F.collect_set("run_id")), "manifest_paths": F.array_sort(F.collect_set("manifest_path"))}
     out = records.groupBy(*keys).agg(*[v.alias(k) for k, v in cells.items()])
+    out = _with_quantiles(out, records, keys, "score", "score")
     if "source_authority_ids" in records.columns:
         ids = records.select(*keys, F.explode_outer("source_authority_ids").alias("id")).groupBy(*keys).agg(F.array_sort(F.collect_set("id")).alias("source_authority_ids"))
         out = _side_join(out, ids, keys)
     if "quality" in records.columns:
-        q = records.select(*keys, F.explode(F.map_values("quality")).alias("q")).where("q is not null").groupBy(*keys)
-        out = _side_join(out, q.agg(F.avg("q").alias("quality_mean"), F.median("q").alias("quality_median"), F.percentile("q", F.array(*[F.lit(x) for x in QUANTILES])).alias("quality_quantiles")), keys)
+        q = records.select(*keys, F.explode(F.map_values("quality")).alias("q")).where("q is not null")
+        out = _side_join(out, q.groupBy(*keys).agg(F.avg("q").alias("quality_mean")), keys)
+        out = _with_quantiles(out, q, keys, "q", "quality")
     both = (F.col("positive_n") > 0) & (F.col("negative_n") > 0)
     closed = (F.col("negative_n") > 0) & (F.col("unresolved_negative_n") == 0)
     status = (
@@ -108,12 +118,12 @@ def length_at_target(rates: DataFrame, by: list[str], target_tpr: float) -> Data
 def pareto_frontier(points: DataFrame, by: list[str]) -> DataFrame:
     """Points (damage, survival) that no point of at most their damage reaches in survival. Values outside [0, 1] are an error.
 
-    Each damage is reduced to its best survival before the ordered pass, so only distinct damages of a group are sorted."""
+    Each damage is reduced to its best survival before the scan, which passes ranges of damages and not groups in order (see scan.py)."""
     fine = F.col("damage").between(0, 1) & F.col("survival").between(0, 1)
-    best = points.withColumn("survival", F.when(fine, F.col("survival")).otherwise(F.raise_error(F.lit("damage and survival are in [0, 1]")).cast("double")))
-    best = best.groupBy(*by, "damage").agg(F.max("survival").alias("survival"))
-    before = F.max("survival").over(Window.partitionBy(*by).orderBy("damage").rowsBetween(Window.unboundedPreceding, -1))
-    return best.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("survival") > F.col("_b"))).drop("_b")
+    checked = F.when(fine, F.col("survival")).otherwise(F.raise_error(F.lit("damage and survival are in [0, 1]")).cast("double"))
+    keyed = placed(points.select(F.struct(*by).alias("_g"), F.col("damage").cast("double").alias("damage"), checked.alias("_v")), "damage", "_k")
+    best = prefixes(keyed, "_g", "_k", "_v", "max").where(F.col("before").isNull() | (F.col("own") > F.col("before")))
+    return best.select(*[F.col(f"_g.{c}").alias(c) for c in by], from_sortable(F.col("_k")).alias("damage"), F.col("own").alias("survival"))
 
 
 def softmax(logits: Column) -> Column:
@@ -139,16 +149,22 @@ def spike(probabilities: Column, z: float = math.tanh(1.0)) -> Column:
 
 
 def summarized(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Mean, median and quantiles; a value that is not finite is an error."""
-    fine = ~F.isnan(value) & (F.abs(F.col(value)) < F.lit(float("inf")))
-    df = df.withColumn(value, F.when(fine, F.col(value)).otherwise(F.raise_error(F.lit("values have to be finite")).cast("double")))
-    return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.percentile(value, F.array(*[F.lit(q) for q in (0.05, 0.25, 0.75, 0.95)])).alias("quantiles"))
+    """Mean, median and quantiles; a value that is null or not finite is an error."""
+    levels = (0.5, 0.05, 0.25, 0.75, 0.95)
+    means = df.groupBy(*by).agg(F.avg(finite(value)).alias("mean"))
+    out = _side_join(means, quantiles(df, by, value, levels, "_q").drop("n"), by)
+    return out.withColumn("median", F.col("_q")[0]).withColumn("quantiles", F.slice("_q", 2, len(levels) - 1)).drop("_q")
 
 
 def prefix_summary(df: DataFrame, steps: str, length: str, key: list[str]) -> DataFrame:
-    """Entropies of the first `length` steps (array<struct<shannon, spike>>) of each row, summarized."""
-    rows = df.select(*key, F.explode(F.slice(steps, F.lit(1), F.col(length))).alias("s"))
-    return rows.groupBy(*key).agg(F.avg("s.shannon").alias("shannon_mean"), F.median("s.shannon").alias("shannon_median"), F.avg("s.spike").alias("spike_mean"), F.median("s.spike").alias("spike_median"))
+    """Entropies of the first `length` steps (array<struct<shannon, spike>>) of each row, summarized. A row's own steps are folded within the row."""
+    def middle(field: str) -> Column:
+        values = F.array_sort(F.transform("_s", lambda x: finite(x[field])))
+        return let(values, lambda v: (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2)
+
+    mean = lambda field: F.aggregate("_s", F.lit(0.0), lambda s, x: s + x[field]) / F.size("_s")
+    rows = df.select(*key, F.slice(steps, F.lit(1), F.col(length)).alias("_s")).where(F.size("_s") > 0)
+    return rows.select(*key, mean("shannon").alias("shannon_mean"), middle("shannon").alias("shannon_median"), mean("spike").alias("spike_mean"), middle("spike").alias("spike_median"))
 
 
 def _grams(tokens: Column, width: int) -> Column:
@@ -215,16 +231,73 @@ def repetition_mask(tokens: Column, context: int, history: int | None = 1024) ->
     return F.when(tokens.isNull(), none).otherwise(let(tokens, masked))
 
 
+def _nucleus(logits: np.ndarray, temperature: float, top_k: int, top_p: float) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that stay, likeliest first (ties by number), and their probabilities: the top k with ties, then, of these, the least head whose
+    probability is over top p, at least the first. One sort and one running sum."""
+    scaled = logits / temperature
+    tokens = np.arange(len(scaled))
+    if 0 < top_k < len(scaled):
+        tokens = np.flatnonzero(scaled >= np.partition(scaled, -top_k)[-top_k])
+    tokens = tokens[np.argsort(-scaled[tokens], kind="stable")]
+    p = np.exp(scaled[tokens] - scaled[tokens[0]])
+    p /= p.sum()
+    if top_p < 1:
+        n = 1 + int(np.searchsorted(np.cumsum(p[:-1]), top_p, side="right"))
+        tokens, p = tokens[:n], p[:n] / p[:n].sum()
+    return tokens, p
+
+
+def _checked_filters(temperature: float, top_k: int | None, top_p: float | None) -> tuple[float, int, float]:
+    top_k, top_p = top_k or 0, 1.0 if top_p is None else top_p
+    if temperature <= 0 or top_k < 0 or not 0 < top_p <= 1:
+        raise ValueError("invalid temperature, top_k, or top_p")
+    return temperature, top_k, top_p
+
+
+def _rows_of(logits: pd.Series):
+    """Each row's logits as doubles, None for null; no logits, or one that is not a number or not finite, is an error."""
+    for x in logits:
+        if x is None:
+            yield None
+            continue
+        values = np.asarray(x, dtype=float)
+        if not len(values) or not np.isfinite(values).all():
+            raise ValueError("logits have to be finite, and at least one")
+        yield values
+
+
 def filtered_probabilities(df: DataFrame, logits: str, temperature: float, top_k: int | None, top_p: float | None) -> DataFrame:
-    """Adds `kept`, array<struct<token, p>>: probabilities at a temperature, the top k with ties, then the least head that reaches top p, whose
-    first token always stays."""
-    df = with_probabilities(df.withColumn("_l", F.transform(logits, lambda x: x.cast("double") / temperature)), "_l")
-    ranked = F.reverse(F.array_sort(F.transform("probabilities", lambda p, i: F.struct(p.alias("p"), (-i).alias("i")))))
-    df = df.withColumn("_r", ranked)
-    if top_k:
-        df = df.withColumn("_r", F.filter("_r", lambda x: x["p"] >= F.get("_r", F.least(F.size("_r"), F.lit(top_k)) - 1)["p"]))
-    if top_p is not None:
-        before = F.transform("_r", lambda x, i: F.aggregate(F.slice("_r", F.lit(1), i), F.lit(0.0), lambda s, y: s + y["p"]))
-        df = df.withColumn("_b", before).withColumn("_r", F.filter("_r", lambda x, i: (i == 0) | (F.get("_b", i) < top_p)))
-    total = F.aggregate("_r", F.lit(0.0), lambda s, x: s + x["p"])
-    return df.withColumn("_t", total).withColumn("kept", F.transform("_r", lambda x: F.struct((-x["i"]).alias("token"), (x["p"] / F.col("_t")).alias("p")))).drop("_l", "_r", "_b", "_t", "probabilities")
+    """Adds `kept`, array<struct<token, p>>: what is drawn from at a temperature, the top k with ties, then the least head over top p of these."""
+    known = _checked_filters(temperature, top_k, top_p)
+
+    def kept(column: pd.Series) -> pd.Series:
+        found = [None if x is None else _nucleus(x, *known) for x in _rows_of(column)]
+        return pd.Series([None if f is None else [{"token": int(t), "p": float(p)} for t, p in zip(*f, strict=True)] for f in found])
+
+    return df.withColumn("kept", F.pandas_udf(kept, "array<struct<token int, p double>>")(F.col(logits)))
+
+
+def uniform(seed: int, *counter: Column) -> Column:
+    """A number in [0, 1) of 52 bits that depends on the seed and the counter alone, so draws can be made in any order, and again."""
+    text = F.concat_ws("\0", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in counter])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def drawn_tokens(df: DataFrame, logits: str, seed: int, counter: list[str], temperature: float = 0.8, top_k: int | None = 40, top_p: float | None = 0.95) -> DataFrame:
+    """Adds `token`, `p` and `kept_n`: a token drawn from what the filters keep, by the inverse of its running sum at uniform(seed, counter); null
+    where the logits are. The same row, seed and counter always give the same token."""
+    known = _checked_filters(temperature, top_k, top_p)
+
+    def draw(column: pd.Series, at: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, u in zip(_rows_of(column), at, strict=True):
+            if x is None:
+                out.append((None, None, None))
+                continue
+            tokens, p = _nucleus(x, *known)
+            i = min(int(np.searchsorted(np.cumsum(p), u, side="right")), len(p) - 1)
+            out.append((int(tokens[i]), float(p[i]), len(p)))
+        return pd.DataFrame(out, columns=["token", "p", "kept_n"]).astype({"token": "Int32", "kept_n": "Int32", "p": float})
+
+    made = F.pandas_udf(draw, "struct<token int, p double, kept_n int>")(F.col(logits), uniform(seed, *[F.col(c) for c in counter]))
+    return df.withColumn("_d", made).select("*", "_d.token", "_d.p", "_d.kept_n").drop("_d")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_random, typed_id
 from ..functions.scalars import let
+from .scan import prefixes
 
 
 def starts(length: Column, width: int, stride: int) -> Column:
@@ -25,6 +28,59 @@ def window_maximum(df: DataFrame, tokens: str, width: int, stride: int, score) -
     return out.drop("_windows", "_best")
 
 
+def _windows_of_grams(tokens: np.ndarray, flags: np.ndarray, width: int, window: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams, and flagged ones, of every complete window. A gram counts in the windows that hold it and not its last occurrence before:
+    these are neighbours, so it adds one at the first and takes one away after the last; running sums give all windows at once."""
+    m = (len(tokens) - window) // stride + 1
+    grams = np.lib.stride_tricks.sliding_window_view(tokens, width)
+    kind = np.unique(grams, axis=0, return_inverse=True)[1].reshape(-1)
+    order = np.argsort(kind, kind="stable")
+    before = np.full(len(kind), -1)
+    again = kind[order[1:]] == kind[order[:-1]]
+    before[order[1:][again]] = order[:-1][again]
+    at = np.arange(len(kind))
+    low = -(-np.maximum(before + 1, np.maximum(at - (window - width), 0)) // stride)
+    high = np.minimum(at // stride, m - 1)
+    held = low <= high
+    counts = []
+    for weight in (np.ones(len(kind)), flags.astype(float)):
+        ends = np.bincount(low[held], weight[: len(kind)][held], m + 1) - np.bincount(high[held] + 1, weight[: len(kind)][held], m + 1)
+        counts.append(np.cumsum(ends)[:m].round().astype(np.int64))
+    return counts[0], counts[1]
+
+
+def ngram_window_maximum(df: DataFrame, tokens: str, green, width: int, window: int, stride: int, gamma: float = 0.25) -> DataFrame:
+    """Adds window_count and, of the complete window with the greatest unique n-gram z statistic (the first on a tie): window_start, window_end,
+    window_score, scored_units and green_count; null without complete windows. green(ngram) is the scheme's own predicate, asked once a position.
+    All windows' statistics come from one pass over a row, whatever their overlap. Windows of at most `width` tokens have no units and score 0."""
+    if width < 1 or window < 1 or stride < 1 or not 0 < gamma < 1:
+        raise ValueError("width, window and stride have to be positive, gamma between zero and one")
+
+    def best(column: pd.Series, flagged: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, f in zip(column, flagged, strict=True):
+            t = np.asarray([] if t is None else t, dtype=np.int64)
+            m = max(0, (len(t) - window) // stride + 1) if len(t) >= window else 0
+            if not m:
+                out.append((0, None, None, None, None, None))
+                continue
+            units = greens = np.zeros(m, np.int64)
+            if window > width:
+                units, greens = _windows_of_grams(t, np.asarray(f, dtype=bool), width, window, stride)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                z = np.where(units > 0, (greens - gamma * units) / np.sqrt(units * (gamma * (1 - gamma))), 0.0)
+            i = int(np.argmax(z))
+            out.append((m, i * stride, i * stride + window, float(z[i]), int(units[i]), int(greens[i])))
+        return pd.DataFrame(out, columns=["window_count", "window_start", "window_end", "window_score", "scored_units", "green_count"]).astype({"window_score": float} | dict.fromkeys(("window_count", "window_start", "window_end", "scored_units", "green_count"), "Int32"))
+
+    t = F.col(tokens)
+    count = F.greatest(F.coalesce(F.size(t), F.lit(0)) - (width - 1), F.lit(0))
+    grams = F.arrays_zip(*[F.slice(t, i + 1, count) for i in range(width)])
+    flags = F.transform(grams, lambda z: F.coalesce(green(F.array(*[z[str(i)] for i in range(width)])), F.lit(False)))
+    kind = "struct<window_count int, window_start int, window_end int, window_score double, scored_units int, green_count int>"
+    return df.withColumn("_w", F.pandas_udf(best, kind)(F.col(tokens), flags)).select("*", "_w.*").drop("_w")
+
+
 def search_id(width: int, stride: int, statistic: str) -> str:
     return typed_id("search", {"width": width, "stride": stride, "statistic": statistic})
 
@@ -73,6 +129,29 @@ def overlapping(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     return joined.where(F.col("block") == F.floor(F.greatest("a_start", "b_start") / block)).drop("block")
 
 
+def overlap_counts(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """left with `overlaps`: how many spans of right (key, start, end; positions are integers) overlap each of its own. Of the spans that begin before
+    a span ends, those are left out that end by its start; both numbers are ranks in an order, so no pair is ever made, and hot keys or long
+    spans cost what any others do (see scan.py)."""
+    if not key:
+        raise ValueError("a key is required")
+    g = F.struct(*key)
+    long = lambda c: F.coalesce(F.col(c).cast("long"), F.raise_error(F.lit("spans need both ends")).cast("long"))
+    ordered = F.when(long("start") <= long("end"), True).otherwise(F.raise_error(F.lit("spans are ordered")).cast("boolean"))
+
+    def ranks(points: Column, asked: Column, name: str) -> DataFrame:
+        events = right.where(ordered).select(g.alias("_g"), points.alias("_k"), F.lit(1).cast("long").alias("w")).unionByName(left.where(ordered).select(g.alias("_g"), asked.alias("_k"), F.lit(0).cast("long").alias("w")))
+        return prefixes(events, "_g", "_k", "w").select("_g", F.col("_k").alias(f"_{name}"), F.coalesce("before", F.lit(0)).alias(f"n_{name}"))
+
+    begun = ranks(long("start"), long("end"), "end")
+    ended = ranks(long("end"), long("start") + 1, "start")
+    # spans without extent at the place of one without extent: they have ended by its start, but not begun before its end
+    points = right.where(F.col("start") == F.col("end")).groupBy(g.alias("_g"), long("start").alias("_at")).agg(F.count("*").alias("n_point"))
+    keyed = left.withColumn("_g", g).withColumn("_end", long("end")).withColumn("_start", long("start") + 1).withColumn("_at", F.when(F.col("start") == F.col("end"), long("start")))
+    out = keyed.join(begun, ["_g", "_end"]).join(ended, ["_g", "_start"]).join(points, ["_g", "_at"], "left")
+    return out.select(*left.columns, (F.col("n_end") - F.col("n_start") + F.coalesce("n_point", F.lit(0))).alias("overlaps"))
+
+
 def composed(df: DataFrame, marked: str, unmarked: str, fraction: float, separated: bool, split: Column | None = None) -> DataFrame:
     """Adds tokens, segments and realized_fraction. Marked tokens stand in one segment at `split` (a column, up to the unmarked count), or in
     two segments with unmarked ones after each. A fraction outside (0, 1] or a side without tokens is an error."""

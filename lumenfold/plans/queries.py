@@ -15,7 +15,7 @@ from .. import constants as C
 from ..functions import scalars as S
 
 
-from ..operators import archives, calibrate, c2pa, evidence, inspect, ledger, licenses, metrics, quality, report, samples, transforms, windows
+from ..operators import archives, calibrate, c2pa, evidence, incremental, inspect, ledger, licenses, metrics, quality, report, samples, transforms, windows
 from ..sources import artifacts as A
 from ..sources.tables import dealt, stored
 
@@ -541,7 +541,7 @@ def overlapping_spans(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     left = docs.select("lang", "doc_id", (F.col("n_chars") % 4000).alias("start"), (F.col("n_chars") % 4000 + 100 + F.col("doc_id") % 900).alias("end"))
     right = docs.select("lang", (F.col("n_chars") % 3000).alias("start"), (F.col("n_chars") % 3000 + 50).alias("end"))
-    return windows.overlapping(left, right, ["lang"]).groupBy("lang", "doc_id").agg(F.count("*").alias("overlaps"))
+    return windows.overlap_counts(left, right, ["lang"]).where("overlaps > 0").select("lang", "doc_id", "overlaps")
 
 
 @query()
@@ -629,3 +629,80 @@ def absolute_paths(spark, sf_dir):
     kinds = F.element_at(F.array(F.lit("/opt/"), F.lit("C:\\"), F.lit("at d:/"), F.lit("relative/")), (F.col("doc_id") % 4 + 1).cast("int"))
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.array(F.concat(kinds, F.col("source"))).alias("/key"))).alias("json"))
     return docs.select("doc_id", archives.absolute_path(F.col("json")).alias("absolute"))
+
+
+#: Texts with a zero-width space before each word that begins with t, in chunks whose size depends on the id; some are broken at an end.
+_CUT = """(SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN chr(8238) ELSE '' END || replace(text, ' t', ' ' || chr(8203) || 't') AS t, doc_id % 11 = 0 AS begun, doc_id % 13 = 0 AS ended FROM documents WHERE text IS NOT NULL)"""
+
+
+@query(f"""WITH d AS (SELECT *, NOT (begun OR ended) AS valid FROM {_CUT}), p AS (SELECT doc_id, i, length(piece) AS l, strlen(piece) AS b FROM (SELECT doc_id, unnest(string_split(t, chr(8203))) AS piece, generate_subscripts(string_split(t, chr(8203)), 1) AS i FROM d)),
+    z AS (SELECT doc_id, i, sum(l) OVER w + i - 1 AS pos, sum(b) OVER w + 3 * (i - 1) AS byte_pos, count(*) OVER (PARTITION BY doc_id) AS n FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    k AS (SELECT z.doc_id, count(*) AS kept, sum(pos) AS scalar_sum, sum(byte_pos) AS byte_sum FROM z JOIN d USING (doc_id) WHERE i < n AND i <= CASE WHEN doc_id % 3 = 2 THEN 255 ELSE 256 END GROUP BY z.doc_id)
+    SELECT doc_id, CAST(strlen(t) + CASE WHEN begun THEN 1 ELSE 0 END + CASE WHEN ended THEN 2 ELSE 0 END AS BIGINT) AS byte_length, valid AS valid_utf8, CASE WHEN valid THEN length(t) END AS scalar_count,
+        CASE WHEN valid THEN length(t) - length(replace(t, chr(8203), '')) + CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 0 END END AS dicp_count, CASE WHEN valid THEN CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 0 END END AS bidi_count,
+        CASE WHEN valid THEN CAST(coalesce(kept, 0) + CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 0 END AS INTEGER) END AS kept, CASE WHEN valid THEN CAST(coalesce(scalar_sum, 0) AS BIGINT) END AS scalar_sum, CASE WHEN valid THEN CAST(coalesce(byte_sum, 0) AS BIGINT) END AS byte_sum
+        FROM d LEFT JOIN k USING (doc_id)""")
+def chunked_findings(spark, sf_dir):
+    """Chunks of 64 bytes and more, which cut scalars anywhere; summaries are merged, texts are not put together."""
+    docs = dealt(_table(spark, sf_dir, "documents").select("doc_id", "text")).where("text is not null")
+    text = F.concat(F.when(F.col("doc_id") % 3 == 2, _chr(0x202E)).otherwise(F.lit("")), F.replace("text", F.lit(" t"), F.lit(" " + chr(0x200B) + "t")))
+    hexed = lambda c, x: F.when(c, F.unhex(F.lit(x))).otherwise(F.unhex(F.lit("")))
+    content = F.concat(hexed(F.col("doc_id") % 11 == 0, "FF"), text.cast("binary"), hexed(F.col("doc_id") % 13 == 0, "E282"))
+    size = (64 + F.col("doc_id") % 200).cast("int")
+    whole = docs.select("doc_id", content.alias("content"), size.alias("size")).withColumn("n", F.greatest(F.lit(1), F.ceil(F.octet_length("content") / F.col("size")).cast("int")))
+    chunks = whole.select("doc_id", "content", "size", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    chunks = chunks.select("doc_id", F.col("i").cast("long").alias("chunk_seq"), F.substr("content", F.col("i") * F.col("size") + 1, F.col("size")).alias("bytes"))
+    found = incremental.inspected_chunks(chunks, "doc_id")
+    total = lambda field: F.aggregate("dicp", F.lit(0).cast("long"), lambda s, x: s + x[field])
+    return found.select("doc_id", "byte_length", "valid_utf8", "scalar_count", "dicp_count", "bidi_count", F.size("dicp").alias("kept"), total("scalar_offset").alias("scalar_sum"), total("byte_offset").alias("byte_sum"))
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT scheme, count(*) FILTER (WHERE score > 48) AS k, count(*) AS n FROM {_RECORDS} GROUP BY scheme),
+    f AS (SELECT scheme, n, k, 0::DOUBLE AS a, 1::DOUBLE AS b, 0::DOUBLE AS c, 1::DOUBLE AS d, 0 AS i FROM c WHERE k > 0 AND k < n
+        UNION ALL SELECT scheme, n, k, CASE WHEN low < 0.025 THEN (a + b) / 2 ELSE a END, CASE WHEN low < 0.025 THEN b ELSE (a + b) / 2 END, CASE WHEN high < 0.025 THEN c ELSE (c + d) / 2 END, CASE WHEN high < 0.025 THEN (c + d) / 2 ELSE d END, i + 1
+        FROM (SELECT *, list_sum(list_transform(range(k, n + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln((a + b) / 2) + (n - j) * ln(1 - (a + b) / 2)))) AS low,
+            list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln((c + d) / 2) + (n - j) * ln(1 - (c + d) / 2)))) AS high FROM f WHERE i < 50))
+    SELECT scheme, n, k, round(a, 8) AS lower, round(c, 8) AS upper FROM f WHERE i = 50""")
+def interior_intervals(spark, sf_dir):
+    found = _records(spark, sf_dir).groupBy("scheme").agg(F.count_if(F.col("score") > 48).alias("k"), F.count("*").alias("n")).where("k > 0 and k < n")
+    found = metrics.with_interval(found, "k", "n", "bounds")
+    return found.select("scheme", "n", "k", F.round("bounds.lower", 8).alias("lower"), F.round("bounds.upper", 8).alias("upper"))
+
+
+@query("""WITH l AS (SELECT vec_id, unnest(embedding)::DOUBLE / 0.8::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS token FROM embeddings),
+    k AS (SELECT *, rank() OVER (PARTITION BY vec_id ORDER BY x DESC) AS r FROM l), e AS (SELECT vec_id, token, x, exp(x - max(x) OVER (PARTITION BY vec_id)) AS e FROM k WHERE r <= 40),
+    p AS (SELECT vec_id, token, x, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM e), c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY x DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p),
+    h AS (SELECT vec_id, token, x, p / sum(p) OVER (PARTITION BY vec_id) AS p, count(*) OVER (PARTITION BY vec_id) AS n FROM c WHERE before <= 0.95),
+    u AS (SELECT *, sum(p) OVER (PARTITION BY vec_id ORDER BY x DESC, token ROWS UNBOUNDED PRECEDING) AS upto, ('0x' || substr(sha256('7' || chr(0) || vec_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw FROM h)
+    SELECT vec_id, CAST(arg_min(token, upto) AS INTEGER) AS token, CAST(any_value(n) AS INTEGER) AS kept_n, round(arg_min(p, upto), 9) AS p FROM u WHERE upto > draw GROUP BY vec_id""")
+def nucleus_draw(spark, sf_dir):
+    found = metrics.drawn_tokens(_table(spark, sf_dir, "embeddings"), "embedding", 7, ["vec_id"])
+    return found.select("vec_id", "token", "kept_n", F.round("p", 9).alias("p"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, tokens, unnest(range(0, len(tokens) - 63, 16)) AS start FROM {_WORD_LENGTHS} WHERE len(tokens) >= 64), g AS (SELECT doc_id, start, unnest(list_transform(range(start + 1, start + 62), lambda i: tokens[i : i + 3])) AS gram FROM s),
+    c AS (SELECT doc_id, start, count(DISTINCT gram) AS t, count(DISTINCT gram) FILTER (list_sum(gram) % 4 = 0) AS green FROM g GROUP BY doc_id, start), z AS (SELECT *, (green - 0.25::DOUBLE * t) / sqrt(t * 0.1875::DOUBLE) AS z FROM c)
+    SELECT doc_id, CAST(count(*) AS INTEGER) AS window_count, CAST(arg_max(start, (z, -start)) AS INTEGER) AS window_start, CAST(arg_max(t, (z, -start)) AS INTEGER) AS scored_units, CAST(arg_max(green, (z, -start)) AS INTEGER) AS green_count, round(max(z), 9) AS window_score FROM z GROUP BY doc_id""")
+def window_ngram_maximum(spark, sf_dir):
+    green = lambda g: F.aggregate(g, F.lit(0), lambda s, x: s + x) % 4 == 0
+    found = windows.ngram_window_maximum(_word_lengths(spark, sf_dir), "tokens", green, 4, 64, 16).where("window_count > 0")
+    return found.select("doc_id", "window_count", "window_start", "scored_units", "green_count", F.round("window_score", 9).alias("window_score"))
+
+
+@query(f"""WITH r AS (SELECT lang, '=' || length(CAST(doc_id AS VARCHAR)) || ':' || doc_id || coalesce('=' || length(source) || ':' || source, '-') AS t FROM {_SCORES} WHERE quality = 1),
+    w AS (SELECT lang, count(*) AS n, {", ".join(f"CAST(sum(('0x' || substr(sha256(t), {8 * i + 1}, 8))::BIGINT) AS VARCHAR) AS w{i}" for i in range(8))} FROM r GROUP BY lang)
+    SELECT lang, sha256(concat_ws(',', CAST(n AS VARCHAR), {", ".join(f"w{i}" for i in range(8))})) AS calibration_sha256 FROM w""")
+def calibration_provenance(spark, sf_dir):
+    rows = _scores(spark, sf_dir).where("quality = 1")
+    return calibrate.multiset_digest(rows, ["lang"], ["doc_id", "source"], "calibration_sha256")
+
+
+@query("""WITH l AS (SELECT doc_id AS ordinal, sha256(text) || '  item-' || CASE WHEN doc_id % 17 = 5 THEN lpad(CAST(doc_id - 1 AS VARCHAR), 12, '0') WHEN doc_id % 19 = 7 THEN lpad(CAST(doc_id - 2 AS VARCHAR), 12, '0') ELSE lpad(CAST(doc_id AS VARCHAR), 12, '0') END AS line, doc_id % 23 = 3 AS bad FROM documents WHERE text IS NOT NULL),
+    n AS (SELECT ordinal, CASE WHEN bad THEN '' ELSE line[67:] END AS name, bad FROM l), b AS (SELECT *, lag(name) OVER (ORDER BY ordinal) AS before FROM n)
+    SELECT ordinal, name, CASE WHEN bad THEN 'form' WHEN before = name THEN 'duplicate' WHEN before > name THEN 'order' END AS problem FROM b""")
+def checksum_lines(spark, sf_dir):
+    d = F.col("doc_id")
+    own = F.when(d % 17 == 5, d - 1).when(d % 19 == 7, d - 2).otherwise(d)
+    line = F.concat(F.sha2("text", 256), F.when(d % 23 == 3, " ").otherwise("  "), F.lit("item-"), F.lpad(own.cast("string"), 12, "0"))
+    lines = _table(spark, sf_dir, "documents").where("text is not null").select(d.alias("ordinal"), line.alias("value"))
+    return ledger.parsed_checksums(lines).select("ordinal", "name", "problem")

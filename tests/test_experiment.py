@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumenfold.functions import hashing
-from lumenfold.functions.statistics import clopper_pearson
+from lumenfold.functions.statistics import interval
 from lumenfold.operators import c2pa, calibrate, evidence, ledger, metrics, quality, samples, transforms, windows
 
 
@@ -137,12 +137,14 @@ def test_selection(spark):
     assert calibrate.duplicates(thresholds.unionAll(thresholds), ["scheme", "operation", "scored_unit_count"]).count() == 2
 
 
-def test_intervals():
-    assert clopper_pearson(0, 1) == (0.0, 0.975)
-    assert 0.03 < clopper_pearson(0, 100)[1] < 0.04
-    low, high = clopper_pearson(5, 20)
+def test_intervals(spark):
+    pairs = spark.createDataFrame([(0, 1), (0, 100), (5, 20), (20, 20)], "k long, n long")
+    found = {(r["k"], r["n"]): tuple(r["i"]) for r in pairs.select("k", "n", interval(F.col("k"), F.col("n")).alias("i")).collect()}
+    assert found[0, 1][0] == 0.0 and abs(found[0, 1][1] - 0.975) < 1e-15
+    assert 0.03 < found[0, 100][1] < 0.04
+    low, high = found[5, 20]
     assert abs(low - 0.08657147) < 1e-6 and abs(high - 0.49104587) < 1e-6
-    assert clopper_pearson(20, 20)[1] == 1.0
+    assert found[20, 20][1] == 1.0
 
 
 def test_windows(spark):
