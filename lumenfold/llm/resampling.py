@@ -19,8 +19,9 @@ from .common import arrow_schema, batch, bounded_batches, cut, pick
 
 #: Buckets of features, words of a feature, the draw's seed, per cent of the eligible documents drawn, and words that make one eligible.
 BUCKETS, NGRAM, SEED, PER_CENT, LEAST_WORDS = 10_000, 1, 2024, 10, 20
-#: Scores are ranked in ranges of 2^12, ranges of these in turn, and so on: no window holds more than 4,096 rows, but for the last one's.
-LEVELS = (12, 24)
+#: Scores are ranked in ranges of 2^8, these in ranges of 2^16, and so on: no window holds more than 256 rows, but for the last one's, whose rows are
+#: the ranges of 2^32 scores.
+LEVELS = (8, 16, 24, 32)
 #: Rows of one document are looked after in so many cells.
 CELLS = 4096
 #: Bytes of a text split at once.
@@ -108,15 +109,19 @@ def scored(docs: DataFrame, gain: np.ndarray, n: int = NGRAM, seed: int = SEED)
 
 def offsets(histogram: DataFrame) -> DataFrame:
     """score, n and `above`, the number of rows of higher scores: sums from the highest score down, by ranges, each range's from that above it."""
-    keys = [F.shiftright("score", b) for b in LEVELS]
-    df = histogram.select("score", "n", *[k.alias(f"range{i}") for i, k in enumerate(keys)])
-    tops = df.groupBy("range1", "range0").agg(F.sum("n").alias("n"))
-    most = tops.groupBy("range1").agg(F.sum("n").alias("n"))
+    levels = [histogram.select(F.col("score").alias("k0"), "n")]
+    for i in range(len(LEVELS)):
+        shift = LEVELS[i] - (LEVELS[i - 1] if i else 0)
+        levels.append(levels[i].groupBy(F.shiftright(f"k{i}", shift).alias(f"k{i + 1}")).agg(F.sum("n").alias("n")))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    most = most.select("range1", before(Window.orderBy(F.desc("range1"))).alias("above1"))
-    tops = tops.select("range1", "range0", before(Window.partitionBy("range1").orderBy(F.desc("range0"))).alias("above0")).join(most, "range1")
-    df = df.select("score", "n", "range0", before(Window.partitionBy("range0").orderBy(F.desc("score"))).alias("within"))
-    return df.join(tops.select("range0", "above0", "above1"), "range0").select("score", "n", (F.col("within") + F.col("above0") + F.col("above1")).alias("above"))
+    top = len(LEVELS)
+    known = levels[top].select(f"k{top}", before(Window.orderBy(F.desc(f"k{top}"))).alias("above"))
+    for i in reversed(range(top)):
+        up, shift = f"k{i + 1}", LEVELS[i] - (LEVELS[i - 1] if i else 0)
+        here = levels[i].withColumn(up, F.shiftright(f"k{i}", shift))
+        here = here.withColumn("within", before(Window.partitionBy(up).orderBy(F.desc(f"k{i}"))))
+        known = here.join(known.select(up, "above"), up).select(f"k{i}", "n", (F.col("within") + F.col("above")).alias("above"))
+    return known.withColumnRenamed("k0", "score")
 
 
 def drawn(rows: DataFrame, least_words: int = LEAST_WORDS, per_cent: int = PER_CENT) -> DataFrame:

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch, bounded_batches, pick, texts
+from .common import arrow_schema, batch, bounded_batches, cut, pick, texts
 
 #: Kinds in the order of the results; the first three are the base kinds.
 BASE_KINDS = ("assign", "access", "hex")
@@ -75,8 +75,16 @@ def identifiers(docs: DataFrame, most: int = MOST_IDENTIFIERS, least_classes: in
     mark = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("text"), F.lit(64)).cast("int"))
     words = pick(docs, text="string").where("text is not null").select(mark.alias("mark"), F.explode(F.array_distinct(F.split("text", "[^A-Za-z]+"))).alias("word"))
     counted = words.where(F.char_length("word").between(3, 24)).groupBy("word").agg(F.count("*").alias("n"), F.bit_or("mark").alias("marks"))
-    known = counted.where((F.bit_count("marks") >= least_classes) & F.col("word").rlike("^([a-z]+|[A-Z]+|[A-Z][a-z]+)$"))
-    return [r["word"] for r in known.orderBy(F.desc("n"), "word").limit(most).collect()]
+    wordlike = F.col("word").rlike("^([a-z]+|[A-Z]+|[A-Z][a-z]+)$")
+    size = F.floor(16 * F.log2("n")).cast("int")
+    known = cut(counted.where((F.bit_count("marks") >= least_classes) & wordlike).select("word", "n", size.alias("size")), "identifiers")
+    # by sizes of counts, a thousand at most, it is known how frequent words have to be; no others are sent to the driver
+    least, met = 0, 0
+    for r in sorted(known.groupBy("size").agg(F.count("*").alias("words")).collect(), reverse=True):
+        least, met = r["size"], met + r["words"]
+        if met >= most:
+            break
+    return [r["word"] for r in known.where(F.col("size") >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 class Novelty:

@@ -122,7 +122,7 @@ def test_resampling_against_brute_force(spark):
     assert sorted(map(tuple, resampling.resample(documents(spark), items.where("false")).collect()), key=str) == plain_resample(rows(), [])
 
 
-@pytest.mark.parametrize("levels", [(12, 24), (1, 3)])
+@pytest.mark.parametrize("levels", [(8, 16, 24, 32), (1, 3)])
 def test_ranks_with_ties_and_repeated_rows(spark, monkeypatch, levels):
     monkeypatch.setattr(resampling, "LEVELS", levels)
     rng = random.Random(3)
