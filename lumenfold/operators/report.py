@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .closed import Items, Keys, Text, Truth, Whole
+from .closed import problem as closed_problem
 
 TRACE = (
     "mechanism_id string, status string, observation string, verifier string, verifier_available boolean, authority array<string>, sources array<string>, configuration string, "
@@ -56,7 +58,7 @@ def traced(findings: DataFrame) -> DataFrame:
     known = F.broadcast(ontology(findings.sparkSession))
     out = findings.join(known, ["mechanism_id", "status"], "left")
     forbidden = F.array(*[F.lit(x) for x in trace("other", "unknown")[9]])
-    default = {"observation": F.lit("unclassified"), "verifier": F.lit("unspecified"), "verifier_available": F.lit(False), "supports": F.array().cast("array<string>"), "does_not_support": forbidden}
+    default = {"observation": F.lit("unclassified"), "verifier": F.lit("unspecified"), "verifier_available": F.lit(False), "authority": F.array(*[F.lit(x) for x in trace("other", "unknown")[5]]), "sources": F.array().cast("array<string>"), "supports": F.array().cast("array<string>"), "does_not_support": forbidden}
     return out.withColumns({k: F.coalesce(F.col(k), v) for k, v in default.items()})
 
 
@@ -75,7 +77,7 @@ def rank(mechanism: Column) -> Column:
     return out
 
 
-FIELDS = ("mechanism_id", "mechanism_version", "status", "evidence", "limitations")
+FIELDS = ("mechanism_id", "mechanism_version", "status", "evidence", "limitations", "trace")
 
 
 def _report(all_: Column, fields: list[str]) -> Column:
@@ -97,52 +99,90 @@ def reports(findings: DataFrame) -> DataFrame:
 
 def reports_of(inspected: DataFrame) -> DataFrame:
     """The same from inspected artifacts, whose findings are an array in canonical order already: no shuffle."""
-    return inspected.select("artifact_id", _report(F.col("findings"), list(FIELDS)))
+    return inspected.select("artifact_id", _report(F.col("findings"), list(FIELDS[:-1])))
 
 
-def semantic_digest(reports_: DataFrame) -> DataFrame:
-    """Reports' identity without the path, which their JSON leaves out already."""
-    return reports_.select("artifact_id", F.sha2("report", 256).alias("semantic_sha256"))
-
-
-REPORT = "schema_version string, artifact struct<byte_length:bigint,content_sha256:string>, findings array<struct<mechanism_id:string,mechanism_version:string,status:string,evidence:array<struct<name:string,value:string>>,limitations:array<string>>>"
-_KEYS = {"": {"schema_version", "artifact", "findings"}, "artifact": {"byte_length", "content_sha256"}, "finding": {"mechanism_id", "mechanism_version", "status", "evidence", "limitations"}}
-
-
-def report_problem(text: str | None) -> str | None:
-    """What is wrong with a report as JSON: the version is looked at first, then unknown or missing keys at each level, then digests."""
-    try:
-        value = json.loads(text)
-    except (TypeError, ValueError):
-        return "not JSON"
-    if not isinstance(value, dict) or value.get("schema_version") != "0.2":
-        return "unsupported schema version"
-    if set(value) != _KEYS[""] or not isinstance(value["artifact"], dict) or set(value["artifact"]) != _KEYS["artifact"]:
-        return "keys"
-    if any(not isinstance(f, dict) or set(f) != _KEYS["finding"] for f in value["findings"]):
-        return "keys"
-    digest = value["artifact"]["content_sha256"]
-    if not isinstance(digest, str) or len(digest) != 64 or set(digest) - set("0123456789abcdef"):
-        return "digest"
-    if any(f["status"] not in C.STATUSES for f in value["findings"]):
-        return "status"
-    return None
-
+#: The version of the semantic projection's own form, which is not that of a report.
+SEMANTIC_VERSION = "0.1"
 
-def _problems(texts: pd.Series) -> pd.Series:
-    return texts.map(report_problem)
 
-
-def closed_problem(text: Column) -> Column:
-    """Key sets at each level need the decoded value, so batches of texts go to Python by Arrow."""
-    return F.pandas_udf(_problems, "string")(text)
-
-
-def imported(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Untrusted reports: their findings, with `problem` where a report is not one. Never mixed with produced rows: is_untrusted is true."""
-    df = lines.withColumn("problem", closed_problem(F.col(column)))
-    df = df.withColumn("r", F.when(F.col("problem").isNull(), F.from_json(column, REPORT)))
-    return df.select("problem", "r.artifact", F.explode_outer("r.findings").alias("f")).select(F.lit(True).alias("is_untrusted"), "problem", "artifact.content_sha256", "f.mechanism_id", "f.status")
+def semantic_digest(reports_: DataFrame) -> DataFrame:
+    """Reports' identity: the hash of the semantic projection, which is the report without the path (left out of the JSON already) under a schema
+    version of its own."""
+    head = '{"schema_version":"0.2"'
+    projected = F.when(F.startswith("report", F.lit(head)), F.concat(F.lit(head.replace("0.2", SEMANTIC_VERSION)), F.substr("report", F.lit(len(head) + 1)))).otherwise(F.raise_error(F.lit("not a report of schema version 0.2")).cast("string"))
+    return reports_.select("artifact_id", F.sha2(projected, 256).alias("semantic_sha256"))
+
+
+TRACE_FIELDS = tuple(x.split()[0] for x in TRACE.split(", "))[2:]
+_TRACE_STRUCT = "struct<" + ", ".join(TRACE.split(", ")[2:]) + ">"
+REPORT = f"schema_version string, artifact struct<byte_length:bigint,content_sha256:string>, findings array<struct<mechanism_id:string,mechanism_version:string,status:string,evidence:array<struct<name:string,value:string>>,limitations:array<string>,trace:{_TRACE_STRUCT}>>"
+_TRACE_KIND = Keys({
+    "observation": Text(), "verifier": Text(), "verifier_available": Truth(), "authority": Items(Text()), "sources": Items(Text()), "configuration": Text(nullable=True),
+    "supports": Items(Text()), "does_not_support": Items(Text()), "related_reference": Text(nullable=True),
+})
+
+
+def report_kind(need_traces: bool) -> Keys:
+    """The closed schema of a report."""
+    finding = {
+        "mechanism_id": Text(), "mechanism_version": Text(nullable=True), "status": Text(choices=C.STATUSES), "evidence": Items(Keys({"name": Text(), "value": Text(nullable=True)})),
+        "limitations": Items(Text()), "trace": _TRACE_KIND,
+    }
+    return Keys({
+        "schema_version": Text(choices=("0.2",)),
+        "artifact": Keys({"byte_length": Whole(least=0), "content_sha256": Text(pattern="[0-9a-f]{64}")}),
+        "findings": Items(Keys(finding, optional=frozenset() if need_traces else frozenset({"trace"}))),
+    })
+
+
+def with_trace(findings: DataFrame) -> DataFrame:
+    """Findings with their trace as one struct, as reports() writes it and imported() reads it."""
+    return traced(findings).withColumn("trace", F.struct(*TRACE_FIELDS)).drop(*TRACE_FIELDS)
+
+
+def _expected(mechanism: Column, status: Column) -> Column:
+    """The ontology's trace of a mechanism and status, from a constant; the unclassified one for an unknown mechanism."""
+    told = lambda m, s: dict(zip(TRACE_FIELDS, trace(m, s)[2:], strict=True))
+    known = {f"{m}|{s}": told(m, s) for m in C.MECHANISMS for s in C.STATUSES} | {"": told("other", "unknown")}
+    table = F.from_json(F.lit(json.dumps(known)), f"map<string, {_TRACE_STRUCT}>")
+    return F.coalesce(F.try_element_at(table, F.concat(mechanism, F.lit("|"), status)), F.try_element_at(table, F.lit("")))
+
+
+def imported(lines: DataFrame, column: str = "value", need_traces: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """Untrusted reports: their findings, a row each, or one row with `problem` (a short name) and `detail` (where and what) for a report that is none.
+
+    In this order: JSON without repeated keys, the schema version, the closed schema at every level, mechanisms met twice, a provider row that claims
+    a result, and traces: one that is not the ontology's for its mechanism and status, as when a finding is said to support more than it does,
+    makes the whole report no report. Never mixed with produced rows: is_untrusted is true. One projection, nothing is exchanged."""
+    df = lines.select(*keep, F.col(column).alias("_t"), F.expr(f"try_parse_json(`{column}`)").alias("_v"))
+    version = F.try_variant_get("_v", "$.schema_version", "string")
+    closed = F.when(F.col("_v").isNull(), "$: not JSON").when(~version.eqNullSafe(F.lit("0.2")), "schema_version: unsupported").otherwise(closed_problem(F.col("_v"), report_kind(need_traces)))
+    df = df.withColumn("_p", closed).withColumn("_r", F.when(F.col("_p").isNull(), F.from_json("_t", REPORT)))
+    found = F.col("_r.findings")
+    ids = F.transform(found, lambda f: f["mechanism_id"])
+    forged = F.filter(found, lambda f: f["trace"].isNotNull() & ~f["trace"].eqNullSafe(_expected(f["mechanism_id"], f["status"])))
+    detail = (
+        F.when(F.col("_p").isNotNull(), F.col("_p"))
+        .when(F.size(F.array_distinct(ids)) < F.size(ids), "findings[]: a mechanism twice")
+        .when(F.exists(found, lambda f: (f["mechanism_id"] == C.PROVIDER) & ~f["status"].isin("unknown", "not_applicable")), "findings[]: a provider claim")
+        .when(F.size(forged) > 0, F.concat(F.lit("findings[].trace: not that of "), F.get(forged, F.lit(0))["mechanism_id"]))
+    )
+    short = (
+        F.when(F.col("detail").isNull(), F.lit(None).cast("string"))
+        .when(F.col("detail") == "$: not JSON", "not JSON")
+        .when(F.col("detail").startswith("schema_version"), "unsupported schema version")
+        .when(F.col("detail").endswith("key"), "keys")
+        .when(F.col("detail") == "artifact.content_sha256: not of its form", "digest")
+        .when(F.col("detail") == "findings[].status: not a known value", "status")
+        .when(F.col("detail").endswith("a mechanism twice"), "duplicate")
+        .when(F.col("detail").endswith("a provider claim"), "provider_claim")
+        .when(F.col("detail").contains("not that of"), "trace")
+        .otherwise("type")
+    )
+    df = df.withColumn("detail", detail).withColumn("problem", short).withColumn("_f", F.when(F.col("detail").isNull(), found))
+    rows = df.select(*keep, "problem", "detail", "_r", F.explode_outer("_f").alias("f"))
+    return rows.select(*keep, F.lit(True).alias("is_untrusted"), "problem", "detail", F.when(F.col("problem").isNull(), F.col("_r.artifact.content_sha256")).alias("content_sha256"), "f.mechanism_id", "f.status")
 
 
 def upgraded(imported_traces: DataFrame) -> DataFrame:

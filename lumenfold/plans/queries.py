@@ -706,3 +706,31 @@ def checksum_lines(spark, sf_dir):
     line = F.concat(F.sha2("text", 256), F.when(d % 23 == 3, " ").otherwise("  "), F.lit("item-"), F.lpad(own.cast("string"), 12, "0"))
     lines = _table(spark, sf_dir, "documents").where("text is not null").select(d.alias("ordinal"), line.alias("value"))
     return ledger.parsed_checksums(lines).select("ordinal", "name", "problem")
+
+
+#: What is planted in a report by its id's last digit, and what the import says of it.
+_PLANTED = (
+    (None, None), ("keys", "$: unknown key"), ("type", "artifact.byte_length: not an integer"), ("keys", "findings[]: missing key"), ("trace", f"findings[].trace: not that of {C.NFC}"),
+    ("unsupported schema version", "schema_version: unsupported"), ("not JSON", "$: not JSON"), ("duplicate", "findings[]: a mechanism twice"), ("digest", "artifact.content_sha256: not of its form"), ("status", "findings[].status: not a known value"),
+)
+
+
+@query("SELECT doc_id, " + ", ".join("CASE doc_id % 10 " + " ".join(f"WHEN {i} THEN '{p[j]}'" for i, p in enumerate(_PLANTED) if p[j]) + f" END AS {name}" for j, name in enumerate(("problem", "detail"))) + f", CASE WHEN doc_id % 10 = 0 THEN sha256(text) END AS content_sha256, CASE WHEN doc_id % 10 = 0 THEN '{C.NFC}' END AS mechanism_id, CASE WHEN doc_id % 10 = 0 THEN CASE WHEN n_chars % 2 = 0 THEN 'present' ELSE 'absent' END END AS status FROM documents WHERE text IS NOT NULL")
+def imported_reports(spark, sf_dir):
+    """A report for each document as JSON, some with something planted, read back as if it came from outside."""
+    d = F.col("doc_id") % 10
+    docs = _table(spark, sf_dir, "documents").where("text is not null")
+    status = F.when(d == 9, "maybe").otherwise(F.when(F.col("n_chars") % 2 == 0, "present").otherwise("absent"))
+    known = docs.select("doc_id", F.octet_length("text").cast("long").alias("byte_length"), F.sha2("text", 256).alias("content_sha256"), F.lit(C.NFC).alias("mechanism_id"), F.lit("15").alias("mechanism_version"), status.alias("status"), F.array().cast("array<struct<name:string,value:string>>").alias("evidence"), F.array(F.lit("none")).alias("limitations"), d.alias("d"))
+    found = report.with_trace(known)
+    supports = F.when(F.col("d") == 4, F.array(F.lit("human_authorship"))).otherwise(F.col("trace.supports"))
+    found = found.withColumn("trace", F.col("trace").withField("supports", supports))
+    finding = F.struct("mechanism_id", "mechanism_version", "status", "evidence", "limitations", "trace")
+    findings_ = F.when(F.col("d") == 7, F.array(finding, finding)).otherwise(F.array(finding))
+    digest = F.when(F.col("d") == 8, F.upper("content_sha256")).otherwise(F.col("content_sha256"))
+    body = F.to_json(F.struct(F.when(F.col("d") == 5, "0.3").otherwise("0.2").alias("schema_version"), F.struct("byte_length", digest.alias("content_sha256")).alias("artifact"), findings_.alias("findings")), {"ignoreNullFields": "false"})
+    text = (
+        F.when(F.col("d") == 1, F.concat(F.lit('{"extra":1,'), F.substr(body, F.lit(2)))).when(F.col("d") == 2, F.regexp_replace(body, '"byte_length":(\\d+)', '"byte_length":"$1"'))
+        .when(F.col("d") == 3, F.replace(body, F.lit('"limitations":["none"],'), F.lit(""))).when(F.col("d") == 6, F.concat(F.lit("x"), body)).otherwise(body)
+    )
+    return report.imported(found.select("doc_id", text.alias("value")), need_traces=True, keep=["doc_id"]).drop("is_untrusted")
