@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterable
+import hashlib
+import math
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import RANK_DOMAIN, SPLIT_DOMAIN, tagged_sha256, third
 
@@ -71,10 +74,43 @@ def split_violations(members: DataFrame) -> DataFrame:
     return out
 
 
+def ordered_digest(df: DataFrame, by: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """SHA-256 of each group's values in order, as a JSON array. Groups are dealt to tasks and sorted there; a task passes its rows once and carries
+    the hash along, so a group of any size takes the memory of one batch. Equal places are taken in the order of their values."""
+    text = F.to_json(F.array(value), {"ignoreNullFields": "false"})
+    rows = df.select(*by, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.to_json(F.struct(F.lit(1).alias("_"), *by), {"ignoreNullFields": "false"}).alias("_g"), F.substr(text, F.lit(2), F.length(text) - 2).alias("_j"))
+    rows = rows.repartition("_g").sortWithinPartitions("_g", *[f"_o{i}" for i in range(len(order))], "_j").select(*by, "_g", "_j")
+    out = T.StructType([*[df.schema[c] for c in by], T.StructField(name, T.StringType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, row, state = None, None, hashlib.sha256()
+        done = lambda: pa.RecordBatch.from_arrays([*row.columns, pa.array([state.hexdigest()])], [*row.schema.names, name])
+        for b in batches:
+            for i, (g, j) in enumerate(zip(b.column("_g").to_pylist(), b.column("_j").to_pylist(), strict=True)):
+                if g != group:
+                    if group is not None:
+                        state.update(b"]")
+                        yield done()
+                    group, row, state = g, b.slice(i, 1).select(by), hashlib.sha256(b"[")
+                else:
+                    state.update(b",")
+                state.update(j.encode())
+        if group is not None:
+            state.update(b"]")
+            yield done()
+
+    return rows.mapInArrow(fold, out)
+
+
 def ids_digest(members: DataFrame, by: list[str]) -> DataFrame:
-    """SHA-256 of the ordered ids of each group, as a JSON array."""
-    listed = members.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ordinal", "sample_id"))).alias("all"))
-    return listed.select(*by, F.sha2(F.to_json(F.transform("all", lambda x: x["sample_id"])), 256).alias("sample_ids_sha256"))
+    """SHA-256 of the ordered ids of each group, as a JSON array. An id met twice in a group is an error."""
+    most = members.groupBy(*by, "sample_id").count().groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.max("count").alias("_most"))
+    out = ordered_digest(members, by, ["ordinal"], F.col("sample_id"), "sample_ids_sha256")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    once = F.when(F.col("_most") == 1, F.col("sample_ids_sha256")).otherwise(F.raise_error(F.lit("sample ids must be unique")).cast("string"))
+    return out.join(most, same).select(*by, once.alias("sample_ids_sha256"))
 
 
 def selected(members: DataFrame, rows: DataFrame) -> DataFrame:
@@ -96,8 +132,19 @@ def appended(entries: DataFrame, fresh: DataFrame, keys: Iterable[str] = ("task"
 
 
 def grid(spark, **dimensions: Iterable[object]) -> DataFrame:
-    """All combinations of small named lists of values: the experiment's cells."""
-    cells: list[dict] = [{}]
-    for name, values in dimensions.items():
-        cells = [c | {name: v} for c in cells for v in values]
-    return spark.createDataFrame([json.loads(json.dumps(c)) for c in cells])
+    """All combinations of small named lists of values: the experiment's cells, numbered by `cell`. Cells are made where they are used: a number of
+    a range is read in the mixed radix of the lists' lengths, the last one counting fastest."""
+    lists = {name: list(values) for name, values in dimensions.items()}
+    total = math.prod(len(v) for v in lists.values())
+    stride, columns = total, []
+    for name, values in lists.items():
+        stride = stride // len(values) if values else 1
+        place = F.floor(F.col("id") / max(stride, 1)) % max(len(values), 1)
+        columns.append(F.get(F.array(*[F.lit(v) for v in values]), place.cast("int")).alias(name))
+    return spark.range(total).select(F.col("id").alias("cell"), *columns)
+
+
+def expanded(cells: DataFrame, entries: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells with the entries they are to be evaluated on: those that agree in `keys`. A cell without any keeps a row with null entries, so that it
+    is seen to be missing."""
+    return cells.join(entries, keys, "left")

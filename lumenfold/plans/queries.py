@@ -734,3 +734,17 @@ def imported_reports(spark, sf_dir):
         .when(F.col("d") == 3, F.replace(body, F.lit('"limitations":["none"],'), F.lit(""))).when(F.col("d") == 6, F.concat(F.lit("x"), body)).otherwise(body)
     )
     return report.imported(found.select("doc_id", text.alias("value")), need_traces=True, keep=["doc_id"]).drop("is_untrusted")
+
+
+@query("""SELECT lang AS task, sha256('[' || string_agg('"' || doc_id || '"', ',' ORDER BY doc_id) || ']') AS sample_ids_sha256 FROM documents GROUP BY lang""")
+def sample_digests(spark, sf_dir):
+    members = _table(spark, sf_dir, "documents").select(F.col("lang").alias("task"), F.col("doc_id").alias("ordinal"), F.col("doc_id").cast("string").alias("sample_id"))
+    return samples.ids_digest(members, ["task"])
+
+
+@query("""WITH l AS (SELECT unnest(['en', 'de', 'fr', 'xx']) AS lang, generate_subscripts([0, 0, 0, 0], 1) - 1 AS i), n AS (SELECT unnest([32, 64, 128]) AS length, generate_subscripts([0, 0, 0], 1) - 1 AS j), s AS (SELECT unnest([0.1::DOUBLE, 0.2::DOUBLE]) AS strength, generate_subscripts([0, 0], 1) - 1 AS k)
+    SELECT i * 6 + j * 2 + k AS cell, l.lang AS lang, length, strength, count(doc_id) AS entries, count(doc_id) FILTER (n_chars >= length * 10) AS long_enough FROM l CROSS JOIN n CROSS JOIN s LEFT JOIN documents d ON d.lang = l.lang GROUP BY ALL""")
+def experiment_grid(spark, sf_dir):
+    cells = samples.grid(spark, lang=["en", "de", "fr", "xx"], length=[32, 64, 128], strength=[0.1, 0.2])
+    found = samples.expanded(cells, _table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars"), ["lang"])
+    return found.groupBy("cell", "lang", "length", "strength").agg(F.count("doc_id").alias("entries"), F.count_if(F.col("n_chars") >= F.col("length") * 10).alias("long_enough"))
