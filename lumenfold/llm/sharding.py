@@ -24,6 +24,8 @@ BLOCK_ROWS = 8_192
 MOST_BLOCKS = 1 << 16
 #: At most so many ranges of a shard: their counts are broadcast.
 MOST_RANGES = 1 << 12
+#: Rows that are alike are numbered by so many cells.
+CELLS = 4096
 _UNIT = float(1 << 53)
 #: Logarithms of 0! to 15!.
 _SMALL = "array(" + ", ".join(f"{math.lgamma(n + 1)!r}D" for n in range(16)) + ")"
@@ -95,18 +97,31 @@ def communication_matrix(sizes: DataFrame, blocks: int, shards: int, seed: int =
     return nodes.select(F.col("low").alias("block"), running.alias("ends"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with `again`, 0, 1, 2... among rows alike in id, size and checksum: so that equal rows have keys of their own, and the numbers do not
+    depend on the partitioning. Rows are counted by cells first, as any part of a table may be copies of one row; a cell is one of CELLS a key has."""
+    own = ["no_id", "id", "size", "text_crc32"]
+    rows = rows.withColumn("no_id", F.col("doc_id").isNull()).withColumn("id", F.coalesce("doc_id", F.lit(0)))
+    cells = rows.groupBy(*own, "cell").agg(F.count("*").alias("n"))
+    before = (F.sum("n").over(_window(own, "cell")) - F.col("n")).alias("before")
+    later = cells.select(*own, "cell", before).where("before > 0")
+    each = rows.withColumn("i", F.row_number().over(_window([*own, "cell"], "doc_id")) - 1)
+    return each.join(later, [*own, "cell"], "left").select("doc_id", "size", "text_crc32", (F.col("i") + F.coalesce("before", F.lit(0))).cast("long").alias("again"))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard. The law is `rows`: shard sizes differ by one at most.
 
     A null text counts as empty: size 8 and the checksum of nothing. Null and repeated doc_ids are rows like others; rows alike in id, size
-    and checksum are interchangeable. An empty table gives none. The result depends on the rows and the seed, not on their partitioning."""
+    and checksum are numbered and shuffled like others. An empty table gives none. The result depends on the rows and the seed, not on their partitioning."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = pick(docs, doc_id="long", text="string").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = cut(rows, "shard-rows")
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(CELLS)).cast("int")  # written, so that it stays
+    rows = cut(_numbered(cut(rows.withColumn("cell", place), "shard-rows")), "shard-rows")
     total = rows.count()
     blocks = max(1, min(MOST_BLOCKS, -(-total // block_rows)))
     ranges = max(1, min(MOST_RANGES, -(-total // (shards * block_rows))))
-    key = (F.col("doc_id"), F.col("text_crc32"), F.col("size"))
+    key = (F.col("doc_id"), F.col("text_crc32"), F.col("size"), F.col("again"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), *key), F.lit(blocks)).cast("int"))
     matrix = communication_matrix(rows.groupBy("block").agg(F.count("*").alias("n")), blocks, shards, seed)
     local = F.row_number().over(_window("block", F.xxhash64(F.lit(seed), F.lit("local"), *key), *key)) - 1
@@ -114,7 +129,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block_rows: i
     # At most MOST_BLOCKS rows of `shards` numbers.
     placed = ranked.join(F.broadcast(matrix), "block").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("local"))).cast("int"))
     second = _uniform(F.lit(seed), F.lit("slot"), *key)
-    placed = placed.select("doc_id", "size", "text_crc32", "shard", second.alias("u")).withColumn("range", F.floor(F.col("u") * ranges).cast("int"))
+    placed = placed.select("doc_id", "size", "text_crc32", "again", "shard", second.alias("u")).withColumn("range", F.floor(F.col("u") * ranges).cast("int"))
     placed = cut(placed, "shard-placed")
     before = placed.groupBy("shard", "range").agg(F.count("*").alias("n"))
     before = before.select("shard", "range", (F.sum("n").over(_window("shard", "range")) - F.col("n")).alias("before"))

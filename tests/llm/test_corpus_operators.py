@@ -44,6 +44,21 @@ def test_shards_are_uniform(spark):
     assert all(1 <= first[s] <= 15 for s in range(3)) and 1 <= both <= 15
 
 
+def test_equal_rows_are_shuffled_like_others(spark):
+    """Chi-square of the shards of 4,800 equal rows among 20,000, and of where in their shard they are; a draw of plain numpy has the same spread."""
+    docs = spark.range(20_000).select(F.when(F.col("id") % 25 >= 6, F.col("id")).alias("doc_id"), F.when(F.col("id") % 25 >= 6, F.concat(F.lit("t"), F.col("id"))).otherwise(F.lit("one text")).alias("text"))
+    out = [tuple(r) for r in sharding.shard(docs, block_rows=500).where("doc_id is null").select("shard", "slot").collect()]
+    again = [tuple(r) for r in sharding.shard(docs.repartition(3), block_rows=500).where("doc_id is null").select("shard", "slot").collect()]
+    assert len(set(out)) == 4800 and sorted(out) == sorted(again)
+    size = 20_000 / 24
+    # one degree of freedom fewer than cells, less the finite population's share: bounds are some five standard deviations
+    square = lambda counts: sum((c - 200) ** 2 / (200 * (1 - 0.24)) for c in counts)
+    assert square(Counter(s for s, _ in out).get(i, 0) for i in range(24)) < 23 + 5 * math.sqrt(2 * 23)
+    assert square(Counter(int(slot * 24 / (size + 1)) for _, slot in out).get(i, 0) for i in range(24)) < 23 + 5 * math.sqrt(2 * 23)
+    plain = np.random.default_rng(1).permutation(20_000)[:4800]
+    assert square(Counter((plain // size).astype(int).tolist()).get(i, 0) for i in range(24)) < 23 + 5 * math.sqrt(2 * 23)
+
+
 def test_matrix_has_hypergeometric_moments(spark):
     sizes = spark.createDataFrame([(0, 30), (1, 50), (2, 20)], "block int, n long")
     draws = []
