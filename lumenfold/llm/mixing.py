@@ -46,19 +46,25 @@ def topic(text: Column) -> Column:
     )
 
 
-def _with_cells(plain: DataFrame, text: Column, lang: Column, source: Column, doc_id: Column) -> DataFrame:
+def _with_cells(plain: DataFrame, text: Column, lang: Column, source: Column, doc_id: Column, own_topic: Column | None) -> DataFrame:
     whole = F.coalesce(text.cast("string"), F.lit(""))
-    return plain.withColumns({"source_": F.coalesce(source.cast("string"), F.lit(NONE)), "lang_": F.coalesce(lang.cast("string"), F.lit(NONE)), "topic_": topic(whole), "tokens_": n_tokens(whole), "id_": doc_id.cast("long")})
+    about = topic(whole) if own_topic is None else F.coalesce(own_topic.cast("string"), F.lit(NONE))
+    return plain.withColumns({"source_": F.coalesce(source.cast("string"), F.lit(NONE)), "lang_": F.coalesce(lang.cast("string"), F.lit(NONE)), "topic_": about, "tokens_": n_tokens(whole), "id_": doc_id.cast("long")})
 
 
 def targets_of(cells: DataFrame, margin: str, given: Mapping[str, float] | None) -> DataFrame:
     """(margin, target): the given targets, else tempered shares; scaled to 1 over the categories that occur. A category without a given
-    target keeps none of the weight."""
+    target keeps none of the weight; a given target above zero for a category without tokens cannot be met, and is an error."""
     found = cells.groupBy(margin).agg(F.sum("tokens").alias("tokens"))
     if given is None:
         found = found.withColumn("raw", F.pow(F.col("tokens").cast("double"), F.lit(TEMPER[margin])))
     else:
+        if any(not 0 <= float(v) < float("inf") for v in given.values()):
+            raise ValueError(f"targets of {margin} have to be numbers of zero or more")
         wanted = cells.sparkSession.createDataFrame([(str(k), float(v)) for k, v in given.items()], f"{margin} string, raw double")
+        absent = wanted.where("raw > 0").join(found.where("tokens > 0"), margin, "left_anti").select(margin).head(10)
+        if absent:
+            raise ValueError(f"no tokens for targets of {margin}: {', '.join(sorted(r[0] for r in absent))}")
         found = found.join(wanted, margin, "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
     total = found.agg(F.coalesce(F.sum("raw"), F.lit(0.0)).alias("total")).first()["total"]
     return found.select(margin, (F.col("raw") / F.lit(max(total, 1e-300))).alias("target"))
@@ -68,10 +74,12 @@ def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None =
     """cells (source, lang, topic, tokens) with `weight`, which sum to 1 and by each margin to its targets, as far as those agree.
 
     Each step is an aggregate by one margin, pre-aggregated before the shuffle, joined back to the cells; lineage is cut after each sweep.
-    The fit ends when no margin is off by more than the tolerance, or after `sweeps`."""
+    The fit ends when no margin is off by more than the tolerance. Given targets that are not met after `sweeps` (they contradict each other, or the
+    cells that occur) are an error; tempered shares, which are an aim, are met as nearly as that."""
     cells = cut(cells, "cells")
     goals = {m: cut(targets_of(cells, m, (targets or {}).get(m)), "targets") for m in MARGINS}
     total = cells.agg(F.sum("tokens").alias("n")).first()["n"] or 1
+    worst = 0.0
     now = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
     for _ in range(sweeps):
         for margin in MARGINS:
@@ -84,7 +92,9 @@ def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None =
         worst = swept.agg(F.max("off").alias("off")).first()["off"] or 0.0
         now = swept.drop("off")
         if worst <= tolerance:
-            break
+            return now
+    if targets:
+        raise ValueError(f"targets are not met after {sweeps} sweeps: a margin is off by {worst:.4f}")
     return now
 
 
@@ -113,10 +123,10 @@ def calibrated(cells: DataFrame, kept_share: float = KEPT_SHARE) -> DataFrame:
     return cells.withColumn("probability", F.least(F.lit(1.0), F.col("ratio") * F.lit(scale)))
 
 
-def _drawn(docs: DataFrame, targets, kept_share: float, seed: int) -> tuple[DataFrame, list[str]]:
+def _drawn(docs: DataFrame, targets, kept_share: float, seed: int, topics: str | None) -> tuple[DataFrame, list[str]]:
     """The rows of docs with their cell's weight and probability and their draw, under plain names, and docs' own names."""
-    plain, (text, lang, source, doc_id), own = whole_rows(docs, "text", "lang", "source", "doc_id")
-    rows = _with_cells(plain, text, lang, source, doc_id)
+    plain, (text, lang, source, doc_id, *about), own = whole_rows(docs, "text", "lang", "source", "doc_id", *([topics] if topics else []))
+    rows = _with_cells(plain, text, lang, source, doc_id, about[0] if about else None)
     cells = rows.groupBy(*[F.col(f"{m}_").alias(m) for m in MARGINS]).agg(F.sum("tokens_").alias("tokens"))
     cells = cut(calibrated(raked(cells, targets), kept_share).select(*[F.col(m).alias(f"{m}_") for m in MARGINS], "weight", "probability"), "cells")
     side = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
@@ -124,17 +134,17 @@ def _drawn(docs: DataFrame, targets, kept_share: float, seed: int) -> tuple[Data
     return rows.join(side, [f"{m}_" for m in MARGINS]).withColumn("draw", draw), own
 
 
-def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, kept_share: float = KEPT_SHARE, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, kept_share: float = KEPT_SHARE, seed: int = SEED, topics: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, source, lang, topic, n_tokens, weight (of its cell), probability, draw and sampled.
 
     A null source or language is the category "(none)"; a null or empty text has no tokens, so it adds no weight, and is sampled like the rest
     of its cell. The draw is a hash of the id and the seed: repeated rows fall alike, and the sample does not depend on the partitioning; rows
-    of null id share a draw. An empty table gives none."""
-    rows, _ = _drawn(docs, targets, kept_share, seed)
+    of null id share a draw. An empty table gives none. `topics` names a column of topics, for one that is better than topic(); a null one is "(none)"."""
+    rows, _ = _drawn(docs, targets, kept_share, seed, topics)
     return rows.select(F.col("id_").alias("doc_id"), *[F.col(f"{m}_").alias(m) for m in MARGINS], F.col("tokens_").alias("n_tokens"), "weight", "probability", "draw", (F.col("draw") < F.col("probability")).alias("sampled"))
 
 
-def sampled(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, kept_share: float = KEPT_SHARE, seed: int = SEED) -> DataFrame:
+def sampled(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, kept_share: float = KEPT_SHARE, seed: int = SEED, topics: str | None = None) -> DataFrame:
     """The rows of docs that mix() samples, all columns."""
-    rows, own = _drawn(docs, targets, kept_share, seed)
+    rows, own = _drawn(docs, targets, kept_share, seed, topics)
     return rows.where(F.col("draw") < F.col("probability")).select(*[f"_{i}" for i in range(len(own))]).toDF(*own)

@@ -139,6 +139,44 @@ def test_raking_meets_its_marginals(spark):
     assert abs(out[out.sampled].n_tokens.sum() / out.n_tokens.sum() - 0.3) < 0.05
 
 
+def plain_raking(cells: dict, goals: list[dict]) -> dict:
+    """Proportional fitting by dictionaries, to its end."""
+    weight = {c: float(n) for c, n in cells.items()}
+    for _ in range(400):
+        for m, goal in enumerate(goals):
+            sums = Counter()
+            for c, w in weight.items():
+                sums[c[m]] += w
+            weight = {c: w * goal.get(c[m], 0.0) / sums[c[m]] if sums[c[m]] else 0.0 for c, w in weight.items()}
+    return weight
+
+
+def test_raking_against_a_second_form(spark):
+    rng = random.Random(3)
+    cells = {(s, g, t): rng.randint(1, 500) for s in ("a", "b", "c") for g in ("en", "de") for t in ("x", "y") if (s, g, t) != ("a", "de", "y")}
+    goals = [{"a": 0.2, "b": 0.5, "c": 0.3}, {"en": 0.6, "de": 0.4}, {"x": 0.55, "y": 0.45}]
+    df = spark.createDataFrame([(*c, n) for c, n in cells.items()], "source string, lang string, topic string, tokens long")
+    found = {(r["source"], r["lang"], r["topic"]): r["weight"] for r in mixing.raked(df, dict(zip(mixing.MARGINS, goals, strict=True)), tolerance=1e-5).collect()}
+    want = plain_raking(cells, goals)
+    assert set(found) == set(want) and all(abs(found[c] - want[c]) < 1e-4 for c in want)
+
+
+def test_targets_that_cannot_be_met_are_refused(spark):
+    df = spark.createDataFrame([("a", "en", "x", 10), ("b", "de", "x", 10)], "source string, lang string, topic string, tokens long")
+    with pytest.raises(ValueError, match="not met after 1 sweeps"):
+        mixing.raked(df, {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "de": 0.9}}, sweeps=1)
+    with pytest.raises(ValueError, match="no tokens for targets of source: c"):
+        mixing.raked(df, {"source": {"a": 0.5, "c": 0.5}})
+    with pytest.raises(ValueError, match="zero or more"):
+        mixing.raked(df, {"source": {"a": -1.0}})
+
+
+def test_topics_of_the_caller(spark):
+    docs = spark.createDataFrame([(i, "word " * 30, "en", "s", ("law", "art", None)[i % 3]) for i in range(30)], "doc_id long, text string, lang string, source string, about string")
+    out = mixing.mix(docs, {"topic": {"law": 0.5, "art": 0.3, "(none)": 0.2}}, topics="about").toPandas()
+    assert out.drop_duplicates("topic").set_index("topic").weight.round(6).to_dict() == {"law": 0.5, "art": 0.3, "(none)": 0.2}
+
+
 def test_mixing_of_awkward_rows(spark):
     out = mixing.mix(documents(spark)).collect()
     assert len(out) == len(rows()) and all(0 <= r["probability"] <= 1 for r in out)
