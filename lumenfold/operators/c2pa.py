@@ -16,16 +16,15 @@ def validation_basis(manifests: DataFrame, ingredients: DataFrame, active: DataF
 
     Frontier joins until nothing new is reached; cycles end there. Each round's frontier is checkpointed. Where most_rounds do not reach the
     end, a ValueError is raised."""
-    reached = active.select("store", "label").distinct()
-    frontier = reached
+    reached = frontier = active.select("store", "label").distinct().checkpoint()
     for done in count():
         fresh = frontier.join(ingredients, ["store", "label"]).select("store", F.col("ingredient").alias("label")).distinct().join(reached, ["store", "label"], "left_anti")
-        fresh = fresh.checkpoint()
+        fresh = fresh.checkpoint()  # what is new alone: what was reached before stays where it is
         if fresh.isEmpty():
             break
         if most_rounds is not None and done + 1 >= most_rounds:
             raise ValueError(f"manifests lie deeper than {most_rounds} rounds reach")
-        reached, frontier = reached.unionByName(fresh).checkpoint(), fresh
+        reached, frontier = reached.unionByName(fresh), fresh
     good = F.coalesce(F.col("has_time") & ~F.col("has_certificate_status"), F.lit(False))
     return reached.join(manifests, ["store", "label"], "left").groupBy("store").agg(F.bool_and(good).alias("reproducible"))
 

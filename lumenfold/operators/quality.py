@@ -20,19 +20,27 @@ def literals(text: Column, kind: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _common(a: Column, b: Column) -> Column:
+    """How many values two arrays have in common, each as often as in both: one pass over both, sorted together."""
+    side = lambda values, s: F.transform(values, lambda x: F.struct(x.alias("v"), F.lit(s).alias("s")))
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(None).cast("string").alias("v"), zero.alias("a"), zero.alias("b"), zero.alias("n"))
+
+    def step(s: Column, x: Column) -> Column:
+        same = s["v"].eqNullSafe(x["v"])
+        count = lambda name, k: (F.when(same, s[name]).otherwise(zero) + F.when(x["s"] == k, 1).otherwise(0)).alias(name)
+        return F.struct(x["v"].alias("v"), count("a", 0), count("b", 1), (s["n"] + F.when(same, zero).otherwise(F.least(s["a"], s["b"]))).alias("n"))
+
+    return F.aggregate(F.array_sort(F.concat(side(a, 0), side(b, 1))), start, step, lambda s: s["n"] + F.least(s["a"], s["b"]))
+
+
 def literal_recall(df: DataFrame, key: str, source: str, transformed: str) -> DataFrame:
-    """(key, kind, source_count, preserved_count, recall): of each kind's multiset in the source, what the other text still has. Recall is null
-    where the source has none. Literals are counted by value within a row's own data, then joined by row and value."""
-
-    def counted(text: str, name: str) -> DataFrame:
-        each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), literals(F.col(text), k).alias("values")) for k in KINDS]))
-        rows = df.select(key, each.alias("e")).select(key, "e.kind", F.explode("e.values").alias("value"))
-        return rows.groupBy(key, "kind", "value").agg(F.count("*").alias(name))
-
-    both = counted(source, "a").join(counted(transformed, "b"), [key, "kind", "value"], "left")
-    sums = both.groupBy(key, "kind").agg(F.sum("a").alias("source_count"), F.sum(F.least("a", F.coalesce("b", F.lit(0)))).alias("preserved_count"))
-    every = df.select(key, F.explode(F.array(*[F.lit(k) for k in KINDS])).alias("kind"))
-    out = every.join(sums, [key, "kind"], "left").na.fill(0, ["source_count", "preserved_count"])
+    """(key, kind, source_count, preserved_count, recall), a row a kind for each row: of each kind's multiset in the source, what the other text still
+    has. Recall is null where the source has none. Both texts are in one row, so nothing is exchanged."""
+    values = lambda text, k: F.coalesce(literals(F.col(text), k), F.array().cast("array<string>"))
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), values(source, k).alias("a"), values(transformed, k).alias("b")) for k in KINDS])
+    rows = df.select(key, F.explode(each).alias("e"))
+    out = rows.select(key, "e.kind", F.size("e.a").cast("long").alias("source_count"), _common(F.col("e.a"), F.col("e.b")).alias("preserved_count"))
     return out.withColumn("recall", F.when(F.col("source_count") > 0, F.col("preserved_count") / F.col("source_count")))
 
 
