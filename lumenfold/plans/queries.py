@@ -748,3 +748,13 @@ def experiment_grid(spark, sf_dir):
     cells = samples.grid(spark, lang=["en", "de", "fr", "xx"], length=[32, 64, 128], strength=[0.1, 0.2])
     found = samples.expanded(cells, _table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars"), ["lang"])
     return found.groupBy("cell", "lang", "length", "strength").agg(F.count("doc_id").alias("entries"), F.count_if(F.col("n_chars") >= F.col("length") * 10).alias("long_enough"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_transform(tokens, lambda x: chr(33 + least(x, 89))) AS a, list_transform(list_filter(range(1, len(tokens) + 1), lambda i: i % 7 <> 0), lambda i: chr(33 + least(tokens[i], 89) + CASE WHEN i % 5 = 0 THEN 1 ELSE 0 END)) AS b FROM {_WORD_LENGTHS}),
+    d AS (SELECT doc_id, len(a) AS n, levenshtein(array_to_string(a, ''), array_to_string(b, '')) AS distance FROM t) SELECT doc_id, CAST(distance AS INTEGER) AS distance, round(distance / n, 9) AS normalized FROM d""")
+def distance_of_edits(spark, sf_dir):
+    """Each seventh token deleted, each fifth one changed: the distance is at most their number, and less where neighbours are alike."""
+    rows = _word_lengths(spark, sf_dir).select("doc_id", F.transform("tokens", lambda x: F.least(x, F.lit(89))).alias("a"))
+    numbered = F.transform("a", lambda x, i: F.struct((i + 1).alias("i"), x.alias("x")))
+    edited = F.transform(F.filter(numbered, lambda s: s["i"] % 7 != 0), lambda s: s["x"] + F.when(s["i"] % 5 == 0, 1).otherwise(0))
+    return rows.select("doc_id", quality.token_distance(F.col("a"), edited).alias("d")).select("doc_id", "d.distance", F.round("d.normalized", 9).alias("normalized"))
