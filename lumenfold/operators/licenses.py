@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import canonical_json
 
-#: Names of files that hold licence texts.
-TEXT_NAME = r"(?i)(?:un)?licen[cs]e.*|copying.*|copyright.*|notice.*"
+#: Names of files that hold licence texts; after the word only a separator goes on.
+TEXT_NAME = r"(?i)(?:licen[cs]e|copying|copyright|notice)(?:[-._].*)?|unlicense|authors"
 _ROW = r"^\| \[([^\]]+)\]\(([^)]+)\) \| ([^|]+) \| ([^|]+) \| `([^`]*)` \| ([^|]+) \|$"
 
 

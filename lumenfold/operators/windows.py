@@ -152,9 +152,9 @@ def overlap_counts(left: DataFrame, right: DataFrame, key: list[str]) -> DataFra
     return out.select(*left.columns, (F.col("n_end") - F.col("n_start") + F.coalesce("n_point", F.lit(0))).alias("overlaps"))
 
 
-def composed(df: DataFrame, marked: str, unmarked: str, fraction: float, separated: bool, split: Column | None = None) -> DataFrame:
-    """Adds tokens, segments and realized_fraction. Marked tokens stand in one segment at `split` (a column, up to the unmarked count), or in
-    two segments with unmarked ones after each. A fraction outside (0, 1] or a side without tokens is an error."""
+def composed(df: DataFrame, marked: str, unmarked: str, fraction: float, separated: bool, split: Column | None = None, seed: Column | None = None) -> DataFrame:
+    """Adds tokens, segments and realized_fraction. Marked tokens stand in one segment at `split` (a column, up to the unmarked count), or where each
+    row's `seed` puts them (see split_point), or in two segments with unmarked ones after each. A fraction outside (0, 1] or a side without tokens is an error."""
     if not 0 < fraction <= 1:
         raise ValueError("the fraction has to be in (0, 1]")
     full = lambda c: F.when(F.size(c) > 0, F.col(c)).otherwise(F.raise_error(F.lit("both sides need tokens")).cast(df.schema[c].dataType))
@@ -162,6 +162,9 @@ def composed(df: DataFrame, marked: str, unmarked: str, fraction: float, separat
     m, u = F.col(marked), F.col(unmarked)
     total = F.least(F.size(m) + F.size(u), F.greatest(F.size(m), F.size(u)))
     df = df.withColumn("_m", F.greatest(F.lit(1), F.least(F.size(m), F.bround(total * F.lit(float(fraction))).cast("int")))).withColumn("_u", F.least(F.size(u), total - F.col("_m")))
+    if seed is not None:
+        df = df.withColumn("_at", _split_points(seed, F.col("_u")))
+        split = F.col("_at")
     at = F.least(split if split is not None else F.lit(0), F.col("_u")).cast("int")
     one = [(F.slice(u, 1, at), False), (F.slice(m, F.lit(1), F.col("_m")), True), (F.slice(u, at + 1, F.col("_u") - at), False)]
     half, cut = F.floor(F.col("_m") / 2).cast("int"), F.least(F.col("_u"), F.greatest(F.lit(1), F.floor(F.col("_u") / 2).cast("int")))
@@ -172,9 +175,18 @@ def composed(df: DataFrame, marked: str, unmarked: str, fraction: float, separat
     before = lambda i: F.aggregate(F.slice("_pieces", 1, i), F.lit(0), lambda s, p: s + F.size(p["tokens"]))
     df = df.withColumn("segments", F.transform("_pieces", lambda p, i: F.struct(before(i).alias("start"), (before(i) + F.size(p["tokens"])).alias("end"), p["marked"].alias("marked"))))
     count = F.aggregate("segments", F.lit(0), lambda s, x: s + F.when(x["marked"], x["end"] - x["start"]).otherwise(0))
-    return df.withColumn("realized_fraction", count / F.size("tokens")).drop("_m", "_u", "_pieces")
+    return df.withColumn("realized_fraction", count / F.size("tokens")).drop("_m", "_u", "_at", "_pieces")
 
 
 def split_point(seed: int, unmarked_count: int) -> int:
     """Where marked tokens stand among unmarked ones."""
     return seeded_random(seed, "composition").randrange(unmarked_count + 1)
+
+
+def _split_points(seed: Column, unmarked_count: Column) -> Column:
+    """split_point() of each row: the generator is Python's, as its draws are what a study has to agree on."""
+
+    def points(seeds: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series([split_point(int(s), int(n)) for s, n in zip(seeds, counts, strict=True)], dtype="int32")
+
+    return F.pandas_udf(points, "int")(seed, unmarked_count)

@@ -112,3 +112,13 @@ def test_licences(spark):
     wanted = spark.createDataFrame([("p", "2", [("L", hashlib.sha256(b"one").hexdigest()), ("M", "0")])], "name string, version string, files array<struct<filename:string,sha256:string>>")
     held = spark.createDataFrame([("x", bytearray(b"one")), ("y", bytearray(b"one"))], "path string, content binary")
     assert {r["filename"]: r["problem"] for r in licenses.fallback_texts(wanted, held).collect()} == {"L": None, "M": "no such text"}
+
+
+def test_names_of_licence_texts():
+    import re
+
+    from lumenfold.operators.licenses import TEXT_NAME
+
+    yes = ["LICENSE", "licence", "LICENSE-MIT", "License.txt", "COPYING", "copying.lesser", "COPYRIGHT", "NOTICE_a", "UNLICENSE", "AUTHORS"]
+    no = ["licenses", "LICENSE2", "noticeboard.md", "UNLICENSE.txt", "my-LICENSE", "copyrights"]
+    assert all(re.fullmatch(TEXT_NAME, n) for n in yes) and not any(re.fullmatch(TEXT_NAME, n) for n in no)

@@ -282,3 +282,13 @@ def test_checksum_lines_in_order(spark):
     names = ["a", "b", "b", "A", "c", "d"]
     lines = spark.createDataFrame([(i * 70_000, f"{h}  {n}") for i, n in enumerate(names)], "ordinal long, value string").repartition(4)
     assert [r["problem"] for r in ledger.parsed_checksums(lines).orderBy("ordinal").collect()] == [None, None, "duplicate", "order", None, None]
+
+
+def test_marked_tokens_stand_where_each_seed_puts_them(spark):
+    rows = [(i, [1] * (3 + i % 4), [0] * (12 + i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "seed long, m array<int>, u array<int>").repartition(3)
+    for r in windows.composed(df, "m", "u", 0.25, False, seed=F.col("seed")).collect():
+        marked = sum(r["tokens"])
+        assert r["tokens"].index(1) == windows.split_point(r["seed"], len(r["tokens"]) - marked)
+        assert [s["end"] - s["start"] for s in r["segments"] if s["marked"]] == [marked]
+    assert len({r["tokens"].index(1) for r in windows.composed(df, "m", "u", 0.25, False, seed=F.col("seed")).collect()}) > 3
