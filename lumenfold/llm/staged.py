@@ -16,8 +16,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A chunk is closed when its texts hold this share of spark.sql.files.maxPartitionBytes, so that larger executors get larger chunks.
-CHUNK_SHARE, LEAST_CHUNK = 4, 1 << 20
+#: A chunk is closed when its texts hold this share of spark.sql.files.maxPartitionBytes, within bounds: a worker needs up to 40 times a chunk's
+#: bytes, and a session's partitions say nothing of its memory.
+CHUNK_SHARE, LEAST_CHUNK, MOST_CHUNK = 4, 1 << 20, 4 << 20
 #: Input bytes, of a compressed scan, that a bucket stands for.
 BUCKET_BYTES = 8 << 20
 
@@ -143,7 +144,7 @@ def partition_bytes(df: DataFrame) -> int:
 
 
 def chunk_bytes(df: DataFrame) -> int:
-    return max(LEAST_CHUNK, partition_bytes(df) // CHUNK_SHARE)
+    return min(MOST_CHUNK, max(LEAST_CHUNK, partition_bytes(df) // CHUNK_SHARE))
 
 
 def buckets_for(df: DataFrame) -> int:

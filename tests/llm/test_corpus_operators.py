@@ -360,6 +360,18 @@ def test_katz_of_higher_order(spark, monkeypatch, order, share):
     assert all(abs(f[1] - e[1]) < 1e-6 for f, e in zip(found, expected, strict=True))
 
 
+def test_chunks_do_not_grow_with_partitions(spark):
+    key = "spark.sql.files.maxPartitionBytes"
+    before, found = spark.conf.get(key), {}
+    try:
+        for size in ("1m", "16m", "128m", "1g"):
+            spark.conf.set(key, size)
+            found[size] = katz.S.chunk_bytes(documents(spark))
+    finally:
+        spark.conf.set(key, before)
+    assert found == {"1m": 1 << 20, "16m": 4 << 20, "128m": 4 << 20, "1g": 4 << 20}
+
+
 def common_prefix(a: bytes, b: bytes) -> int:
     return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
