@@ -24,7 +24,7 @@ from .staged import get, put
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 #: A file is closed when it holds this many ids; a task keeps no more than a file in memory.
 FILE_IDS = 4 << 20
-MAGIC = b"LFS8B\0\0\1"
+MAGIC = b"LFS8B\0\0\2"
 #: Words whose ids a worker keeps; at this number it starts anew, so its memory is bounded.
 CACHED_WORDS = 400_000
 #: Rows encoded at once.
@@ -188,19 +188,38 @@ def tokenizer_json(path: str | None = None) -> str:
         return f.read()
 
 
+def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, frequent ones first, and the ids as places in that list: small numbers, of which a word of Simple-8b holds many."""
+    if len(ids) and int(ids.max()) < 1 << 22:
+        counts = np.bincount(ids)
+        distinct = np.flatnonzero(counts)
+        distinct = distinct[np.argsort(-counts[distinct], kind="stable")]
+        place = np.zeros(len(counts), np.uint32)
+        place[distinct] = np.arange(len(distinct), dtype=np.uint32)
+        return distinct, place[ids]
+    distinct, number, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    return distinct[order], place[number]
+
+
 def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """A file: magic, numbers of documents, ids and blocks; doc_ids, null flags and counts; block offsets; words. All little-endian."""
-    words, offsets = simple8b.encode(ids)
-    head = MAGIC + struct.pack("<QQQ", len(doc_ids), len(ids), len(offsets) - 1)
+    """A file: magic, numbers of documents, ids, blocks and distinct ids; doc_ids, null flags and counts; distinct ids by descending frequency;
+    block offsets; words of the ids' places in that list. All little-endian."""
+    distinct, places = _ranked(ids)
+    words, offsets = simple8b.encode(places)
+    head = MAGIC + struct.pack("<QQQQ", len(doc_ids), len(ids), len(offsets) - 1, len(distinct))
     nulls = np.array([i is None for i in doc_ids], np.uint8)
-    return b"".join([head, np.array([0 if i is None else i for i in doc_ids], "<i8").tobytes(), nulls.tobytes(), counts.astype("<i8").tobytes(), offsets.astype("<i8").tobytes(), words.astype("<u8").tobytes()])
+    parts = [np.array([0 if i is None else i for i in doc_ids], "<i8"), nulls, counts.astype("<i8"), distinct.astype("<u8"), offsets.astype("<i8"), words.astype("<u8")]
+    return b"".join([head, *(x.tobytes() for x in parts)])
 
 
 def unpack(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     if raw[: len(MAGIC)] != MAGIC:
         raise ValueError("not a token file of this format and version")
-    docs, n, blocks = struct.unpack_from("<QQQ", raw, len(MAGIC))
-    at = len(MAGIC) + 24
+    docs, n, blocks, kinds = struct.unpack_from("<QQQQ", raw, len(MAGIC))
+    at = len(MAGIC) + 32
 
     def take(kind: str, count: int) -> np.ndarray:
         nonlocal at
@@ -208,9 +227,10 @@ def unpack(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         at += found.nbytes
         return found
 
-    doc_ids, nulls, counts, offsets = take("<i8", docs), take("u1", docs), take("<i8", docs), take("<i8", blocks + 1)
+    doc_ids, nulls, counts, distinct, offsets = take("<i8", docs), take("u1", docs), take("<i8", docs), take("<u8", kinds), take("<i8", blocks + 1)
     words = take("<u8", int(offsets[-1]))
-    return [None if x else i for i, x in zip(doc_ids.tolist(), nulls.tolist(), strict=True)], counts, simple8b.decode(words, offsets, n)
+    ids = distinct[simple8b.decode(words, offsets, n).view(np.int64)]
+    return [None if x else i for i, x in zip(doc_ids.tolist(), nulls.tolist(), strict=True)], counts, ids
 
 
 MANIFEST = "part long, seq long, path string, n_docs long, n_ids long"

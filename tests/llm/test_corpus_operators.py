@@ -360,6 +360,18 @@ def test_katz_of_higher_order(spark, monkeypatch, order, share):
     assert all(abs(f[1] - e[1]) < 1e-6 for f, e in zip(found, expected, strict=True))
 
 
+@pytest.mark.parametrize("high", [1 << 16, 1 << 40])
+def test_token_files_are_small_for_skewed_ids(high):
+    rng = np.random.default_rng(5)
+    names = rng.choice(high, 40_000)
+    ids = names[np.minimum(rng.zipf(1.3, 200_000), len(names)) - 1].astype(np.uint64)
+    raw = tokens.pack([7, None], np.array([150_000, 50_000]), ids)
+    doc_ids, counts, found = tokens.unpack(raw)
+    assert doc_ids == [7, None] and counts.tolist() == [150_000, 50_000] and (found == ids).all()
+    assert len(raw) < 0.8 * 8 * len(simple8b.encode(ids)[0])
+    assert len(tokens.unpack(tokens.pack([], np.zeros(0, np.int64), np.zeros(0, np.uint64)))[2]) == 0
+
+
 def test_chunks_do_not_grow_with_partitions(spark):
     key = "spark.sql.files.maxPartitionBytes"
     before, found = spark.conf.get(key), {}
