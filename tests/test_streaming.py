@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,22 @@ def test_missing_and_contradicting_chunks(spark):
             I.inspected_chunks(spark.createDataFrame(wrong, SCHEMA)).collect()
 
 
+def test_batches_to_python_are_bounded(spark):
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    for key in keys:
+        spark.conf.unset(key)
+    found = I.inspected_chunks(spark.createDataFrame(chunked(random.Random(1), 3), SCHEMA))
+    assert int(spark.conf.get(keys[0])) <= 512 and int(spark.conf.get(keys[1])) <= 4 << 20
+    assert "MapInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    same(found.collect())
+
+
+def test_columns_open_like_rows():
+    rows = [[{"n": 1, "b": b"x", "p": [{"c": None, "o": 2}, {"c": "z", "o": 3}]}, {"n": None, "b": None, "p": []}], [], [{"n": 3, "b": b"", "p": [{"c": "y", "o": 4}]}]]
+    column = pa.array(rows, pa.list_(pa.struct([("n", pa.int64()), ("b", pa.binary()), ("p", pa.list_(pa.struct([("c", pa.string()), ("o", pa.int64())])))])))
+    assert I._opened(column) == rows and I._opened(column[1:]) == rows[1:] and I._opened(column[2:2]) == []
+
+
 def run(spark, make, rows, tmp_path, batches: int = 3) -> list:
     third = len(rows) // batches + 1
     for k in range(batches):  # each file is a micro-batch
