@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_random, typed_id
 from ..functions.scalars import let
+from ..session import bounded_batches
 from .scan import prefixes
 
 
@@ -28,27 +29,61 @@ def window_maximum(df: DataFrame, tokens: str, width: int, stride: int, score) -
     return out.drop("_windows", "_best")
 
 
-def _windows_of_grams(tokens: np.ndarray, flags: np.ndarray, width: int, window: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams, and flagged ones, of every complete window. A gram counts in the windows that hold it and not its last occurrence before:
-    these are neighbours, so it adds one at the first and takes one away after the last; running sums give all windows at once."""
-    m = (len(tokens) - window) // stride + 1
-    grams = np.lib.stride_tricks.sliding_window_view(tokens, width)
-    kind = np.unique(grams, axis=0, return_inverse=True)[1].reshape(-1)
-    order = np.argsort(kind, kind="stable")
+def _number(of: np.ndarray) -> tuple[np.ndarray, int]:
+    """Numbers of the distinct values, and how many there are."""
+    distinct, number = np.unique(of, return_inverse=True)
+    return number.reshape(-1), len(distinct)
+
+
+def _again(row: np.ndarray, tokens: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """For the n-grams that begin at these places, the index among them of the same row's last equal one before, or -1. Tokens are numbered, and
+    an n-gram is the number its tokens and its row are the digits of; where that would be too large, it is numbered anew."""
+    token, base = _number(tokens)
+    kind, kinds = token[at], base
+    for more in (*(token[at + j] for j in range(1, width)), None):
+        digit, size = (row, int(row[-1]) + 1 if len(row) else 1) if more is None else (more, base)
+        if kinds * size >= 1 << 62:
+            kind, kinds = _number(kind)
+        kind, kinds = (digit.astype(np.int64) * kinds + kind, kinds * size)
+    bits = max(1, len(kind).bit_length())
+    if kinds >= 1 << (63 - bits):
+        kind, kinds = _number(kind)
+    keyed = kind << bits | np.arange(len(kind))  # one sort of numbers that hold the n-gram and its place
+    keyed.sort()
+    order, kind = keyed & ((1 << bits) - 1), keyed >> bits
     before = np.full(len(kind), -1)
-    again = kind[order[1:]] == kind[order[:-1]]
+    again = kind[1:] == kind[:-1]
     before[order[1:][again]] = order[:-1][again]
-    at = np.arange(len(kind))
+    return before
+
+
+def _windows_of_rows(lengths: np.ndarray, tokens: np.ndarray, flags: np.ndarray, width: int, window: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams, and flagged ones, of every complete window of rows that have one, one row after another. A gram counts in the windows
+    that hold it and not its last occurrence before: these are neighbours, so it adds one at the first and takes one away after the last;
+    running sums give all windows of all rows at once. flags are those of the rows' n-grams."""
+    m, grams = (lengths - window) // stride + 1, lengths - width + 1
+    row = np.repeat(np.arange(len(lengths)), grams)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(grams) - grams, grams)
+    before = _again(row, tokens, at + np.repeat(np.cumsum(lengths) - lengths, grams), width)
+    before = np.where(before >= 0, at[before], -1)
     low = -(-np.maximum(before + 1, np.maximum(at - (window - width), 0)) // stride)
-    high = np.minimum(at // stride, m - 1)
-    held = low <= high
+    high = np.minimum(at // stride, m[row] - 1)
+    places = m + 1  # one more for what is taken away after the last
+    first = (np.cumsum(places) - places)[row]
+    inside = np.ones(int(places.sum()), bool)
+    inside[np.cumsum(places) - 1] = False
     counts = []
-    for weight in (np.ones(len(kind)), flags.astype(float)):
-        ends = np.bincount(low[held], weight[: len(kind)][held], m + 1) - np.bincount(high[held] + 1, weight[: len(kind)][held], m + 1)
-        counts.append(np.cumsum(ends)[:m].round().astype(np.int64))
+    for held in ((of := low <= high), of & flags):
+        ends = np.bincount((first + low)[held], minlength=len(inside)) - np.bincount((first + high)[held] + 1, minlength=len(inside))
+        counts.append(np.cumsum(ends)[inside])
     return counts[0], counts[1]
 
 
+def _windows_of_grams(tokens: np.ndarray, flags: np.ndarray, width: int, window: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """_windows_of_rows() of a single row; of its flags those of n-grams are read."""
+    return _windows_of_rows(np.array([len(tokens)]), tokens, np.asarray(flags[: len(tokens) - width + 1], dtype=bool), width, window, stride)
+
+
 def ngram_window_maximum(df: DataFrame, tokens: str, green, width: int, window: int, stride: int, gamma: float = 0.25) -> DataFrame:
     """Adds window_count and, of the complete window with the greatest unique n-gram z statistic (the first on a tie): window_start, window_end,
     window_score, scored_units and green_count; null without complete windows. green(ngram) is the scheme's own predicate, asked once a position.
@@ -57,22 +92,31 @@ def ngram_window_maximum(df: DataFrame, tokens: str, green, width: int, window:
         raise ValueError("width, window and stride have to be positive, gamma between zero and one")
 
     def best(column: pd.Series, flagged: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, f in zip(column, flagged, strict=True):
-            t = np.asarray([] if t is None else t, dtype=np.int64)
-            m = max(0, (len(t) - window) // stride + 1) if len(t) >= window else 0
-            if not m:
-                out.append((0, None, None, None, None, None))
-                continue
-            units = greens = np.zeros(m, np.int64)
-            if window > width:
-                units, greens = _windows_of_grams(t, np.asarray(f, dtype=bool), width, window, stride)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                z = np.where(units > 0, (greens - gamma * units) / np.sqrt(units * (gamma * (1 - gamma))), 0.0)
-            i = int(np.argmax(z))
-            out.append((m, i * stride, i * stride + window, float(z[i]), int(units[i]), int(greens[i])))
-        return pd.DataFrame(out, columns=["window_count", "window_start", "window_end", "window_score", "scored_units", "green_count"]).astype({"window_score": float} | dict.fromkeys(("window_count", "window_start", "window_end", "scored_units", "green_count"), "Int32"))
-
+        lengths = np.fromiter((0 if t is None else len(t) for t in column), np.int64, len(column))
+        some = np.flatnonzero(lengths >= window)
+        out = pd.DataFrame({"window_count": pd.array(np.zeros(len(column), np.int32), "Int32")} | dict.fromkeys(("window_start", "window_end")) | {"window_score": np.nan} | dict.fromkeys(("scored_units", "green_count")))
+        m = (lengths[some] - window) // stride + 1
+        units = greens = np.zeros(int(m.sum()), np.int64)
+        if len(some) and window > width:
+            joined = lambda arrays, kind: np.concatenate([np.asarray(arrays.iat[i], dtype=kind) for i in some.tolist()])
+            units, greens = _windows_of_rows(lengths[some], joined(column, np.int64), joined(flagged, bool), width, window, stride)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            z = np.where(units > 0, (greens - gamma * units) / np.sqrt(units * (gamma * (1 - gamma))), 0.0)
+        if len(some):
+            begin = np.cumsum(m) - m
+            top = np.flatnonzero(z == np.repeat(np.maximum.reduceat(z, begin), m))
+            i = top[np.searchsorted(top, begin)]
+            start = (i - begin) * stride
+            for name, values in (("window_count", m), ("window_start", start), ("window_end", start + window), ("scored_units", units[i]), ("green_count", greens[i])):
+                filled = np.zeros(len(column), np.int32)
+                filled[some] = values
+                out[name] = pd.array(filled, "Int32") if name == "window_count" else pd.arrays.IntegerArray(filled, lengths < window)
+            score = np.full(len(column), np.nan)
+            score[some] = z[i]
+            out["window_score"] = score
+        return out.astype(dict.fromkeys(("window_start", "window_end", "scored_units", "green_count"), "Int32"))
+
+    bounded_batches(df.sparkSession)
     t = F.col(tokens)
     count = F.greatest(F.coalesce(F.size(t), F.lit(0)) - (width - 1), F.lit(0))
     grams = F.arrays_zip(*[F.slice(t, i + 1, count) for i in range(width)])

@@ -684,7 +684,7 @@ def nucleus_draw(spark, sf_dir):
     c AS (SELECT doc_id, start, count(DISTINCT gram) AS t, count(DISTINCT gram) FILTER (list_sum(gram) % 4 = 0) AS green FROM g GROUP BY doc_id, start), z AS (SELECT *, (green - 0.25::DOUBLE * t) / sqrt(t * 0.1875::DOUBLE) AS z FROM c)
     SELECT doc_id, CAST(count(*) AS INTEGER) AS window_count, CAST(arg_max(start, (z, -start)) AS INTEGER) AS window_start, CAST(arg_max(t, (z, -start)) AS INTEGER) AS scored_units, CAST(arg_max(green, (z, -start)) AS INTEGER) AS green_count, round(max(z), 9) AS window_score FROM z GROUP BY doc_id""")
 def window_ngram_maximum(spark, sf_dir):
-    green = lambda g: F.aggregate(g, F.lit(0), lambda s, x: s + x) % 4 == 0
+    green = lambda g: (g[0] + g[1] + g[2] + g[3]) % 4 == 0
     found = windows.ngram_window_maximum(_word_lengths(spark, sf_dir), "tokens", green, 4, 64, 16).where("window_count > 0")
     return found.select("doc_id", "window_count", "window_start", "scored_units", "green_count", F.round("window_score", 9).alias("window_score"))
 

@@ -189,6 +189,21 @@ def test_window_rescoring_is_linear():
     assert len(units) == 395_001 and time.perf_counter() - start < 5
 
 
+@pytest.mark.parametrize("high", [3, 1 << 40])
+def test_windows_of_many_rows_at_once(high):
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(9, 60, 200)
+    tokens = [rng.integers(0, high, n) % (high if i % 2 else 2) for i, n in enumerate(lengths)]
+    flags = [rng.random(n - 3) < 0.5 for n in lengths]
+    for wide in (4, 30):  # 30 tokens are more than a number holds
+        rows = [i for i, n in enumerate(lengths) if n >= wide + 5]
+        cut = [flags[i][: lengths[i] - wide + 1] for i in rows]
+        got = windows._windows_of_rows(lengths[rows], np.concatenate([tokens[i] for i in rows]), np.concatenate(cut), wide, wide + 5, 2)
+        grams = lambda t, s: [tuple(t[j : j + wide]) for j in range(s, s + 6)]
+        want = [len(set(grams(tokens[i], s))) for i in rows for s in range(0, lengths[i] - wide - 4, 2)]
+        assert got[0].tolist() == want
+
+
 def test_interior_intervals(spark):
     """Bounds at which the binomial tails, summed term by term, are 2.5 per cent; and equal-tailed bounds for known pairs."""
     pairs = [(5, 20), (1, 10), (9, 10), (1, 2), (3, 1000), (500, 1000), (997, 1000), (37, 4321), (1, 100_000), (99_999, 100_000)]
