@@ -147,3 +147,13 @@ def test_files_and_property_tables(spark, tmp_path):
     assert [tuple(r) for r in A.property_file(spark, f"{tmp_path}/p.ucd").collect()] == [(0xAD, 0xAD, "Default_Ignorable_Code_Point"), (0x115F, 0x1160, "Default_Ignorable_Code_Point")]
     chunks = spark.createDataFrame([("a", 1, b"cd"), ("a", 0, b"ab")], "artifact_id string, chunk_seq long, bytes binary")
     assert bytes(A.from_chunks(chunks).first()["content"]) == b"abcd"
+
+
+def test_text_functions_get_bounded_batches(spark):
+    from lumenfold.functions import text as functions
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for make in (functions.nfc_difference, functions.nfkc_difference, functions.nfc, functions.wrapper_scan, functions.svg):
+        spark.conf.unset(key)
+        make(F.col("text"))
+        assert int(spark.conf.get(key)) <= 512
