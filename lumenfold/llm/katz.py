@@ -11,7 +11,9 @@ chunks (see staged.py); a chunk asks the buckets for what its own tokens need an
    histories are dealt by both words, and their histories' sums are added up apart.
 3. It evaluates P(w|h) = d(c) c(h,w) / c(h) where the bigram was seen, else weight(h) P(w), and P(w) = d(c) c(w) / N, else the unseen mass.
 4. For each higher order, the n-grams seen before are histories, under names their buckets gave them, and step 2 is taken again with the counts of the order below in place of the
-   words', and those of its histories: P(w|h) = d(c) c(h,w) / c(h), else weight(h) P(w|h'), h' being h without its first word."""
+   words', and those of its histories: P(w|h) = d(c) c(h,w) / c(h), else weight(h) P(w|h'), h' being h without its first word.
+
+What a chunk is told about one order it keeps in a file beside its own, so that each answer is exchanged once."""
 
 from __future__ import annotations
 
@@ -67,11 +69,10 @@ class Unigrams:
         return np.where(counts > 0, seen, self.unseen)
 
 
-def weights(c: np.ndarray, once: np.ndarray, unigram_sum: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Backoff weight and scale of histories seen c times, of whose successors once[:, r - 1] were seen r times. Where nothing was taken off,
-    1/(c + 1) is, by scaling the seen successors down."""
-    r = np.arange(1, LIMIT + 1)
-    taken = (once * r * (1 - d[1 : LIMIT + 1])).sum(axis=1) / np.maximum(c, 1)
+def weights(c: np.ndarray, off: np.ndarray, unigram_sum: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Backoff weight and scale of histories seen c times, of whose successors' counts `off` were taken off. Where nothing was, 1/(c + 1) is,
+    by scaling the seen successors down."""
+    taken = off / np.maximum(c, 1)
     none = taken <= 1e-12
     scale = np.where(none, c / (c + 1), 1.0)
     left = np.where(none, 1 / (c + 1), taken)
@@ -88,7 +89,7 @@ class Tokens:
         self.begin = 1
         self.counts = counts + 1
         self.doc = np.repeat(np.arange(len(counts), dtype=np.int32), self.counts)
-        self.next = np.insert(numbers.astype(np.int64) + 2, np.cumsum(counts), 0)
+        self.next = np.insert(numbers.astype(np.int32) + np.int32(2), np.cumsum(counts), 0)
         self.history = np.empty_like(self.next)
         self.history[1:] = self.next[:-1]
         self.history[np.cumsum(self.counts) - self.counts] = self.begin
@@ -126,6 +127,7 @@ class Tokens:
     def told(self, answers: dict[int, bytes], buckets: int) -> None:
         cuts = np.searchsorted(_bucket(self.words, buckets), np.arange(buckets + 1))
         c, names = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
+        del self.numbers  # from now on words go by names
         for b, blob in answers.items():
             part = slice(cuts[b], cuts[b + 1])
             counts, places = S.parts(blob)
@@ -145,9 +147,15 @@ class Tokens:
         for o in range(2, order):
             seen, p = level.scored(answers[o - 2], p, *models[o - 2])
             names, counts, history, factor = level.followed(seen)
+            del level  # before the next is made
             level = Level(names, counts, history, self, seen, models[o - 2][0], factor, buckets, hot)
         return level, p
 
+    def scores(self, answers: list[dict[int, bytes]], buckets: int, hot: int, unigrams: Unigrams, models: list[tuple[np.ndarray, dict]], order: int) -> np.ndarray:
+        """Each token's probability by the given order, of which nothing else is kept."""
+        level, p = self.levels(answers, buckets, hot, unigrams, models, order)
+        return level.scored(answers[order - 2], p, *models[order - 2])[1]
+
     def summed(self, p: np.ndarray, unigrams: Unigrams) -> list[np.ndarray]:
         """By document: the scores by the tokens' probabilities, those of the base model, and the number of known tokens."""
         cw, docs = self.c[self.next], len(self.counts)
@@ -169,10 +177,13 @@ class Level:
         if len(counts):
             known &= counts[history] > 0
         at = np.flatnonzero(known).astype(np.int32)
-        pair = history[at].astype(np.int64) * n + tokens.next[at]
+        pair = history[at].astype(np.int64)
+        pair *= n
+        pair += tokens.next[at]
         bits = max(1, int(len(at)).bit_length())
         if int(n) * max(1, len(names)) < 1 << (63 - bits):  # one sort of numbers that hold the pair and its place
-            pair = pair << bits | np.arange(len(at))
+            pair <<= bits
+            pair |= np.arange(len(at))
             pair.sort()
             order = (pair & ((1 << bits) - 1)).astype(np.int32)
             pair >>= bits
@@ -183,9 +194,11 @@ class Level:
         number = np.empty(len(at), np.int32)
         number[order] = np.cumsum(first, dtype=np.int32) - 1
         distinct, some = pair[first], at[order[first]]
-        del pair, order
+        del pair, order, first
         h = (distinct // n).astype(np.int32)
-        w = (distinct - h.astype(np.int64) * n).astype(np.int32)
+        distinct -= h.astype(np.int64) * n
+        w = distinct.astype(np.int32)
+        del distinct
         own = np.bincount(number[tokens.learnt[at]], minlength=len(h)).astype(np.int32)
         spread = W.mixed(names.view(np.uint64))
         cold = _bucket(spread, buckets)
@@ -197,6 +210,7 @@ class Level:
         place = np.empty(len(h), np.int32)
         place[by_bucket] = np.arange(len(h), dtype=np.int32)
         self.at, self.pair_of = at, place[number]
+        del number, place
         self.h, self.w, self.pair_own, self.pair_bucket, self.is_hot = h[by_bucket], w[by_bucket], own[by_bucket], bucket[by_bucket], is_hot
         self.some = some = some[by_bucket]
         self.below = below[some]
@@ -231,9 +245,9 @@ class Level:
         n = len(self.names)
         seen = np.zeros(len(self.history), np.int64)
         if not n:
-            self.ch, self.none = seen, np.zeros(len(seen), bool)
             return seen, lower
-        once, sums = np.zeros((n, LIMIT)), np.zeros(n)
+        cut = np.arange(1, LIMIT + 1) * (1 - d[1 : LIMIT + 1])
+        off, sums = np.zeros(n), np.zeros(n)
         counts, own = np.zeros(len(self.h), np.int64), np.zeros(n, bool)
         self.pair_names = np.zeros(len(self.h), np.int64)
         for b, pairs, asks in self.sections():
@@ -245,25 +259,32 @@ class Level:
                 own[asked] = all_here
                 asked = asked[~all_here]
                 found = S.unslim(o).reshape(2 * LIMIT, -1).T
-                once[asked] = found[:, :LIMIT]
+                off[asked] = found[:, :LIMIT] @ cut
                 sums[asked] = self._sums(found[:, LIMIT:], S.unslim(s), asked)
                 if places:
                     self.pair_names[pairs][counts[pairs] > 0] = np.cumsum(S.unslim(places)) * self.buckets + b
-        here = np.flatnonzero(own[self.h] & (counts > 0))
+        here = np.flatnonzero(own[self.h] & (counts > 0)).astype(np.int32)
         sums += np.bincount(self.h[here], weights=lower[self.some[here]], minlength=n)
-        here = here[counts[here] <= LIMIT]
-        once += np.bincount(self.h[here].astype(np.int64) * LIMIT + counts[here] - 1, minlength=n * LIMIT).reshape(n, LIMIT)
+        for r in range(1, LIMIT + 1):
+            off += np.bincount(self.h[here[counts[here] == r]], minlength=n) * cut[r - 1]
+        del here
         for i in np.flatnonzero(self.is_hot).tolist():
             got = hot.get(int(self.names[i]))
             if got is not None:
-                once[i], sums[i] = got[:LIMIT], self._sums(np.array(got[LIMIT : 2 * LIMIT]), got[2 * LIMIT], i)
+                off[i], sums[i] = np.array(got[:LIMIT]) @ cut, self._sums(np.array(got[LIMIT : 2 * LIMIT]), got[2 * LIMIT], i)
         self.counts = counts
-        weight, scale = weights(self.c, once, sums, d)
+        weight, scale = weights(self.c, off, sums)
+        del off, sums
+        self.none = scale < 1
         seen[self.at] = counts[self.pair_of]
-        ch = np.where(self.history >= 0, self.c[self.history], 0)
-        self.ch, self.none = ch, scale[self.history] < 1
-        direct = d[np.minimum(seen, LIMIT + 1)] * seen / np.maximum(ch, 1) * scale[self.history]
-        return seen, np.where(ch == 0, lower, np.where(seen > 0, direct, weight[self.history] * lower))
+        p = np.empty(len(seen))
+        for at in range(0, len(seen), BLOCK):
+            part = slice(at, at + BLOCK)
+            history, r, below = self.history[part], seen[part], lower[part]
+            ch = np.where(history >= 0, self.c[history], 0)
+            direct = d[np.minimum(r, LIMIT + 1)] * r / np.maximum(ch, 1) * scale[history]
+            p[part] = np.where(ch == 0, below, np.where(r > 0, direct, weight[history] * below))
+        return seen, p
 
     def followed(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The n-grams as histories of the next order: names, counts, by token which one goes before it in its text, and their factors."""
@@ -280,12 +301,17 @@ class Level:
         used = used[np.argsort(self.pair_names[used])]
         place = np.zeros(len(self.h), np.int32)
         place[used] = np.arange(len(used), dtype=np.int32)
-        at = np.flatnonzero(history >= 0)
+        at = np.flatnonzero(history >= 0).astype(np.int32)
         history[at] = place[history[at]]
-        token = np.empty(len(used), np.int64)
+        token = np.empty(len(used), np.int32)
         token[history[at]] = at
-        c = self.ch[token]
-        return self.pair_names[used], self.counts[used], history, np.where(self.none[token], c / (c + 1), 1.0) / np.maximum(c, 1)
+        first = self.history[token]  # of an n-gram that was seen, so these were as well
+        c = self.c[first]
+        return self.pair_names[used], self.counts[used], history, np.where(self.none[first], c / (c + 1), 1.0) / np.maximum(c, 1)
+
+
+#: Tokens that are scored at once.
+BLOCK = 1 << 16
 
 
 def _first(ascending: np.ndarray) -> np.ndarray:
@@ -334,44 +360,71 @@ def _ngrams_bucket(chunks: list[int], blobs: list[bytes], last: bool) -> list[tu
         heads.append(np.cumsum(S.unslim(a)))
         runs.append(S.unslim(b))
         hot.append(_unbits(c, len(heads[-1])))
-        words.append(S.unslim(x))
-        own.append(S.unslim(y))
-        cw.append(S.unslim(z))
+        words.append(S.narrow(x))
+        own.append(S.narrow(y))
+        cw.append(S.narrow(z))
+    sizes = list(map(len, heads))
     histories, head_of = np.unique(np.concatenate(heads), return_inverse=True)
+    head_of = head_of.astype(np.int32)
+    del heads
     hot_history = np.zeros(len(histories), bool)
     hot_history[head_of] = np.concatenate(hot)
-    h, w = np.repeat(head_of, np.concatenate(runs)), np.concatenate(words)
+    own, cw, w = np.concatenate(own), np.concatenate(cw), np.concatenate(words)
+    del words
     if len(histories) * (int(w.max(initial=0)) + 1) >= 1 << 63:
         w = np.unique(w, return_inverse=True)[1]
-    distinct, first, place = np.unique(h * (w.max(initial=0) + 1) + w, return_index=True, return_inverse=True)
-    counts = np.bincount(place, weights=np.concatenate(own), minlength=len(distinct)).astype(np.int64)
+    across = int(w.max(initial=0)) + 1
+    pair = np.repeat(head_of, np.concatenate(runs)).astype(np.int64)
+    pair *= across
+    pair += w.astype(np.int64)
+    del w
+    # each pair's place among the distinct ones, the first row of each, and its count
+    order = np.argsort(pair, kind="stable").astype(np.int32)
+    pair = pair[order]
+    new = _first(pair)
+    distinct_h, first = (pair[new] // across).astype(np.int32), order[new]
+    del pair
+    place = np.empty(len(order), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    del order, new
+    counts = np.bincount(place, weights=own, minlength=len(first)).astype(np.int64)
+    del own
     # a type that was seen was seen in the order below as well
     known = counts > 0
-    type_h, type_r, type_c = h[first][known], counts[known], np.concatenate(cw)[first][known]
+    type_h, type_r, type_c = distinct_h[known], counts[known], cw[first[known]].astype(np.int64)
+    del distinct_h, first, known, cw
     numbers = np.stack([np.bincount(type_h[x == r], minlength=len(histories)) for x in (type_r, type_c) for r in range(1, LIMIT + 1)])
     types = np.bincount(type_h, minlength=len(histories))
     high = np.bincount(type_h, weights=np.where(type_c > LIMIT, type_c, 0), minlength=len(histories)).astype(np.int64)
+    del type_h, type_r, type_c
     out = [(-1, S.planes(_types_seen(counts).astype(np.int64)))]
     if hot_history.any():
         out.append((-2, S.joined(S.planes(histories[hot_history]), S.planes(numbers[:, hot_history].astype(np.int64).reshape(-1)), S.planes(high[hot_history]))))
     at_head, at_pair = 0, 0
-    for c, k, r, f in zip(chunks, heads, runs, hot, strict=True):
+    for c, k, r, f in zip(chunks, sizes, runs, hot, strict=True):
         n = int(r.sum())
         its = place[at_pair : at_pair + n]
         seen = counts[its] > 0
-        its_heads = head_of[at_head : at_head + len(k)]
-        all_here = np.bincount(np.repeat(np.arange(len(k)), r)[seen], minlength=len(k)) == types[its_heads]
+        its_heads = head_of[at_head : at_head + k]
+        all_here = np.bincount(np.repeat(np.arange(k), r)[seen], minlength=k) == types[its_heads]
         others = its_heads[~f & ~all_here]
-        places = b"" if last else S.slim(np.diff(its[seen], prepend=0))
+        places = b"" if last else S.slim(np.diff(its[seen], prepend=np.int32(0)))
         out.append((c, S.joined(S.slim(counts[its]), _bits(all_here[~f]), S.slim(numbers[:, others].reshape(-1)), S.slim(high[others]), places)))
-        at_head, at_pair = at_head + len(k), at_pair + n
+        at_head, at_pair = at_head + k, at_pair + n
     return out
 
 
 BLOBS = "chunk long, bucket int, path string, blob binary"
+CHUNKS = "chunk long, path string"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def _rows(b: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows, one at a time: a row's blobs are copied when it is its turn."""
+    for i in range(b.num_rows):
+        yield tuple(c[i].as_py() for c in b.columns)
+
+
 def _by_bucket(blobs: DataFrame, answer) -> DataFrame:
     schema = arrow_schema(BLOBS)
 
@@ -436,11 +489,14 @@ def katz_scores(docs: DataFrame, order: int = 2) -> DataFrame:
         head = [(-1, None)] if path is not None else []
         return batch([[number] * n, [b for b, _ in head + found], [path] * len(head) + [None] * len(found), [x for _, x in head + found]], schema)
 
+    def staged(number: int, chunk: S.Chunk) -> pa.RecordBatch:
+        found = Tokens.of(chunk)
+        path = S.put(f"{folder}/chunks", f"{number:016x}", found.dump())
+        return emitted(number, list(found.asked(buckets)), path)
+
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, chunk in S.chunks(batches, most):
-            found = Tokens.of(chunk)
-            path = S.put(f"{folder}/chunks", f"{number:016x}", found.dump())
-            yield emitted(number, list(found.asked(buckets)), path)
+            yield staged(number, chunk)
 
     first = written(rows.mapInArrow(stage, BLOBS), f"{folder}/words")
     manifest = written(first.where("bucket = -1").select("chunk", "path"), f"{folder}/manifest")
@@ -451,42 +507,68 @@ def katz_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     unigrams = Unigrams(totals[0], totals[1], totals[2:])
     hot = max(1, int(totals[0]) // (HOT_SHARE * buckets))
 
-    def opened(b: pa.RecordBatch) -> Iterator[tuple[int, Tokens, list[dict[int, bytes]]]]:
-        for number, path, answers in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            found = Tokens.load(S.get(path))
-            by: list[dict[int, bytes]] = [{} for _ in range(order)]
-            for a in answers or ():
-                by[a["bucket"] // buckets][a["bucket"] % buckets] = a["blob"]
-            found.told(by[0], buckets)
-            yield number, found, by[1:]
+    def kept(number: int, now: int) -> str:
+        return f"{number:016x}-{now}"
+
+    def receive(now: int):
+        """The answers about order `now`, by chunk, into a file beside the chunk's."""
+
+        def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for number, _, answers in _rows(b):
+                    found = sorted((a["bucket"], a["blob"]) for a in answers or ())
+                    S.put(f"{folder}/chunks", kept(number, now), pickle.dumps(found, protocol=5))
+                yield b.select(["chunk", "path"])
+
+        return files
+
+    def loaded(number: int, path: str, orders: int) -> tuple[Tokens, list[dict[int, bytes]]]:
+        """A chunk that was told its words, and the kept answers about orders 2 to `orders`."""
+        found = Tokens.load(S.get(path))
+        answers = [dict(pickle.loads(S.get(f"{folder}/chunks/{kept(number, now)}"))) for now in range(1, orders + 1)]
+        found.told(answers[0], buckets)
+        return found, answers[1:]
 
     def sender(now: int, models: list):
+        # what a chunk needs is in the frame of a call, so that no two are held at once
+        def one(number: int, path: str) -> pa.RecordBatch:
+            found, answers = loaded(number, path, now - 1)
+            level, _ = found.levels(answers, buckets, hot, unigrams, [(d, sums.value) for d, sums in models], now)
+            return emitted(number, list(level.sent()))
+
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for number, found, answers in opened(b):
-                    level, _ = found.levels(answers, buckets, hot, unigrams, [(d, sums.value) for d, sums in models], now)
-                    yield emitted(number, list(level.sent()))
+                for number, path in _rows(b):
+                    yield one(number, path)
 
         return send
 
-    answers = told.where("chunk >= 0")
+    last = told
     models: list = []
     for now in range(2, order + 1):
-        sent = S.answered(manifest, answers).mapInArrow(sender(now, list(models)), BLOBS)
-        seen = written(_by_bucket(sent, lambda chunks, blobs, last=now == order: _ngrams_bucket(chunks, blobs, last)), f"{folder}/order{now}")
+        # Answers leave the tables for the chunks' files before the next exchange, which so finds no copies of them on disk
+        manifest = written(S.answered(manifest, last.where("chunk >= 0")).mapInArrow(receive(now - 1), CHUNKS), f"{folder}/manifest{now}")
+        discard(f"{folder}/counts" if now == 2 else f"{folder}/order{now - 1}")
+        chunks = max(1, manifest.count())
+        settle(spark)  # after another query: until then something may refer to the last one
+        sent = manifest.repartition(chunks, "chunk").mapInArrow(sender(now, list(models)), BLOBS)
+        last = written(_by_bucket(sent, lambda chunks, blobs, last=now == order: _ngrams_bucket(chunks, blobs, last)), f"{folder}/order{now}")
         del sent
         settle(spark)
-        models.append((discounts(_summed(seen, LIMIT + 2)), spark.sparkContext.broadcast(_hot_sums(seen))))
-        settle(spark)  # again: until another query has run, something may refer to the last one
-        answers = answers.unionByName(seen.where("chunk >= 0").withColumn("bucket", (F.col("bucket") + (now - 1) * buckets).cast("int")))
+        models.append((discounts(_summed(last, LIMIT + 2)), spark.sparkContext.broadcast(_hot_sums(last))))
+        settle(spark)  # again, as above
     out_schema = arrow_schema(SCORES)
 
+    def one(number: int, path: str, answers: list | None) -> pa.RecordBatch:
+        found, before = loaded(number, path, order - 1)
+        own = {a["bucket"]: a["blob"] for a in answers or ()}
+        p = found.scores([*before, own], buckets, hot, unigrams, [(d, sums.value) for d, sums in models], order)
+        score, base, known = found.summed(p, unigrams)
+        return batch([found.ids, ~found.training, found.counts, known, np.full(len(known), unigrams.tokens), base, score], out_schema)
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [(d, sums.value) for d, sums in models]
         for b in batches:
-            for _, found, answers in opened(b):
-                level, p = found.levels(answers, buckets, hot, unigrams, own, order)
-                score, base, known = found.summed(level.scored(answers[order - 2], p, *own[order - 2])[1], unigrams)
-                yield batch([found.ids, ~found.training, found.counts, known, np.full(len(known), unigrams.tokens), base, score], out_schema)
+            for number, path, answers in _rows(b):
+                yield one(number, path, answers)
 
-    return S.answered(manifest, answers).mapInArrow(finish, SCORES)
+    return S.answered(manifest, last.where("chunk >= 0")).mapInArrow(finish, SCORES)

@@ -87,6 +87,11 @@ def unslim(raw: bytes) -> np.ndarray:
     return unplanes(raw[1:], f"u{raw[0]}").astype(np.int64) if raw else np.zeros(0, np.int64)
 
 
+def narrow(raw: bytes) -> np.ndarray:
+    """What slim() was given, in the smallest type."""
+    return unplanes(raw[1:], f"u{raw[0]}") if raw else np.zeros(0, np.uint8)
+
+
 def joined(*blobs: bytes) -> bytes:
     return struct.pack(f"<{len(blobs) + 1}I", len(blobs), *map(len, blobs)) + b"".join(blobs)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -360,6 +361,48 @@ def test_katz_of_higher_order(spark, monkeypatch, order, share):
     assert all(abs(f[1] - e[1]) < 1e-6 for f, e in zip(found, expected, strict=True))
 
 
+def test_katz_holds_little_per_token():
+    words = (np.random.default_rng(3).zipf(1.2, 300_000) % 20_000).astype(str).reshape(300, 1000)
+    first = katz.Tokens.of(katz.S.Chunk(list(range(300)), [" ".join(w).encode() for w in words]))
+    raw, asked = first.dump(), dict(first.asked(1))
+    (_, totals), (_, told) = katz._words_bucket([0], [asked[0]])
+    totals = katz.S.unplanes(totals, np.int64)
+    unigrams = katz.Unigrams(totals[0], totals[1], totals[2:])
+    models: list = []
+    answers: list[dict[int, bytes]] = []
+    peaks = []
+
+    def measured(f):
+        tracemalloc.start()
+        try:
+            found = f()
+            peaks.append(tracemalloc.get_traced_memory()[1] / first.counts.sum())
+        finally:
+            tracemalloc.stop()
+        return found
+
+    def sent(order: int) -> bytes:
+        tokens = katz.Tokens.load(raw)
+        tokens.told({0: told}, 1)
+        level, _ = tokens.levels(answers, 1, 1 << 40, unigrams, models, order)
+        return dict(level.sent())[0]
+
+    for order in (2, 3):
+        blob = measured(lambda: sent(order))  # noqa: B023
+        found = dict(measured(lambda: katz._ngrams_bucket([0], [blob], order == 3)))  # noqa: B023
+        models.append((katz.discounts(katz.S.unplanes(found[-1], np.int64)), {}))
+        answers.append({0: found[0]})
+    assert max(peaks) < 130  # bytes a token
+
+
+def test_katz_answers_are_exchanged_once(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(katz, "scratch", lambda spark, what: f"file://{tmp_path}/{what}")
+    monkeypatch.setattr(katz.S, "chunk_bytes", lambda df: 2000)
+    assert katz.katz_scores(documents(spark), order=4).count() == len(rows())
+    tables = {p.name for p in (tmp_path / "katz").iterdir()}
+    assert "order4" in tables and not tables & {"words", "counts", "order2", "order3"}
+
+
 @pytest.mark.parametrize("high", [1 << 16, 1 << 40])
 def test_token_files_are_small_for_skewed_ids(high):
     rng = np.random.default_rng(5)
