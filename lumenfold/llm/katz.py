@@ -154,7 +154,7 @@ class Tokens:
     def scores(self, answers: list[dict[int, bytes]], buckets: int, hot: int, unigrams: Unigrams, models: list[tuple[np.ndarray, dict]], order: int) -> np.ndarray:
         """Each token's probability by the given order, of which nothing else is kept."""
         level, p = self.levels(answers, buckets, hot, unigrams, models, order)
-        return level.scored(answers[order - 2], p, *models[order - 2])[1]
+        return level.scored(answers[order - 2], p, *models[order - 2], last=True)[1]
 
     def summed(self, p: np.ndarray, unigrams: Unigrams) -> list[np.ndarray]:
         """By document: the scores by the tokens' probabilities, those of the base model, and the number of known tokens."""
@@ -220,6 +220,9 @@ class Level:
         asks = np.flatnonzero(asked & (counts > 0) & ~is_hot)
         asks = asks[np.argsort(cold[asks], kind="stable")]
         self.asks, self.asks_bucket = asks, cold[asks]
+        # a training text's n-grams were all seen: the last order's backoff weights are for other texts
+        self.backs_off = np.zeros(len(names), bool)
+        self.backs_off[history[(history >= 0) & ~tokens.learnt]] = True
 
     def sections(self) -> Iterator[tuple[int, slice, slice]]:
         pairs = np.searchsorted(self.pair_bucket, np.arange(self.buckets + 1))
@@ -227,20 +230,20 @@ class Level:
         for b in np.flatnonzero(np.diff(pairs) + np.diff(asks)).tolist():
             yield b, slice(pairs[b], pairs[b + 1]), slice(asks[b], asks[b + 1])
 
-    def sent(self) -> Iterator[tuple[int, bytes]]:
+    def sent(self, last: bool = False) -> Iterator[tuple[int, bytes]]:
         for b, pairs, asks in self.sections():
             h, w = self.h[pairs], self.w[pairs]
             heads = np.sort(np.concatenate([h, self.asks[asks]]), kind="stable")
             heads = heads[_first(heads)]
             place = np.searchsorted(heads, h)
             runs = np.bincount(place, minlength=len(heads))
-            yield b, S.joined(S.slim(np.diff(self.names[heads], prepend=0)), S.slim(runs), _bits(self.is_hot[heads]), S.slim(self.tokens.names[w]), S.slim(self.pair_own[pairs]), S.slim(self.below[pairs]))
+            yield b, S.joined(S.slim(np.diff(self.names[heads], prepend=0)), S.slim(runs), _bits(self.is_hot[heads]), S.slim(self.tokens.names[w]), S.slim(self.pair_own[pairs]), S.slim(self.below[pairs]), _bits(self.backs_off[heads] | (not last)))
 
     def _sums(self, low: np.ndarray, high: np.ndarray, histories: np.ndarray | int) -> np.ndarray:
         """The sums of successors' probabilities by the order below, from how many have counts 1 to LIMIT there and the sum of higher counts."""
         return (high + low @ (self.below_d[1 : LIMIT + 1] * np.arange(1, LIMIT + 1))) * self.factor[histories]
 
-    def scored(self, answers: dict[int, bytes], lower: np.ndarray, d: np.ndarray, hot: dict[int, tuple[float, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    def scored(self, answers: dict[int, bytes], lower: np.ndarray, d: np.ndarray, hot: dict[int, tuple[float, ...]], last: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Each token's n-gram count in all training texts, and its probability, where `lower` is that by the order below."""
         n = len(self.names)
         seen = np.zeros(len(self.history), np.int64)
@@ -252,12 +255,15 @@ class Level:
         self.pair_names = np.zeros(len(self.h), np.int64)
         for b, pairs, asks in self.sections():
             if b in answers:
-                r, a, o, s, places = S.parts(answers[b])
+                r, a, o, s, places, marks = S.parts(answers[b])
                 counts[pairs] = S.unslim(r)
                 asked = self.asks[asks]
                 all_here = _unbits(a, len(asked))
                 own[asked] = all_here
                 asked = asked[~all_here]
+                weighed = self.backs_off[asked] | (not last)
+                off[asked[~weighed]] = (S.unplanes(marks, np.uint8)[:, None] >> np.arange(LIMIT) & 1) @ cut
+                asked = asked[weighed]
                 found = S.unslim(o).reshape(2 * LIMIT, -1).T
                 off[asked] = found[:, :LIMIT] @ cut
                 sums[asked] = self._sums(found[:, LIMIT:], S.unslim(s), asked)
@@ -353,16 +359,18 @@ def _ngrams_bucket(chunks: list[int], blobs: list[bytes], last: bool) -> list[tu
 
     By chunk, its n-grams' counts, which cold histories have no successors but the chunk's own, of the others how many successors were seen 1 to
     LIMIT times, how many are so in the order below and the sum of the higher counts there, and the places of the n-grams that were seen, for
-    their names (where a higher order follows); for chunk -1 the types seen r times, for chunk -2 hot histories' numbers."""
-    heads, runs, hot, words, own, cw = [], [], [], [], [], []
+    their names (where a higher order follows). Of histories whose weight the chunk does not need it is told which counts up to LIMIT some
+    successor has. For chunk -1 the types seen r times, for chunk -2 hot histories' numbers."""
+    heads, runs, hot, words, own, cw, weighed = [], [], [], [], [], [], []
     for blob in blobs:
-        a, b, c, x, y, z = S.parts(blob)
+        a, b, c, x, y, z, u = S.parts(blob)
         heads.append(np.cumsum(S.unslim(a)))
         runs.append(S.unslim(b))
         hot.append(_unbits(c, len(heads[-1])))
         words.append(S.narrow(x))
         own.append(S.narrow(y))
         cw.append(S.narrow(z))
+        weighed.append(_unbits(u, len(heads[-1])))
     sizes = list(map(len, heads))
     histories, head_of = np.unique(np.concatenate(heads), return_inverse=True)
     head_of = head_of.astype(np.int32)
@@ -400,16 +408,17 @@ def _ngrams_bucket(chunks: list[int], blobs: list[bytes], last: bool) -> list[tu
     out = [(-1, S.planes(_types_seen(counts).astype(np.int64)))]
     if hot_history.any():
         out.append((-2, S.joined(S.planes(histories[hot_history]), S.planes(numbers[:, hot_history].astype(np.int64).reshape(-1)), S.planes(high[hot_history]))))
+    marks = ((numbers[:LIMIT] > 0) << np.arange(LIMIT)[:, None]).sum(axis=0).astype(np.uint8)
     at_head, at_pair = 0, 0
-    for c, k, r, f in zip(chunks, sizes, runs, hot, strict=True):
+    for c, k, r, f, u in zip(chunks, sizes, runs, hot, weighed, strict=True):
         n = int(r.sum())
         its = place[at_pair : at_pair + n]
         seen = counts[its] > 0
         its_heads = head_of[at_head : at_head + k]
         all_here = np.bincount(np.repeat(np.arange(k), r)[seen], minlength=k) == types[its_heads]
-        others = its_heads[~f & ~all_here]
+        others, rest = its_heads[~f & ~all_here & u], its_heads[~f & ~all_here & ~u]
         places = b"" if last else S.slim(np.diff(its[seen], prepend=np.int32(0)))
-        out.append((c, S.joined(S.slim(counts[its]), _bits(all_here[~f]), S.slim(numbers[:, others].reshape(-1)), S.slim(high[others]), places)))
+        out.append((c, S.joined(S.slim(counts[its]), _bits(all_here[~f]), S.slim(numbers[:, others].reshape(-1)), S.slim(high[others]), places, S.planes(marks[rest]))))
         at_head, at_pair = at_head + k, at_pair + n
     return out
 
@@ -534,7 +543,7 @@ def katz_scores(docs: DataFrame, order: int = 2) -> DataFrame:
         def one(number: int, path: str) -> pa.RecordBatch:
             found, answers = loaded(number, path, now - 1)
             level, _ = found.levels(answers, buckets, hot, unigrams, [(d, sums.value) for d, sums in models], now)
-            return emitted(number, list(level.sent()))
+            return emitted(number, list(level.sent(now == order)))
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -403,6 +403,15 @@ def test_katz_answers_are_exchanged_once(spark, monkeypatch, tmp_path):
     assert "order4" in tables and not tables & {"words", "counts", "order2", "order3"}
 
 
+def test_katz_tells_last_weights_where_needed(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(katz, "scratch", lambda spark, what: f"file://{tmp_path}/{what}")
+    monkeypatch.setattr(katz.S, "chunk_bytes", lambda df: 2000)
+    katz.katz_scores(documents(spark), order=3)
+    found = [katz.S.parts(bytes(r["blob"])) for r in spark.read.parquet(f"file://{tmp_path}/katz/order3").where("chunk >= 0").collect()]
+    weights, marks = (sum(len(f[i]) > 0 for f in found) for i in (2, 5))
+    assert weights and marks
+
+
 @pytest.mark.parametrize("high", [1 << 16, 1 << 40])
 def test_token_files_are_small_for_skewed_ids(high):
     rng = np.random.default_rng(5)
